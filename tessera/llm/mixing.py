@@ -19,7 +19,7 @@ from ..session import materialize
 from . import words as w
 
 #: Rows that a key range holds on average; a range is sorted by one task.
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 1_000
 
 
 def budgets(

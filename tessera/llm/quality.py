@@ -32,12 +32,13 @@ MAX_REPEAT_PERCENT = 50
 #: Fewest characters and words for a comparison to count, and the distances above which it rejects.
 MIN_CHARS_COMPARED = 200
 MIN_WORDS_COMPARED = 50
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.50
+MAX_CHAR_DISTANCE = 0.26
+#: Both distances together reject from here on.
+BOTH_CHAR_DISTANCE = 0.13
+BOTH_WORD_DISTANCE = 0.28
 #: References are broadcast up to this many languages.
 BROADCAST_LANGUAGES = 20_000
 
-SYMBOLS = "[#*$%&|<>]"
 CHAR_CLASSES = ("upper", "lower", "digit", "blank", "symbol", "other")
 
 
@@ -160,7 +161,8 @@ def judge(measured: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataF
             "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMPARED, distance(F.col("common_counts"), F.col("n_words"), F.col("common_ref"))),
         }
     )
-    rejected = far("char_distance", MAX_CHAR_DISTANCE) | far("word_distance", MAX_WORD_DISTANCE)
+    both = far("char_distance", BOTH_CHAR_DISTANCE) & far("word_distance", BOTH_WORD_DISTANCE)
+    rejected = far("char_distance", MAX_CHAR_DISTANCE) | both
     return compared.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("lang_key", "char_ref", "common_ref")
 
 

@@ -126,7 +126,7 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         }
     ).drop("_packed", "_counts", "_cand", "_pairs", "_at", "_tri", "_hits", "_list")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("n_chars_seen", F.col("_n")).drop("_n")
+    return df.withColumn("base_failed", w.pinned(failed)).withColumn("n_chars_seen", F.col("_n")).drop("_n")
 
 
 def references(measured: DataFrame, lang_col: str = "lang") -> DataFrame:

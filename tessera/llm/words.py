@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII blanks.
@@ -28,3 +28,16 @@ def group_key(col: str | Column) -> Column:
     """A non-null string that tells null from every value, so that plain equality joins keep null groups."""
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+
+def over(*cols: str) -> WindowSpec:
+    return Window.partitionBy(*cols)
+
+
+def pinned(c: Column) -> Column:
+    """``c`` as it is, where the optimizer cannot copy its expression into a filter below.
+
+    Filters are otherwise pushed through projections with all they depend on spelled out, which
+    would evaluate whole-text expressions again for every element of an array.
+    """
+    return F.when(F.rand(0) >= 0, c)

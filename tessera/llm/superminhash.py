@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import arrow_rows, materialize
 from .bounded import small_side
 from .shingles import mix, shingle_sets
 
@@ -35,6 +35,8 @@ SLOTS = BANDS * ROWS
 MIN_EQUAL = 160
 #: Members of a bucket in one block of the group-against-group step.
 BLOCK = 2048
+#: Texts or pairs of sets that go to Python at once.
+ARROW_ROWS = 256
 #: Ids are broadcast up to so many.
 BROADCAST_IDS = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -233,7 +235,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``; groups are linked at ``percent`` Jaccard similarity."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _near_duplicates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     profile = materialize(docs.mapInArrow(_profile(k), PROFILE))
     classes = (
         profile.filter("n_shingles > 0 and doc_id is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontam, html, linedup, mixing, pii, quality, superminhash, warc
+from . import chat, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,8 @@ select page_id, cast(octet_length(b) as bigint) as payload_bytes, p.payload_dige
        case when first <> page_id then first end as refers_to
 from p left join f using (payload_digest)
 """
+
+
+@query
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))

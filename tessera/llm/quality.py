@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import words as w
+from .bounded import small_side
 
 # The most common words of each language, from general knowledge of the languages.
 COMMON_WORDS = {
@@ -38,6 +39,8 @@ BOTH_CHAR_DISTANCE = 0.13
 BOTH_WORD_DISTANCE = 0.28
 #: References are broadcast up to this many languages.
 BROADCAST_LANGUAGES = 20_000
+#: Rejected rows are broadcast up to so many.
+BROADCAST_IDS = 1_000_000
 
 CHAR_CLASSES = ("upper", "lower", "digit", "blank", "symbol", "other")
 
@@ -126,7 +129,7 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         }
     ).drop("_packed", "_counts", "_cand", "_pairs", "_at", "_tri", "_hits", "_list")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", w.pinned(failed)).withColumn("n_chars_seen", F.col("_n")).drop("_n")
+    return df.withColumn("base_failed", failed).withColumn("n_chars_seen", F.col("_n")).drop("_n")
 
 
 def references(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
@@ -150,9 +153,7 @@ def distance(counts: Column, n: Column, ref: Column) -> Column:
 
 def judge(measured: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``measured`` with ``char_distance``, ``word_distance`` and ``kept``."""
-    refs = materialize(refs)
-    if refs.count() <= BROADCAST_LANGUAGES:
-        refs = F.broadcast(refs)
+    refs = small_side(refs, BROADCAST_LANGUAGES)
     far = lambda d, most: F.coalesce(F.round(F.col(d), 6) > most, F.lit(False))
     joined = measured.withColumn("lang_key", w.group_key(lang_col)).join(refs, "lang_key", "left")
     compared = joined.withColumns(
@@ -174,9 +175,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judge(measured, references(measured))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, in full; the texts are read twice and never shuffled."""
-    narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    refs = references(stats(narrow))
-    boxed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return judge(stats(boxed), refs).filter("kept").select("doc.*")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that the rules keep, in full.
+
+    Counts are taken once and stored without texts; rejected rows are then told by id and text. A
+    filter on the verdict itself would be pushed below the counts, which spells them out again.
+    """
+    key, told = w.group_key(id_col), F.xxhash64(w.text_of(text_col))
+    narrow = docs.select(key.alias("bad_key"), told.alias("bad_text"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    measured = materialize(stats(narrow).drop("text"))
+    bad = judge(measured, references(measured)).filter("not kept").select("bad_key", "bad_text").distinct()
+    return docs.join(small_side(bad, BROADCAST_IDS), (key == F.col("bad_key")) & (told == F.col("bad_text")), "left_anti")

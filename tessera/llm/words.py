@@ -33,11 +33,3 @@ def group_key(col: str | Column) -> Column:
 def over(*cols: str) -> WindowSpec:
     return Window.partitionBy(*cols)
 
-
-def pinned(c: Column) -> Column:
-    """``c`` as it is, where the optimizer cannot copy its expression into a filter below.
-
-    Filters are otherwise pushed through projections with all they depend on spelled out, which
-    would evaluate whole-text expressions again for every element of an array.
-    """
-    return F.when(F.rand(0) >= 0, c)

@@ -4,8 +4,9 @@
 2. Documents with equal sets form a class; one representative (smallest id) goes on.
 3. In each bucket of equal band hashes the smallest representative is compared with the others
    (a star, not all pairs), on full sets. Links are grouped by union-find.
-4. Buckets that still hold several groups are compared group against group, in blocks, first by
-   signature and then on full sets; only pairs whose groups differ are looked at. Grouped again.
+4. In buckets that still hold several groups all members of different groups are compared on full
+   sets, in blocks. A block joins its groups as it goes and reports only the links that join any, so
+   neither step writes all pairs of a bucket. Grouped again.
 
 Every pair that shares a bucket is therefore linked, found to be in one group already, or refused.
 With ``BANDS`` of ``ROWS`` a pair at similarity 0.8 shares no bucket with probability 3e-6.
@@ -30,11 +31,8 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
-#: Equal signature bytes below which a pair is refused without its sets: at similarity 0.8 the mean
-#: is 202 of 252 and the deviation at most 6.4, so 160 is beyond six deviations.
-MIN_EQUAL = 160
-#: Members of a bucket in one block of the group-against-group step.
-BLOCK = 2048
+#: Members of a bucket in one block of the last step.
+BLOCK = 1024
 #: Texts or pairs of sets that go to Python at once.
 ARROW_ROWS = 256
 #: Ids are broadcast up to so many.
@@ -90,7 +88,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _profile(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,15 +104,13 @@ def _profile(k: int):
                     for i in range(ROWS):
                         band = mix(band * np.uint64(0xC2B2AE3D27D4EB4F) + parts[:, :, i])
                     band = mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(_GOLDEN))
-                    byte = (mix(sign) >> np.uint64(56)).astype(np.uint8)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel().view(np.int64)))
-                sketch = pa.array([byte[i].tobytes() for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(at).astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), bands, sketch], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(at).astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), bands], schema=schema)
 
     return run
 
 
-PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _set_rows(k: int):
@@ -145,38 +141,64 @@ def _verify(percent: int):
     return run
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups within each run of equal keys that their signatures don't refuse.
+def _block_links(percent: int):
+    """Links between different groups within each run of equal keys, on full sets.
 
-    Rows are sorted by key; columns: bucket, lower, upper (blocks), block, rep, label, sketch.
+    Rows are sorted by key; columns: bucket, lower, upper (blocks), block, rep, label, members. Each
+    member's set is counted against those of all others that are not yet joined with it.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        rep = np.array([r[4] for r in rows], np.int64)
-        label = np.array([r[5] for r in rows], np.int64)
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        parent = {r[5]: r[5] for r in rows}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.append(0, np.cumsum(sizes))
+        mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
         block = np.array([r[3] for r in rows])
-        sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), SLOTS)
         one = rows[0][1] == rows[0][2]
-        left, right = [], []
-        for i in range(len(rows)):
-            if not one and block[i] != rows[0][1]:
-                continue
-            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1 if one else np.flatnonzero((label != label[i]) & (block != block[i]))
-            others = others[(sketch[others] == sketch[i]).sum(1) >= MIN_EQUAL]
-            left.append(np.minimum(rep[others], rep[i]))
-            right.append(np.maximum(rep[others], rep[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=schema)
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][:3] != row[:3]:
-                yield pairs(held)
-                held = []
-            held.append(row)
-    if held:
-        yield pairs(held)
+        root = np.array([r[5] for r in rows], np.int64)
+        out: list[tuple[int, int]] = []
+        for i in range(len(rows) - 1):
+            others = np.arange(i + 1, len(rows))
+            if not one:
+                others = others[block[others] != block[i]]
+            near = (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])) & (root[others] != root[i])
+            others = others[near]
+            for part in np.array_split(others, max(1, int(sizes[others].sum()) >> 20)) if len(others) else ():
+                mark[flat[begins[i] : begins[i + 1]]] = 1
+                ends = np.cumsum(sizes[part])
+                at = np.arange(ends[-1]) + np.repeat(begins[part] - ends + sizes[part], sizes[part])
+                both = np.add.reduceat(mark[flat[at]], ends - sizes[part])
+                mark[flat[begins[i] : begins[i + 1]]] = 0
+                for j in part[100 * both >= percent * (sizes[part] + sizes[i] - both)].tolist():
+                    x, y = find(rows[i][5]), find(rows[j][5])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        root[root == max(x, y)] = min(x, y)
+                        out.append((min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return run
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +245,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``id, members``: the shingle sets of some documents; joins on the id keep the partitioning."""
+    texts = docs.join(small_side(ids.toDF("wanted"), BROADCAST_IDS), docs["doc_id"] == F.col("wanted"), "left_semi")
+    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(k), "id long, members binary")
+    return sets.groupBy("id").agg(F.first("members").alias("members"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(small_side(ids, BROADCAST_IDS), docs["doc_id"] == F.col("id"), "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(k), "id long, members binary")
-    sets = sets.groupBy("id").agg(F.first("members").alias("members"))  # repeated rows; the joins keep this partitioning
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, k)
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
@@ -244,7 +270,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = (
         profile.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
     classes = materialize(classes)
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -255,14 +281,14 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     labels = materialize(components(links))
 
     named = shared.join(labels, shared["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("bucket")
-    rest = named.join(split, "bucket").join(classes.select("rep", "sketch"), "rep")
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    rest = materialize(named.filter("n > 2").join(split, "bucket"))
+    rest = rest.join(_sets(rest.select("rep").distinct(), docs, k), F.col("rep") == F.col("id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "label", "sketch")
+    rest = rest.select("bucket", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "label", "members")
     rest = rest.repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper")
-    pairs = rest.mapInArrow(_block_pairs, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(pairs), docs, k, percent))
+    more = materialize(rest.mapInArrow(_block_links(percent), "a long, b long").distinct())
     if not more.isEmpty():
         labels = materialize(components(links.union(more)))
 

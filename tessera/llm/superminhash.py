@@ -2,8 +2,9 @@
 
 1. Every document gets its shingle set, a SuperMinHash signature and the hashes of its bands.
 2. Documents with equal sets form a class; one representative (smallest id) goes on.
-3. In each bucket of equal band hashes the smallest representative is compared with the others
-   (a star, not all pairs), on full sets. Links are grouped by union-find.
+3. The smallest representative of each bucket of equal band hashes is its hub. Each other one is
+   compared on full sets with the hub that it shares most buckets with, so there is one pair for
+   each at most. Links are grouped by union-find.
 4. In buckets that still hold several groups all members of different groups are compared on full
    sets, in blocks. A block joins its groups as it goes and reports only the links that join any, so
    neither step writes all pairs of a bucket. Grouped again.
@@ -276,7 +277,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(banded.join(hubs, "bucket").select("bucket", "rep", "hub", "n"))
-    stars = materialize(shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    met = shared.filter("rep <> hub").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("buckets"))
+    best = F.max_by("hub", F.struct("buckets", -F.col("hub")))
+    stars = materialize(met.groupBy("rep").agg(best.alias("a")).select("a", F.col("rep").alias("b")))
     links = materialize(_confirmed(stars, docs, k, percent))
     labels = materialize(components(links))
 

@@ -321,7 +321,7 @@ def peak_pq(spark: SparkSession, d: str) -> DataFrame:
 )
 def peak_islands(spark: SparkSession, d: str) -> DataFrame:
     frags = _grouped(spark, d)
-    scored = peaks.score_runs(peaks.pileup(frags), frags, fx.GENOME).withColumn("p_score", F.round("p_score", 6))
+    scored = materialize(peaks.score_runs(peaks.pileup(frags), frags, fx.GENOME).withColumn("p_score", F.round("p_score", 6)))
     scored = scored.join(peaks.q_table(scored), ["group", "p_score"])
     return peaks.islands(scored, 0.05, 30, 100).select("group", "chrom", F.col("i_start").alias("start"), F.col("i_end").alias("end")).distinct()
 
@@ -577,6 +577,20 @@ def lda_topics(spark: SparkSession, d: str) -> DataFrame:
     return embed.top_peaks(topics, 10)
 
 
+@query(_with(fx.FRAGMENTS, "h as (select barcode, chrom, s//5000 as tile from frag union all select barcode, chrom, (e-1)//5000 from frag where (e-1)//5000 <> s//5000)") + "select barcode, chrom, tile, count(*) as value from h group by all")
+def streaming_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments written in four parts, streamed part by part."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming import counts
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    fx.fragments(spark, d).select(formats.COLUMNS).repartition(4).write.parquet(f"{base}/in")
+    counts.count_stream(counts.stream_fragments(spark, f"{base}/in"), f"{base}/state", f"{base}/check").awaitTermination()
+    return counts.read_counts(spark, f"{base}/state")
+
+
 # Plot data and formats ------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 Spans are in code points with exclusive ends. Base kinds (email, ip, card, phone) need their
 pattern and validator only. Further kinds (a card number among longer digit chains, IBAN,
 national id, secret) also need a score of ``MIN_SCORE``, which a valid checksum and context
-words shortly before the span raise.
+words shortly before the span raise; context ends at the candidate of the kind before.
 
 Defined results: null text is empty and has no spans; repeated rows are searched each; an empty
 table gives no rows; patterns are possessive, so that time is linear in the text whatever it holds.

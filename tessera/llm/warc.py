@@ -15,6 +15,7 @@ values become blanks; an empty table gives an empty archive; repeated rows are r
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import struct
 import uuid
@@ -200,7 +201,7 @@ class WarcReader(DataSourceReader):
                 elif start[:2] == b"\x1f\x8b":
                     records = _plain_records(gzip.GzipFile(fileobj=file), self.filters)
                 else:
-                    records = _plain_records(file, self.filters)
+                    records = _plain_records(io.BufferedReader(file), self.filters)
                 for headers, block in records:
                     payload = _payload(headers, block) if self.payload else None
                     rows.append([*(headers.get(h) for h in HEADER.values()), int(headers.get("content-length", "0")), list(headers.items()), payload])

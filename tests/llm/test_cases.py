@@ -1,0 +1,222 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
+from tessera.llm.suffix import SuffixArray, earlier_matches, maximal_repeats
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30000))
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOC)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    base = " ".join(f"word{i}" for i in range(120))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, base, "en", "s", 1), (3, base, "en", "s", 1), (4, base + " end", None, "t", 1),
+        (5, LONG, "en", None, 1), (6, "   \n\t ", "xx", "s", 1), (None, base, "en", "s", 1), (7, "one", "en", "s", 1), (8, "a" * 70000, "de", "s", 1),
+    ]
+    return docs(spark, rows)
+
+
+def test_mixing(spark, odd):
+    clash = odd.withColumn("size", F.lit("x")).withColumn("target", F.lit(0)).withColumn("taken", F.lit(0))
+    out = mixing.mix(clash, keep=True)
+    rows = out.collect()
+    assert len(rows) == 10 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    total = {}
+    for r in rows:
+        total.setdefault(r.source, [0, r.target, r.source_size])[0] += r.taken
+    assert all(t == int(want) for t, want, _ in total.values())
+    copies = mixing.copies(out).collect()
+    assert sum(r.copy_words for r in copies) == sum(r.taken for r in rows)
+    assert all(len(r.text.split()) == r.copy_words for r in copies)
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_budgets_reshare_until_none_is_above(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 500), (None, 700)], "source string, size long")
+    got = {r.source: r.target for r in mixing.budgets(sizes).collect()}
+    weight, size = {"a": 5, "b": 2, "c": 1, None: 5}, {"a": 1000, "b": 10, "c": 500, None: 700}
+    held, want = {}, {}
+    while True:
+        free = [s for s in size if s not in held]
+        left = 1.5 * sum(size.values()) - sum(held.values())
+        want = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if want[s] > 2 * size[s]]
+        if not over:
+            break
+        held.update({s: 2 * size[s] for s in over})
+    assert got == pytest.approx({**held, **want})
+
+
+def test_quality(spark, odd):
+    rows = quality.quality(odd.withColumn("kept", F.lit(1)).withColumn("n_words", F.lit(1))).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 10 and by[1].n_words == 0 and by[1].base_failed and not by[1].kept and by[5].n_words == 30000
+    assert by[8].n_words == 1 and by[3].n_repeat_words == 0
+    assert quality.keep_good(odd).columns == odd.columns
+    assert quality.quality(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
+
+
+def test_repeated_words_in_long_runs(spark):
+    r = quality.quality(docs(spark, [(1, "a b c d a b c e " + "z " * 50, "en", "s", 1)])).first()
+    assert r.n_repeat_words == 6 + 50
+
+
+def test_line_dedup(spark):
+    pages = [(i, f"shared\nown {i}\n\n{'rare' if i < 2 else i}", "en", "h", 1) for i in range(12)]
+    copies = [(100 + i, "copied line\nshared", "en", "h", 1) for i in range(40)]
+    df = docs(spark, pages + copies + [(200, None, "en", None, 1), (201, "", "en", "h", 1)]).withColumn("drop", F.lit("x")).withColumn("n_lines", F.lit(9))
+    out = {r.doc_id: r for r in linedup.drop_boilerplate(df).collect()}
+    assert out[3].text == "own 3\n\n3" and out[3].n_dropped == 1 and out[0].text == "own 0\n\nrare"
+    assert out[100].text == "copied line" and out[200].text is None and out[200].n_lines == 0 and out[201].text == ""
+    assert linedup.drop_boilerplate(docs(spark, [])).count() == 0
+
+
+def test_near_duplicates(spark, odd):
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in superminhash.near_duplicates(odd.withColumn("bands", F.lit(1)), k=2).collect()]
+    by = {r[0]: r for r in out}
+    assert len(out) == 10 and by[4][2] == 3 and by[3] == (3, 119, 3, True) and by[None][2] is None and by[None][3]
+    assert by[1] == (1, 0, 1, True) and by[2][1:] == (0, 2, True) and by[6][1] == 0 and by[7][1] == 1 and by[8][1] == 1
+    assert superminhash.near_duplicates(docs(spark, [])).count() == 0
+    kept = superminhash.drop_copies(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 3, 5, 6, 7, 8]
+
+
+def test_groups_that_no_hub_joins(spark):
+    """A chain of texts each like the next only, and a crowd of pairs just below the limit."""
+    words = [f"t{i}" for i in range(140)]
+    chain = [(i, " ".join(words[i * 4 : i * 4 + 101]), None, None, 1) for i in range(10)]
+    rng = random.Random(1)
+    core = [f"c{i}" for i in range(90)]
+    crowd = [(100 + i, " ".join(core + [f"x{rng.random()}" for _ in range(25)]), None, None, 1) for i in range(60)]
+    out = {r.doc_id: r.component_id for r in superminhash.near_duplicates(docs(spark, chain + crowd), k=2).collect()}
+    assert [out[i] for i in range(10)] == [0] * 10 and all(out[100 + i] == 100 + i for i in range(60))
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    b = np.concatenate([a[:300], rng.integers(0, 1 << 63, 100, dtype=np.uint64)])
+    with np.errstate(over="ignore"):
+        s = superminhash.signatures(np.concatenate([a, b, a[::-1]]), np.array([0, 400, 800, 1200]))
+    assert (s[0] == s[2]).all() and (s[0] == s[1]).mean() == pytest.approx(0.6, abs=0.12)
+
+
+def test_leaks(spark, odd):
+    item = "A train goes 60 km per hour from London to Paris, then Mary buys 3 apples for 60 dollars. How many remain?"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "only five plain words here")], "item_id int, text string")
+    other = item.replace("60", "75").replace("London", "Rome").replace("Mary", "John").replace("3 apples", "9 apples")
+    uneven = other.replace("75 dollars", "99 dollars")
+    rows = [(1, f"x {item} y", None, None, 1), (2, f"so. {other}", None, None, 1), (3, uneven, None, None, 1), (4, "and only five plain words here it is", None, None, 1), (5, "a train goes from home to work and back again each day", None, None, 1)]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs(spark, rows).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 50)).withColumn("h", F.lit(1)), items).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "reparameterised", (4, 4): "exact"}
+    assert decontam.leaks(docs(spark, []), items).count() == 0 and decontam.leaks(odd, items.limit(0)).count() == 0
+    assert decontam.drop_leaks(docs(spark, rows), items).count() == 2
+
+
+def test_pii_checksums_context_and_redaction(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and DE89 3704 0044 0532 0130 01", None, None, 1), (2, f'token = "{"0a" * 20}" and {"0b" * 20}', None, None, 1), (3, "ssn 123-45-6789 or 123-45-6789", None, None, 1), (4, "4111111111111111 4111111111111112", None, None, 1), (5, None, None, None, 1)]
+    out = {r.doc_id: r.spans for r in pii.report(docs(spark, rows)).collect()}
+    assert out[1].startswith("iban:5:32") and "iban:37:59" in out[1] and out[1].count("iban") == 2
+    assert out[2] == "secret:9:49" and out[3] == "national_id:4:15" and "card:0:16" in out[4] and "card:17" not in out[4] and out[5] == ""
+    red = {r.doc_id: r.text for r in pii.redact(docs(spark, [(1, "mail a@b.co now", None, None, 1), (2, None, None, None, 1), (3, "none", None, None, 1)])).collect()}
+    assert red == {1: "mail [EMAIL] now", 2: None, 3: "none"}
+
+
+def test_html_layout():
+    assert html.render(None) == html.render("") == ""
+    assert html.render("<p>a<p>b<div>c</div>d") == "a\n\nb\n\nc\nd"
+    assert html.render("<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>t") == "- a\n- b\n  3. x\n  4. y\n\nt"
+    assert html.render("<table><tr><th>A<th>Bee<tr><td rowspan=2>long cell<td>1<tr><td>2</table>z") == "A          Bee\nlong cell  1\n           2\n\nz"
+    assert html.render("a<span hidden>x</span><b style='display: none'>y</b><script>'</p>'</script> b &lt;c&gt; 1 < 2<!-- x") == "a b <c> 1 < 2"
+    assert html.render("<pre> a\n  b</pre><details><summary>s</summary>no</details>") == " a\n  b\n\ns"
+    assert html.render("<div>" * 20000 + "x") == "x" and html.render("<") == "<"
+
+
+def test_html_table(spark):
+    df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, None)], "page_id int, html string, text string")
+    assert sorted(tuple(r) for r in html.extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_warc_round_trip_and_predicates(spark, tmp_path):
+    long = "x" * 300
+    pages = spark.createDataFrame([(5, "u", long), (2, "v\nw", long), (3, None, "short"), (4, "q", "short"), (6, "n", None), (7, "z", "é" * 99)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, str(tmp_path / "w")).collect()}
+    assert got == {5: (300, "revisit", 2), 2: (300, "response", None), 3: (5, "response", None), 4: (5, "response", None), 6: (0, "response", None), 7: (198, "response", None)}
+    read = lambda: spark.read.format("warc").load(str(tmp_path / "w"))
+    assert read().filter("warc_type = 'revisit'").count() == 1 and read().filter("target_uri like 'v%'").first().record_id == "urn:page:2"
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_reads_files_of_others(spark, tmp_path):
+    import gzip
+
+    rec = [warc.record_bytes([("WARC-Type", t), ("WARC-Record-ID", f"<urn:{t}>")], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore") for t in ("response", "request")]
+    (tmp_path / "a.warc").write_bytes(b"".join(rec))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in rec))
+    warc.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path)).filter("warc_type = 'response'").collect()
+    assert [(r.record_id, bytes(r.payload)) for r in rows] == [("urn:response", b"body\r\n\r\nmore")] * 2
+
+
+def test_chat_round_trip(spark):
+    marks = ["<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|", "<|", "a\n", "", None, "<|nl|>"]
+    rows = [(i, 0, r, t) for i, t in enumerate(marks) for r in ("user",)] + [(i, 1, "assistant", t) for i, t in enumerate(marks)] + [(50, 0, "odd\nrole<|im_end|>", "x"), (50, 0, None, "y"), (None, 0, "assistant", "z"), (50, 0, None, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_chat(df)
+    assert all(r.identical for r in out.collect())
+    back = {r.conv_id: r for r in chat.read_back(out).collect()}
+    assert back[50].n_turns == 3 and back[None].loss_chars == 1
+    assert all(back[i].loss_chars == len(t or "") for i, t in enumerate(marks))
+    assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
+
+
+def test_repeats_in_odd_rows(spark, odd):
+    out = repeats.remove_repeats(odd.withColumn("place", F.lit(1))).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed))
+    n = len(" ".join(f"word{i}" for i in range(120)))
+    assert by[3] == [(n, 0)] * 2 and by[4] == [(n + 4, n)] and by[None] == [(n, 0)] and by[1] == [(0, 0)] and by[8] == [(70000, 0)]
+    assert repeats.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_repeats_across_periodic_and_long_texts(spark):
+    rng = random.Random(2)
+    part = "".join(rng.choice("abcdef ") for _ in range(900_000))
+    rows = [(1, "ab" * 40000, None, None, 1), (2, "ba" * 30000 + "c", None, None, 1), (3, part, None, None, 1), (4, "x" + part[300_000:800_000] + "y", None, None, 1)]
+    out = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert out == {1: (0, 0), 2: (60000, 1), 3: (0, 0), 4: (500_000, 1)}
+
+
+def test_suffix_arrays_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 6))]
+        data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        begins = np.append(0, np.cumsum(sizes))
+        sa = SuffixArray(data, sizes)
+        place = lambda p: (int(sa.owner[p]), int(p - begins[sa.owner[p]]))  # noqa: B023, E731
+        got = {texts[i][j : j + n]: sorted(place(p) for p in sa.order[a : b + 1]) for n, a, b in maximal_repeats(sa, 2) for i, j in [place(sa.order[a])]}
+        want = {}
+        for u in {t[i:j] for t in texts for i in range(len(t)) for j in range(i + 2, len(t) + 1)}:
+            at = [(i, j) for i, t in enumerate(texts) for j in range(len(t) - len(u) + 1) if t[j : j + len(u)] == u]
+            right = {texts[i][j + len(u)] if j + len(u) < len(texts[i]) else -1 - i for i, j in at}
+            if len(at) > 1 and len(right) > 1 and len({texts[i][j - 1] if j else -1 - i for i, j in at}) > 1:
+                want[u] = at
+        assert got == want
+        source = [rng.randint(0, 2) for _ in texts]
+        sa = SuffixArray(data, sizes, 4)
+        found = {x for p, n in zip(*earlier_matches(sa, np.array(source)[sa.owner[sa.order]], 3), strict=True) for x in range(p, p + n)}
+        assert found == {begins[i] + j + x for i, t in enumerate(texts) for j in range(len(t) - 2) if any(source[q] < source[i] and t[j : j + 3] in texts[q] for q in range(len(texts))) for x in range(3)}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from . import motifs
+
 
 def _deviation(x: DataFrame, shares: DataFrame, depth: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     """Per cell and set ``keys``: (observed - expected) / expected; sets that a cell misses have -1.
@@ -39,3 +42,27 @@ def compute_deviations(x: DataFrame, motif_features: DataFrame, background: Data
     spread = bg.groupBy("cell", "motif").agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("std"))
     z = F.when(F.col("std") > 1e-12, (F.col("deviation") - F.col("mean")) / F.col("std")).otherwise(0.0)
     return own.join(spread, ["cell", "motif"]).select("cell", "motif", "deviation", z.alias("z"))
+
+
+def chromvar(x: DataFrame, regions: DataFrame, motif_list: list[motifs.Motif], *, p_value: float = 5e-5, method: str = "chromvar", n_iterations: int = 50, seed: int = 0) -> DataFrame:
+    """Deviations from a matrix (cell, feature, value) and the sequences of its features (region, seq).
+
+    Features are whitened by GC content and log reads, matched backgrounds are drawn from a grid
+    (``chromvar``) or are the nearest others (``knn``), motifs are scanned, and deviations follow.
+    A feature without reads is an error.
+    """
+    reads = x.groupBy(F.col("feature").alias("region")).agg(F.sum("value").alias("reads"))
+    bias = regions.join(reads, "region", "left").select(F.col("region").alias("feature"), motifs.gc_content(F.col("seq")).alias("gc"), F.log10(F.coalesce("reads", F.lit(0))).alias("log_reads"))
+    bias = materialize(bias)
+    if not bias.filter("log_reads is null or isnan(log_reads) or log_reads = double('-Infinity')").isEmpty():
+        raise ValueError("a feature has no reads")
+    white = motifs.whiten(bias, ("gc", "log_reads"))
+    if method == "chromvar":
+        background = motifs.background_bins(white, n_iterations=n_iterations, seed=seed)
+    elif method == "knn":
+        near = motifs.nearest(white, white, ("w0", "w1"), n_iterations)
+        background = near.select(F.col("query").alias("feature"), (F.col("rank") - 1).alias("iteration"), F.col("feature").alias("background"))
+    else:
+        raise ValueError(f"unknown background method {method!r}")
+    hits = motifs.scan_motifs(regions, motif_list, p_value).select("motif", F.col("region").alias("feature"))
+    return compute_deviations(x, materialize(hits), materialize(background))

@@ -530,6 +530,18 @@ def deviations_z(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cell", "motif", F.round("deviation", 6).alias("deviation"), F.round("z", 4).alias("z"))
 
 
+@query()
+def chromvar(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as features, their letters as sequences, counts from their words."""
+    import numpy as np
+
+    seqs = fx.sequences(spark, d).filter("length(seq) >= 20 and region < 300")
+    x = table(spark, d, "documents").filter("doc_id < 300").join(seqs.select("region"), F.col("doc_id") == F.col("region"), "left_semi")
+    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cell"), F.col("doc_id").alias("feature"), F.col("n_chars")).withColumn("value", (F.col("n_chars") + F.col("cell") * F.col("feature")) % 7 + 1).drop("n_chars")
+    models = [motifs.Motif(m, np.eye(4)[[motifs.BASES.index(b) for b in k]]) for m, k in _KMERS[:3]]
+    return deviations.chromvar(materialize(x), materialize(seqs), models, p_value=4.0**-6 * 1.01, n_iterations=10)
+
+
 @query(
     """with rk as (select p_partkey as feature, abs(p_retailprice - 1400.0) as r, row_number() over (order by p_retailprice - 1400.0 desc, p_partkey) as rank, count(*) over () as n from part),
     h as (select p_brand as term, rank, r, n from rk join part on feature = p_partkey),
@@ -599,6 +611,21 @@ def fragment_size_hist(spark: SparkSession, d: str) -> DataFrame:
     return plots.fragment_sizes(fx.fragments(spark, d))
 
 
+@query(
+    _with(fx.FRAGMENTS, "m as (select barcode, count(*) as n from frag group by barcode having count(*) >= 100)")
+    + "select cast(floor(log10(n + 1) * 10) as bigint) as x, cast(0 as bigint) as y, count(*) as n from m group by 1"
+)
+def qc_panel(spark: SparkSession, d: str) -> DataFrame:
+    cells = qc.qc_metrics(fx.fragments(spark, d)).withColumn("tsse_score", F.lit(0.5))
+    return plots.qc_grid(cells)
+
+
+@query()
+def top_motifs(spark: SparkSession, d: str) -> DataFrame:
+    regions = fx.sequences(spark, d).select("region")
+    return plots.top_motifs(motifs.motif_enrichment(materialize(_hits(spark, d)), regions.withColumn("group", F.col("region") % 4), regions), 3)
+
+
 @query(_with(fx.FRAGMENTS) + "select chrom, s as start, e as \"end\", concat('L_', barcode) as barcode, n as count from frag")
 def fragments_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Fragments written as text, read with a prefix, and once more through Parquet."""

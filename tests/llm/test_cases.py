@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
-from tessera.llm.suffix import SuffixArray, earlier_matches, maximal_repeats
+from tessera.llm.suffix import LongSuffixes, SuffixArray, earlier_matches, maximal_repeats
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30000))
@@ -220,3 +220,17 @@ def test_suffix_arrays_by_brute_force():
         sa = SuffixArray(data, sizes, 4)
         found = {x for p, n in zip(*earlier_matches(sa, np.array(source)[sa.owner[sa.order]], 3), strict=True) for x in range(p, p + n)}
         assert found == {begins[i] + j + x for i, t in enumerate(texts) for j in range(len(t) - 2) if any(source[q] < source[i] and t[j : j + 3] in texts[q] for q in range(len(texts))) for x in range(3)}
+
+
+def test_long_suffixes_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(150):
+        texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(1, 5))]
+        texts += [t[rng.randint(0, 9) :] + b"a" for t in texts if len(t) > 10]
+        data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        source = [rng.randint(0, 3) for _ in texts]
+        least = rng.choice([3, 9, 20, 50])
+        sa = LongSuffixes(data, sizes, least)
+        found = {x for p, n in zip(*earlier_matches(sa, np.array(source)[sa.owner[sa.order]], least), strict=True) for x in range(p, p + n)}
+        begins = np.append(0, np.cumsum(sizes))
+        assert found == {begins[i] + j + x for i, t in enumerate(texts) for j in range(len(t) - least + 1) if any(source[q] < source[i] and t[j : j + least] in texts[q] for q in range(len(texts))) for x in range(least)}

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import join_overlaps, join_points
+from .intervals import join_points
 from .qc import passing_cells
 
 EXCLUDED = ("chrM", "chrY", "M", "Y")
@@ -89,15 +89,15 @@ def gene_matrix(fragments: DataFrame, domains: DataFrame, min_fragments: int = 1
     return per.groupBy("barcode", "id").agg(F.max("n").cast("long").alias("value"))
 
 
-def model_column(model: str, x: Column) -> Column:
-    """A weight as a function of ``x``; the text may hold numbers, x, arithmetic and a few functions, nothing else."""
+def model_column(model: str) -> Column:
+    """A weight as a function of the column ``_x``; the text may hold numbers, x, arithmetic and a few functions, nothing else."""
     words = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"\d+(\.\d*)?[eE][+-]?\d+", "", model)))
     if words - {"x", "exp", "abs", "sqrt", "log", "log2", "log10", "np"} or not re.fullmatch(r"[\w\s.+\-*/(),]*", model):
         raise ValueError(f"cannot use gene model {model!r}")
     body = model.replace("np.", "")
     body = re.sub(r"(\w+|\([^()]*\))\s*\*\*\s*(\w+)", r"pow(\1, \2)", body)
     body = re.sub(r"\blog\(", "ln(", body)
-    return F.expr(re.sub(r"\bx\b", "_x", body)) if x is None else F.expr(re.sub(r"\bx\b", "_x", body))
+    return F.expr(re.sub(r"\bx\b", "_x", body))
 
 
 def gene_score_domains(genes: DataFrame, upstream: int = 5000, downstream: int = 0, use_tss: bool = False, weight_factor: float = 5.0, search: tuple[tuple[int, int], tuple[int, int]] = ((1000, 100000), (1000, 100000)), tile_size: int = 500, boundary: bool = True) -> DataFrame:
@@ -134,7 +134,7 @@ def gene_scores(fragments: DataFrame, domains: DataFrame, tile_size: int = 500,
     pairs = join_points(occupied, spans, "t_start", "lo", "hi", width=32768)
     gap = F.greatest(F.col("g_lo") - (F.col("t_start") + tile_size - 1) - 1, F.col("t_start") - F.col("g_hi") - 1, F.lit(0))
     sign = F.signum(F.col("t_start") - F.col("tss")) * F.when(F.col("strand") == "-", -1).otherwise(1)
-    weighted = pairs.withColumn("_x", (gap * sign).cast("double")).withColumn("weight", model_column(model, None) * F.col("gene_weight"))
+    weighted = pairs.withColumn("_x", (gap * sign).cast("double")).withColumn("weight", model_column(model) * F.col("gene_weight"))
     raw = counts.join(weighted.select("chrom", "t_start", "symbol", "weight"), ["chrom", "t_start"]).groupBy("barcode", "symbol").agg(F.sum(F.col("n") * F.col("weight")).alias("raw"))
     total = F.sum("raw").over(Window.partitionBy("barcode"))
     return raw.withColumn("value", F.round(F.col("raw") * scale_to / total, 3)).filter("value <> 0").select("barcode", "symbol", "value")
@@ -190,6 +190,3 @@ def unique_names(genes: DataFrame, name: str = "symbol", key: str = "gene_id") -
     n = F.count(F.lit(1)).over(Window.partitionBy(name))
     return genes.withColumn(name, F.when(n > 1, F.concat(F.col(name), F.lit("_"), F.col(key).cast("string"))).otherwise(F.col(name)))
 
-
-def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    return join_overlaps(left, right, "start", "end", "r_start", "r_end")

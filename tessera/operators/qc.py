@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -134,6 +134,6 @@ def detect_doublets(
     found = incidence(union_intervals(kept.select("chrom", "start", "end")), kept)
     per_cell = cells.join(found.groupBy("barcode").agg(F.count(F.lit(1)).alias("n")), "barcode", "left").fillna(0, ["n"])
     tested = poisson_excess(per_cell, "n", ("barcode",))
-    none = F.max("n").over(stats.Window.partitionBy(F.lit(0))) == 0
+    none = F.max("n").over(Window.partitionBy(F.lit(0))) == 0
     p, q = F.when(none, 1.0).otherwise(F.col("p_value")), F.when(none, 1.0).otherwise(F.col("q_value"))
     return tested.select(F.col("barcode").alias("cell_id"), p.alias("p_value"), q.alias("q_value")).withColumn("is_doublet", F.col("q_value") < q_threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -64,3 +65,12 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    They go when the driver's garbage is collected, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

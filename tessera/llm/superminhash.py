@@ -6,7 +6,7 @@
    compared on full sets with the hub that it shares most buckets with, so there is one pair for
    each at most. Links are grouped by union-find.
 4. In buckets that still hold several groups all members of different groups are compared on full
-   sets, in blocks. A block joins its groups as it goes and reports only the links that join any, so
+   sets, in blocks; a bucket of two only if the pair was not compared in step 3. A block joins its groups as it goes and reports only the links that join any, so
    neither step writes all pairs of a bucket. Grouped again.
 
 Every pair that shares a bucket is therefore linked, found to be in one group already, or refused.
@@ -283,9 +283,13 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = materialize(_confirmed(stars, docs, k, percent))
     labels = materialize(components(links))
 
-    named = shared.join(labels, shared["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = materialize(named.filter("n > 2").join(split, "bucket"))
+    named = shared.join(labels, shared["rep"] == labels["node"], "left").select("bucket", "rep", "hub", "n", F.coalesce("label", "rep").alias("label"))
+    split = named.groupBy("bucket", "hub", "n").agg(F.max("rep").alias("last"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    split = materialize(split.select("bucket", "hub", "n", "last"))
+    # Two members are one pair: compared once however many buckets they share, and not if they were above.
+    twos = split.filter("n = 2").join(stars, (F.col("hub") == F.col("a")) & (F.col("last") == F.col("b")), "left_anti")
+    twos = twos.groupBy("hub", "last").agg(F.min("bucket").alias("bucket"))
+    rest = materialize(named.drop("hub").join(split.filter("n > 2").select("bucket").union(twos.select("bucket")), "bucket"))
     rest = rest.join(_sets(rest.select("rep").distinct(), docs, k), F.col("rep") == F.col("id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

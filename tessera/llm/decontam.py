@@ -6,6 +6,11 @@ hash-joined with those of the benchmark. Matches are grouped by alignment (docum
 of their positions), and in each alignment every value of the item must always stand for the same
 value of the document; alignments that fail are coincidences of templates.
 
+The first word of an item becomes a name by what stands before it in the document, so its window is
+also looked for with a name there, which must be that word. Items of which this or too many
+placeholders leave templates in doubt are looked for by their own words as well, in lower case, so
+that copies are always found.
+
 Defined results: null text has no words; items of fewer than ``MIN_ITEM_WORDS`` words match nothing;
 items shorter than a window are one window of their own length; equal items and repeated rows match
 each; null ids are reported as null; empty tables give no rows.
@@ -60,6 +65,23 @@ def _windows(tokens: str, n: int) -> Column:
     ).otherwise(F.array().cast("array<long>"))
 
 
+def _kept(tokens: str, n: Column) -> Column:
+    """The positions of the windows of ``n`` words that have enough fixed words."""
+    fixed = lambda i: F.size(F.filter(F.slice(F.col(tokens), i + 1, n), lambda t: ~_is_slot(t)))
+    return F.filter(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: fixed(i) >= MIN_FIXED * n)
+
+
+def _copies(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+    """Alignments of items with documents by windows of ``n`` of their own words."""
+    own = F.lower("raw")
+    grams = bench.select("item_id", "item", (F.col("n_tokens") - n + 1).alias("n_item"), F.posexplode(_windows("own", n)).alias("at", "h"))
+    grams = small_side(grams.distinct(), BROADCAST_WINDOWS)
+    seen = docs.select("doc_id", _tokens(own).alias("own")).select("doc_id", F.posexplode_outer(_windows("own", n)).alias("pos", "h"))
+    hit = seen.join(grams, "h").groupBy("doc_id", "item_id", "item", "n_item", (F.col("pos") - F.col("at")).alias("shift"))
+    aligned = hit.agg(F.count(F.lit(1)).alias("n_windows")).withColumn("exact", F.lit(True))
+    return aligned.filter(F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("n_item")))
+
+
 def _is_slot(t: Column) -> Column:
     return t.isin(NUMBER, UNIT, NAME)
 
@@ -81,33 +103,44 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     read = lambda df, key, text, to: df.select(F.col(key).alias(to), _raw(w.text_of(text)).alias("raw")).withColumn("template", _template(F.col("raw"))).withColumn("tokens", _tokens(F.col("template")))
     bench = read(items, item_col, item_text_col, "item_id").withColumn("n_tokens", F.size("tokens")).filter(F.col("n_tokens") >= MIN_ITEM_WORDS)
     bench = bench.withColumn("item", F.xxhash64("raw", "item_id"))
-    short = [r[0] for r in bench.filter(F.col("n_tokens") < WINDOW).select("n_tokens").distinct().collect()]
+    bench = bench.withColumn("n", F.least(F.lit(WINDOW), F.col("n_tokens"))).withColumn("kept", _kept("tokens", F.col("n")))
+    # What stands before an item reaches two words of it at most: a unit, and whether the next is a name.
+    apart = F.size(F.filter("kept", lambda i: i >= 2))
+    doubt = (F.size("kept") < F.col("n_tokens") - F.col("n") + 1) | (apart < F.least(F.lit(MIN_WINDOWS), F.size("kept")))
+    bench = bench.withColumn("doubt", doubt).withColumn("own", _tokens(F.lower("raw")))
+    sizes = [(r[0], r[1]) for r in bench.select("n", "doubt").distinct().collect()]
+    named = F.get(_tokens(F.col("raw")), F.lit(0)).rlike(r"^\p{Lu}\p{Ll}+$") & ~_is_slot(F.get("tokens", F.lit(0)))
     found = None
     docs_read = read(docs, id_col, text_col, "doc_id")
-    for n in sorted({WINDOW, *short}):
-        of = bench.filter(F.col("n_tokens") >= n) if n == WINDOW else bench.filter(F.col("n_tokens") == n)
-        grams = of.select("item_id", "item", "raw", "template", "tokens", (F.col("n_tokens") - n + 1).alias("n_item"), F.posexplode_outer(_windows("tokens", n)).alias("at", "h"))
-        grams = grams.withColumn("_part", F.slice("tokens", F.col("at") + 1, F.lit(n)))
-        fixed = F.size(F.filter("_part", lambda t: ~_is_slot(t))) >= MIN_FIXED * n
-        grams = grams.filter(fixed).select("item_id", "item", "n_item", "at", "h", _slots("raw", "template", "at", n).alias("slots"))
-        grams = grams.withColumn("n_item", F.count(F.lit(1)).over(w.over("item_id", "item")))
+    for n in sorted({WINDOW, *(n for n, _ in sizes)}):
+        of = bench.filter(F.col("n") == n).withColumn("first", F.explode(F.when(named, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        of = of.withColumn("tokens", F.when(F.col("first"), F.concat(F.array(F.lit(NAME)), F.slice("tokens", 2, F.greatest(F.lit(0), F.size("tokens") - 1)))).otherwise(F.col("tokens")))
+        of = of.withColumn("template", F.array_join("tokens", " ")).withColumn("n_item", F.size("kept"))
+        grams = of.select("item_id", "item", "raw", "template", "first", "kept", "n_item", F.posexplode(_windows("tokens", n)).alias("at", "h"))
+        grams = grams.filter(F.array_contains("kept", F.col("at")) & (~F.col("first") | (F.col("at") == 0)))
+        grams = grams.select("item_id", "item", "n_item", "first", "at", "h", _slots("raw", "template", "at", n).alias("slots")).distinct()
         grams = small_side(grams, BROADCAST_WINDOWS)
         seen = docs_read.withColumn("hashes", _windows("tokens", n)).select("doc_id", "raw", "template", F.posexplode_outer("hashes").alias("pos", "h"))
         hit = seen.join(grams, "h").withColumn("doc_slots", F.when(F.size("slots") > 0, _slots("raw", "template", "pos", n)))
+        # A filter would be pushed into the join, and all windows of a document would then carry its text there.
+        fits = ~F.col("first") | F.coalesce(F.get("doc_slots", F.lit(0))["value"] == F.get("slots", F.lit(0))["value"], F.lit(False))
         hit = hit.select(
-            "doc_id", "item_id", "item", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"),
+            "doc_id", "item_id", "item", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"), fits.alias("fits"),
             F.zip_with("slots", "doc_slots", lambda a, b: F.struct(F.concat_ws(" ", a["type"], a["value"]).alias("v"), b["value"].alias("u"))).alias("pairs"),
         )
         aligned = hit.groupBy("doc_id", "item_id", "item", "n_item", "shift").agg(
-            F.count(F.lit(1)).alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("pairs", F.array().cast("array<struct<v:string,u:string>>"))))).alias("pairs")
+            F.count_if("fits").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fits"), F.coalesce("pairs", F.array().cast("array<struct<v:string,u:string>>")))))).alias("pairs")
         )
         consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["v"])))
         same = F.forall("pairs", lambda p: F.substring_index(p["v"], " ", -1) == p["u"])
         ok = aligned.filter(consistent & (F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("n_item"))))
-        ok = ok.withColumn("exact", same).groupBy("doc_id", "item_id").agg(
-            F.max("n_windows").alias("n_windows"), F.max(F.least(F.lit(1.0), F.col("n_windows") / F.col("n_item"))).alias("share"), F.max("exact").alias("exact")
-        )
+        ok = ok.withColumn("exact", same).drop("pairs")
         found = ok if found is None else found.unionByName(ok)
+    for n in sorted(n for n, in_doubt in sizes if in_doubt):
+        found = found.unionByName(_copies(docs_read, bench.filter(F.col("doubt") & (F.col("n") == n)), n))
+    found = found.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max(F.least(F.lit(1.0), F.col("n_windows") / F.col("n_item"))).alias("share"), F.max("exact").alias("exact")
+    )
     return found.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.round("share", 6).alias("share"), F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
 
 

@@ -2,9 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
-from tessera.llm import superminhash
+from tessera.llm import decontam, superminhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,3 +21,18 @@ def test_two_edits_of_one_text_meet_through_it(spark):
         rows += [(3 * t, edit(a, "a")), (3 * t + 1, edit(b, "b")), (3 * t + 2, " ".join(base))]
     out = {r.doc_id: r.component_id for r in superminhash.near_duplicates(docs(spark, rows), k=2).collect()}
     assert [i for i in out if out[i] != i - i % 3] == []
+
+
+def test_copies_of_short_and_number_heavy_items(spark):
+    numbers = "Sums: 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    late = "Please read the table below and add its rows in order until done now " + " ".join(str(7 * i) for i in range(12, 32))
+    items = [(1, "What is the capital of France today?"), (2, "Compute 17 * 23 + 5"), (3, numbers), (4, "How many apples does the boy have left after lunch now?"), (5, late)]
+    items = spark.createDataFrame(items, "item_id int, text string")
+    rows = [
+        (1, "he asked What is the capital of France today?"), (2, "please Compute 17 * 23 + 5 soon"), (3, f"and {numbers} end"),
+        (4, "they say How many apples does the boy have left after lunch now? and go"), (5, "he asked What is the capital of Spain today?"),
+        (6, "he asked Where is the capital of Spain today?"), (7, "please Compute 17 * 24 + 5 soon"), (8, "rows " + " ".join(str(7 * i) for i in range(14, 32))),
+        (9, "What is the capital of France today?"),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs(spark, rows), items).collect()}
+    assert got == {(1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 4): "exact", (5, 1): "reparameterised", (8, 5): "exact", (9, 1): "exact"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
     A machine-local folder is made only where neither that setting nor a checkpoint
-    directory exists, which is so in single-machine tests.
+    directory exists and the master is local; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -52,6 +55,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, without its shuffle files.
+
+    The plan is written from a copy of the session that removes shuffle files once the write ends,
+    so that the steps of a job don't add up on disk. The caller's session keeps its settings.
+    """
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    again = spark._jsparkSession.cloneSession()
+    again.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(again, df._jdf.logicalPlan())
+    DataFrame(plan, SparkSession(spark.sparkContext, again)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Within this, frames that are computed pass at most ``n`` rows at once to Python.

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
-from tessera.llm.suffix import LongSuffixes, SuffixArray, earlier_matches, maximal_repeats
+from tessera.llm.suffix import LongSuffixes, SuffixArray, maximal_repeats, repeats_of_earlier
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30000))
@@ -182,21 +183,99 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+def cut_by_brute_force(rows, least=50):
+    """Per row: what is left, and the removed runs."""
+    earlier = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - least + 1) if i is not None else ():
+            earlier[b[k : k + least]] = min(i, earlier.get(b[k : k + least], i))
+    out = []
+    for i, t in rows:
+        b, gone = (t or "").encode(), set()
+        for k in range(len(b) - least + 1) if i is not None else ():
+            if earlier[b[k : k + least]] < i:
+                gone.update(range(k, k + least))
+        spans = [[k, k] for k in sorted(gone) if k - 1 not in gone]
+        for x in spans:
+            while x[1] in gone:
+                x[1] += 1
+        out.append((i, len(b), tuple(map(tuple, spans)), bytes(x for k, x in enumerate(b) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def removed(df):
+    return sorted(((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df).collect()), key=str)
+
+
 def test_repeats_in_odd_rows(spark, odd):
-    out = repeats.remove_repeats(odd.withColumn("place", F.lit(1))).collect()
+    out = repeats.remove_repeats(odd.withColumn("place", F.lit(1)).withColumn("kept", F.lit(1))).collect()
     by = {}
     for r in out:
-        by.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed))
+        by.setdefault(r.doc_id, []).append((r.n_bytes, r.n_bytes - len(r.kept)))
     n = len(" ".join(f"word{i}" for i in range(120)))
     assert by[3] == [(n, 0)] * 2 and by[4] == [(n + 4, n)] and by[None] == [(n, 0)] and by[1] == [(0, 0)] and by[8] == [(70000, 0)]
-    assert repeats.remove_repeats(docs(spark, [])).count() == 0
+    assert repeats.remove_repeats(docs(spark, [])).count() == 0 and repeats.repeat_groups(docs(spark, [])).count() == 0
+
+
+def test_repeats_of_unlike_texts_with_one_id(spark):
+    """Rows (3, X), (5, X), (5, Y), Y twice: none is lost, and rows of one id don't cut each other."""
+    rng = random.Random(5)
+    x, y, z = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (5, y), (5, z + y[100:200]), (7, "q" + y[50:300]), (None, x), (None, y), (8, z[:60] + x[:49]), (9, None)]
+    assert removed(docs(spark, [(i, t, None, None, 1) for i, t in rows])) == cut_by_brute_force(rows)
+
+
+def test_repeats_of_many_shapes_by_brute_force(spark):
+    """Passages that border on unlike text, periodic text, few letters, matches of 49 to 51 bytes, several bytes a letter."""
+    rng = random.Random(7)
+    word = lambda n, a="abcdefghij ": "".join(rng.choice(a) for _ in range(n))
+    passages = [word(n) for n in (49, 50, 51, 80, 130, 400)] + ["ab" * 60, "é" * 40, "x" * 90 + word(30)]
+    rows = []
+    for i in range(220):
+        t = word(rng.randint(0, 200))
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            a = rng.randint(0, 8)
+            t += p[a : len(p) - rng.randint(0, 8)] + word(rng.randint(0, 60), rng.choice(["ab", "abcdefghij "]))
+        rows.append((rng.randint(0, 180), t))
+    frame = docs(spark, [(i, t, None, None, 1) for i, t in rows])
+    want = cut_by_brute_force(rows)
+    assert removed(frame) == want
+    # Every removed byte is in a listed occurrence of a repeat that an earlier document has as well.
+    groups = {}
+    for r in repeats.repeat_groups(frame).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t.encode())
+    for (told, n), at in groups.items():
+        assert n >= 50 and len(at) > 1
+        assert all(any(hashlib.sha256(t[a : a + n]).hexdigest() == told for t in texts[i]) for i, a in at)
+    whole = {i: t for i, t in ((i, t) for i, t in rows) if len(texts[i]) == 1 and sum(t.encode() in x for x in texts.values()) == 1}
+    for i, _, spans, _ in want:
+        if i in whole:
+            listed = {k for (_, n), at in groups.items() if min(at)[0] < i for d, a in at if d == i for k in range(a, a + n)}
+            assert {k for a, b in spans for k in range(a, b)} == listed
+
+
+def test_a_common_passage_is_dealt_by_its_borders(spark, monkeypatch):
+    """With frequent strings out of the anchors results are the same."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    common = word(300)
+    rows = [(i, word(80) + common[rng.randint(0, 20) : 300 - rng.randint(0, 20)] + word(80)) for i in range(150)]
+    seen = []
+    mark = repeats.Frequent
+    monkeypatch.setattr(repeats, "Frequent", lambda h: seen.append(len(h)) or mark(h))
+    assert removed(docs(spark, [(i, t, None, None, 1) for i, t in rows])) == cut_by_brute_force(rows)
+    assert seen[0] > 200
 
 
 def test_repeats_across_periodic_and_long_texts(spark):
     rng = random.Random(2)
     part = "".join(rng.choice("abcdef ") for _ in range(900_000))
     rows = [(1, "ab" * 40000, None, None, 1), (2, "ba" * 30000 + "c", None, None, 1), (3, part, None, None, 1), (4, "x" + part[300_000:800_000] + "y", None, None, 1)]
-    out = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    out = {r.doc_id: (r.n_bytes - len(r.kept), len(r.spans)) for r in repeats.remove_repeats(docs(spark, rows)).collect()}
     assert out == {1: (0, 0), 2: (60000, 1), 3: (0, 0), 4: (500_000, 1)}
 
 
@@ -218,7 +297,7 @@ def test_suffix_arrays_by_brute_force():
         assert got == want
         source = [rng.randint(0, 2) for _ in texts]
         sa = SuffixArray(data, sizes, 4)
-        found = {x for p, n in zip(*earlier_matches(sa, np.array(source)[sa.owner[sa.order]], 3), strict=True) for x in range(p, p + n)}
+        found = {x for p, n in zip(*repeats_of_earlier(sa, np.array(source)[sa.owner[sa.order]], 3), strict=True) for x in range(p, p + n)}
         assert found == {begins[i] + j + x for i, t in enumerate(texts) for j in range(len(t) - 2) if any(source[q] < source[i] and t[j : j + 3] in texts[q] for q in range(len(texts))) for x in range(3)}
 
 
@@ -231,6 +310,6 @@ def test_long_suffixes_by_brute_force():
         source = [rng.randint(0, 3) for _ in texts]
         least = rng.choice([3, 9, 20, 50])
         sa = LongSuffixes(data, sizes, least)
-        found = {x for p, n in zip(*earlier_matches(sa, np.array(source)[sa.owner[sa.order]], least), strict=True) for x in range(p, p + n)}
+        found = {x for p, n in zip(*repeats_of_earlier(sa, np.array(source)[sa.owner[sa.order]], least), strict=True) for x in range(p, p + n)}
         begins = np.append(0, np.cumsum(sizes))
         assert found == {begins[i] + j + x for i, t in enumerate(texts) for j in range(len(t) - least + 1) if any(source[q] < source[i] and t[j : j + least] in texts[q] for q in range(len(texts))) for x in range(least)}

@@ -9,7 +9,9 @@ Writing makes one file per task under ``_temporary`` and moves the files of succ
 place when the job commits, so that lost executors and repeated tasks leave nothing behind.
 
 Defined results: null payloads are empty; null headers are not written; line breaks in header
-values become blanks; an empty table gives an empty archive; repeated rows are records each.
+values become blanks; an empty table gives an empty archive; repeated rows are records each, and of
+rows with one id and unlike payloads none is lost; payloads of any length are streamed to the file
+that holds them; of the input only id, URL and payload are read, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition,
@@ -33,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from ..session import materialize, shared_dir
+from ..session import remove, shared_dir, stored
 from .bounded import small_side
 
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, content_length long, headers map<string,string>, payload binary"
@@ -289,26 +291,35 @@ def register(spark: SparkSession) -> None:
 MIN_REVISIT = 100
 #: Revisits are broadcast up to so many.
 BROADCAST_REVISITS = 1_000_000
+URN = "urn:page:"
+
+
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """Pages are told apart by id and payload, as ids may repeat."""
+    return F.concat(F.lit(URN), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), F.substring(digest, 1, 16))
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """One WARC record per page; of equal payloads the page of smallest id is the response, others revisit it."""
+    """One WARC record per page; of equal payloads the page of smallest id is the response, others revisit it.
+
+    Pages without an id are responses; of pages with one id each refers by its own payload.
+    """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
-    read = read.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    narrow = materialize(read.filter(F.col("n") >= MIN_REVISIT).select("page_id", "digest"))
-    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    again = narrow.join(firsts, "digest").filter("page_id <> first").select("page_id", "first").distinct()
-    placed = read.join(small_side(again, BROADCAST_REVISITS), "page_id", "left")
+    read = read.withColumn("digest", F.sha2("payload", 256))
+    narrow = stored(read.filter((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    again = narrow.join(small_side(firsts, BROADCAST_REVISITS), "digest").filter("page_id <> first").distinct()
+    placed = read.join(small_side(again, BROADCAST_REVISITS), ["page_id", "digest"], "left")
     new = F.col("first").isNull()
     return placed.select(
         F.when(new, "response").otherwise("revisit").alias("warc_type"),
-        F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"),
+        _record_id(F.col("page_id"), F.col("digest")).alias("record_id"),
         "target_uri",
         F.lit(DATE).alias("date"),
-        F.when(~new, F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to"),
+        F.when(~new, _record_id(F.col("first"), F.col("digest"))).alias("refers_to"),
         F.concat(F.lit("sha256:"), F.col("digest")).alias("payload_digest"),
-        F.when(new, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("x-payload-length"), F.col("n").cast("string"))).alias("headers"),
+        F.create_map().cast("map<string,string>").alias("headers"),
         F.when(new, F.col("payload")).alias("payload"),
     )
 
@@ -316,28 +327,25 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the pages as archives and returns what is read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Without a ``path`` the archives are deleted once they have been read.
+    Two scans with a pushed predicate on the record type read them: one of the responses, with their
+    payloads, and one of the revisits, of headers only. What a revisit stands for is taken from the
+    response that it refers to. Without a ``path`` the archives are deleted once they have been read.
     """
     spark = pages.sparkSession
     register(spark)
     to = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     records(pages).write.format("warc").mode("append").save(to)
-    back = spark.read.format("warc").load(to)
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
-    # One scan for both kinds: scans of one loaded frame share the predicates that were pushed into it.
-    new = F.col("warc_type") == "response"
-    length = F.element_at("headers", F.lit("x-payload-length")).cast("long")
-    told = F.substring_index("payload_digest", ":", -1)
-    out = materialize(
-        back.select(
-            number("record_id").alias("page_id"),
-            F.when(new, F.octet_length("payload").cast("long")).otherwise(length).alias("payload_bytes"),
-            F.when(new, F.sha2("payload", 256)).otherwise(told).alias("payload_digest"),
-            F.col("warc_type").alias("record_type"),
-            number("refers_to").alias("refers_to"),
-        )
+    number = lambda c: F.element_at(F.split(c, ":"), 3).try_cast("long")
+    of = lambda kind, payload: spark.read.format("warc").option("payload", payload).load(to).filter(F.col("warc_type") == kind)
+    new = of("response", "true").select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    new = stored(new)
+    again = stored(of("revisit", "false").select("record_id", "refers_to"))
+    told = new.join(small_side(again.select(F.col("refers_to").alias("record_id")).distinct(), BROADCAST_REVISITS), "record_id", "left_semi").distinct()
+    told = told.withColumnRenamed("record_id", "refers_to")
+    again = again.join(small_side(told, BROADCAST_REVISITS), "refers_to", "left").select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), number("refers_to").alias("refers_to")
     )
+    new = new.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     if path is None:
-        store, at = open_store(to)
-        store.delete_dir(at)
-    return out
+        remove(spark, to)
+    return new.unionByName(again)

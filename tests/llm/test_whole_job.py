@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
 
 from tessera.llm import decontam, superminhash
 
@@ -36,3 +37,96 @@ def test_copies_of_short_and_number_heavy_items(spark):
     ]
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs(spark, rows), items).collect()}
     assert got == {(1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 4): "exact", (5, 1): "reparameterised", (8, 5): "exact", (9, 1): "exact"}
+
+
+def test_leaks_in_other_case_and_with_names_of_several_words(spark):
+    one = "A train leaves London at 9 am and reaches New York after 12 hours, while Mary Ann waits there with 3 friends."
+    items = spark.createDataFrame([(1, one), (2, None), (3, "")], "item_id int, text string")
+    other = one.replace("London", "Buenos Aires").replace("New York", "Rome").replace("Mary Ann", "Bob").replace("9 am", "8 am").replace("12", "1,200")
+    clash = one.replace("London", "Paris").replace("New York", "Rome").replace("Mary Ann waits", "Mary Ann waits for Mary Ann")
+    rows = [
+        (1, one.lower()), (2, one.upper()), (3, f"So: {other}"), (4, None), (5, ""), (None, one), (None, "a clean text of which nothing is taken"), (7, one), (7, "clean"), (7, one),
+        (8, "A train leaves London at 9 am and reaches New York"), (8, "12 hours, while Mary Ann waits there with 3 friends."),
+    ]
+    frame = docs(spark, rows).withColumn("h", __import__("pyspark").sql.functions.lit(1)).withColumnRenamed("lang", "tokens")
+    got = sorted(((r.doc_id, r.kind, r.n_windows) for r in decontam.leaks(frame, items).collect()), key=str)
+    n = len(re.findall(r"\w+", one)) - 7
+    assert [g[:2] for g in got] == [(1, "exact"), (2, "exact"), (3, "reparameterised"), (7, "exact"), (8, "exact"), (None, "exact")] and got[0][2] == n
+    left = sorted((r.doc_id or 0, r.text or "") for r in decontam.drop_leaks(frame, items).collect())
+    assert left == [(0, rows[6][1]), (4, ""), (5, ""), (7, "clean"), (8, rows[11][1])]
+    assert decontam.drop_leaks(frame, items).columns == frame.columns
+    del clash
+
+
+def templates_by_brute_force(rows, items):
+    """(document, item): exact or reparameterised, by all windows of all alignments."""
+    cap, end = "[A-Z][a-z]+", r"(?![A-Za-z0-9_])"
+
+    def values(t):
+        t = re.sub(r"(?<=[0-9])(?=[A-Za-z])", " ", re.sub(r"(?<=[0-9])[.,](?=[0-9])", "_", t))
+        return re.sub(rf"(?<![A-Za-z0-9_])({cap}) (?={cap}{end})", r"\1_", t)
+
+    def template(t):
+        t = re.sub(rf"(?<=<num> )(?i:{decontam.UNITS}){end}", "<unit>", re.sub(r"(?<![A-Za-z_])[0-9][0-9_]*", "<num>", t))
+        return re.sub(rf"(?<=[A-Za-z,;] ){cap}(?:_{cap})*{end}|(?<![A-Za-z0-9_]){cap}(?:_{cap})+{end}", "<name>", t).lower()
+
+    split = lambda t: [x for x in re.split("[^A-Za-z0-9_<>]+", t) if x]
+    own = lambda t: re.findall("[a-z0-9]+", t.lower())
+    slot = {"<num>", "<unit>", "<name>"}
+    out = {}
+
+    def aligned(a, b, n, at_of, fit):
+        found = {}
+        for at in at_of:
+            for p in range(len(b) - n + 1):
+                if fit(at, p, b[p : p + n]):
+                    found.setdefault(p - at, []).append((at, p))
+        return found.values()
+
+    for i, t in rows:
+        for j, q in items:
+            a, b = own(q), own(t)
+            n = min(8, len(a))
+            if n >= 4 and any(len(m) >= min(4, len(a) - n + 1) for m in aligned(a, b, n, range(len(a) - n + 1), lambda at, p, x: x == a[at : at + n])):  # noqa: B023
+                out[i, j] = "exact"
+            va, vb, ta, tb = split(values(q)), split(values(t)), split(template(values(q))), split(template(values(t)))
+            n = min(8, len(ta))
+            if n < 4:
+                continue
+            kept = [k for k in range(len(ta) - n + 1) if sum(x not in slot for x in ta[k : k + n]) >= n / 2]
+            first = re.fullmatch(cap, va[0]) and ta[0] not in slot
+            fit = lambda at, p, x: x == ta[at : at + n] or (first and at == 0 and x == ["<name>", *ta[1:n]] and va[0].lower() == vb[p].lower())  # noqa: B023, E731
+            for m in aligned(ta, tb, n, kept, fit):
+                pairs = {(ta[at + k], va[at + k].lower(), vb[p + k].lower()) for at, p in m for k in range(n) if tb[p + k] in slot and (ta[at + k] in slot)}
+                if len(m) >= min(4, len(kept)) and len(pairs) == len({x[:2] for x in pairs}):
+                    out.setdefault((i, j), "exact" if all(x[1] == x[2] for x in pairs) else "reparameterised")
+                    if all(x[1] == x[2] for x in pairs):
+                        out[i, j] = "exact"
+    return out
+
+
+def test_templates_and_slots_by_brute_force(spark):
+    rng = random.Random(11)
+    names, filler = ["Ann", "Bob", "New York", "Rome", "Mary Jane", "Lima"], "the a of walks with from near slowly , ; . to and buys sells".split()
+    unit = lambda: rng.choice(["km", "hours", "apples", "dollars", "kg"])
+
+    def sentence():
+        return [rng.choice([lambda: rng.choice(filler), lambda: rng.choice(filler), lambda: "{n%d}" % rng.randint(0, 2), lambda: "{k%d}" % rng.randint(0, 2) + rng.choice([" ", ""]) + unit()])() for _ in range(rng.randint(5, 22))]
+
+    def said(parts, whole):
+        some = {f"n{i}": rng.choice(names) for i in range(3)} | {f"k{i}": rng.choice(["7", "1,200", "3.5", "42"]) for i in range(3)}
+        text = " ".join(parts).format(**some)
+        if not whole and rng.random() < 0.3:
+            text = text.replace("7", "8", 1)
+        return text[:1].upper() + text[1:]
+
+    sentences = [sentence() for _ in range(14)]
+    items = [(j, said(s, True)) for j, s in enumerate(sentences)]
+    rows = []
+    for i in range(160):
+        s = rng.choice(sentences)
+        text = rng.choice([said(s, False), rng.choice(items)[1], said(s, False).lower(), said(s[:-2], False)])
+        rows.append((i, f"{said(sentence(), True)} {rng.choice(['', 'and '])}{text} {said(sentence(), True)}"))
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    want = templates_by_brute_force(rows, items)
+    assert got == want and {"exact", "reparameterised"} <= set(want.values())

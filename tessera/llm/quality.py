@@ -1,13 +1,16 @@
 """Quality rules: distribution divergence from language references.
 
-Per document two histograms are compared with those of its language by Jensen-Shannon distance:
-character classes, and common words (each common word of the language, and all other words).
-The references are pooled over all documents of the language. A comparison counts only for
-documents above a minimum length, and the word comparison only for languages with a word list.
-
-Defined results: null text has no words and fails the base rules; a null or unknown language has
-its own pooled character reference and no word reference; repeated rows are judged each; an empty
-table gives no rows; columns of the input that clash with the names added here are replaced.
+Per document two histograms are compared with references by Jensen-Shannon distance: character
+classes, and common words of the document's language (each of them, and all other words). The
+references are fixed shares per language, so a verdict depends on the document alone and not on the
+corpus around it. Documents of other or no language are compared with general character shares, by a
+wider limit, and not by words. A comparison counts only for documents above a minimum length.
+
+Defined results: null text has no words and fails the base rules; a null or unknown language has the
+general reference; texts are counted whole, whatever their length; distances at a limit are kept;
+repeated rows are judged each; an empty table gives no rows; ``quality`` reads id, text and language
+only, ``stats`` replaces columns of the input that clash with the names it adds, and ``keep_good``
+returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -15,34 +18,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from . import words as w
-from .bounded import small_side
 
-# The most common words of each language, from general knowledge of the languages.
+# Common words of each language with their share of all words in thousandths, rounded,
+# from general knowledge of the languages.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "as", "with", "was", "on", "by", "are", "be", "this", "from", "or", "an", "at"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "qui", "dans", "pour", "par", "sur", "est", "pas", "au", "avec", "elle", "plus"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como"],
+    "en": "the 60 of 30 and 28 to 26 in 20 a 22 is 11 that 10 it 10 for 9 as 7 with 7 was 8 on 7 by 6 are 5 be 6 this 5 from 4 or 4 an 3.5 at 5",
+    "fr": "de 50 la 30 le 25 et 25 les 22 des 18 en 14 un 13 une 11 du 13 que 10 qui 8 dans 9 pour 8 par 8 sur 7 est 9 pas 5 au 7 avec 4 elle 3 plus 5",
+    "de": "der 35 die 33 und 28 in 19 den 13 von 11 zu 11 das 11 mit 9 sich 7 des 7 auf 8 ist 8 im 8 dem 8 nicht 6 ein 7 eine 7 als 6 auch 5 es 5 an 5",
+    "es": "de 62 la 38 que 30 el 28 en 27 y 26 a 21 los 17 se 13 del 12 las 11 un 10 por 9 con 9 no 9 una 8 su 8 para 8 es 7 al 6 lo 6 como 5",
 }
+CHAR_CLASSES = ("upper", "lower", "digit", "blank", "symbol", "other")
+# Shares of the character classes in prose, rounded, from general knowledge; letters
+# without case count as lower, symbols are #*$%&|<>.
+CHAR_SHARES = {
+    "en": (0.025, 0.78, 0.008, 0.168, 0.0005, 0.0185),
+    "fr": (0.025, 0.79, 0.008, 0.157, 0.0005, 0.0195),
+    "de": (0.055, 0.775, 0.008, 0.142, 0.0005, 0.0195),
+    "es": (0.025, 0.79, 0.008, 0.16, 0.0005, 0.0165),
+}
+GENERAL_SHARES = (0.0325, 0.78375, 0.008, 0.15675, 0.0005, 0.0185)
 N_COMMON = 22
 
+
+def common_words(lang: str) -> dict[str, float]:
+    """The common words of a language with their shares."""
+    listed = COMMON_WORDS[lang].split()
+    return {x: float(y) / 1000 for x, y in zip(listed[::2], listed[1::2], strict=True)}
+
+
+def word_shares(lang: str) -> list[float]:
+    """The shares of the common words and of all others."""
+    shares = list(common_words(lang).values())
+    return [*shares, 1 - sum(shares)]
+
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Fewest characters and words for a comparison to count, and the distances above which it rejects.
 MIN_CHARS_COMPARED = 200
 MIN_WORDS_COMPARED = 50
-MAX_CHAR_DISTANCE = 0.26
+MAX_CHAR_DISTANCE = 0.2
+#: The same where the language has no reference of its own.
+MAX_GENERAL_DISTANCE = 0.25
 #: Both distances together reject from here on.
-BOTH_CHAR_DISTANCE = 0.13
-BOTH_WORD_DISTANCE = 0.28
-#: References are broadcast up to this many languages.
-BROADCAST_LANGUAGES = 20_000
-#: Rejected rows are broadcast up to so many.
-BROADCAST_IDS = 1_000_000
-
-CHAR_CLASSES = ("upper", "lower", "digit", "blank", "symbol", "other")
+BOTH_CHAR_DISTANCE = 0.17
+BOTH_WORD_DISTANCE = 0.3
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -78,10 +99,14 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))),
     ).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(w.WORD))
-    listed = sorted({x for ws in COMMON_WORDS.values() for x in ws})
-    hits = F.filter(F.col("_words"), lambda x: F.lower(x).isin(listed))
-    lists = F.create_map(*[y for k, v in COMMON_WORDS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
-    count_of = lambda v: ((F.length("_hits") - F.length(F.replace(F.col("_hits"), F.concat(F.lit("<"), v, F.lit(">")), F.lit("")))) / (F.length(v) + 2)).cast("long")
+    listed = sorted({x for k in COMMON_WORDS for x in common_words(k)})
+    # Each listed word of the text becomes one letter, so that counting them reads a short string.
+    letter = {k: {x: chr(97 + i) for i, x in enumerate(common_words(k))} for k in COMMON_WORDS}
+    literal = lambda m: F.create_map(*[F.lit(y) for kv in m.items() for y in kv])
+    letters = F.create_map(*[y for k, m in letter.items() for y in (F.lit(k), literal(m))])
+    hits = F.filter(F.transform("_words", F.lower), lambda x: x.isin(listed))
+    coded = F.array_join(F.transform(hits, lambda x: F.element_at(F.col("_letters"), x)), "")
+    counts = F.array(*[(F.length("_hits") - F.length(F.replace(F.col("_hits"), F.lit(chr(97 + i)), F.lit("")))).cast("long") for i in range(N_COMMON)])
 
     df = docs.withColumn("_text", text).withColumns(
         {
@@ -89,10 +114,11 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             "_n": F.length("_text").cast("long"),
             "word_chars": _without(F.col("_text"), w.BLANKS),
             "_up": _without(F.col("_text"), r"[^\p{Lu}]+"),
-            "_low": F.length("_text") - _without(F.col("_text"), r"\p{Ll}+"),
+            "_low": F.length("_text") - _without(F.col("_text"), r"[\p{Ll}\p{Lo}]+"),
             "_digit": _without(F.col("_text"), "[^0-9]+"),
             "n_symbols": _without(F.col("_text"), "[^#*$%&|<>]+"),
             "_lines": lines,
+            "_letters": F.element_at(letters, F.col(lang_col)),
         }
     )
     df = df.withColumns(
@@ -100,18 +126,17 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             "_tri": tri,
             "n_words": n.cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hits": F.array_join(F.transform(hits, lambda x: F.concat(F.lit("<"), F.lower(x), F.lit(">"))), ""),
-            "_list": F.element_at(lists, F.col(lang_col)),
+            "_hits": F.when(F.col("_letters").isNotNull(), coded),
             "char_counts": F.array(
                 F.col("_up"), F.col("_low"), F.col("_digit"), F.col("_n") - F.col("word_chars"), F.col("n_symbols"),
                 F.col("word_chars") - low_high - F.col("_digit") - F.col("n_symbols"),
             ),
         }
-    ).drop("_words", "_lines", "_text", "_up", "_low", "_digit")
+    ).drop("_words", "_lines", "_text", "_up", "_low", "_digit", "_letters")
     df = df.withColumns(
         {
             "_packed": F.sort_array(F.transform("_tri", lambda h, i: h.bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(i.cast("long")))),
-            "_counts": F.transform("_list", count_of),
+            "_counts": F.when(F.col("_hits").isNotNull(), counts),
         }
     )
     candidates, pairs = _repeat_words(F.col("_tri"), F.col("_packed"))
@@ -127,21 +152,11 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             "n_repeat_words": covered,
             "common_counts": F.concat("_counts", F.array(F.col("n_words") - total(F.col("_counts")))),
         }
-    ).drop("_packed", "_counts", "_cand", "_pairs", "_at", "_tri", "_hits", "_list")
+    ).drop("_packed", "_counts", "_cand", "_pairs", "_at", "_tri", "_hits")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("n_chars_seen", F.col("_n")).drop("_n")
 
 
-def references(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Pooled histograms of each language, as shares: ``lang_key, char_ref, common_ref``."""
-    sums = measured.groupBy(w.group_key(lang_col).alias("lang_key")).agg(
-        *[F.sum(F.col("char_counts")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES))],
-        *[F.sum(F.get("common_counts", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)],
-    )
-    shares = lambda p, n: F.array(*[F.col(f"{p}{i}") / F.greatest(F.lit(1), sum((F.col(f"{p}{j}") for j in range(1, n)), F.col(f"{p}0"))) for i in range(n)])
-    return sums.select("lang_key", shares("c", len(CHAR_CLASSES)).alias("char_ref"), F.when(F.col("w0").isNotNull(), shares("w", N_COMMON + 1)).alias("common_ref"))
-
-
 def distance(counts: Column, n: Column, ref: Column) -> Column:
     """Jensen-Shannon distance, base 2, between counts that sum to ``n`` and shares."""
     def gain(x: Column, y: Column) -> Column:
@@ -151,38 +166,44 @@ def distance(counts: Column, n: Column, ref: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
-def judge(measured: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFrame:
+def _by_language(lang: Column, shares: dict[str, list[float]], general: list[float] | None) -> Column:
+    """The literal array of the language, or the general one."""
+    literal = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    out = None
+    for k, xs in shares.items():
+        out = F.when(lang == k, literal(xs)) if out is None else out.when(lang == k, literal(xs))
+    return out.otherwise(literal(general)) if general else out
+
+
+def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``measured`` with ``char_distance``, ``word_distance`` and ``kept``."""
-    refs = small_side(refs, BROADCAST_LANGUAGES)
-    far = lambda d, most: F.coalesce(F.round(F.col(d), 6) > most, F.lit(False))
-    joined = measured.withColumn("lang_key", w.group_key(lang_col)).join(refs, "lang_key", "left")
-    compared = joined.withColumns(
+    lang = F.col(lang_col)
+    chars = _by_language(lang, CHAR_SHARES, GENERAL_SHARES)
+    common = _by_language(lang, {k: word_shares(k) for k in COMMON_WORDS}, None)
+    far = lambda d, most: F.coalesce(F.col(d) > most, F.lit(False))
+    compared = measured.withColumns(
         {
-            "char_distance": F.when(F.col("n_chars_seen") >= MIN_CHARS_COMPARED, distance(F.col("char_counts"), F.col("n_chars_seen"), F.col("char_ref"))),
-            "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMPARED, distance(F.col("common_counts"), F.col("n_words"), F.col("common_ref"))),
+            "char_distance": F.round(F.when(F.col("n_chars_seen") >= MIN_CHARS_COMPARED, distance(F.col("char_counts"), F.col("n_chars_seen"), chars)), 6),
+            "word_distance": F.round(F.when(F.col("n_words") >= MIN_WORDS_COMPARED, distance(F.col("common_counts"), F.col("n_words"), common)), 6),
         }
     )
+    known = F.coalesce(lang.isin(*CHAR_SHARES), F.lit(False))
     both = far("char_distance", BOTH_CHAR_DISTANCE) & far("word_distance", BOTH_WORD_DISTANCE)
-    rejected = far("char_distance", MAX_CHAR_DISTANCE) | both
-    return compared.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("lang_key", "char_ref", "common_ref")
+    rejected = F.when(known, far("char_distance", MAX_CHAR_DISTANCE) | both).otherwise(far("char_distance", MAX_GENERAL_DISTANCE))
+    return compared.withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: its counts, distances and verdict, without its text."""
-    measured = materialize(
-        stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).drop("text")
-    )
-    return judge(measured, references(measured))
+    return judge(stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).drop("text"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, in full.
+    """The documents that the rules keep, in full, in one pass.
 
-    Counts are taken once and stored without texts; rejected rows are then told by id and text. A
-    filter on the verdict itself would be pushed below the counts, which spells them out again.
+    A filter on the verdict would be pushed below the counts and spell them out again, so it also
+    reads a column that the planner takes for non-deterministic and must not move a filter across.
     """
-    key, told = w.group_key(id_col), F.xxhash64(w.text_of(text_col))
-    narrow = docs.select(key.alias("bad_key"), told.alias("bad_text"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    measured = materialize(stats(narrow).drop("text"))
-    bad = judge(measured, references(measured)).filter("not kept").select("bad_key", "bad_text").distinct()
-    return docs.join(small_side(bad, BROADCAST_IDS), (key == F.col("bad_key")) & (told == F.col("bad_text")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    judged = judge(stats(rows)).select("_row", "kept", F.spark_partition_id().alias("_task"))
+    return judged.filter(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")

@@ -64,7 +64,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
+        "char_distance", "word_distance",
     )
 
 
@@ -165,36 +165,41 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_sql() -> str:
     classes = ["up", "low", "digit", "n_chars - word_chars", "n_symbols", "word_chars - up - low - digit - n_symbols"]
-    lists = " ".join(f"when '{k}' then [{', '.join(repr(x) for x in v)}]" for k, v in quality.COMMON_WORDS.items())
+    by_lang = lambda of: " ".join(f"when '{k}' then {of(k)}" for k in quality.COMMON_WORDS)
+    lists = by_lang(lambda k: [*quality.common_words(k)])
+    shares = lambda xs: "[" + ", ".join(f"{x!r}::double" for x in xs) + "]"
     gain = "case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0 end"
     part = lambda p, q: f"{gain.format(x=p, y=q)} + {gain.format(x=q, y=p)}"
     apart = lambda c, n, r: f"sqrt(greatest(0, 0.5 * list_sum(list_transform(range(1, len({r}) + 1), lambda i: {part(f'({c}[i] / {n})', f'{r}[i]')}))))"
-    pooled = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}]) / greatest(1, {' + '.join(f'sum({c}[{j + 1}])' for j in range(n))})" for i in range(n)) + "]"
+    known = ", ".join(f"'{k}'" for k in quality.CHAR_SHARES)
     return rf"""
 with d as (
   select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-         case lang {lists} end as common
+         case lang {lists} end as common,
+         case lang {by_lang(lambda k: shares(quality.CHAR_SHARES[k]))} else {shares(quality.GENERAL_SHARES)} end as cr,
+         case lang {by_lang(lambda k: shares(quality.word_shares(k)))} end as wr
   from documents),
 u as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3),
 g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as k from u),
 r as (select doc_id, cast(count(distinct i + j) as bigint) as n from g, (values (0), (1), (2)) v(j) where k > 1 group by doc_id),
 c as (
   select d.*, cast(len(w) as bigint) as n_words, cast(length(t) as bigint) as n_chars, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
-         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as up, length(t) - length(regexp_replace(t, '\p{{Ll}}+', '', 'g')) as low,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as up, length(t) - length(regexp_replace(t, '[\p{{Ll}}\p{{Lo}}]+', '', 'g')) as low,
          length(regexp_replace(t, '[^0-9]+', '', 'g')) as digit, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
          list_transform(common, lambda x: len(list_filter(w, lambda y: lower(y) = x))) as hits
   from d left join r using (doc_id)),
 h as (select *, [{", ".join(classes)}] as cc, case when common is not null then list_append(hits, n_words - list_sum(hits)) end as wc from c),
-p as (select lang, {pooled("cc", len(quality.CHAR_CLASSES))} as cr, case when any_value(common) is not null then {pooled("wc", quality.N_COMMON + 1)} end as wr from h group by lang),
 s as (
-  select h.*, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed,
+  select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed,
          case when n_chars >= {quality.MIN_CHARS_COMPARED} then round({apart("cc", "n_chars", "cr")}, 6) end as char_distance,
          case when n_words >= {quality.MIN_WORDS_COMPARED} and wr is not null then round({apart("wc", "n_words", "wr")}, 6) end as word_distance
-  from h join p on h.lang is not distinct from p.lang)
+  from h)
 select doc_id, n_words, word_chars, cast(n_symbols as bigint) as n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (coalesce(char_distance > {quality.MAX_CHAR_DISTANCE}, false)
-         or coalesce(char_distance > {quality.BOTH_CHAR_DISTANCE}, false) and coalesce(word_distance > {quality.BOTH_WORD_DISTANCE}, false)) as kept,
+       not base_failed and not case when coalesce(lang in ({known}), false)
+         then coalesce(char_distance > {quality.MAX_CHAR_DISTANCE}, false)
+           or coalesce(char_distance > {quality.BOTH_CHAR_DISTANCE}, false) and coalesce(word_distance > {quality.BOTH_WORD_DISTANCE}, false)
+         else coalesce(char_distance > {quality.MAX_GENERAL_DISTANCE}, false) end as kept,
        char_distance, word_distance
 from s
 """

@@ -64,10 +64,23 @@ def test_quality(spark, odd):
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 10 and by[1].n_words == 0 and by[1].base_failed and not by[1].kept and by[5].n_words == 30000
     assert by[8].n_words == 1 and by[3].n_repeat_words == 0
-    assert quality.keep_good(odd).columns == odd.columns
+    assert quality.keep_good(odd.withColumn("kept", F.lit("x"))).columns == [*odd.columns, "kept"]
     assert quality.quality(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_corpus(spark):
+    """Junk is rejected alone, in a language of its own and beside equal junk; prose is kept in any language."""
+    rng = random.Random(1)
+    junk = " ".join("".join(rng.choice("0123456789#$%&ABCDEFXYZ") for _ in range(9)) for _ in range(200))
+    prose = " ".join(rng.choice("the river of stones and a house in that valley is older by far".split()) + rng.choice(["", "", ",", "."]) + str(rng.choice(["", "", " walkers"])) for _ in range(300))
+    prose = " ".join(f"{x}{rng.choice('abcdefgh')}" if rng.random() < 0.5 else x for x in prose.split())
+    frame = docs(spark, [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([(junk, "zz"), (junk, "en"), (junk, None), (prose, "zz"), (prose, "en"), (prose, None)])])
+    together = {r.doc_id: r.kept for r in quality.quality(frame).collect()}
+    alone = {i: quality.quality(frame.filter(F.col("doc_id") == i)).first().kept for i in range(6)}
+    assert together == alone == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
+    assert sorted(r.doc_id for r in quality.keep_good(frame).collect()) == [3, 4, 5]
+
+
 def test_repeated_words_in_long_runs(spark):
     r = quality.quality(docs(spark, [(1, "a b c d a b c e " + "z " * 50, "en", "s", 1)])).first()
     assert r.n_repeat_words == 6 + 50

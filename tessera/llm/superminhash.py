@@ -4,17 +4,21 @@
 2. Documents with equal sets form a class; one representative (smallest id) goes on.
 3. The smallest representative of each bucket of equal band hashes is its hub. Each other one is
    compared on full sets with the hub that it shares most buckets with, so there is one pair for
-   each at most. Links are grouped by union-find.
+   each at most; the members of a hub are dealt over several tasks, each with the hub's set. Links
+   are grouped by union-find.
 4. In buckets that still hold several groups all members of different groups are compared on full
-   sets, in blocks; a bucket of two only if the pair was not compared in step 3. A block joins its groups as it goes and reports only the links that join any, so
-   neither step writes all pairs of a bucket. Grouped again.
+   sets, in blocks; a bucket of two only if the pair was not compared in step 3. A block joins its
+   groups as it goes and reports only the links that join any, so neither step writes all pairs of a
+   bucket. Grouped again.
 
 Every pair that shares a bucket is therefore linked, found to be in one group already, or refused.
 With ``BANDS`` of ``ROWS`` a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
-Defined results: null or wordless text has an empty set and links with nothing; rows of equal id
-are one document for links; rows without an id are never linked and have a null component; an
-empty table gives no rows; columns of the input that clash with names added are replaced.
+Defined results: null or wordless text has an empty set and links with nothing; rows of one id are
+one document, which is linked where any of its texts is, and its own texts are linked with each
+other; texts of any length are read whole, in pieces; of equal sets the smallest id leads; rows
+without an id are never linked and have a null component; an empty table gives no rows; only id and
+text are read, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import arrow_rows, materialize
+from ..session import materialize, stored
 from .bounded import small_side
 from .shingles import mix, shingle_sets
 
@@ -34,8 +38,8 @@ BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
 #: Members of a bucket in one block of the last step.
 BLOCK = 1024
-#: Texts or pairs of sets that go to Python at once.
-ARROW_ROWS = 256
+#: Members of a hub that one task compares with it.
+HUB_MEMBERS = 512
 #: Ids are broadcast up to so many.
 BROADCAST_IDS = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -247,40 +251,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``id, members``: the shingle sets of some documents; joins on the id keep the partitioning."""
+    """``id, members``: the shingle sets of some documents, several if texts of one id differ."""
     texts = docs.join(small_side(ids.toDF("wanted"), BROADCAST_IDS), docs["doc_id"] == F.col("wanted"), "left_semi")
     sets = texts.select("doc_id", "text").mapInArrow(_set_rows(k), "id long, members binary")
-    return sets.groupBy("id").agg(F.first("members").alias("members"))
+    return sets.groupBy("id").agg(F.collect_set("members").alias("m")).select("id", F.explode("m").alias("members"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, k)
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    return full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) whose full shingle sets are similar enough; a may be in very many pairs."""
+    sets = stored(_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, k))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.join(small_side(parts, BROADCAST_IDS), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.toDF("a", "x"), "a")
+    full = dealt.join(sets.toDF("b", "y"), "b").join(hubs, ["a", "part"])
+    return full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``; groups are linked at ``percent`` Jaccard similarity."""
-    with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        return _near_duplicates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
-
-
-def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    profile = materialize(docs.mapInArrow(_profile(k), PROFILE))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    profile = stored(docs.mapInArrow(_profile(k), PROFILE))
     classes = (
         profile.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
-    classes = materialize(classes)
+    classes = stored(classes)
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(banded.join(hubs, "bucket").select("bucket", "rep", "hub", "n"))
+    shared = stored(banded.join(hubs, "bucket").select("bucket", "rep", "hub", "n"))
     met = shared.filter("rep <> hub").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("buckets"))
     best = F.max_by("hub", F.struct("buckets", -F.col("hub")))
-    stars = materialize(met.groupBy("rep").agg(best.alias("a")).select("a", F.col("rep").alias("b")))
-    links = materialize(_confirmed(stars, docs, k, percent))
+    stars = stored(met.groupBy("rep").agg(best.alias("a")).select("a", F.col("rep").alias("b")))
+    links = materialize(_confirmed(stars, docs, k, percent).unionByName(_same_document(profile, classes)))
     labels = materialize(components(links))
 
     named = shared.join(labels, shared["rep"] == labels["node"], "left").select("bucket", "rep", "hub", "n", F.coalesce("label", "rep").alias("label"))
@@ -289,13 +292,13 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Two members are one pair: compared once however many buckets they share, and not if they were above.
     twos = split.filter("n = 2").join(stars, (F.col("hub") == F.col("a")) & (F.col("last") == F.col("b")), "left_anti")
     twos = twos.groupBy("hub", "last").agg(F.min("bucket").alias("bucket"))
-    rest = materialize(named.drop("hub").join(split.filter("n > 2").select("bucket").union(twos.select("bucket")), "bucket"))
+    rest = stored(named.drop("hub").join(split.filter("n > 2").select("bucket").union(twos.select("bucket")), "bucket"))
     rest = rest.join(_sets(rest.select("rep").distinct(), docs, k), F.col("rep") == F.col("id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("bucket", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "label", "members")
     rest = rest.repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper")
-    more = materialize(rest.mapInArrow(_block_links(percent), "a long, b long").distinct())
+    more = stored(rest.mapInArrow(_block_links(percent), "a long, b long").distinct())
     if not more.isEmpty():
         labels = materialize(components(links.union(more)))
 
@@ -308,6 +311,16 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_document(profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of unlike texts of one id."""
+    rows = profile.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b")
+    several = rows.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).filter("lo <> hi").select("doc_id")
+    rows = rows.join(small_side(several, BROADCAST_IDS), "doc_id", "left_semi")
+    reps = rows.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
+    ends = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(ends, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are in a group with a document of smaller id."""
     gone = near_duplicates(docs, id_col, text_col, k, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()

@@ -12,16 +12,62 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], DOC)
 
 
-def test_two_edits_of_one_text_meet_through_it(spark):
-    """Triads A-C and B-C linked, A-B not; the original has the largest id, so that it is no hub."""
-    rng, rows, n = random.Random(3), [], 400
-    for t in range(n):
-        base = [f"w{t}x{i}" for i in range(200)]
-        a, b = rng.randint(5, 70), rng.randint(105, 170)
-        edit = lambda at, mark: " ".join(base[:at] + [f"{mark}{t}x{i}" for i in range(20)] + base[at + 20 :])  # noqa: B023, E731
-        rows += [(3 * t, edit(a, "a")), (3 * t + 1, edit(b, "b")), (3 * t + 2, " ".join(base))]
+def linked_by_brute_force(rows, k=2):
+    """Smallest id reachable, by all pairs that share a shingle; texts of one id are one document."""
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())))
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    at = {}
+    for n, (_, s) in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(n)
+    for a, (i, s) in enumerate(sets):
+        for b in {b for x in s for b in at[x] if b > a}:
+            j, t = sets[b]
+            if 100 * len(s & t) >= 80 * len(s | t):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in parent}
+
+
+def test_chains_through_one_text_at_any_place_of_the_order(spark):
+    """2,000 triads A-C and B-C linked at 0.80 to 0.85, A-B not, with ids in random order."""
+    rng, rows = random.Random(3), []
+    ids = rng.sample(range(1_000_000), 6000)
+    for t in range(2000):
+        size = rng.randint(60, 200)
+        base = [f"w{t}x{i}" for i in range(size)]
+        cut = lambda: rng.randint(size * 15 // 185, size * 18 // 182)  # noqa: B023, E731
+        edit = lambda at, n, mark: " ".join(base[:at] + [f"{mark}{t}x{i}" for i in range(n)] + base[at + n :])  # noqa: B023, E731
+        m, n = cut(), cut()
+        rows += zip(ids[3 * t : 3 * t + 3], (edit(2, m, "a"), edit(size // 2 + 2, n, "b"), " ".join(base)), strict=True)
     out = {r.doc_id: r.component_id for r in superminhash.near_duplicates(docs(spark, rows), k=2).collect()}
-    assert [i for i in out if out[i] != i - i % 3] == []
+    want = linked_by_brute_force(rows)
+    assert out == want and sum(want[i] != i for i in want) > 3500
+
+
+def test_hot_hubs_and_unlike_texts_of_one_id(spark, monkeypatch):
+    """A crowd near one text, dealt over several tasks, and ids with several texts that link groups."""
+    monkeypatch.setattr(superminhash, "HUB_MEMBERS", 8)
+    rng, base = random.Random(4), [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(120)] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    other = [[f"o{t}w{i}" for i in range(40)] for t in range(4)]
+    rows += [(200, " ".join(other[0])), (201, " ".join(other[0])), (201, " ".join(other[1])), (202, " ".join(other[1][:39])), (203, " ".join(other[2])), (203, " ".join(other[3])), (203, ""), (150, " ".join(other[3])), (7, " ".join(other[2][:38]))]
+    got = {(r.doc_id, r.component_id) for r in superminhash.near_duplicates(docs(spark, rows), k=2).collect() if r.n_shingles}
+    assert got == set(linked_by_brute_force([r for r in rows if r[1]]).items())
 
 
 def test_copies_of_short_and_number_heavy_items(spark):

@@ -1,12 +1,17 @@
 """Personal data: regular expressions propose spans, validators confirm, context adjusts the score.
 
-Spans are in code points with exclusive ends. Base kinds (email, ip, card, phone) need their
-pattern and validator only. Further kinds (a card number among longer digit chains, IBAN,
-national id, secret) also need a score of ``MIN_SCORE``, which a valid checksum and context
-words shortly before the span raise; context ends at the candidate of the kind before.
-
-Defined results: null text is empty and has no spans; repeated rows are searched each; an empty
-table gives no rows; patterns are possessive, so that time is linear in the text whatever it holds.
+Spans are in code points with exclusive ends. Every span has a score: a start value for its kind,
+raised by context words near the span, before or after it. Base kinds (email, ip, card, phone) need
+their pattern and validator only, so their score is told but decides nothing. Further kinds (a card
+number within a longer chain of digits, IBAN, national id, secret) need a score of ``MIN_SCORE``.
+Secrets are keys of known shape, values assigned to a name that says secret, and long tokens of many
+different characters near such a name. Context ends at the candidates of the same kind.
+
+Defined results: null or empty text has no spans; texts are searched whole, whatever their length;
+spans that start together are ordered by kind, then end, and equal spans are one, with the higher
+score; repeated rows are searched each; an empty table gives no rows; ``pii`` and ``pii_base`` of
+the input are replaced, and no other column clashes. Patterns are possessive, so that time is linear
+in the text whatever it holds.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from . import words as w
 
 MIN_SCORE = 0.5
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count.
 CONTEXT = 40
 #: Span lengths are summed in blocks of so many, to keep the work per text near-linear.
 BLOCK = 128
@@ -80,15 +85,26 @@ def _card(v: Column) -> Column:
     return F.when(_n_digits(v, 14, 19), luhn(v)).otherwise(False)
 
 
+def _mixed(v: Column) -> Column:
+    """Enough different characters, digits and letters among them, for a value that nobody would write as prose."""
+    return (F.size(F.array_distinct(F.split(v, ""))) >= 6) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+
+
+_CARD = r"(?i)card|visa|credit|master|amex"
+_SAYS_SECRET = "token|secret|api.?key|access.?key|passw(?:or)?d|pwd|auth"
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda v: F.lit(True)),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]", _ip_parts),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]{2}|[0-9][\\x20-][0-9]", _card),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: _n_digits(v, 10, 15)),
-    Kind("card", r"(?<![0-9])[0-9]{14,19}(?![0-9])", "[0-9]{14}", luhn, False, 0.6, r"(?i)card|visa|credit", 0.3),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda v: F.lit(True), True, 0.8, r"(?i)mail|contact|write", 0.2),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]", _ip_parts, True, 0.5, r"(?i)\bip\b|address|host|server|login", 0.4),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]{2}|[0-9][\\x20-][0-9]", _card, True, 0.6, _CARD, 0.3),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: _n_digits(v, 10, 15), True, 0.6, r"(?i)tel|phone|call|mobile|fax", 0.3),
+    Kind("card", r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])", "[0-9]{14}|[0-9]{4}[\\x20-][0-9]{4}", _card, False, 0.6, _CARD, 0.3),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}+(?:[\x20]?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, False, 0.6, r"(?i)iban|account|konto|compte|cuenta", 0.3),
     Kind("national_id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), False, 0.3, r"(?i)ssn|social|security|tax|id\b", 0.4),
-    Kind("secret", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])", "[0-9A-Fa-f]{32}", lambda v: v.rlike("[0-9]"), False, 0.2, r"(?i)token|secret|api.?key|passw|auth", 0.6),
+    Kind("secret", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])", "[0-9A-Fa-f]{32}", lambda v: v.rlike("[0-9]"), False, 0.2, f"(?i){_SAYS_SECRET}", 0.6),
+    # Prefixes by which well-known services mark their keys.
+    Kind("secret", r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z_-]{20,200}|eyJ[0-9A-Za-z_-]{10,}+\.eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+)(?![0-9A-Za-z])", "AKIA|ASIA|gh[opsru]_|xox|AIza|sk-|eyJ", lambda v: F.lit(True), False, 0.9, f"(?i){_SAYS_SECRET}", 0.1),
+    Kind("secret", rf"(?<=(?i:{_SAYS_SECRET})[\"']{{0,1}} {{0,2}}[:=] {{0,2}}[\"']{{0,1}})(?<![^\s:=\"'])[^\s\"'<>;,()]{{8,200}}+", f"(?i)(?:{_SAYS_SECRET})[\"']? {{0,2}}[:=]", _mixed, False, 0.7),
+    Kind("secret", r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{32,200}+={0,2}(?![0-9A-Za-z+/_=-])", "[0-9A-Za-z+/_-]{32}", lambda v: _mixed(v) & v.rlike("[A-Z]") & v.rlike("[a-z]"), False, 0.2, f"(?i){_SAYS_SECRET}", 0.6),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 ORDER = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
@@ -119,8 +135,9 @@ def _scored(k: Kind, i: int) -> Callable[[Column, Column], Column]:
     """From a match and its number to its span and score; -1 where the validator rejects it."""
 
     def span(h: Column, j: Column) -> Column:
-        near = F.right(F.get(f"_gap{i}", j), F.lit(CONTEXT))
-        score = F.lit(k.score) + F.when(near.rlike(k.context), k.bonus).otherwise(0.0) if k.context else F.lit(k.score)
+        before, after = F.right(F.get(f"_gap{i}", j), F.lit(CONTEXT)), F.left(F.get(f"_gap{i}", j + 1), F.lit(CONTEXT))
+        near = before.rlike(k.context) | after.rlike(k.context)
+        score = F.lit(k.score) + F.when(near, k.bonus).otherwise(0.0) if k.context else F.lit(k.score)
         end = F.get(f"_end{i}", j)
         return F.struct(
             (end - F.length(h)).alias("start"), F.lit(ORDER.index(k.name)).alias("rank"), end.alias("end"), F.lit(k.name).alias("kind"),
@@ -132,7 +149,7 @@ def _scored(k: Kind, i: int) -> Callable[[Column, Column], Column]:
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``pii``, all spans in order of start and kind, and ``pii_base``, the base spans."""
-    df = docs.withColumn("_text", w.text_of(text_col))
+    df = docs.select(F.struct(*docs.columns).alias("_row"), w.text_of(text_col).alias("_text"))
     empty = F.array().cast("array<string>")
     for i, k in enumerate(KINDS):
         seen = F.col("_text").contains(k.needs) if k.needs == "@" else F.col("_text").rlike(k.needs)
@@ -152,8 +169,12 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("pii_base", F.array_sort(F.concat(*base)))
     places = F.transform(F.filter("pii_base", lambda b: b["kind"] == "card"), lambda b: F.struct(b["start"], b["end"]))
     new = F.filter(F.concat(*more), lambda s: (s["kind"] != "card") | ~F.array_contains(places, F.struct(s["start"], s["end"])))
-    df = df.withColumn("pii", F.when(F.size(F.concat(*more)) > 0, F.array_sort(F.concat("pii_base", new))).otherwise(F.col("pii_base")))
-    return df.drop(*[f"_{x}{i}" for i in range(len(KINDS)) for x in ("hit", "gap", "len", "end", "span")])
+    both = F.array_sort(F.concat("pii_base", new))
+    df = df.withColumn("pii", F.when(F.size(F.concat(*more)) > 0, both).otherwise(F.col("pii_base")))
+    # Of equal spans the last has the highest score.
+    equal = lambda s, o: F.coalesce((o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["kind"] == s["kind"]), F.lit(False))
+    single = F.filter("pii", lambda s, j: ~equal(s, F.get("pii", j + 1)))
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("pii", "pii_base")], single.alias("pii"), "pii_base")
 
 
 def written(found: Column) -> Column:
@@ -162,11 +183,12 @@ def written(found: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the base counts, the digest of the base spans and all spans as text."""
+    """Per document the base counts, the digest of the base spans, and all spans and their scores as text."""
     found = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
     n = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[n(k).alias(f"n_{k}") for k in BASE], F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii")).alias("spans")
+        "doc_id", *[n(k).alias(f"n_{k}") for k in BASE], F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"),
     )
 
 

@@ -70,6 +70,12 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a folder, in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,8 +10,8 @@ taking one backslash away restores the text. One such pass makes any conversatio
 
 Defined results: null text and role are empty; a line break within a role is written as
 ``<|nl|>``, which cannot occur in an escaped role; a null conversation id is a conversation;
-equal turns are ordered by role and text, repeated rows are turns each; an empty table gives no
-rows. A conversation is one row, as its digest is over all of its turns.
+equal turns are ordered by role and text, repeated rows are turns each; texts of any length are kept
+whole; an empty table gives no rows; only the four columns named are read, so no other one clashes. A conversation is one row, as its digest is over all of its turns.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import group_key
+from .words import group_key, running
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
@@ -76,12 +76,8 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     convs = convs.withColumn("formatted", F.array_join("segments", ""))
     convs = convs.withColumn("parsed", parse(F.col("formatted")))
     convs = convs.withColumn("identical", F.col("parsed") == F.transform("turns", lambda t: F.struct(t["role"], t["text"])))
-    ends = F.aggregate(
-        F.col("segments"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, s: F.struct((a["at"] + F.length(s)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(s))).alias("ends")),
-    )["ends"]
-    convs = convs.withColumn("_ends", ends)
+    convs = convs.withColumn("_lens", F.transform("segments", lambda s: F.length(s)))
+    convs = convs.withColumn("_ends", F.when(F.size("_lens") > 0, running(F.col("_lens"))).otherwise(F.col("_lens")))
     place = lambda t, i: F.struct(
         (F.get("_ends", i) - F.length(F.get("segments", i)) + F.length(F.concat(F.lit(START), _role(t["role"]), F.lit("\n")))).alias("start"),
         (F.get("_ends", i) - len(END) - 1).alias("end"),

@@ -6,8 +6,9 @@ each source is cut at its exact budget; a budget above the source's size repeats
 
 Defined results: null text counts no words; a null source is a source of its own, ranked last;
 a null id has the hash of the empty string; repeated rows count each; ties of the key are
-broken by id and then size; an empty table gives no rows; columns of the input that clash
-with the names added here are replaced.
+broken by id and then size; texts of any length are counted whole; an empty table gives no rows; with
+``keep`` the columns ``size``, ``source_size``, ``target``, ``epochs`` and ``taken`` of the input are
+replaced, and no other column clashes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..functions.ranks import along
+from ..session import stored
 from . import words as w
 
 #: Rows that a key range holds on average; a range is sorted by one task.
@@ -34,21 +36,16 @@ def budgets(
     with the lowest ``cap / weight`` are held at their caps.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    per = along(per, [F.col("source").asc_nulls_last()])
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    cap = F.lit(float(max_epochs)) * F.col("source_size")
-    per = per.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", cap)
-    everything = Window.partitionBy(F.lit(0))
-    by_ratio = everything.orderBy(F.col("cap") / F.col("weight"), "rank")
-    per = per.withColumns(
-        {
-            "all_words": F.lit(float(share)) * F.sum("source_size").over(everything),
-            "held": F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-            "free": F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    level = F.max((F.col("all_words") - F.col("held")) / F.col("free")).over(everything)
-    return per.withColumn("level", level).select(
+    per = per.withColumn("weight", weight).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
+    per = along(per, [F.col("cap") / F.col("weight"), "rank"], {"caps": ("sum", "cap"), "weights": ("sum", "weight")}, number="place")
+    per = stored(per)
+    whole = per.agg((F.lit(float(share)) * F.sum("source_size")).alias("all_words"), F.sum("weight").alias("all_weights"))
+    per = per.crossJoin(F.broadcast(whole))  # one row
+    held, free = F.col("caps") - F.col("cap"), F.col("all_weights") - F.col("weights") + F.col("weight")
+    level = per.agg(F.max((F.col("all_words") - held) / free).alias("level"))
+    return per.crossJoin(F.broadcast(level)).select(
         "source", "source_size", "n_docs", F.least("cap", F.col("level") * F.col("weight")).alias("target")
     )
 
@@ -71,19 +68,18 @@ def mix(
     and, for documents before the cut, one more, which the cut may shorten. ``keep`` keeps all
     columns of the input beside the added ones.
     """
-    sized = docs.withColumn("size", w.n_words(w.text_of(text_col)))
-    narrow = materialize(sized.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "size"))
-    plan = materialize(budgets(narrow, weights, share, max_epochs))
+    row = F.struct(*docs.columns).alias("_row")
+    sized = docs.select(row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), w.n_words(w.text_of(text_col)).alias("size"))
+    narrow = stored(sized.drop("_row"))
+    plan = stored(budgets(narrow, weights, share, max_epochs))
     largest = plan.agg(F.max("n_docs")).first()[0] or 0
     n_ranges = max(1, -(-largest // ROWS_PER_RANGE))
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    keyed = sized if keep else narrow
-    if keep:
-        keyed = keyed.withColumn("doc_id", F.col(id_col)).withColumn("source", F.col(source_col))
     keyed = (
-        keyed.withColumn("key", key)
+        (sized if keep else narrow)
+        .withColumn("key", key)
         .withColumn("source_key", w.group_key("source"))
         .withColumn("key_range", F.shiftright(spread * n_ranges, 32).cast("int"))
     )
@@ -100,16 +96,16 @@ def mix(
         .withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
         .drop("range_size")
     )
-    clash = [c for c in ("offset", "source_size", "target", "epochs", "rest", "before", "taken") if c in keyed.columns]
     within = Window.partitionBy("source_key", "key_range").orderBy("key", "doc_id", "size")
     before = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("before")))
+    added = ["size", "source_size", "target", "epochs", "taken"]
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in added] if keep else ["doc_id", "source"]
     return (
-        keyed.drop(*clash)
-        .withColumn("before", before)
+        keyed.withColumn("before", before)
         .join(offsets, ["source_key", "key_range"])
         .withColumn("taken", (F.col("epochs") * F.col("size") + partial).cast("long"))
-        .drop("source_key", "key_range", "key", "offset", "rest", "before")
+        .select(*kept, *added)
     )
 
 
@@ -123,6 +119,7 @@ def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)"))))
         .withColumn("copy_words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")))
     )
-    head = F.regexp_extract(text_col, r"^[\x20\x09-\x0D]*+", 0)
-    cut = F.concat(head, F.array_join(F.slice(w.words(F.col(text_col)), F.lit(1), F.col("copy_words").cast("int")), " "))
+    # Words with the blanks before them, so that what is kept stays as it was.
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("copy_words").cast("int")), "")
     return out.withColumn(text_col, F.when(F.col("copy_words") < F.col("size"), cut).otherwise(F.col(text_col)))

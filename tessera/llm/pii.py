@@ -27,8 +27,6 @@ from . import words as w
 MIN_SCORE = 0.5
 #: Code points before and after a span in which context words count.
 CONTEXT = 40
-#: Span lengths are summed in blocks of so many, to keep the work per text near-linear.
-BLOCK = 128
 
 
 def _digits(v: Column) -> Column:
@@ -111,18 +109,6 @@ ORDER = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
-def _running(lens: Column) -> Column:
-    """For each element of an integer array column, the sum up to and including it."""
-    add = lambda a, x: a + x
-    total = lambda xs: F.aggregate(xs, F.lit(0), add)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
-    heads = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        lens,
-        lambda _, i: F.get(heads, F.floor(i / BLOCK).cast("int")) + total(F.slice(lens, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
-    )
-
-
 def _lengths(gaps: str) -> Callable[[Column, Column], Column]:
     return lambda h, j: F.length(h) + F.length(F.get(gaps, j))
 
@@ -160,7 +146,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for i, _ in enumerate(KINDS):
         df = df.withColumn(f"_len{i}", F.transform(f"_hit{i}", _lengths(f"_gap{i}")))
     for i, _ in enumerate(KINDS):
-        df = df.withColumn(f"_end{i}", F.when(F.size(f"_len{i}") > 0, _running(F.col(f"_len{i}"))).otherwise(F.array().cast("array<int>")))
+        df = df.withColumn(f"_end{i}", F.when(F.size(f"_len{i}") > 0, w.running(F.col(f"_len{i}"))).otherwise(F.array().cast("array<int>")))
     for i, k in enumerate(KINDS):
         found = F.filter(F.transform(f"_hit{i}", _scored(k, i)), _at_least(0.0 if k.base else MIN_SCORE))
         df = df.withColumn(f"_span{i}", F.when(F.size(f"_hit{i}") > 0, found.cast(SPAN)).otherwise(F.array().cast(SPAN)))

@@ -78,11 +78,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_line_dedup"] = r"""
 with l as (
-  select source, coalesce(text, '') as page, unnest(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)),
+  select source, doc_id, unnest(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)),
          lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as line
   from documents),
-n as (select source, line, count(distinct page) as n from l group by source, line),
-t as (select source, count(distinct coalesce(text, '')) as pages from documents group by source),
+n as (select source, line, count(*) as n from l group by source, line),
+t as (select source, count(*) as pages from documents group by source),
 b as (
   select n.source, list(n.line) as lines
   from n join t on n.source is not distinct from t.source where n.n >= 4 and n.n > 0.08::double * t.pages group by n.source),

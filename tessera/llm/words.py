@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Elements are summed in blocks of so many, which keeps the work per row near-linear.
+BLOCK = 128
 
 
 def text_of(col: str | Column) -> Column:
@@ -33,3 +35,14 @@ def group_key(col: str | Column) -> Column:
 def over(*cols: str) -> WindowSpec:
     return Window.partitionBy(*cols)
 
+
+def running(lens: Column) -> Column:
+    """For each element of an integer array column, the sum up to and including it."""
+    add = lambda a, x: a + x
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
+    heads = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+    return F.transform(
+        lens,
+        lambda _, i: F.get(heads, F.floor(i / BLOCK).cast("int")) + total(F.slice(lens, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
+    )

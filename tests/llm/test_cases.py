@@ -30,9 +30,11 @@ def odd(spark):
 
 def test_mixing(spark, odd):
     clash = odd.withColumn("size", F.lit("x")).withColumn("target", F.lit(0)).withColumn("taken", F.lit(0))
+    clash = clash.withColumn("key", F.lit("k")).withColumn("source_key", F.lit("s")).withColumn("key_range", F.lit(5)).withColumn("_row", F.lit(1))
     out = mixing.mix(clash, keep=True)
     rows = out.collect()
     assert len(rows) == 10 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert {(r.key, r.source_key, r.key_range, r["_row"]) for r in rows} == {("k", "s", 5, 1)}
     total = {}
     for r in rows:
         total.setdefault(r.source, [0, r.target, r.source_size])[0] += r.taken
@@ -40,6 +42,8 @@ def test_mixing(spark, odd):
     copies = mixing.copies(out).collect()
     assert sum(r.copy_words for r in copies) == sum(r.taken for r in rows)
     assert all(len(r.text.split()) == r.copy_words for r in copies)
+    whole = {(r.doc_id, r.text or "") for r in odd.collect()}
+    assert all(any(i == r.doc_id and t.startswith(r.text) for i, t in whole) for r in copies)
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
@@ -89,10 +93,17 @@ def test_repeated_words_in_long_runs(spark):
 def test_line_dedup(spark):
     pages = [(i, f"shared\nown {i}\n\n{'rare' if i < 2 else i}", "en", "h", 1) for i in range(12)]
     copies = [(100 + i, "copied line\nshared", "en", "h", 1) for i in range(40)]
-    df = docs(spark, pages + copies + [(200, None, "en", None, 1), (201, "", "en", "h", 1)]).withColumn("drop", F.lit("x")).withColumn("n_lines", F.lit(9))
+    df = docs(spark, pages + copies + [(200, None, "en", None, 1), (201, "", "en", "h", 1), (202, LONG + "\nshared", "en", "h", 1)])
+    df = df.withColumn("drop", F.lit("x")).withColumn("n_lines", F.lit(9)).withColumn("host_key", F.lit("k"))
+    out = {r.doc_id: r for r in linedup.drop_boilerplate(df, copies=False).collect()}
+    assert out[3].text == "own 3\n\n3" and out[3].n_dropped == 1 and out[0].text == "own 0\n\nrare" and (out[3].drop, out[3].host_key) == ("x", "k")
+    assert out[100].text == "copied line" and out[200].text is None and out[200].n_lines == 0 and out[201].text == "" and out[202].text == LONG
+    # Pages are counted each: 40 of 54 hold the copied line.
     out = {r.doc_id: r for r in linedup.drop_boilerplate(df).collect()}
-    assert out[3].text == "own 3\n\n3" and out[3].n_dropped == 1 and out[0].text == "own 0\n\nrare"
-    assert out[100].text == "copied line" and out[200].text is None and out[200].n_lines == 0 and out[201].text == ""
+    assert out[100].text == "" and out[100].n_dropped == 2 and out[0].text == "own 0\n\nrare"
+    # At the ratio a line stays: 4 of 50 pages.
+    tie = docs(spark, [(i, "four" if i < 4 else f"p{i}", None, "h", 1) for i in range(50)])
+    assert {r.n_dropped for r in linedup.drop_boilerplate(tie).collect()} == {0}
     assert linedup.drop_boilerplate(docs(spark, [])).count() == 0
 
 
@@ -236,10 +247,14 @@ def test_chat_round_trip(spark):
     marks = ["<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|", "<|", "a\n", "", None, "<|nl|>"]
     rows = [(i, 0, r, t) for i, t in enumerate(marks) for r in ("user",)] + [(i, 1, "assistant", t) for i, t in enumerate(marks)] + [(50, 0, "odd\nrole<|im_end|>", "x"), (50, 0, None, "y"), (None, 0, "assistant", "z"), (50, 0, None, "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    long = [(60, i, "assistant" if i % 2 else "user", LONG[: i * 40]) for i in range(700)] + [(61, 0, "assistant", LONG * 3)]
+    df = df.unionByName(spark.createDataFrame(long, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)))
     out = chat.format_chat(df)
     assert all(r.identical for r in out.collect())
     back = {r.conv_id: r for r in chat.read_back(out).collect()}
-    assert back[50].n_turns == 3 and back[None].loss_chars == 1
+    assert back[50].n_turns == 3 and back[None].loss_chars == 1 and back[61].loss_chars == 3 * len(LONG)
+    said = "".join(t for _, _, r, t in long[:700] if r == "assistant")
+    assert (back[60].n_turns, back[60].loss_sha256) == (700, hashlib.sha256(said.encode()).hexdigest())
     assert all(back[i].loss_chars == len(t or "") for i, t in enumerate(marks))
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 

@@ -24,8 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops boilerplate lines of each source; documents of which nothing is left stay, empty."""
-    out = linedup.drop_boilerplate(docs)
+    """Drops boilerplate lines of each source; documents of which nothing is left stay, empty.
+
+    Copies are still there, so pages with equal texts count once; the next stage drops them.
+    """
+    out = linedup.drop_boilerplate(docs, copies=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -22,6 +22,8 @@ give no rows; texts are read whole; only id and text are read, so no other colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +48,20 @@ NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 _SPLIT = r"[^\p{L}\p{N}_<>]+"
 _CAPITAL = r"\p{Lu}\p{Ll}++"
 _END = r"(?![\p{L}\p{N}_])"
-_NAMES = rf"(?<=[\p{{L}},;] ){_CAPITAL}(?:_{_CAPITAL})*+{_END}|(?<![\p{{L}}\p{{N}}_]){_CAPITAL}(?:_{_CAPITAL})++{_END}"
+# Patterns begin with the rare letter and look behind it afterwards, which is faster than at every place.
+_JOIN = rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}_]\p{{Lu}})\p{{Ll}}++) (?={_CAPITAL}{_END})"
+_NAMES = rf"\p{{Lu}}(?:(?<=[\p{{L}},;] \p{{Lu}})\p{{Ll}}++(?:_{_CAPITAL})*+|(?<![\p{{L}}\p{{N}}_]\p{{Lu}})\p{{Ll}}++(?:_{_CAPITAL})++){_END}"
 
 
 def _raw(text: Column) -> Column:
     """The text with every value as one word: blanks within names and separators within numbers become underscores."""
-    numbers = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", "_"), r"(?<=\p{N})(?=\p{L})", " ")
-    clean = F.translate(F.when(text.rlike(r"\p{N}"), numbers).otherwise(text), "<>", "  ")
-    return F.regexp_replace(clean, rf"(?<![\p{{L}}\p{{N}}_])({_CAPITAL}) (?={_CAPITAL}{_END})", "$1_")
+    numbers = F.regexp_replace(F.regexp_replace(text, r"[.,](?<=\p{N}[.,])(?=\p{N})", "_"), r"(\p{N})(?=\p{L})", "$1 ")
+    clean = F.when(text.rlike("[<>]"), F.translate(text, "<>", "  ")).otherwise(text)
+    return F.regexp_replace(F.when(text.rlike(r"\p{N}"), F.translate(numbers, "<>", "  ")).otherwise(clean), _JOIN, "$1_")
 
 
 def _template(raw: Column) -> Column:
-    numbers = F.regexp_replace(F.regexp_replace(raw, r"(?<![\p{L}_])\p{N}[\p{N}_]*+", NUMBER), rf"(?<={NUMBER} )(?i:{UNITS}){_END}", UNIT)
+    numbers = F.regexp_replace(F.regexp_replace(raw, r"\p{N}(?<![\p{L}\p{N}_]\p{N})[\p{N}_]*+", NUMBER), rf"(?<={NUMBER} )(?i:{UNITS}){_END}", UNIT)
     with_numbers = F.when(raw.rlike(r"\p{N}"), numbers).otherwise(raw)
     return F.lower(F.regexp_replace(with_numbers, _NAMES, NAME))
 
@@ -70,18 +74,28 @@ def _own(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def _windows(tokens: str, n: int) -> Column:
-    """The hash of each window of ``n`` words."""
-    count = F.size(tokens) - n
-    return F.when(
-        count >= 0, F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
-    ).otherwise(F.array().cast("array<long>"))
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with hashes of 1, 2, 4 and 8 words in a row of both kinds, each made of two of the ones before."""
+    df = df.withColumns({f"_{c}1": F.transform(c, lambda x: F.xxhash64(x)) for c in ("own", "tokens")})
+    for n in (1, 2, 4):
+        df = df.withColumns({f"_{c}{2 * n}": F.transform(f"_{c}{n}", _with_next(f"_{c}{n}", n)) for c in ("own", "tokens")})
+    return df
+
+
+def _with_next(hashes: str, at: int) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.xxhash64(x, F.get(hashes, i + at))
 
 
 def _hashes(kind: str, n: int) -> Column:
-    """Windows of a kind; those of templates are told from own words by their bits."""
-    hashes = _windows("own" if kind == "own" else "tokens", n)
-    return hashes if kind == "own" else F.transform(hashes, lambda h: F.bitwise_not(h))
+    """The hash of each window of ``n`` words, up to 15; those of templates are told from own words by their bits."""
+    c = "own" if kind == "own" else "tokens"
+    at = 1 << (n.bit_length() - 1)
+    out = F.col(f"_{c}{at}")
+    while at < n:
+        more = 1 << ((n - at).bit_length() - 1)
+        out, at = F.transform(out, _with_next(f"_{c}{more}", at)), at + more
+    out = F.slice(out, F.lit(1), F.greatest(F.lit(0), F.size(c) - n + 1))
+    return out if kind == "own" else F.transform(out, lambda h: F.bitwise_not(h))
 
 
 def _is_slot(t: Column) -> Column:
@@ -112,14 +126,14 @@ def _grams(items: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
     for i, (kind, n) in enumerate(sizes):
         of = bench.filter(F.col(f"n_{kind}") == n)
         if kind == "own":
-            of = of.withColumns({"first": F.lit(False), "n_item": F.size("own") - n + 1}).select("*", F.posexplode(_hashes(kind, n)).alias("at", "h"))
+            of = _hashed(of).withColumns({"first": F.lit(False), "n_item": F.size("own") - n + 1}).select("*", F.posexplode(_hashes(kind, n)).alias("at", "h"))
             slots = F.array().cast("array<struct<k:int,type:string,value:string>>")
         else:
             fixed = lambda j: F.size(F.filter(F.slice("tokens", j + 1, F.lit(n)), lambda t: ~_is_slot(t)))  # noqa: B023, E731
             of = of.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("tokens") - n), lambda j: fixed(j) >= MIN_FIXED * n)).withColumn("n_item", F.size("kept"))
             of = of.withColumn("first", F.explode(F.when(capital, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
             of = of.withColumn("tokens", F.when(F.col("first"), F.concat(F.array(F.lit(NAME)), F.slice("tokens", F.lit(2), F.size("tokens")))).otherwise(F.col("tokens")))
-            of = of.select("*", F.posexplode(_hashes(kind, n)).alias("at", "h")).filter(F.array_contains("kept", F.col("at")) & (~F.col("first") | (F.col("at") == 0)))
+            of = _hashed(of).select("*", F.posexplode(_hashes(kind, n)).alias("at", "h")).filter(F.array_contains("kept", F.col("at")) & (~F.col("first") | (F.col("at") == 0)))
             slots = _slots(F.col("at"), F.lit(n))
         one = of.select(F.lit(i).alias("seq"), F.lit(kind == "own").alias("exact"), F.lit(n).alias("n"), "item_id", "item", "n_item", "first", "at", "h", slots.alias("slots"))
         out = one if out is None else out.unionByName(one)
@@ -138,7 +152,7 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], kinds)
     grams = small_side(grams, BROADCAST_WINDOWS)
     # One pass over the texts: the windows of all kinds in one list, of which hashes alone meet the benchmark.
-    lists = _read(docs, "text").select("doc_key", "told", "doc_id", *[_hashes(k, n).alias(f"_h{i}") for i, (k, n) in enumerate(sizes)])
+    lists = _hashed(_read(docs, "text")).select("doc_key", "told", "doc_id", *[_hashes(k, n).alias(f"_h{i}") for i, (k, n) in enumerate(sizes)])
     begins = F.array(*[sum((F.size(f"_h{j}") for j in range(i)), F.lit(0)) for i in range(len(sizes))])
     lists = lists.select("doc_key", "told", "doc_id", begins.alias("begins"), F.concat(*[f"_h{i}" for i in range(len(sizes))]).alias("all"))
     seen = lists.select("doc_key", "told", "doc_id", "begins", F.posexplode_outer("all").alias("place", "h"))
@@ -158,7 +172,8 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     one = F.struct("item_id", "item", "n_item", "first", "at", "n", "slots", "pos", "shift").alias("hit")
     found = small_side(open_hits.groupBy("doc_key", "told").agg(F.collect_list(one).alias("hits")), BROADCAST_IDS)
     read = docs.join(found, ["doc_key", "told"]).dropDuplicates(["doc_key", "told"])
-    read = _read(read, "text").withColumn("values", _tokens(F.col("raw"))).select("doc_key", "told", "doc_id", "tokens", "values", "hits")
+    # Stored, or the planner would spell out the words again at every hit.
+    read = stored(_read(read, "text").withColumn("values", _tokens(F.col("raw"))).select("doc_key", "told", "doc_id", "tokens", "values", "hits"))
     met = F.transform("hits", lambda h: F.struct(h.alias("h"), _slots(h["pos"], h["n"]).alias("seen")))
     read = read.select("doc_key", "told", "doc_id", met.alias("met")).select("doc_key", "told", "doc_id", F.explode("met").alias("m")).select("doc_key", "told", "doc_id", "m.h.*", "m.seen")
     fits = ~F.col("first") | F.coalesce(F.get("seen", F.lit(0))["value"] == F.get("slots", F.lit(0))["value"], F.lit(False))

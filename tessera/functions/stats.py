@@ -1,59 +1,157 @@
-"""Tail probabilities and multiple testing as column expressions."""
+"""Tail probabilities and multiple testing as column expressions.
+
+Tails start from one probability in saddle-point form, which keeps its digits for means of any size,
+and add neighbours by their ratio, away from the mean: so the smaller side is summed, and as many
+terms as it takes for the rest to fall below double precision, which grows with the deviation.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms of a tail beyond which the rest is below double precision for the means that occur here.
-TERMS = 200
-TINY = 1e-300
+from ..session import stored
+from .ranks import SMALL, along
 
+TINY = 1e-300
+#: Deviations from where a tail starts, and terms at least, beyond which nothing is left of it.
+DEVIATIONS, LEAST_TERMS = 10.0, 60
 
-def _total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+_TABLE = 256
 
 
 def ln_factorial(n: Column) -> Column:
-    """``ln(n!)`` by summation to 255, by Stirling's series beyond."""
-    x = n.cast("double")
-    exact = _total(F.transform(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), lambda i: F.log(i.cast("double"))))
-    series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n <= 255, exact).otherwise(series)
+    """``ln(n!)`` by a table below 256, by Stirling's series beyond."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    table = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(_TABLE)])
+    return F.when(n < _TABLE, F.get(table, F.greatest(n, F.lit(0)).cast("int"))).otherwise(x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + _series(x))
+
+
+def _series(x: Column) -> Column:
+    return 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+
+
+def _stirling_error(n: Column) -> Column:
+    """What Stirling's formula lacks: ``ln(n!) - ln(sqrt(2 pi n) (n / e)^n)``."""
+    exact = [0.0] + [math.lgamma(i + 1.0) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]
+    small = F.get(F.array(*map(F.lit, exact)), F.greatest(n, F.lit(0)).cast("int"))
+    return F.when(n < 16, small).otherwise(_series(F.greatest(n, F.lit(1)).cast("double")))
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """``x ln(x / mean) + mean - x`` without cancellation near the mean."""
+    x, mean = x.cast("double"), F.greatest(mean, F.lit(TINY))
+    v = (x - mean) / (x + mean)
+    near = (x - mean) * v + 2 * x * v * sum((F.pow(v, F.lit(2 * j)) / (2 * j + 1) for j in range(1, 11)), F.lit(0.0))
+    far = F.when(x > 0, x * F.log(F.greatest(x, F.lit(TINY)) / mean)).otherwise(0.0) + mean - x
+    return F.when(F.abs(x - mean) < 0.1 * (x + mean), near).otherwise(far)
+
+
+def poisson(x: Column, mean: Column) -> Column:
+    """``P(X = x)``."""
+    root = F.sqrt(2 * math.pi * F.greatest(x, F.lit(1)).cast("double"))
+    return F.when(x < 0, 0.0).when(x == 0, F.exp(-mean)).otherwise(F.exp(-_stirling_error(x) - _deviance(x, mean)) / root)
+
+
+def binomial(x: Column, n: Column, p: Column) -> Column:
+    """``P(X = x)`` of ``n`` draws."""
+    q, rest = 1 - p, n - x
+    ends = F.when(x == 0, F.exp(n * F.log1p(-p))).when(rest == 0, F.exp(n * F.log(p)))
+    at = _stirling_error(n) - _stirling_error(x) - _stirling_error(rest) - _deviance(x, n * p) - _deviance(rest, n * q)
+    inner = F.exp(at) * F.sqrt(n / (2 * math.pi * F.greatest(x, F.lit(1)).cast("double") * F.greatest(rest, F.lit(1))))
+    return F.when((x < 0) | (rest < 0), 0.0).when(p <= 0, (x == 0).cast("double")).when(q <= 0, (rest == 0).cast("double")).otherwise(F.coalesce(ends, inner))
+
+
+def hypergeometric(x: Column, good: Column, total: Column, draws: Column) -> Column:
+    """``P(X = x)`` of hits in ``draws`` from ``total`` of which ``good`` hit."""
+    p = draws / F.greatest(total, F.lit(1)).cast("double")
+    whole = F.greatest(binomial(draws, total, p), F.lit(TINY))
+    return binomial(x, good, p) * binomial(draws - x, total - good, p) / whole
+
+
+def _tails(k: Column, mean: Column, variance: Column, chance: Callable[[Column], Column], up: Callable[[Column], Column], down: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """``P(X >= k)`` and ``P(X < k)``; ``up`` and ``down`` are the ratios of the next chances to that of x."""
+    above = k > mean
+    start = F.when(above, k).otherwise(k - 1).cast("double")
+    first = chance(F.when(above, k).otherwise(k - 1))
+    terms = F.ceil(DEVIATIONS * F.sqrt(variance + 10) + LEAST_TERMS).cast("int")
+
+    def step(a: Column, _: Column) -> Column:
+        t = a["t"] * F.when(a["up"], up(a["x"])).otherwise(down(a["x"]))
+        return F.struct((a["x"] + F.when(a["up"], 1.0).otherwise(-1.0)).alias("x"), t.alias("t"), (a["s"] + t).alias("s"), a["up"].alias("up"))
+
+    begin = F.struct(start.alias("x"), first.alias("t"), first.alias("s"), above.alias("up"))
+    side = F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(1), terms), begin, step)["s"])
+    return F.when(above, side).otherwise(1 - side), F.when(above, 1 - side).otherwise(side)
 
 
 def poisson_upper(k: Column, mean: Column) -> Column:
-    """``P(X > k)``; the lower tail is subtracted from one where that is the smaller side."""
-    first = F.exp(-mean + (k + 1) * F.log(mean) - ln_factorial(k + 1))
-    upper = F.aggregate(
-        F.sequence(F.lit(2), F.lit(TERMS)), F.struct(first.alias("t"), first.alias("s")),
-        lambda a, i: F.struct((a["t"] * mean / (k + i)).alias("t"), (a["s"] + a["t"] * mean / (k + i)).alias("s")),
-    )["s"]
-    lower = _total(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k.cast("int"))), lambda i: F.exp(-mean + i * F.log(mean) - ln_factorial(i))))
-    tail = F.when(k + 1 >= mean, upper).otherwise(1 - lower)
-    return F.when(k < 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+    """``P(X > k)``."""
+    m = F.greatest(mean.cast("double"), F.lit(TINY))
+    upper, _ = _tails(k + 1, m, m, lambda x: poisson(x, m), lambda x: m / (x + 1), lambda x: F.greatest(x, F.lit(0.0)) / m)
+    return F.when(k < 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(upper)
+
+
+def _binomial_tails(k: Column, n: Column, p: Column) -> tuple[Column, Column]:
+    p = p.cast("double")
+    odds = F.greatest(p, F.lit(TINY)) / F.greatest(1 - p, F.lit(TINY))
+    up = lambda x: F.greatest(n - x, F.lit(0.0)) / (x + 1) * odds
+    down = lambda x: F.greatest(x, F.lit(0.0)) / F.greatest(n - x + 1, F.lit(TINY)) / odds
+    upper, lower = _tails(k, n * p, n * p * (1 - p), lambda x: binomial(x, n, p), up, down)
+    always, never = (k <= 0) | (p >= 1) & (k <= n), (k > n) | (p <= 0)
+    return F.when(always, 1.0).when(never, 0.0).otherwise(upper), F.when(always, 0.0).when(never, 1.0).otherwise(lower)
 
 
 def binomial_upper(k: Column, n: Column, p: Column) -> Column:
-    """``P(X >= k)`` of ``n`` draws, summed in log space."""
-    term = lambda i: F.exp(ln_factorial(n) - ln_factorial(i) - ln_factorial(n - i) + i * F.log(p) + (n - i) * F.log1p(-p))
-    tail = _total(F.transform(F.sequence(F.greatest(k, F.lit(1)).cast("int"), n.cast("int")), term))
-    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(p >= 1, F.lit(1.0)).when(p <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), tail))
+    """``P(X >= k)`` of ``n`` draws."""
+    return _binomial_tails(k, n, p)[0]
+
+
+def binomial_lower(k: Column, n: Column, p: Column) -> Column:
+    """``P(X <= k)`` of ``n`` draws."""
+    return _binomial_tails(k + 1, n, p)[1]
+
+
+def _hypergeometric_tails(k: Column, good: Column, total: Column, draws: Column) -> tuple[Column, Column]:
+    share = good / F.greatest(total, F.lit(1)).cast("double")
+    bad = total - good
+    up = lambda x: F.greatest(good - x, F.lit(0.0)) * F.greatest(draws - x, F.lit(0.0)) / (x + 1) / F.greatest(bad - draws + x + 1, F.lit(TINY))
+    down = lambda x: F.greatest(x, F.lit(0.0)) * F.greatest(bad - draws + x, F.lit(0.0)) / F.greatest(good - x + 1, F.lit(TINY)) / F.greatest(draws - x + 1, F.lit(TINY))
+    upper, lower = _tails(k, draws * share, draws * share * (1 - share), lambda x: hypergeometric(x, good, total, draws), up, down)
+    always, never = k <= F.greatest(F.lit(0), draws - bad), k > F.least(good, draws)
+    return F.when(always, 1.0).when(never, 0.0).otherwise(upper), F.when(always, 0.0).when(never, 1.0).otherwise(lower)
 
 
 def hypergeometric_upper(k: Column, good: Column, total: Column, draws: Column) -> Column:
     """``P(X >= k)`` of hits in ``draws`` from ``total`` of which ``good`` hit."""
-    choose = lambda a, b: ln_factorial(a) - ln_factorial(b) - ln_factorial(a - b)
-    low, high = F.greatest(k, F.lit(0), draws + good - total).cast("int"), F.least(good, draws).cast("int")
-    term = lambda i: F.exp(choose(good, i) + choose(total - good, draws - i) - choose(total, draws))
-    return F.when(low > high, F.lit(0.0)).when(k <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), _total(F.transform(F.sequence(low, F.greatest(low, high)), term))))
+    return _hypergeometric_tails(k, good, total, draws)[0]
+
+
+def hypergeometric_lower(k: Column, good: Column, total: Column, draws: Column) -> Column:
+    """``P(X <= k)`` of hits in ``draws`` from ``total`` of which ``good`` hit."""
+    return _hypergeometric_tails(k + 1, good, total, draws)[1]
 
 
-def benjamini_hochberg(df: DataFrame, p: str, q: str, *, by: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, q: str, *, by: tuple[str, ...] = (), tie: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """``df`` with adjusted p-values in column ``q``; ties share theirs."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(group.orderBy(p, *tie))
-    n = F.count(F.lit(1)).over(group)
-    ranked = df.withColumn("_rank", rank).withColumn("_raw", F.col(p) * n / F.col("_rank"))
-    down = group.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn(q, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_rank", "_raw")
+    df = stored(df)
+    if df.count() <= small:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        ranked = df.withColumn("_rank", F.row_number().over(group.orderBy(p, *tie))).withColumn("_raw", F.col(p) * F.count(F.lit(1)).over(group) / F.col("_rank"))
+        down = group.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
+        return ranked.withColumn(q, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_rank", "_raw")
+    ranked = along(df, [p, *tie], by=by, number="_rank", small=small)
+    sizes = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_size"))
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        ranked = ranked.join(sizes, same).drop(*[f"_by_{c}" for c in by])
+    else:
+        ranked = ranked.crossJoin(F.broadcast(sizes))  # one row
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("_size") / F.col("_rank"))
+    least = along(raw, [F.desc("_rank")], {"_least": ("min", "_raw")}, by=by, number="_back", small=small)
+    return least.withColumn(q, F.least(F.lit(1.0), F.col("_least"))).drop("_rank", "_raw", "_size", "_least", "_back")

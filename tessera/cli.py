@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matrix, qc
-from .session import local_session
+from .session import LEVELS, local_session, set_verbosity
 from .sources import formats, genomes
 
 log = logging.getLogger("tessera")
@@ -22,11 +22,20 @@ def _paths(patterns: list[str]) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def _bundle(x: DataFrame, path: str) -> None:
-    cells, features = x.select("cell").distinct(), x.select("feature").distinct()
+def _bundle(x: DataFrame, path: str, obs: DataFrame | None = None, var: DataFrame | None = None) -> None:
+    """Writes a matrix with all its cells and features, also those without a value, and what is known about them."""
+    cells = x.select("cell").distinct() if obs is None else obs
+    features = x.select("feature").distinct() if var is None else var
     formats.MatrixBundle(x, cells, features).write(path)
 
 
+def _obs(spark: SparkSession, a: argparse.Namespace, cells: DataFrame) -> DataFrame:
+    """The cells with their metrics, under the names that the matrix has."""
+    if a.metrics:
+        cells = cells.join(formats.read_metrics(spark, a.metrics), "barcode", "left")
+    return _named(cells.withColumnRenamed("barcode", "cell"), a.prefix)
+
+
 def _cells(spark: SparkSession, a: argparse.Namespace, frags: DataFrame) -> DataFrame:
     metrics = formats.read_metrics(spark, a.metrics) if a.metrics else None
     return qc.passing_cells(frags, metrics, a.query, a.min_fragments)
@@ -64,11 +73,13 @@ def filter_command(spark: SparkSession, a: argparse.Namespace) -> None:
 def tile(spark: SparkSession, a: argparse.Namespace) -> None:
     sizes = genomes.sizes_frame(spark, a.genome)
     frags = formats.read_fragments(spark, a.input)
-    x = matrix.tile_matrix(frags, sizes, a.tile_size, a.min_fragments, tuple(a.exclude), a.strategy, _cells(spark, a, frags))
+    cells = _cells(spark, a, frags)
+    x = matrix.tile_matrix(frags, sizes, a.tile_size, a.min_fragments, tuple(a.exclude), a.strategy, cells)
     start = F.col("tile") * a.tile_size
     end = F.least(start + a.tile_size, F.col("size")).cast("string")
     named = x.join(F.broadcast(sizes), "chrom").select(F.col("barcode").alias("cell"), F.concat("chrom", F.lit(":"), start.cast("string"), F.lit("-"), end).alias("feature"), "value")
-    _bundle(_named(named, a.prefix), a.output)
+    tiles = matrix.tile_dimension(sizes, a.tile_size, tuple(a.exclude)).withColumnRenamed("name", "feature")
+    _bundle(_named(named, a.prefix), a.output, _obs(spark, a, cells), tiles)
 
 
 def gene(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -76,16 +87,22 @@ def gene(spark: SparkSession, a: argparse.Namespace) -> None:
     domains = matrix.gene_domains(formats.read_transcripts(spark, a.annotation), a.upstream, a.downstream, not a.no_body)
     table = formats.read_metrics(spark, a.metrics) if a.metrics else None
     x = matrix.gene_matrix(frags, domains, a.min_fragments, table, a.query, tuple(a.exclude))
-    _bundle(_named(x.select(F.col("barcode").alias("cell"), F.col("id").alias("feature"), "value"), a.prefix), a.output)
+    genes = domains.groupBy(F.col("id").alias("feature")).agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
+    known = frags.join(F.broadcast(domains.select("chrom").distinct()), "chrom", "left_semi")
+    cells = _obs(spark, a, qc.passing_cells(known, table, a.query, a.min_fragments))
+    _bundle(_named(x.select(F.col("barcode").alias("cell"), F.col("id").alias("feature"), "value"), a.prefix), a.output, cells, genes)
 
 
 def genescore(spark: SparkSession, a: argparse.Namespace) -> None:
     frags = formats.read_fragments(spark, a.input)
     read = formats.read_gene_csv if a.annotation.endswith(".csv") else formats.read_genes
     genes = read(spark, a.annotation).filter(~F.col("chrom").isin(*a.exclude)) if a.exclude else read(spark, a.annotation)
-    domains = matrix.gene_score_domains(genes, use_tss=a.use_tss)
-    x = matrix.gene_scores(frags, domains, model=a.model, cells=_cells(spark, a, frags))
-    _bundle(_named(x.select(F.col("barcode").alias("cell"), F.col("symbol").alias("feature"), "value"), a.prefix), a.output)
+    # Names that several genes share are told apart by their place.
+    genes = matrix.unique_names(genes.withColumn("place", F.concat_ws(":", "chrom", F.col("lo").cast("string"))), key="place").drop("place")
+    domains, cells = matrix.gene_score_domains(genes, use_tss=a.use_tss), _cells(spark, a, frags)
+    x = matrix.gene_scores(frags, domains, model=a.model, cells=cells)
+    named = _named(x.select(F.col("barcode").alias("cell"), F.col("symbol").alias("feature"), "value"), a.prefix)
+    _bundle(named, a.output, _obs(spark, a, cells), genes.withColumnRenamed("symbol", "feature"))
 
 
 def features(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -105,7 +122,12 @@ def combine(spark: SparkSession, a: argparse.Namespace) -> None:
         other = p.var.select("feature")
         if not first.exceptAll(other).isEmpty() or not other.exceptAll(first).isEmpty():
             raise ValueError(f"the features of {name} differ from the first input's")
-    _bundle(matrix.combine({n: p.x for n, p in parts.items()}), a.output)
+    x = matrix.combine({n: p.x for n, p in parts.items()})
+    cells = None
+    for n, p in parts.items():
+        one = p.obs.withColumn("source_file", F.lit(n))
+        cells = one if cells is None else cells.unionByName(one, allowMissingColumns=True)
+    _bundle(x, a.output, cells, next(iter(parts.values())).var)
 
 
 def doublets(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -119,6 +141,7 @@ def doublets(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera", description=__doc__)
+    p.add_argument("--verbosity", default="info", choices=sorted(LEVELS))
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, run, many: bool = False, output: bool = True) -> argparse.ArgumentParser:
@@ -137,7 +160,7 @@ def parser() -> argparse.ArgumentParser:
 
     c = add("convert", convert, many=True)
     c.add_argument("--separator", default="\t")
-    c.add_argument("--partitions", type=int, default=64)
+    c.add_argument("--partitions", type=int)
     c = add("metrics", metrics)
     c.add_argument("-a", "--annotation", required=True)
     c.add_argument("-g", "--genome")
@@ -181,8 +204,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Runs a command; user errors are logged and give 1."""
-    logging.basicConfig(level=logging.INFO, format="%(levelname)s %(message)s")
     a = parser().parse_args(args)
+    set_verbosity(a.verbosity)
     try:
         a.run(spark or SparkSession.getActiveSession() or local_session(), a)
     except (ValueError, FileNotFoundError, OSError) as e:

@@ -41,13 +41,31 @@ def _stirling_error(n: Column) -> Column:
     return F.when(n < 16, small).otherwise(_series(F.greatest(n, F.lit(1)).cast("double")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and spelled out once, however often it is used."""
+    return F.get(F.transform(F.array(value.cast("double")), lambda x: body(x)), F.lit(0))
+
+
 def _deviance(x: Column, mean: Column) -> Column:
     """``x ln(x / mean) + mean - x`` without cancellation near the mean."""
-    x, mean = x.cast("double"), F.greatest(mean, F.lit(TINY))
-    v = (x - mean) / (x + mean)
-    near = (x - mean) * v + 2 * x * v * sum((F.pow(v, F.lit(2 * j)) / (2 * j + 1) for j in range(1, 11)), F.lit(0.0))
-    far = F.when(x > 0, x * F.log(F.greatest(x, F.lit(TINY)) / mean)).otherwise(0.0) + mean - x
-    return F.when(F.abs(x - mean) < 0.1 * (x + mean), near).otherwise(far)
+
+    def near(x: Column, m: Column, v: Column) -> Column:
+        even = _let(v * v, lambda w: _powers(w))
+        return (x - m) * v + 2 * x * v * even
+
+    def _powers(w: Column) -> Column:
+        out = F.lit(1.0 / 21)
+        for j in range(9, 0, -1):
+            out = F.lit(1.0 / (2 * j + 1)) + w * out
+        return w * out
+
+    def far(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.log(F.greatest(x, F.lit(TINY)) / m)).otherwise(0.0) + m - x
+
+    def both(x: Column, m: Column) -> Column:
+        return F.when(F.abs(x - m) < 0.1 * (x + m), _let((x - m) / (x + m), lambda v: near(x, m, v))).otherwise(far(x, m))
+
+    return _let(x, lambda x: _let(F.greatest(mean.cast("double"), F.lit(TINY)), lambda m: both(x, m)))
 
 
 def poisson(x: Column, mean: Column) -> Column:
@@ -76,16 +94,16 @@ def _tails(k: Column, mean: Column, variance: Column, chance: Callable[[Column],
     """``P(X >= k)`` and ``P(X < k)``; ``up`` and ``down`` are the ratios of the next chances to that of x."""
     above = k > mean
     start = F.when(above, k).otherwise(k - 1).cast("double")
-    first = chance(F.when(above, k).otherwise(k - 1))
+    first = _let(F.when(above, k).otherwise(k - 1), chance)
     terms = F.ceil(DEVIATIONS * F.sqrt(variance + 10) + LEAST_TERMS).cast("int")
 
     def step(a: Column, _: Column) -> Column:
         t = a["t"] * F.when(a["up"], up(a["x"])).otherwise(down(a["x"]))
         return F.struct((a["x"] + F.when(a["up"], 1.0).otherwise(-1.0)).alias("x"), t.alias("t"), (a["s"] + t).alias("s"), a["up"].alias("up"))
 
-    begin = F.struct(start.alias("x"), first.alias("t"), first.alias("s"), above.alias("up"))
+    begin = F.get(F.transform(F.array(first), lambda t: F.struct(start.alias("x"), t.alias("t"), t.alias("s"), above.alias("up"))), F.lit(0))
     side = F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(1), terms), begin, step)["s"])
-    return F.when(above, side).otherwise(1 - side), F.when(above, 1 - side).otherwise(side)
+    return _let(side, lambda s: F.when(above, s).otherwise(1 - s)), _let(side, lambda s: F.when(above, 1 - s).otherwise(s))
 
 
 def poisson_upper(k: Column, mean: Column) -> Column:

@@ -5,64 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import stored
 from . import motifs
 
 
-def _deviation(x: DataFrame, shares: DataFrame, depth: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
-    """Per cell and set ``keys``: (observed - expected) / expected; sets that a cell misses have -1.
-
-    Expectations are summed per set before cells come in, so the product of cells and sets is the
-    size of the result and nothing larger is built.
-    """
-    expected = sets.join(shares, "feature").groupBy(*keys).agg(F.sum("share").alias("share"))
-    observed = x.join(sets, "feature").groupBy("cell", *keys).agg(F.sum("value").alias("observed"))
-    grid = depth.crossJoin(F.broadcast(expected)).join(observed, ["cell", *keys], "left").fillna(0, ["observed"])
-    e = F.col("depth") * F.col("share")
-    return grid.select("cell", *keys, F.when(e > 0, (F.col("observed") - e) / e).otherwise(0.0).alias("deviation"))
-
-
 def compute_deviations(x: DataFrame, motif_features: DataFrame, background: DataFrame) -> DataFrame:
     """``cell, motif, deviation, z``; x (cell, feature, value), motif_features (motif, feature), background (feature, iteration, background).
 
-    z compares with the deviations of the background sets, by their mean and population deviation.
+    A deviation is (observed - expected) / expected, and -1 for a set of which a cell has nothing; z
+    compares with the deviations of the background sets, by their mean and population deviation. Cells
+    have few of the background sets, so sums are taken over observed ones and the rest is counted: the
+    largest table is cells by motifs, the result.
     """
     total = x.agg(F.sum("value").alias("all"))
     shares = x.groupBy("feature").agg(F.sum("value").alias("n")).crossJoin(F.broadcast(total)).select("feature", (F.col("n") / F.col("all")).alias("share"))
-    depth = x.groupBy("cell").agg(F.sum("value").alias("depth"))
-    own = _deviation(x, shares, depth, motif_features, ["motif"])
+    depth = x.groupBy("cell").agg(F.sum("value").alias("depth")).filter("depth > 0")
+    own = motif_features.select("motif", F.lit(-1).alias("iteration"), "feature")
     drawn = motif_features.join(background, "feature").select("motif", "iteration", F.col("background").alias("feature"))
     # A feature drawn several times for one set counts each time.
-    weighted = drawn.groupBy("motif", "iteration", "feature").agg(F.count(F.lit(1)).alias("w"))
-    expected = weighted.join(shares, "feature").groupBy("motif", "iteration").agg(F.sum(F.col("share") * F.col("w")).alias("share"))
-    observed = x.join(weighted, "feature").groupBy("cell", "motif", "iteration").agg(F.sum(F.col("value") * F.col("w")).alias("observed"))
-    grid = depth.crossJoin(F.broadcast(expected)).join(observed, ["cell", "motif", "iteration"], "left").fillna(0, ["observed"])
-    e = F.col("depth") * F.col("share")
-    bg = grid.select("cell", "motif", F.when(e > 0, (F.col("observed") - e) / e).otherwise(0.0).alias("b"))
-    spread = bg.groupBy("cell", "motif").agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("std"))
-    z = F.when(F.col("std") > 1e-12, (F.col("deviation") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return own.join(spread, ["cell", "motif"]).select("cell", "motif", "deviation", z.alias("z"))
-
-
-def chromvar(x: DataFrame, regions: DataFrame, motif_list: list[motifs.Motif], *, p_value: float = 5e-5, method: str = "chromvar", n_iterations: int = 50, seed: int = 0) -> DataFrame:
+    sets = stored(own.unionByName(drawn).groupBy("motif", "iteration", "feature").agg(F.count(F.lit(1)).alias("w")))
+    expected = stored(sets.join(shares, "feature").groupBy("motif", "iteration").agg(F.sum(F.col("share") * F.col("w")).alias("share")).filter("share > 0"))
+    observed = x.filter("value <> 0").join(sets, "feature").groupBy("cell", "motif", "iteration").agg(F.sum(F.col("value") * F.col("w")).alias("observed"))
+    # 1 + deviation of what was observed; a set that was not has 0 there.
+    ratio = observed.join(expected, ["motif", "iteration"]).join(depth, "cell").withColumn("r", F.col("observed") / (F.col("depth") * F.col("share")))
+    seen = F.when(F.col("iteration") >= 0, F.col("r"))
+    per = ratio.groupBy("cell", "motif").agg(
+        F.max(F.when(F.col("iteration") < 0, F.col("r"))).alias("own"), F.sum(seen).alias("sum"), F.count(seen).alias("m"), F.avg(seen).alias("avg"), F.var_pop(seen).alias("var")
+    )
+    counts = expected.groupBy("motif").agg(F.count_if(F.expr("iteration >= 0")).alias("n"), F.max((F.col("iteration") < 0).cast("int")).alias("known"))
+    sizes = sets.groupBy("motif").agg(F.count_distinct(F.when(F.col("iteration") >= 0, F.col("iteration"))).alias("all"))
+    motifs_of = sizes.join(counts, "motif", "left").fillna(0, ["n", "known"])
+    grid = depth.crossJoin(motifs_of).join(per, ["cell", "motif"], "left").fillna(0, ["own", "sum", "m", "avg", "var"])
+    # Sets whose features have no reads at all deviate by 0, which is 1 in these terms.
+    idle = F.col("all") - F.col("n")
+    every = F.greatest(F.col("all"), F.lit(1))
+    mean = (F.col("sum") + idle) / every
+    square = lambda m, v, at: m * (v + F.pow(at - mean, F.lit(2)))
+    missing = F.col("n") - F.col("m")
+    var = (square(F.col("m"), F.col("var"), F.col("avg")) + square(missing, F.lit(0.0), F.lit(0.0)) + square(idle, F.lit(0.0), F.lit(1.0))) / every
+    deviation = F.when(F.col("known") > 0, F.col("own") - 1).otherwise(0.0)
+    z = F.when((F.col("all") > 0) & (F.sqrt(var) > 1e-12), (deviation - (mean - 1)) / F.sqrt(var)).otherwise(0.0)
+    return grid.select("cell", "motif", deviation.alias("deviation"), F.when(F.col("all") > 0, z).otherwise(0.0).alias("z"))
+
+
+def chromvar(x: DataFrame, regions: DataFrame, motif_list: list[motifs.Motif], *, p_value: float = 5e-5, method: str = "grid", n_iterations: int = 50, seed: int = 0, base: str | tuple[float, ...] = "subject") -> DataFrame:
     """Deviations from a matrix (cell, feature, value) and the sequences of its features (region, seq).
 
     Features are whitened by GC content and log reads, matched backgrounds are drawn from a grid
-    (``chromvar``) or are the nearest others (``knn``), motifs are scanned, and deviations follow.
+    (``grid``) or are the nearest others (``knn``), motifs are scanned, and deviations follow.
     A feature without reads is an error.
     """
     reads = x.groupBy(F.col("feature").alias("region")).agg(F.sum("value").alias("reads"))
-    bias = regions.join(reads, "region", "left").select(F.col("region").alias("feature"), motifs.gc_content(F.col("seq")).alias("gc"), F.log10(F.coalesce("reads", F.lit(0))).alias("log_reads"))
-    bias = materialize(bias)
-    if not bias.filter("log_reads is null or isnan(log_reads) or log_reads = double('-Infinity')").isEmpty():
-        raise ValueError("a feature has no reads")
-    white = motifs.whiten(bias, ("gc", "log_reads"))
-    if method == "chromvar":
-        background = motifs.background_bins(white, n_iterations=n_iterations, seed=seed)
-    elif method == "knn":
-        near = motifs.nearest(white, white, ("w0", "w1"), n_iterations)
-        background = near.select(F.col("query").alias("feature"), (F.col("rank") - 1).alias("iteration"), F.col("feature").alias("background"))
-    else:
-        raise ValueError(f"unknown background method {method!r}")
-    hits = motifs.scan_motifs(regions, motif_list, p_value).select("motif", F.col("region").alias("feature"))
-    return compute_deviations(x, materialize(hits), materialize(background))
+    bias = motifs.peak_bias(regions).join(reads, "region", "left").select(F.col("region").alias("feature"), "gc_content", F.coalesce("reads", F.lit(0)).alias("reads"))
+    background = motifs.sample_background(stored(bias), method=method, n_iterations=n_iterations, seed=seed)
+    hits = motifs.scan_motifs(regions, motif_list, p_value, background=base).select("motif", F.col("region").alias("feature"))
+    return compute_deviations(x, stored(hits), stored(background))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialize
+from ..functions.ranks import along
+from ..session import shared_dir, stored
 
 
 def idf_weights(x: DataFrame) -> DataFrame:
@@ -24,9 +28,10 @@ def idf_weights(x: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(span)).select("feature", F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(F.col("raw")).alias("idf"))
 
 
-def normalized(x: DataFrame) -> DataFrame:
-    """``cell, feature, v``: values times idf, rows of length one."""
-    weighted = x.join(idf_weights(x), "feature").withColumn("w", F.col("value") * F.col("idf"))
+def normalized(x: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``cell, feature, v``: values times idf, or times given weights (feature, weight), rows of length one."""
+    weights = idf_weights(x) if weights is None else weights.select("feature", F.col("weight").alias("idf"))
+    weighted = x.join(weights, "feature").withColumn("w", F.col("value") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cell")))
     return weighted.withColumn("_n", norm).filter("_n > 0").select("cell", "feature", (F.col("w") / F.col("_n")).alias("v"))
 
@@ -37,73 +42,84 @@ def degrees(rows: DataFrame) -> DataFrame:
     return rows.join(sums, "feature").groupBy("cell").agg((F.sum(F.col("v") * F.col("s")) - 1).alias("degree"))
 
 
-def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool = True, steps: int | None = None) -> DataFrame:
+#: Vectors in a block of the iteration beside the wanted ones, and the share of the largest value at which they end.
+EXTRA, TOLERANCE = 8, 1e-7
+
+
+def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool = True, feature_weights: DataFrame | None = None, steps: int | None = None) -> DataFrame:
     """``cell, embedding``: leading eigenvectors of D^-1/2 X X' D^-1/2 - D^-1, times the root of positive eigenvalues.
 
-    Lanczos with full reorthogonalization keeps one number per cell and step on the driver; the
-    product with X is distributed: tasks hold rows, and only sums per feature and parts per cell move.
+    A block Krylov space is grown until the residuals of all wanted pairs are below ``TOLERANCE`` (or for
+    ``steps`` blocks). The driver holds cells by basis vectors; the product with X is distributed: tasks
+    hold rows, and only sums per feature and parts per cell move, for a block of vectors at a time.
+    ``feature_weights`` (feature, weight) take the place of the inverse document frequencies.
     """
-    rows = normalized(x)
+    rows = stored(normalized(x, feature_weights))
     deg = degrees(rows).toPandas().sort_values("cell").reset_index(drop=True)
     if (deg["degree"] <= 0).any():
         raise ValueError("a cell has no neighbours: its degree is not positive")
-    cells = deg["cell"].to_numpy()
+    cells, d = deg["cell"].to_numpy(), deg["degree"].to_numpy()
     n = len(cells)
-    order = {c: i for i, c in enumerate(cells)}
-    features = rows.select("feature").distinct().withColumn("j", F.row_number().over(Window.orderBy("feature")) - 1)
+    spark, sc = x.sparkSession, x.sparkSession.sparkContext
+    features = along(rows.select("feature").distinct(), ["feature"], number="j").withColumn("j", F.col("j") - 1)
+    features = stored(features)
     m = features.count()
-    spark = x.sparkSession
     table = spark.createDataFrame(pd.DataFrame({"cell": cells, "i": np.arange(n)}))
-    packed = materialize(rows.join(table, "cell").join(features, "feature").groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("vs")))
-    d = deg["degree"].to_numpy()
+    packed = stored(rows.join(table, "cell").join(features, "feature").groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("vs")))
     half = 1 / np.sqrt(d)
-    del order
 
     def product(v: np.ndarray) -> np.ndarray:
-        """X X' v."""
+        """X X' v of a block of vectors."""
+        sent = sc.broadcast(v)
 
         def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(m)
+            total = np.zeros((m, v.shape[1]))
             for f in frames:
                 for i, js, vs in zip(f["i"], f["js"], f["vs"], strict=True):
-                    total[np.asarray(js)] += v[i] * np.asarray(vs)
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"j": used, "s": total[used]})
+                    total[np.asarray(js)] += np.asarray(vs)[:, None] * sent.value[i]
+            used = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"j": used, "s": list(total[used])})
 
-        sums = packed.mapInPandas(down, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).toPandas()
-        y = np.zeros(m)
-        y[sums["j"]] = sums["s"]
+        part = packed.mapInPandas(down, "j long, s array<double>").select("j", *[F.get("s", F.lit(k)).alias(f"s{k}") for k in range(v.shape[1])])
+        sums = part.groupBy("j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(v.shape[1])]).toPandas()
+        y = np.zeros((m, v.shape[1]))
+        y[sums["j"]] = sums.drop(columns="j").to_numpy()
+        back = sc.broadcast(y)
 
         def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield pd.DataFrame({"i": f["i"], "s": [float(y[np.asarray(js)] @ np.asarray(vs)) for js, vs in zip(f["js"], f["vs"], strict=True)]})
+                yield pd.DataFrame({"i": f["i"], "s": [np.asarray(vs) @ back.value[np.asarray(js)] for js, vs in zip(f["js"], f["vs"], strict=True)]})
 
-        parts = packed.mapInPandas(across, "i long, s double").toPandas()
-        out = np.zeros(n)
-        out[parts["i"]] = parts["s"]
+        parts = packed.mapInPandas(across, "i long, s array<double>").toPandas()
+        out = np.zeros_like(v)
+        out[parts["i"]] = np.array(parts["s"].to_list())
+        sent.destroy()
+        back.destroy()
         return out
 
     k = min(n_comps, min(n, m) - 1)
-    steps = min(n, steps or max(2 * k + 10, 20))
-    q = np.random.default_rng(seed).normal(size=n)
-    basis = [q / np.linalg.norm(q)]
-    alpha, beta = [], []
-    for j in range(steps):
-        w = half * product(half * basis[j]) - basis[j] / d
-        alpha.append(float(w @ basis[j]))
+    block = np.random.default_rng(seed).normal(size=(n, min(n, k + EXTRA)))
+    basis, image = np.empty((n, 0)), np.empty((n, 0))
+    while True:
         for _ in range(2):
-            w -= np.array(basis).T @ (np.array(basis) @ w)
-        b = float(np.linalg.norm(w))
-        if j == steps - 1 or b < 1e-10:
+            block = block - basis @ (basis.T @ block)
+        block, r = np.linalg.qr(block)
+        block = block[:, np.abs(np.diag(r)) > 1e-10 * max(1.0, np.abs(r).max())][:, : n - basis.shape[1]]
+        if block.shape[1]:
+            block -= basis @ (basis.T @ block)
+            block /= np.linalg.norm(block, axis=0)
+            basis = np.hstack([basis, block])
+            image = np.hstack([image, half[:, None] * product(half[:, None] * block) - block / d[:, None]])
+        h = basis.T @ image
+        values, vectors = np.linalg.eigh((h + h.T) / 2)
+        lead = np.argsort(-np.abs(values))[:k]
+        lead = lead[np.argsort(-values[lead])]
+        rest = np.linalg.norm(image @ vectors[:, lead] - basis @ vectors[:, lead] * values[lead], axis=0)
+        done = rest.max(initial=0.0) <= TOLERANCE * max(np.abs(values).max(initial=0.0), 1e-300)
+        if done or not block.shape[1] or basis.shape[1] >= n or steps is not None and basis.shape[1] >= steps * (k + EXTRA):
             break
-        beta.append(b)
-        basis.append(w / b)
-    size = len(alpha)
-    t = np.diag(alpha) + np.diag(beta[: size - 1], 1) + np.diag(beta[: size - 1], -1)
-    values, vectors = np.linalg.eigh(t)
-    lead = np.argsort(-np.abs(values))[:k]
-    lead = lead[np.argsort(-values[lead])]
-    out = np.array(basis[:size]).T @ vectors[:, lead]
+        block = image[:, -block.shape[1] :]
+    out = basis @ vectors[:, lead]
     out *= np.where(np.abs(out).max(0) == out.max(0), 1.0, -1.0)
     if weighted:
         out, values = out[:, values[lead] > 0], values[lead][values[lead] > 0]
@@ -111,17 +127,58 @@ def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool =
     return spark.createDataFrame([(c.item() if hasattr(c, "item") else c, row.tolist()) for c, row in zip(cells, out, strict=True)], f"cell {dict(x.dtypes)['cell']}, embedding array<double>")
 
 
-def lda(x: DataFrame, n_topics: int = 20, *, max_iter: int = 20, offset: float = 10.0, decay: float = 0.7, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``(cell, topics)`` and ``(topic, feature, weight)`` by online variational Bayes with priors 1/K."""
-    features = materialize(x.select("feature").distinct().withColumn("j", F.row_number().over(Window.orderBy("feature")) - 1))
-    m = features.count()
-    vector = F.udf(lambda pairs: SparseVector(m, sorted((p["j"], float(p["value"])) for p in pairs)), VectorUDT())
-    rows = x.join(features, "feature").groupBy("cell").agg(F.collect_list(F.struct("j", "value")).alias("pairs")).select("cell", vector("pairs").alias("features"))
-    model = LDA(k=n_topics, maxIter=max_iter, optimizer="online", learningOffset=offset, learningDecay=decay, docConcentration=[1 / n_topics], topicConcentration=1 / n_topics, seed=seed).fit(rows)
-    as_list = F.udf(lambda v: v.toArray().tolist(), "array<double>")
-    cells = model.transform(rows).select("cell", as_list("topicDistribution").alias("topics"))
-    described = model.describeTopics(m).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", F.col("t.termIndices").alias("j"), F.col("t.termWeights").alias("weight"))
-    return cells, described.join(features, "j").select("topic", "feature", "weight")
+class Topics:
+    """Topics of a cell-by-feature matrix by online variational Bayes with priors 1/K.
+
+    The model that Spark fits is a table of topics by features, which driver and tasks hold.
+    """
+
+    def __init__(self, n_topics: int = 20, *, max_iter: int = 20, offset: float = 10.0, decay: float = 0.7, seed: int = 0) -> None:
+        self.estimator = LDA(k=n_topics, maxIter=max_iter, optimizer="online", learningOffset=offset, learningDecay=decay, docConcentration=[1 / n_topics], topicConcentration=1 / n_topics, seed=seed)
+        self.model = self.features = None
+
+    def _vectors(self, x: DataFrame) -> DataFrame:
+        """``cell, features`` as sparse vectors: the vector type's own columns, written and read as that type."""
+        m = self.features.count()
+        pairs = F.array_sort(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("v"))))
+        rows = x.filter("value <> 0").join(self.features, "feature").groupBy("cell").agg(pairs.alias("p"))
+        part = lambda c: F.transform("p", lambda p: p[c])
+        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(m).alias("size"), part("j").alias("indices"), part("v").alias("values"))
+        path = f"{shared_dir(x.sparkSession)}/vectors-{uuid.uuid4().hex}"
+        stored(rows.select("cell", vector.alias("features")), path)
+        schema = T.StructType([rows.schema["cell"], T.StructField("features", VectorUDT())])
+        return x.sparkSession.read.schema(schema).parquet(path)
+
+    def fit(self, x: DataFrame) -> Topics:
+        self.features = stored(along(x.select("feature").distinct(), ["feature"], number="j").withColumn("j", F.col("j") - 1))
+        self.model = self.estimator.fit(self._vectors(x))
+        return self
+
+    def transform(self, x: DataFrame) -> DataFrame:
+        """``cell, topics``; features that the model has not seen are left out."""
+        if self.model is None:
+            raise ValueError("the model is not fitted")
+        return self.model.transform(self._vectors(x)).select("cell", vector_to_array("topicDistribution").alias("topics"))
+
+    def fit_transform(self, x: DataFrame) -> DataFrame:
+        return self.fit(x).transform(x)
+
+    def weights(self, n: int | None = None) -> DataFrame:
+        """``topic, feature, weight`` of all features, or the n first of each topic."""
+        if self.model is None:
+            raise ValueError("the model is not fitted")
+        listed = self.model.describeTopics(n or self.features.count())
+        described = listed.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", F.col("t.termIndices").alias("j"), F.col("t.termWeights").alias("weight"))
+        return described.join(self.features, "j").select("topic", "feature", "weight")
+
+    def top_peaks(self, n: int = 10) -> DataFrame:
+        return top_peaks(self.weights(n), n)
+
+
+def lda(x: DataFrame, n_topics: int = 20, **options: float) -> tuple[DataFrame, DataFrame]:
+    """``(cell, topics)`` and ``(topic, feature, weight)``."""
+    model = Topics(n_topics, **options).fit(x)
+    return model.transform(x), model.weights()
 
 
 def top_peaks(topics: DataFrame, n: int = 10) -> DataFrame:

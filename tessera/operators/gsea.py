@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import along
+from ..session import stored
+
 
 def enrichment_scores(ranking: DataFrame, sets: DataFrame, weight: float = 1.0) -> DataFrame:
     """``term, size, es, leading``: ranking (feature, score), sets (term, feature).
@@ -16,7 +19,7 @@ def enrichment_scores(ranking: DataFrame, sets: DataFrame, weight: float = 1.0)
     The running sum is taken at hits only: just before a hit it is at its lowest since the last one,
     and just after at its highest, so misses need no rows of their own.
     """
-    ranked = ranking.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "feature")))
+    ranked = along(ranking, [F.desc("score"), "feature"])
     n = ranking.agg(F.count(F.lit(1)).alias("n"))
     hits = ranked.join(sets.distinct(), "feature").crossJoin(F.broadcast(n)).withColumn("r", F.pow(F.abs("score"), F.lit(weight)))
     w = Window.partitionBy("term").orderBy("rank")
@@ -40,23 +43,31 @@ def _score(places: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.where(high > -low, high, low)
 
 
+#: Ranked features whose scores go to the tasks, eight bytes each.
+MAX_RANKED = 20_000_000
+
+
 def prerank(ranking: DataFrame, sets: DataFrame, *, permutations: int = 1000, min_size: int = 15, max_size: int = 2000, weight: float = 1.0, seed: int = 0) -> DataFrame:
     """``term, size, es, nes, p_value, fdr``; null scores are drawn per set by a generator seeded with its name.
 
-    The ranked scores, one number per feature, go to the tasks once; sets are dealt over tasks.
+    The ranked scores, one number for each of up to ``MAX_RANKED`` features, go to the tasks once; sets are
+    dealt over tasks with their places in the ranking. Null scores of all sets stay in a table, where
+    false discovery rates follow from ranks.
     """
-    rows = ranking.orderBy(F.desc("score"), "feature").select("feature", "score").toPandas()
-    r = np.abs(rows["score"].to_numpy(dtype=float)) ** weight
-    place = {f: i for i, f in enumerate(rows["feature"])}
-    shared = ranking.sparkSession.sparkContext.broadcast((place, r))
-    inside = sets.distinct().join(ranking.select("feature"), "feature", "left_semi").groupBy("term").agg(F.collect_list("feature").alias("features")).filter(F.size("features").between(min_size, max_size))
+    ranked = stored(along(ranking, [F.desc("score"), "feature"]))
+    n = ranked.count()
+    if n > MAX_RANKED:
+        raise ValueError(f"more than {MAX_RANKED} ranked features")
+    r = np.abs(ranked.orderBy("rank").select("score").toPandas()["score"].to_numpy(dtype=float)) ** weight
+    shared = ranking.sparkSession.sparkContext.broadcast(r)
+    placed = sets.distinct().join(ranked.select("feature", (F.col("rank") - 1).alias("place")), "feature")
+    inside = placed.groupBy("term").agg(F.array_sort(F.collect_list("place")).alias("places")).filter(F.size("places").between(min_size, max_size))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, scores = shared.value
+        scores = shared.value
         for f in frames:
-            out = []
-            for term, features in zip(f["term"], f["features"], strict=True):
-                own = np.sort([at[x] for x in features])[None]
+            for term, places in zip(f["term"], f["places"], strict=True):
+                own = np.asarray(places, dtype=np.int64)[None]
                 es = float(_score(own, scores)[0])
                 rng = np.random.default_rng([seed, *str(term).encode()])
                 null = np.concatenate([_score(np.sort(np.stack([rng.choice(len(scores), own.shape[1], replace=False) for _ in range(m)]), axis=1), scores) for m in [min(100, permutations - a) for a in range(0, permutations, 100)]])
@@ -65,21 +76,26 @@ def prerank(ranking: DataFrame, sets: DataFrame, *, permutations: int = 1000, mi
                 side, mean = (pos, mean_pos) if es >= 0 else (-neg, mean_neg)
                 p = float((side >= abs(es)).mean()) if len(side) else 1.0
                 scaled = np.where(null >= 0, null / mean_pos, null / mean_neg)
-                out.append((term, own.shape[1], es, es / mean if mean else 0.0, p, scaled[~np.isnan(scaled)].tolist()))
-            yield pd.DataFrame(out, columns=["term", "size", "es", "nes", "p_value", "null"])
-
-    scored = inside.mapInPandas(run, f"term {dict(sets.dtypes)['term']}, size long, es double, nes double, p_value double, null array<double>")
-    local = scored.select("term", "size", "es", "nes", "p_value", "null").toPandas()
-    nes, null = local["nes"].to_numpy(), np.concatenate(local["null"].to_list()) if len(local) else np.empty(0)
-    fdr = []
-    for x in nes:
-        sign = 1 if x >= 0 else -1
-        a, b = sign * null, sign * nes
-        above = (a >= abs(x)).sum() / max((a >= 0).sum(), 1)
-        seen = (b >= abs(x)).sum() / max((b >= 0).sum(), 1)
-        fdr.append(min(1.0, above / seen if seen else 1.0))
-    local["fdr"] = fdr
-    return ranking.sparkSession.createDataFrame(local.drop(columns="null").sort_values(["nes", "term"], ascending=[False, True]) if len(local) else [], "term string, size long, es double, nes double, p_value double, fdr double")
+                nes = es / mean if mean and not np.isnan(mean) else 0.0
+                yield pd.DataFrame({"term": [term], "size": [own.shape[1]], "es": [es], "nes": [nes], "p_value": [p], "null": [scaled[~np.isnan(scaled)].tolist()]})
+
+    scored = stored(inside.mapInPandas(run, f"term {dict(sets.dtypes)['term']}, size long, es double, nes double, p_value double, null array<double>"))
+    return _discovery_rates(scored)
+
+
+def _discovery_rates(scored: DataFrame) -> DataFrame:
+    """The share of all null scores beyond each score over the share of observed ones, on the side of its sign, one at most."""
+    told = lambda nes, kind: (F.when(nes >= 0, 1).otherwise(-1).alias("side"), F.abs(nes).alias("far"), F.lit(kind).alias("seen"))
+    none = F.lit(None).cast(dict(scored.dtypes)["term"]).alias("term")
+    both = scored.select(F.explode("null").alias("x")).select(none, *told(F.col("x"), 0)).unionByName(scored.select("term", *told(F.col("nes"), 1)))
+    # Null scores come before equal observed ones, so that they count as beyond them.
+    run = along(both, [F.desc("far"), "seen", "term"], {"observed": ("sum", "seen")}, by=("side",), number="place")
+    sizes = both.groupBy("side").agg(F.count_if(F.expr("seen = 0")).alias("n_null"), F.sum("seen").alias("n_seen"))
+    run = run.filter("seen = 1").join(F.broadcast(sizes), "side")  # two rows
+    equal = Window.partitionBy("side", "far")
+    run = run.withColumn("beyond", F.col("place") - F.col("observed")).withColumn("observed", F.max("observed").over(equal))
+    ratio = (F.col("beyond") / F.greatest(F.col("n_null"), F.lit(1))) / (F.col("observed") / F.col("n_seen"))
+    return scored.drop("null").join(run.select("term", F.least(F.lit(1.0), ratio).alias("fdr")), "term").orderBy(F.desc("nes"), "term")
 
 
 def motif_gsea(ranking: DataFrame, hits: DataFrame, **options: float) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import along
 from .intervals import join_points
-from .qc import passing_cells
+from .qc import apply_query, passing_cells
 
 EXCLUDED = ("chrM", "chrY", "M", "Y")
 REGION = r"^(.+)[:;]([0-9]+)-([0-9]+)$"
@@ -47,15 +50,47 @@ def tile_dimension(chrom_sizes: DataFrame, tile_size: int = 5000, exclude: tuple
     return tiles.select("chrom", "tile", start.alias("start"), end.cast("long").alias("end"), F.concat("chrom", F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string")).alias("name"), (F.col("offset") + F.col("tile")).alias("index"))
 
 
-def parse_regions(df: DataFrame, name: str = "feature") -> DataFrame:
-    """``df`` with ``chrom, start, end`` from names as ``chr:1-2`` or ``chr;1-2``; others are dropped."""
+def parse_regions(df: DataFrame, name: str = "feature", closed: bool = False) -> DataFrame:
+    """``df`` with ``chrom, start, end`` from names as ``chr:1-2`` or ``chr;1-2``; others, and empty intervals, are dropped."""
     part = lambda i: F.regexp_extract(name, REGION, i)
-    return df.filter(F.col(name).rlike(REGION)).withColumns({"chrom": part(1), "start": part(2).cast("long"), "end": part(3).cast("long")}).filter("end > start")
+    return df.filter(F.col(name).rlike(REGION)).withColumns({"chrom": part(1), "start": part(2).cast("long"), "end": part(3).cast("long")}).filter("end >= start" if closed else "end > start")
 
 
-def retile(x: DataFrame, tile_size: int) -> DataFrame:
-    """An interval matrix ``cell, feature, value`` on tiles; every tile that is touched gets the full value."""
-    spread = parse_regions(x).withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile_size), F.floor((F.col("end") - 1) / tile_size))))
+#: Columns that tell how many fragments a cell has, by preference, after a join with metrics and before it.
+COUNT_COLUMNS = ("n_unique_metrics", "n_unique", "n_fragment", "n_interval_counts")
+
+
+def retile(x: DataFrame, tile_size: int, *, obs: DataFrame | None = None, metrics: DataFrame | None = None, query: str | None = None, min_fragments: int = 0) -> DataFrame:
+    """An interval matrix ``cell, feature, value`` on tiles; every tile that is touched gets the full value.
+
+    Cells may be judged: ``metrics`` (barcode, ...) are joined to the cells of ``obs`` (cell, ...), clashing
+    names get ``_metrics``, ``query`` filters, and the first of ``COUNT_COLUMNS`` must reach ``min_fragments``;
+    without any of these, the sum of a cell's values does. ValueError if there is no interval name, no
+    common cell, or no cell left.
+    """
+    if tile_size < 1:
+        raise ValueError("a tile has one base at least")
+    named = parse_regions(x)
+    if named.isEmpty():
+        raise ValueError("no feature is named as an interval")
+    cells = x.groupBy("cell").agg(F.sum("value").cast("long").alias("n_interval_counts"))
+    if obs is not None:
+        cells = cells.join(obs.drop("n_interval_counts"), "cell")
+    if metrics is not None:
+        other = metrics.withColumnRenamed("barcode", "cell")
+        clash = [c for c in other.columns if c != "cell" and c in cells.columns]
+        cells = cells.join(other.select("cell", *[F.col(c).alias(f"{c}_metrics" if c in clash else c) for c in other.columns if c != "cell"]), "cell")
+        if cells.isEmpty():
+            raise ValueError("no cell of the matrix has metrics")
+    if query or min_fragments or metrics is not None:
+        if query:
+            cells = apply_query(cells, query)
+        count = next(c for c in COUNT_COLUMNS if c in cells.columns)
+        cells = cells.filter(F.col(count) >= min_fragments)
+        if cells.isEmpty():
+            raise ValueError("no cell passes the filter")
+        named = named.join(cells.select("cell"), "cell", "left_semi")
+    spread = named.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile_size), F.floor((F.col("end") - 1) / tile_size))))
     return spread.groupBy("cell", "chrom", "tile").agg(F.sum("value").cast("long").alias("value"))
 
 
@@ -89,8 +124,12 @@ def gene_matrix(fragments: DataFrame, domains: DataFrame, min_fragments: int = 1
     return per.groupBy("barcode", "id").agg(F.max("n").cast("long").alias("value"))
 
 
-def model_column(model: str) -> Column:
-    """A weight as a function of the column ``_x``; the text may hold numbers, x, arithmetic and a few functions, nothing else."""
+def model_column(model: str | Callable[[Column], Column] | Callable[[pd.Series], pd.Series]) -> Column:
+    """A weight as a function of the column ``_x``.
+
+    A function gets the column, or, wrapped by ``pandas_model``, batches of it; a text may hold numbers, x, arithmetic and a few functions, nothing else."""
+    if callable(model):
+        return model(F.col("_x"))
     words = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"\d+(\.\d*)?[eE][+-]?\d+", "", model)))
     if words - {"x", "exp", "abs", "sqrt", "log", "log2", "log10", "np"} or not re.fullmatch(r"[\w\s.+\-*/(),]*", model):
         raise ValueError(f"cannot use gene model {model!r}")
@@ -100,6 +139,11 @@ def model_column(model: str) -> Column:
     return F.expr(re.sub(r"\bx\b", "_x", body))
 
 
+def pandas_model(f: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
+    """A gene model from a function of pandas series, for what column expressions cannot say."""
+    return F.pandas_udf(f, "double")
+
+
 def gene_score_domains(genes: DataFrame, upstream: int = 5000, downstream: int = 0, use_tss: bool = False, weight_factor: float = 5.0, search: tuple[tuple[int, int], tuple[int, int]] = ((1000, 100000), (1000, 100000)), tile_size: int = 500, boundary: bool = True) -> DataFrame:
     """Genes ``symbol, chrom, lo, hi, strand`` with extended body, weight and search window."""
     (up_min, up_max), (dn_min, dn_max) = search
@@ -108,10 +152,10 @@ def gene_score_domains(genes: DataFrame, upstream: int = 5000, downstream: int =
     s, e = (tss, tss) if use_tss else (F.col("lo"), F.col("hi"))
     ext_lo, ext_hi = F.when(plus, s - upstream).otherwise(s - downstream), F.when(plus, e + downstream).otherwise(e + upstream)
     g = genes.withColumns({"tss": tss, "g_lo": F.greatest(ext_lo, F.lit(1)).cast("long"), "g_hi": ext_hi.cast("long"), "_m": 1.0 / (e - s + 1)})
-    every = Window.partitionBy(F.lit(0))
-    low, high = F.min("_m").over(every), F.max("_m").over(every)
+    low, high = F.col("_low"), F.col("_high")
     weight = F.lit(float(weight_factor)) if use_tss else F.when(high > low, 1 + F.col("_m") * (weight_factor - 1) / (high - low)).otherwise(1.0)
-    g = g.withColumn("gene_weight", weight)
+    g = g.crossJoin(F.broadcast(g.agg(F.min("_m").alias("_low"), F.max("_m").alias("_high"))))  # one row
+    g = g.withColumn("gene_weight", weight).drop("_low", "_high")
     w = Window.partitionBy("chrom").orderBy("g_lo", "symbol")
     left_min, left_max = F.when(plus, up_min).otherwise(dn_min), F.when(plus, up_max).otherwise(dn_max)
     right_min, right_max = F.when(plus, dn_min).otherwise(up_min), F.when(plus, dn_max).otherwise(up_max)
@@ -124,7 +168,7 @@ def gene_score_domains(genes: DataFrame, upstream: int = 5000, downstream: int =
     return g.withColumns({"s_lo": F.greatest(left, F.lit(1)).cast("long"), "s_hi": right.cast("long")}).drop("_m")
 
 
-def gene_scores(fragments: DataFrame, domains: DataFrame, tile_size: int = 500, model: str = "exp(-abs(x)/5000) + exp(-1)", ceiling: int = 4, scale_to: float = 10000.0, cells: DataFrame | None = None) -> DataFrame:
+def gene_scores(fragments: DataFrame, domains: DataFrame, tile_size: int = 500, model: str | Callable[[Column], Column] = "exp(-abs(x)/5000) + exp(-1)", ceiling: int = 4, scale_to: float = 10000.0, cells: DataFrame | None = None) -> DataFrame:
     """``barcode, symbol, value``: tile counts weighted by distance, each cell scaled to the same sum."""
     used = fragments if cells is None else fragments.join(cells.select("barcode").distinct(), "barcode", "left_semi")
     ends = used.select("barcode", "chrom", F.explode(F.array("start", "end")).alias("pos"))
@@ -150,15 +194,16 @@ def select_features(x: DataFrame, n_features: int = 500000, lower: float = 0.005
     Ties are broken by the feature's name; if nothing is left or asked for, nothing is selected.
     """
     counts = feature_counts(x)
-    top = F.row_number().over(Window.orderBy(F.desc("accessibility_count"), "feature"))
     if binary:
-        return counts.withColumn("selected", top <= n_features)
-    positive = counts.filter("accessibility_count > 0")
-    ranked = positive.withColumn("_rank", F.row_number().over(Window.orderBy("accessibility_count", F.desc("feature")))).crossJoin(F.broadcast(positive.agg(F.count(F.lit(1)).alias("_n"))))
+        top = along(counts, [F.desc("accessibility_count"), "feature"], number="_rank")
+        return top.withColumn("selected", F.col("_rank") <= n_features).drop("_rank")
+    ranked = along(counts, ["accessibility_count", F.desc("feature")], number="_rank")
+    # Features without counts come first, and are not ranked.
+    sizes = counts.agg(F.count_if(F.expr("accessibility_count > 0")).alias("_n"), F.count_if(F.expr("accessibility_count <= 0")).alias("_none"))
+    ranked = ranked.crossJoin(F.broadcast(sizes)).withColumn("_rank", F.col("_rank") - F.col("_none"))  # one row
     cut_low, cut_high = F.floor(F.lit(lower) * F.col("_n")), F.col("_n") - F.floor(F.lit(upper) * F.col("_n"))
-    chosen = (F.col("_rank") > F.greatest(cut_low, cut_high - n_features)) & (F.col("_rank") <= cut_high)
-    picked = ranked.withColumn("selected", chosen).select("feature", "selected")
-    return counts.join(picked, "feature", "left").fillna(False, ["selected"])
+    chosen = (F.col("_rank") > F.greatest(cut_low, cut_high - n_features)) & (F.col("_rank") <= cut_high) & (F.col("_rank") > 0)
+    return ranked.select("feature", "accessibility_count", chosen.alias("selected"))
 
 
 def select_features_multi(parts: list[DataFrame], n_features: int = 500000, lower: float = 0.005, upper: float = 0.005, binarize: bool = True) -> DataFrame:

@@ -6,9 +6,11 @@ insertions, not the length of its chromosome.
 
 from __future__ import annotations
 
+import bisect
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -20,10 +22,12 @@ PEAK_KEYS = ("group", "chrom")
 
 def pileup(fragments: DataFrame, d_treat: int = 200, d_ctrl: int = 10000) -> DataFrame:
     """Runs ``group, chrom, start, end, treat, ctrl`` of windows around both ends of each fragment."""
-    last = F.max("end").over(Window.partitionBy(*PEAK_KEYS)) - 1
-    ends = fragments.select(*PEAK_KEYS, "start", "end").withColumn("last", last).select(*PEAK_KEYS, "last", F.explode(F.array("start", "end")).alias("p"))
+    last = fragments.groupBy(*PEAK_KEYS).agg((F.max("end") - 1).alias("last"))
+    # Equal ends are counted before they meet their neighbours; groups and chromosomes are few.
+    ends = fragments.select(*PEAK_KEYS, F.explode(F.array("start", "end")).alias("p")).groupBy(*PEAK_KEYS, "p").agg(F.count(F.lit(1)).alias("k"))
+    ends = ends.join(last, list(PEAK_KEYS))
     clip = lambda c: F.greatest(F.lit(0), F.least(c, F.col("last")))
-    event = lambda off, t, c: F.struct(clip(F.col("p") + off).alias("pos"), F.lit(t).alias("t"), F.lit(c).alias("c"))
+    event = lambda off, t, c: F.struct(clip(F.col("p") + off).alias("pos"), (t * F.col("k")).alias("t"), (c * F.col("k")).alias("c"))
     a, b = d_treat // 2, d_ctrl // 2
     events = ends.select(*PEAK_KEYS, F.explode(F.array(event(-a, 1, 0), event(a, -1, 0), event(-b, 0, 1), event(b, 0, -1))).alias("e"))
     at = events.groupBy(*PEAK_KEYS, F.col("e.pos").alias("start")).agg(F.sum("e.t").alias("t"), F.sum("e.c").alias("c"))
@@ -82,15 +86,52 @@ def call_peaks(fragments: DataFrame, genome_length: float, *, q_thresh: float =
     ).filter(F.col("signal_value") >= fe_cutoff)
 
 
+def group_fragments(fragments: DataFrame, groups: DataFrame) -> DataFrame:
+    """``group, chrom, start, end`` of the fragments (barcode, chrom, start, end) of grouped cells.
+
+    ``groups`` has (barcode, group). Where both have ``source_file``, cells are told by it as well, as
+    barcodes of several samples may be equal.
+    """
+    keys = ["source_file", "barcode"] if "source_file" in groups.columns and "source_file" in fragments.columns else ["barcode"]
+    return fragments.join(groups.select(*keys, "group").distinct(), keys).select("group", "chrom", "start", "end")
+
+
+def read_grouped(spark: SparkSession, path: str, groups: DataFrame, suffixes: tuple[str, str] = ("_tile", ".parquet")) -> DataFrame:
+    """Fragments of grouped cells of one Parquet file, or of a folder of samples.
+
+    In a folder each sample's fragments are ``<sample>.parquet``; ``source_file`` of the groups names the
+    sample's matrix, ``<sample>_tile`` with any ending, or the sample.
+    """
+    from ..sources.formats import COLUMNS, read_fragments
+
+    if "source_file" not in groups.columns:
+        return group_fragments(read_fragments(spark, path), groups)
+    sample = F.regexp_replace(F.regexp_replace("source_file", r"\.[A-Za-z0-9]+$", ""), f"{re.escape(suffixes[0])}$", "")
+    named = groups.select(sample.alias("source_file"), "barcode", "group")
+    names = [r[0] for r in named.select("source_file").distinct().orderBy("source_file").collect()]
+    parts = [read_fragments(spark, f"{path.rstrip('/')}/{n}{suffixes[1]}").select(*COLUMNS, F.lit(n).alias("source_file")) for n in names]
+    if not parts:
+        raise ValueError("there are no groups")
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return group_fragments(every, named)
+
+
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
     """Of overlapping windows keeps the best by p-value, ties leftmost, and drops what overlaps it."""
     frame = frame.sort_values(["p_value", "start", "end"], ascending=[False, True, True])
     kept: list[int] = []
-    spans: list[tuple[int, int]] = []
-    for i, (a, b) in enumerate(zip(frame["start"], frame["end"], strict=True)):
-        if all(b <= s or a >= e for s, e in spans):
-            spans.append((a, b))
-            kept.append(i)
+    starts: list[int] = []
+    ends: list[int] = []
+    # Kept windows don't overlap, so only the neighbours of a new one can overlap it.
+    for i, (a, b) in enumerate(zip(frame["start"].tolist(), frame["end"].tolist(), strict=True)):
+        at = bisect.bisect_right(starts, a)
+        if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
+            continue
+        starts.insert(at, a)
+        ends.insert(at, b)
+        kept.append(i)
     return frame.iloc[kept]
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import stored
 from .intervals import deep_segments, join_overlaps, join_points, union_intervals
 
 MITO = ("chrM", "M")
@@ -52,12 +54,85 @@ def compute_metrics(fragments: DataFrame, tss: DataFrame, window: int = 2000, sm
     return cells.join(score, "barcode", "left").withColumn("tsse_score", F.coalesce("tsse_score", F.lit(0.0))).select("barcode", "tsse_score", "n_unique", "duplicate_fraction", "mito_fraction")
 
 
+_WORD = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(?P<text>'[^']*'|\"[^\"]*\")|(?P<name>`[^`]+`|[A-Za-z_]\w*)|(?P<op><=|>=|==|!=|[<>()&|~-]))")
+
+
+class _Predicate:
+    """Comparisons of columns and constants, joined by and, or, not and parentheses."""
+
+    def __init__(self, text: str, columns: list[str]) -> None:
+        self.words: list[tuple[str, str]] = []
+        self.columns = columns
+        at = 0
+        while text[at:].strip():
+            m = _WORD.match(text, at)
+            if not m:
+                raise ValueError(f"cannot read filter query {text!r} at {text[at:].strip()[:20]!r}")
+            kind = m.lastgroup or ""
+            word = m[kind]
+            if kind == "name" and word in ("and", "or", "not"):
+                kind, word = "op", {"and": "&", "or": "|", "not": "~"}[word]
+            self.words.append((kind, word))
+            at = m.end()
+        self.text, self.at = text, 0
+        self.column = self.any_of()
+        if self.at < len(self.words):
+            raise ValueError(f"cannot read filter query {text!r} at {self.words[self.at][1]!r}")
+
+    def take(self, *ops: str) -> str | None:
+        if self.at < len(self.words) and self.words[self.at][0] == "op" and self.words[self.at][1] in ops:
+            self.at += 1
+            return self.words[self.at - 1][1]
+        return None
+
+    def any_of(self) -> Column:
+        out = self.all_of()
+        while self.take("|"):
+            out = out | self.all_of()
+        return out
+
+    def all_of(self) -> Column:
+        out = self.one()
+        while self.take("&"):
+            out = out & self.one()
+        return out
+
+    def one(self) -> Column:
+        if self.take("~"):
+            return ~self.one()
+        if self.take("("):
+            out = self.any_of()
+            if not self.take(")"):
+                raise ValueError(f"a parenthesis is open in filter query {self.text!r}")
+            return out
+        left, out = self.value(), None
+        while op := self.take("<", "<=", ">", ">=", "==", "!="):
+            right = self.value()
+            more = {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right, "==": left == right, "!=": left != right}[op]
+            left, out = right, more if out is None else out & more
+        if out is None:
+            raise ValueError(f"filter query {self.text!r} lacks a comparison")
+        return out
+
+    def value(self) -> Column:
+        sign = -1 if self.take("-") else 1
+        kind, word = self.words[self.at] if self.at < len(self.words) else ("", "its end")
+        self.at += 1
+        if kind == "number":
+            return F.lit(sign * (float(word) if re.search("[.eE]", word) else int(word)))
+        if kind == "text" and sign > 0:
+            return F.lit(word[1:-1])
+        if kind == "name" and word.strip("`") in self.columns:
+            return F.col(f"`{word.strip('`')}`") * sign if sign < 0 else F.col(f"`{word.strip('`')}`")
+        raise ValueError(f"cannot read filter query {self.text!r} at {word!r}")
+
+
 def apply_query(df: DataFrame, query: str) -> DataFrame:
-    """Rows that satisfy a predicate of comparisons joined by and, or, not; ValueError if it cannot be read."""
-    try:
-        return df.filter(F.expr(query))
-    except (ParseException, AnalysisException) as e:
-        raise ValueError(f"cannot apply filter query {query!r}: {e}") from e
+    """Rows that satisfy comparisons (``> < >= <= == !=``, chained as well) joined by and, or, not; ValueError if it cannot be read.
+
+    Nothing else is read, so no function can be called.
+    """
+    return df.filter(_Predicate(query, df.columns).column)
 
 
 def add_prefix(df: DataFrame, prefix: str | None, column: str = "barcode") -> DataFrame:
@@ -82,12 +157,17 @@ def filter_fragments(fragments: DataFrame, *, metrics: DataFrame | None = None,
     return df.join(passing_cells(df, metrics, query, min_fragments), "barcode", "left_semi").select(*fragments.columns)
 
 
+def _untouched(df: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows whose interval shares no position with any of the spans of its chromosome, told by their place and not by a number."""
+    spans = spans.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    places = df.select("chrom", "start", "end").distinct()
+    hit = join_overlaps(places, spans, "start", "end", "r_start", "r_end").select("chrom", "start", "end").distinct()
+    return df.join(hit, ["chrom", "start", "end"], "left_anti").select(*df.columns)
+
+
 def without_repeats(fragments: DataFrame, repeats: DataFrame) -> DataFrame:
     """Fragments that touch no repeat of their chromosome."""
-    keyed = fragments.withColumn("_id", F.monotonically_increasing_id())
-    spans = repeats.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    hit = join_overlaps(keyed.select("_id", "chrom", "start", "end"), spans, "start", "end", "r_start", "r_end").select("_id").distinct()
-    return keyed.join(hit, "_id", "left_anti").drop("_id")
+    return _untouched(fragments, repeats)
 
 
 def overlap_segments(fragments: DataFrame, expected: int = 2, max_insert: int = 900) -> DataFrame:
@@ -108,6 +188,12 @@ def poisson_excess(counts: DataFrame, value: str, key: tuple[str, ...]) -> DataF
     return stats.benjamini_hochberg(tested, "p_value", "q_value", tie=key)
 
 
+def repeat_regions(per_region: DataFrame, q_repeat: float = 0.01) -> DataFrame:
+    """Regions (chrom, start, end, n) that more cells share than chance lets expect."""
+    tested = poisson_excess(per_region, "n", ("chrom", "start", "end"))
+    return tested.filter(F.col("q_value") < q_repeat).select("chrom", "start", "end")
+
+
 def detect_doublets(
     fragments: DataFrame, *, barcodes: DataFrame | None = None, min_fragments: int = 100, expected: int = 2, max_insert: int = 900,
     q_threshold: float = 0.01, q_repeat: float = 0.01, repeats: DataFrame | None = None, min_overlap_bp: int = 1,
@@ -123,17 +209,16 @@ def detect_doublets(
     reads = reads.join(cells, "barcode", "left_semi")
     if repeats is not None:
         reads = without_repeats(reads, repeats)
-    segments = overlap_segments(reads, expected, max_insert).filter(F.col("end") - F.col("start") >= min_overlap_bp)
+    segments = stored(overlap_segments(reads, expected, max_insert).filter(F.col("end") - F.col("start") >= min_overlap_bp))
     regions = union_intervals(segments.select("chrom", "start", "end"))
     found = incidence(regions, segments)
     per_region = regions.join(found.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n")), ["chrom", "start", "end"], "left").fillna(0, ["n"])
-    common = poisson_excess(per_region, "n", ("chrom", "start", "end")).filter(F.col("q_value") < q_repeat).select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    kept = segments.withColumn("_id", F.monotonically_increasing_id())
-    touched = join_overlaps(kept.select("_id", "chrom", "start", "end"), common, "start", "end", "r_start", "r_end").select("_id").distinct()
-    kept = kept.join(touched, "_id", "left_anti")
+    kept = stored(_untouched(segments, repeat_regions(per_region, q_repeat)))
     found = incidence(union_intervals(kept.select("chrom", "start", "end")), kept)
     per_cell = cells.join(found.groupBy("barcode").agg(F.count(F.lit(1)).alias("n")), "barcode", "left").fillna(0, ["n"])
     tested = poisson_excess(per_cell, "n", ("barcode",))
-    none = F.max("n").over(Window.partitionBy(F.lit(0))) == 0
+    most = per_cell.agg(F.max("n").alias("_most"))
+    none = F.coalesce(F.col("_most"), F.lit(0)) == 0
     p, q = F.when(none, 1.0).otherwise(F.col("p_value")), F.when(none, 1.0).otherwise(F.col("q_value"))
+    tested = tested.crossJoin(F.broadcast(most))  # one row
     return tested.select(F.col("barcode").alias("cell_id"), p.alias("p_value"), q.alias("q_value")).withColumn("is_doublet", F.col("q_value") < q_threshold)

@@ -24,14 +24,15 @@ PEAK_FRAGMENTS = (
     "frag as (select chrom, t as s, t + e - s as e, barcode, n, g from frag1)",
 )
 CELLS = """cells as (select barcode from frag group by barcode having count(*) >= 100)"""
+# An annotation doesn't grow with the number of cells: all parts together make 200 transcripts.
 TRANSCRIPTS = """tx as (
-  select concat('chr', cast(1+p_partkey%6 as varchar)) as chrom, (p_partkey*97)%195000+1 as g_start, (p_partkey*97)%195000+1+p_size*100 as g_end,
-         case when (p_partkey-p_partkey%6)%12=0 then '+' else '-' end as strand, concat('T', cast(p_partkey as varchar)) as transcript_id,
-         concat('G', cast(p_partkey%60 as varchar)) as gene_id
-  from part where p_partkey<200)"""
+  select concat('chr', cast(1+k%6 as varchar)) as chrom, (k*97)%195000+1 as g_start, (k*97)%195000+1+p_size*100 as g_end,
+         case when (k-k%6)%12=0 then '+' else '-' end as strand, concat('T', cast(k as varchar)) as transcript_id,
+         concat('G', cast(k%60 as varchar)) as gene_id
+  from (select p_partkey%200 as k, max(p_size) as p_size from part group by 1))"""
 DNA = """dna as (
-  select doc_id, substr(translate(regexp_replace(text,'[^A-Za-z]','','g'),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT'),1,500) as seq
+  select doc_id, translate(regexp_replace(text,'[^A-Za-z]','','g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT') as seq
   from documents)"""
 TILES = """hit as (
   select barcode, chrom, n, s//5000 as tile from frag
@@ -63,9 +64,10 @@ def sizes(spark: SparkSession) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
+    k = F.col("k")
     start = (k * 97) % 195000 + 1
-    return table(spark, d, "part").filter(k < 200).select(
+    parts = table(spark, d, "part").groupBy((F.col("p_partkey") % 200).alias("k")).agg(F.max("p_size").alias("p_size"))
+    return parts.select(
         F.concat(F.lit("chr"), (1 + k % 6).cast("string")).alias("chrom"), start.alias("g_start"), (start + F.col("p_size") * 100).alias("g_end"),
         F.when((k - k % 6) % 12 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("T"), k.cast("string")).alias("transcript_id"),
         F.concat(F.lit("G"), (k % 60).cast("string")).alias("gene_id"),
@@ -78,10 +80,11 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The letters of whole texts, read as bases."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     letters += letters.lower()
-    seq = F.substring(F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), letters, "ACGT" * 13), 1, 500)
-    return table(spark, d, "documents").select(F.col("doc_id").alias("region"), seq.alias("seq"))
+    seq = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), letters, "ACGT" * 13)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("region"), seq.alias("seq"), "lang")
 
 
 def ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -58,17 +58,18 @@ def qc_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("barcode", "n_unique", rounded("duplicate_fraction").alias("duplicate_fraction"), rounded("mito_fraction").alias("mito_fraction"))
 
 
-@query(
-    _with(
-        fx.FRAGMENTS, fx.CELLS, fx.TRANSCRIPTS,
-        "tss as (select distinct chrom, case when strand = '-' then g_end - 1 else g_start - 1 end as t, strand from tx)",
-        "ins as (select barcode, chrom, s as p from frag union all select barcode, chrom, e - 1 from frag)",
-        "o as (select barcode, case when strand = '-' then t - p else p - t end + 2000 as o from ins join tss using (chrom) where p between t - 2000 and t + 2000)",
-        """b as (select barcode, sum(case when o < 100 then 1 else 0 end) as b0, sum(case when o >= 100 and o between 1995 and 2005 then 1 else 0 end) as b1,
-           sum(case when o > 3900 then 1 else 0 end) as b2 from o group by barcode)""",
-    )
-    + "select barcode, round(coalesce((b1 / 11.0) / ((b0 / 100.0 + b2 / 100.0) / 2 + 0.1), 0), 8) as tsse_score from cells left join b using (barcode)"
+_TSSE = (
+    fx.FRAGMENTS, fx.CELLS, fx.TRANSCRIPTS,
+    "tss as (select distinct chrom, case when strand = '-' then g_end - 1 else g_start - 1 end as t, strand from tx)",
+    "ins as (select barcode, chrom, s as p from frag union all select barcode, chrom, e - 1 from frag)",
+    "o as (select barcode, case when strand = '-' then t - p else p - t end + 2000 as o from ins join tss using (chrom) where p between t - 2000 and t + 2000)",
+    """b as (select barcode, sum(case when o < 100 then 1 else 0 end) as b0, sum(case when o >= 100 and o between 1995 and 2005 then 1 else 0 end) as b1,
+       sum(case when o > 3900 then 1 else 0 end) as b2 from o group by barcode)""",
+    "sc as (select barcode, coalesce((b1 / 11.0) / ((b0 / 100.0 + b2 / 100.0) / 2 + 0.1), 0) as tsse from cells left join b using (barcode))",
 )
+
+
+@query(_with(*_TSSE) + "select barcode, round(tsse, 8) as tsse_score from sc")
 def tsse(spark: SparkSession, d: str) -> DataFrame:
     frags = fx.fragments(spark, d)
     return qc.compute_metrics(frags, qc.tss_of(fx.transcripts(spark, d))).select("barcode", rounded("tsse_score").alias("tsse_score"))
@@ -150,6 +151,32 @@ def doublet_pq(spark: SparkSession, d: str) -> DataFrame:
     return qc.poisson_excess(cells, "n", ("barcode",)).select("barcode", rounded("p_value").alias("p_value"), rounded("q_value").alias("q_value"))
 
 
+@query(
+    _with(
+        fx.FRAGMENTS, *_SWEEP, *_UNION,
+        "k1 as (select reg.chrom, reg.s, reg.e, count(inc.barcode) as k from reg left join inc on reg.chrom = inc.chrom and reg.s = inc.s and reg.e = inc.e group by all)",
+        f"p as (select *, greatest(0, least(1, {_POISSON})) as p from (select *, avg(k) over () as m from k1))",
+        "r as (select *, count(*) over () as n, row_number() over (order by p, chrom, s, e) as rk from p)",
+        "q as (select *, least(1, min(p * n / rk) over (order by rk rows between current row and unbounded following)) as q from r)",
+    )
+    + 'select chrom, s as start, e as "end", round(p, 8) as p_value, round(q, 8) as q_value from q'
+)
+def repeat_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Regions by number of cells, from which those of repeats are inferred."""
+    seg = materialize(_segments(spark, d))
+    regions = intervals.union_intervals(seg.select("chrom", "start", "end"))
+    found = qc.incidence(regions, seg).groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    per = regions.join(found, ["chrom", "start", "end"], "left").fillna(0, ["n"])
+    return qc.poisson_excess(per, "n", ("chrom", "start", "end")).select("chrom", "start", "end", rounded("p_value").alias("p_value"), rounded("q_value").alias("q_value"))
+
+
+@query(_with(fx.FRAGMENTS, "rp as (select concat('chr', cast(1 + i % 6 as varchar)) as chrom, i * 7919 % 200000 as lo, i * 7919 % 200000 + 900 as hi from (select unnest(range(0, 90)) as i))") + 'select chrom, s as start, e as "end", barcode, n as count from frag where not exists (select 1 from rp where rp.chrom = frag.chrom and s <= hi and e >= lo)')
+def without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    spans = spark.range(90).select(F.concat(F.lit("chr"), (1 + i % 6).cast("string")).alias("chrom"), (i * 7919 % 200000).alias("start"), (i * 7919 % 200000 + 900).alias("end"))
+    return qc.without_repeats(fx.fragments(spark, d).select(formats.COLUMNS), spans)
+
+
 @query()
 def detect_doublets(spark: SparkSession, d: str) -> DataFrame:
     return qc.detect_doublets(fx.fragments(spark, d))
@@ -330,9 +357,24 @@ def _called(spark: SparkSession, d: str) -> DataFrame:
     return peaks.call_peaks(_grouped(spark, d), fx.GENOME, q_thresh=0.05, peak_amp=100)
 
 
-@query()
+@query(
+    _with(
+        *fx.PEAK_FRAGMENTS, *_PILE,
+        "byp as (select g, p_score as p, sum(e - s) as bases from scored group by all)",
+        "qt as (select g, p, p + log10(1.0 + coalesce(sum(bases) over (partition by g order by p desc rows between unbounded preceding and 1 preceding), 0)) - log10(cast(sum(bases) over (partition by g) as double)) as raw from byp)",
+        "q as (select g, p, greatest(0, min(raw) over (partition by g order by p desc)) as q_score from qt)",
+        "good as (select scored.*, q_score from scored join q on scored.g = q.g and p_score = q.p where q_score >= -log10(0.05))",
+        "fl as (select *, case when s - (lag(e) over w - 1) < 30 then 0 else 1 end as fresh from good window w as (partition by g, chrom order by s))",
+        "isl2 as (select *, sum(fresh) over (partition by g, chrom order by s) as i from fl)",
+        "best as (select *, min(s) over own as lo, max(e) over own - 1 as hi, row_number() over (partition by g, chrom, i order by p_score desc, s) as r from isl2 window own as (partition by g, chrom, i))",
+        "peak as (select *, (treat + 1.0::double) / (lam + 1) as signal from best where r = 1 and hi - lo >= 99)",
+    )
+    + """select cast(g as int) as "group", chrom, lo as start, hi as "end", concat(cast(g as varchar), '_', chrom, '_', cast(lo as varchar)) as name, cast(least(floor(q_score * 10), 1000) as int) as score,
+       '.' as strand, round(signal, 6) as signal_value, round(p_score, 4) as p_value, round(q_score, 4) as q_value, s - lo as peak from peak where signal >= 1"""
+)
 def call_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return _called(spark, d)
+    called = _called(spark, d)
+    return called.withColumns({"signal_value": F.round("signal_value", 6), "p_value": F.round("p_value", 4), "q_value": F.round("q_value", 4)})
 
 
 @query()
@@ -397,10 +439,18 @@ def marker_test(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("feature", F.col("fg").cast("long").alias("fg"), F.col("bg").cast("long").alias("bg"), rounded("log2_fc").alias("log2_fc"), rounded("p_value").alias("p_value"), rounded("fdr").alias("fdr"))
 
 
-@query(_MARK + "select feature, round(lfc, 8) as log2_fc, row_number() over (order by round(fdr, 8), round(abs(lfc), 8) desc, feature) as rank from res where lfc > 0 qualify rank <= 10")
+@query(_MARK + "select feature, fg, bg, round(lfc, 8) as log2_fc, round(fdr, 8) as fdr from res, nn where (fg / n_fg >= 0.3 or bg / n_bg >= 0.3) and abs(lfc) >= 0.2")
+def marker_peaks(spark: SparkSession, d: str) -> DataFrame:
+    cells = fx.fragments(spark, d).select(F.col("barcode").alias("cell"), F.col("group").cast("string").alias("group")).distinct()
+    x = materialize(_cells_matrix(spark, d))
+    out = markers.marker_peaks(x, cells.join(x.select("cell").distinct(), "cell", "left_semi"), ["1"], min_pct=0.3, min_log2_fc=0.2)
+    return out.select("feature", F.col("fg").cast("long").alias("fg"), F.col("bg").cast("long").alias("bg"), rounded("log2_fc").alias("log2_fc"), rounded("fdr").alias("fdr"))
+
+
+@query(_MARK + "select feature, round(lfc, 8) as log2_fc, row_number() over (order by round(fdr, 8), round(abs(lfc), 8) desc, feature) as rank from res where lfc > 0.1 and fdr < 1 - 1e-9 qualify rank <= 10")
 def marker_top(spark: SparkSession, d: str) -> DataFrame:
     r = _marked(spark, d).withColumn("fdr", rounded("fdr")).withColumn("log2_fc", rounded("log2_fc"))
-    return markers.top_markers(r, fdr=2.0, n=10).select("feature", "log2_fc", F.col("rank").cast("long").alias("rank"))
+    return markers.top_markers(r, fdr=1 - 1e-9, log2_fc=0.1, n=10).select("feature", "log2_fc", F.col("rank").cast("long").alias("rank"))
 
 
 # Sequences and motifs -------------------------------------------------------------------------
@@ -466,36 +516,69 @@ def pwm_scan(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     models = [motifs.Motif(m, np.eye(4)[[motifs.BASES.index(b) for b in k]]) for m, k in _KMERS]
-    return motifs.scan_motifs(fx.sequences(spark, d), models, p_value=4.0**-6 * 1.01)
+    return motifs.scan_motifs(fx.sequences(spark, d), models, p_value=4.0**-6 * 1.01, background="even")
 
 
-@query(
-    _with(
-        fx.DNA, _HITS, "tg as (select cast(doc_id % 4 as bigint) as g, doc_id as region from dna)", "al as (select count(*) as n_all from dna)", "hm as (select motif, count(*) as n_hit from hits group by motif)",
-        "sz as (select g, count(*) as n_draw from tg group by g)", "kk as (select g, motif, count(*) as k from tg join hits using (region) group by g, motif)",
-        "gr as (select sz.g, hm.motif, n_draw, n_hit, n_all, coalesce(k, 0) as k from sz cross join hm cross join al left join kk on sz.g = kk.g and hm.motif = kk.motif)",
-        """ps as (select *, case when k <= 0 then 1 else least(1, list_sum(list_transform(range(greatest(k, 0, n_draw + n_hit - n_all), least(n_hit, n_draw) + 1), lambda j:
-           exp(lgamma(n_hit + 1.0) - lgamma(j + 1.0) - lgamma(n_hit - j + 1.0) + lgamma(n_all - n_hit + 1.0) - lgamma(n_draw - j + 1.0) - lgamma(n_all - n_hit - n_draw + j + 1.0)
-           - lgamma(n_all + 1.0) + lgamma(n_draw + 1.0) + lgamma(n_all - n_draw + 1.0))))) end as p from gr)""",
-        "rk as (select *, row_number() over (partition by g order by p, motif) as r, count(*) over (partition by g) as m from ps)",
-    )
-    + 'select g as "group", motif, k, round(p, 6) as p_value, round(least(1, min(p * m / r) over (partition by g order by r rows between current row and unbounded following)), 6) as fdr from rk'
+_ENRICH = (
+    "tg as (select cast(doc_id % 4 as bigint) as g, doc_id as region from dna)", "al as (select count(*) as n_all from dna)", "hm as (select motif, count(*) as n_hit from hits group by motif)",
+    "sz as (select g, count(*) as n_draw from tg group by g)", "kk as (select g, motif, count(*) as k from tg join hits using (region) group by g, motif)",
+    "gr as (select sz.g, hm.motif, n_draw, n_hit, n_all, coalesce(k, 0) as k from sz cross join hm cross join al left join kk on sz.g = kk.g and hm.motif = kk.motif)",
+    "fc as (select *, case when k = 0 then -1e9 else log2((k / n_draw) / (n_hit / n_all)) end as lfc from gr)",
 )
-def motif_enrichment(spark: SparkSession, d: str) -> DataFrame:
+_ENRICHED = (
+    "rk as (select *, row_number() over (partition by g order by p, motif) as r, count(*) over (partition by g) as m from ps)",
+    'fin as (select g as "group", motif, k, n_hit, lfc, p, least(1, min(p * m / r) over (partition by g order by r rows between current row and unbounded following)) as q from rk)',
+)
+
+
+def _enrichment_sql(tail: str, low: str, high: str) -> str:
+    """Upper tails of enriched motifs and lower ones of depleted ones; ``tail`` is the log of a chance at j."""
+    ps = f"ps as (select *, least(1, list_sum(list_transform(case when lfc >= 0 then range(k, {high} + 1) else range({low}, k + 1) end, lambda j: exp({tail})))) as p from fc)"
+    said = 'select "group", motif, k, n_hit, case when k = 0 then null else round(lfc, 8) end as log2_fc, round(p, 6) as p_value, round(q, 6) as fdr from fin'
+    return _with(fx.DNA, _HITS, *_ENRICH, ps, *_ENRICHED) + said
+
+
+_CHOOSE = "lgamma({a} + 1.0) - lgamma({b} + 1.0) - lgamma({a} - {b} + 1.0)"
+_HYPER = " + ".join([_CHOOSE.format(a="n_hit", b="j"), _CHOOSE.format(a="(n_all - n_hit)", b="(n_draw - j)")]) + " - (" + _CHOOSE.format(a="n_all", b="n_draw") + ")"
+_SHARE = "greatest(1e-10, least(1 - 1e-10, n_hit / n_all))"
+
+
+def _enriched(spark: SparkSession, d: str, method: str) -> DataFrame:
     regions = fx.sequences(spark, d).select("region")
-    out = motifs.motif_enrichment(materialize(_hits(spark, d)), regions.withColumn("group", F.col("region") % 4), regions)
-    return out.select("group", "motif", "k", F.round("p_value", 6).alias("p_value"), F.round("fdr", 6).alias("fdr"))
+    out = motifs.motif_enrichment(materialize(_hits(spark, d)), regions.withColumn("group", F.col("region") % 4), regions, method)
+    fold = F.when(F.col("k") > 0, F.round("log2_fc", 8))
+    return out.select("group", "motif", "k", "n_hit", fold.alias("log2_fc"), F.round("p_value", 6).alias("p_value"), F.round("fdr", 6).alias("fdr"))
+
+
+@query(_enrichment_sql(_HYPER, "greatest(0, n_draw + n_hit - n_all)", "least(n_hit, n_draw)"))
+def motif_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    return _enriched(spark, d, "hypergeometric")
+
+
+@query(_enrichment_sql(f"{_CHOOSE.format(a='n_draw', b='j')} + j * ln({_SHARE}) + (n_draw - j) * ln(1 - {_SHARE})", "0", "n_draw"))
+def motif_enrichment_binomial(spark: SparkSession, d: str) -> DataFrame:
+    return _enriched(spark, d, "binomial")
 
 
 @query()
 def matched_background(spark: SparkSession, d: str) -> DataFrame:
     seqs = fx.sequences(spark, d)
-    return motifs.matched_background(seqs.filter("region % 10 = 0"), seqs, 300)
+    return motifs.matched_background(seqs.filter("lang = 'fr'"), seqs, 300)
 
 
 @query()
 def background_bins(spark: SparkSession, d: str) -> DataFrame:
-    return motifs.background_bins(motifs.whiten(_bias(spark, d), ("x", "y")), n_iterations=10)
+    return motifs.background_bins(motifs.whiten(_bias(spark, d), ("x", "y")))
+
+
+@query(
+    _with(_BIAS, "c as (select var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as d from b)", "l as (select sqrt(a) as l11, b / sqrt(a) as l21, sqrt(d - b * b / a) as l22 from c)",
+          "w as (select feature, x / l11 as w0, (y - l21 * x / l11) / l22 as w1 from b, l)",
+          "p as (select q.feature, o.feature as background, row_number() over (partition by q.feature order by sqrt((q.w0 - o.w0) ** 2 + (q.w1 - o.w1) ** 2), o.feature) as r from w q, w o where q.feature <> o.feature)")
+    + "select feature, cast(r - 1 as int) as iteration, background from p where r <= 5"
+)
+def background_knn(spark: SparkSession, d: str) -> DataFrame:
+    return motifs.sample_background(_bias(spark, d), columns=("x", "y"), n_iterations=5).select("feature", F.col("iteration").cast("int").alias("iteration"), "background")
 
 
 # Deviations, sets and embeddings --------------------------------------------------------------
@@ -535,11 +618,11 @@ def chromvar(spark: SparkSession, d: str) -> DataFrame:
     """Documents as features, their letters as sequences, counts from their words."""
     import numpy as np
 
-    seqs = fx.sequences(spark, d).filter("length(seq) >= 20 and region < 300")
-    x = table(spark, d, "documents").filter("doc_id < 300").join(seqs.select("region"), F.col("doc_id") == F.col("region"), "left_semi")
-    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cell"), F.col("doc_id").alias("feature"), F.col("n_chars")).withColumn("value", (F.col("n_chars") + F.col("cell") * F.col("feature")) % 7 + 1).drop("n_chars")
+    seqs = fx.sequences(spark, d).select("region", "seq")
+    x = table(spark, d, "documents").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cell"), F.col("doc_id").alias("feature"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    x = x.select("cell", "feature", ((F.col("n") + F.col("cell") * F.col("feature")) % 7 + 1).alias("value"))
     models = [motifs.Motif(m, np.eye(4)[[motifs.BASES.index(b) for b in k]]) for m, k in _KMERS[:3]]
-    return deviations.chromvar(materialize(x), materialize(seqs), models, p_value=4.0**-6 * 1.01, n_iterations=10)
+    return deviations.chromvar(materialize(x), seqs, models, p_value=4.0**-6 * 1.01, base="even")
 
 
 @query(
@@ -557,7 +640,7 @@ def gsea_es(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gsea_prerank(spark: SparkSession, d: str) -> DataFrame:
-    return gsea.prerank(fx.ranking(spark, d), fx.term_sets(spark, d), permutations=200)
+    return gsea.prerank(fx.ranking(spark, d), fx.term_sets(spark, d))
 
 
 _IDF = (
@@ -585,8 +668,7 @@ def spectral(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
-    _, topics = embed.lda(materialize(_cells_matrix(spark, d)), 4, max_iter=5)
-    return embed.top_peaks(topics, 10)
+    return embed.Topics(4, max_iter=5).fit(materialize(_cells_matrix(spark, d))).top_peaks(10)
 
 
 @query(_with(fx.FRAGMENTS, "h as (select barcode, chrom, s//5000 as tile from frag union all select barcode, chrom, (e-1)//5000 from frag where (e-1)//5000 <> s//5000)") + "select barcode, chrom, tile, count(*) as value from h group by all")
@@ -612,18 +694,18 @@ def fragment_size_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _with(fx.FRAGMENTS, "m as (select barcode, count(*) as n from frag group by barcode having count(*) >= 100)")
-    + "select cast(floor(log10(n + 1) * 10) as bigint) as x, cast(0 as bigint) as y, count(*) as n from m group by 1"
+    _with(*_TSSE, "m as (select barcode, count(*) as n from frag group by barcode having count(*) >= 100)")
+    + "select cast(floor(log10(n + 1) * 10) as bigint) as x, cast(least(floor(tsse), 50) as bigint) as y, count(*) as n from m join sc using (barcode) group by 1, 2"
 )
 def qc_panel(spark: SparkSession, d: str) -> DataFrame:
-    cells = qc.qc_metrics(fx.fragments(spark, d)).withColumn("tsse_score", F.lit(0.5))
-    return plots.qc_grid(cells)
+    return plots.qc_grid(qc.compute_metrics(fx.fragments(spark, d), qc.tss_of(fx.transcripts(spark, d))))
 
 
-@query()
+@query(_enrichment_sql(_HYPER, "greatest(0, n_draw + n_hit - n_all)", "least(n_hit, n_draw)").split("select \"group\", motif, k, n_hit, case")[0]
+       + 'select "group", motif, row_number() over (partition by "group" order by round(q, 6), round(lfc, 6) desc, motif) as rank from fin qualify rank <= 3')
 def top_motifs(spark: SparkSession, d: str) -> DataFrame:
-    regions = fx.sequences(spark, d).select("region")
-    return plots.top_motifs(motifs.motif_enrichment(materialize(_hits(spark, d)), regions.withColumn("group", F.col("region") % 4), regions), 3)
+    out = _enriched(spark, d, "hypergeometric").withColumn("log2_fc", F.coalesce(F.round("log2_fc", 6), F.lit(-1e9)))
+    return plots.top_motifs(out, 3).select("group", "motif", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_with(fx.FRAGMENTS) + "select chrom, s as start, e as \"end\", concat('L_', barcode) as barcode, n as count from frag")
@@ -635,10 +717,20 @@ def fragments_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
     base = f"{shared_dir(spark)}/fragments-{uuid.uuid4().hex}"
     fx.fragments(spark, d).select(formats.COLUMNS).write.csv(f"{base}/text", sep="\t", compression="gzip")
-    formats.make_parquet(spark, f"{base}/text", f"{base}/parquet", prefix="L_", partitions=8)
+    formats.make_parquet(spark, f"{base}/text", f"{base}/parquet", prefix="L_")
     return formats.read_fragments(spark, f"{base}/parquet")
 
 
-@query("select cast(k as bigint) as k, round(1 - list_sum(list_transform(range(0, k + 1), lambda j: exp(-3.5 + j * ln(3.5) - lgamma(j + 1.0)))), 10) as p from (select unnest(range(0, 15)) as k)")
+_MEANS = (0.1, 3.5, 40.0, 1000.0, 20000.0, 1e6)
+
+
+@query(
+    f"""with g as (select unnest([{", ".join(f"{m}::double" for m in _MEANS)}]) as m),
+    e as (select m, cast(floor(m + (i - 12) * sqrt(m) / 2) as bigint) as k from (select m, unnest(range(0, 25)) as i from (select distinct m from g)))
+    select k, m as mean, round(least(1, case when k + 1 >= m then list_sum(list_transform(range(1, cast(12 * sqrt(m) as bigint) + 60), lambda j: exp(-m + (k + j) * ln(m) - lgamma(k + j + 1.0))))
+      else 1 - list_sum(list_transform(range(cast(greatest(0, k - 12 * sqrt(m) - 60) as bigint), k + 1), lambda j: exp(-m + j * ln(m) - lgamma(j + 1.0)))) end), 7) as p from e where k >= 0"""
+)
 def poisson_tail(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(15).select(F.col("id").alias("k"), F.round(stats.poisson_upper(F.col("id"), F.lit(3.5)), 10).alias("p"))
+    means = spark.range(1).select(F.explode(F.array(*map(F.lit, _MEANS))).alias("mean")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    k = F.floor(F.col("mean") + (F.col("i") - 12) * F.sqrt("mean") / 2).cast("long")
+    return means.withColumn("k", k).filter("k >= 0").select("k", "mean", F.round(stats.poisson_upper(F.col("k"), F.col("mean")), 7).alias("p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+#: Names of log levels.
+LEVELS = {"error": logging.ERROR, "warning": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG}
+
+
+def set_verbosity(level: str | int) -> None:
+    """How much the library logs: error, warning, info or debug, or 0 to 3."""
+    if isinstance(level, int):
+        level = list(LEVELS)[level] if 0 <= level < len(LEVELS) else str(level)
+    if level not in LEVELS:
+        raise ValueError(f"unknown verbosity {level!r}; known: {', '.join(LEVELS)}")
+    log = logging.getLogger("tessera")
+    if not log.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(levelname)s %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(LEVELS[level])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

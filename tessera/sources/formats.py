@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import along
+from ..session import stored, stored_bytes
+
 FRAGMENT = "chrom string, start long, `end` long, barcode string, count int"
 COLUMNS = ["chrom", "start", "end", "barcode", "count"]
 
@@ -37,8 +41,22 @@ def write_fragments(fragments: DataFrame, path: str, partitions: int | None = No
     dealt.select(COLUMNS).sortWithinPartitions("chrom", "start").write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def make_parquet(spark: SparkSession, source: str, output: str, *, separator: str = "\t", prefix: str | None = None, partitions: int | None = 64) -> str:
-    """Text fragments to Parquet. Gzip cannot be split, so rows are dealt out after reading."""
+#: Bytes of text for each Parquet file, and how much larger text is than its gzip.
+FILE_BYTES, GZIP_RATIO = 512 << 20, 5
+
+
+def partitions_of(spark: SparkSession, df: DataFrame) -> int:
+    """As many files as the text that ``df`` reads fills."""
+    files = df.inputFiles()
+    return max(1, -(-sum(stored_bytes(spark, f) * (GZIP_RATIO if f.endswith(".gz") else 1) for f in files) // FILE_BYTES))
+
+
+def make_parquet(spark: SparkSession, source: str, output: str, *, separator: str = "\t", prefix: str | None = None, partitions: int | None = None) -> str:
+    """Text fragments to Parquet, in as many files as the text fills if no number is given.
+
+    Gzip cannot be split, so rows are dealt out after reading.
+    """
+    partitions = partitions or partitions_of(spark, spark.read.text(source))
     write_fragments(read_fragments_tsv(spark, source, separator=separator, prefix=prefix), output, partitions)
     return output
 
@@ -48,11 +66,13 @@ def make_parquet_batch(spark: SparkSession, inputs: list[str], output_dir: str,
     each = prefixes if isinstance(prefixes, list) else [prefixes] * len(inputs)
     if len(each) != len(inputs):
         raise ValueError("as many prefixes as inputs are needed")
-    out = []
-    for source, prefix in zip(inputs, each, strict=True):
-        stem = source.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").rsplit(".", 1)[0]
-        out.append(make_parquet(spark, source, f"{output_dir}/{stem}.parquet", separator=separator, prefix=prefix))
-    return out
+    stems = [source.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").rsplit(".", 1)[0] for source in inputs]
+    if len(set(stems)) < len(stems):
+        raise ValueError("two inputs have the same name and would overwrite each other")
+    outputs = [f"{output_dir}/{stem}.parquet" for stem in stems]
+    # Jobs of several files run side by side; each is a single task as long as it reads gzip.
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(lambda x: make_parquet(spark, x[0], x[1], separator=separator, prefix=x[2]), zip(inputs, outputs, each, strict=True)))
 
 
 def read_fragments(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
@@ -104,27 +124,27 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, offset, seq``: a line of a FASTA file each, with its place in its sequence.
 
-    Lines are numbered within their file by one window per file; write the result once and read it
-    as Parquet afterwards. Files of one sequence each spread over tasks.
+    Lines are numbered in the order of the scan, within which those of a file follow each other;
+    lengths are then summed over ranges of lines. Write the result once and read it as Parquet afterwards.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.rtrim("value").alias("line"))
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>(\S*)", 1))
-    named = lines.withColumn("chrom", F.last(head, ignorenulls=True).over(w)).filter(~F.col("line").startswith(">") & F.col("chrom").isNotNull() & (F.length("line") > 0))
-    per = Window.partitionBy("file", "chrom").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("offset", F.coalesce(F.sum(F.length("line")).over(per), F.lit(0))).select("chrom", "offset", F.col("line").alias("seq"))
+    lines = lines.withColumn("head", F.when(F.col("line").startswith(">"), F.col("at"))).withColumn("n", F.when(F.col("head").isNull(), F.length("line")).otherwise(0))
+    run = stored(along(lines, ["at"], {"under": ("max", "head"), "upto": ("sum", "n")}, by=("file",), number="k"))
+    heads = run.filter("head is not null").select("file", F.col("at").alias("under"), F.regexp_extract("line", r"^>(\S*)", 1).alias("chrom"), F.col("upto").alias("begin"))
+    body = run.filter("head is null and n > 0").select("file", "under", "upto", "n", "line")
+    return body.join(heads, ["file", "under"]).select("chrom", (F.col("upto") - F.col("n") - F.col("begin")).alias("offset"), F.col("line").alias("seq"))
 
 
 def fetch_sequences(regions: DataFrame, chunks: DataFrame, width: int = 65536) -> DataFrame:
     """``regions`` (chrom, start, end) with ``seq``; what is not in the sequences is empty."""
     from ..operators.intervals import join_overlaps
 
-    wanted = regions.withColumn("_id", F.monotonically_increasing_id()).withColumn("_last", F.col("end") - 1)
+    wanted = regions.select("chrom", "start", "end").distinct().withColumn("_last", F.col("end") - 1)
     parts = chunks.withColumn("_c_end", F.col("offset") + F.length("seq") - 1)
-    hit = join_overlaps(wanted.select("_id", "chrom", "start", "_last"), parts, "start", "_last", "offset", "_c_end", width=width)
+    hit = join_overlaps(wanted, parts, "start", "_last", "offset", "_c_end", width=width)
     piece = F.expr("substring(seq, cast(greatest(start - offset, 0) + 1 as int), cast(least(_last, _c_end) - greatest(start, offset) + 1 as int))")
-    joined = hit.withColumn("p", F.struct("offset", piece.alias("s"))).groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("seq"))
-    return wanted.join(joined, "_id", "left").withColumn("seq", F.coalesce("seq", F.lit(""))).drop("_id", "_last")
+    joined = hit.withColumn("p", F.struct("offset", piece.alias("s"))).groupBy("chrom", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("seq"))
+    return regions.join(joined, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit(""))).select(*regions.columns, "seq")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -3,11 +3,13 @@
 The tokenizer takes tags, comments and raw-text elements apart; the builder closes what a start or
 end tag implies (paragraphs by blocks, list items, cells, rows, options); elements that are not
 shown are skipped. The layout collapses blanks, separates blocks by line breaks or blank lines,
-marks and indents list items, and pads table cells to the width of their column.
+marks and indents list items, and pads table cells to the width of their column; long cells of tables
+with several columns are wrapped at blanks, so that columns stay aligned. Text in SVG and MathML and the
+values that form fields show are text as well.
 
 Defined results: null or empty HTML has empty text; unclosed tags end with their parent; a ``<``
-that begins no tag is text; nesting of any depth is laid out without recursion; repeated rows are
-extracted each; an empty table gives no rows; the column ``text`` of the input is replaced.
+that begins no tag is text; a head ends where text or a tag comes that no head holds; nesting of any
+depth is laid out without recursion, and pages of any length are read whole; repeated rows are extracted each; an empty table gives no rows; the column ``text`` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes title textarea xmp".split())
-UNSEEN = frozenset("head script style noscript template iframe noembed noframes title object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style noscript template iframe noembed noframes title object audio video canvas datalist".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset hr".split())
 BLOCK = MARGIN | frozenset("html body div section article aside nav header footer main address details summary dialog figcaption li dt dd tr caption legend option optgroup center hgroup search menu".split())
 CLOSES_P = BLOCK - frozenset("html body tr caption legend option optgroup li dt dd".split()) | {"li", "dt", "dd"}
@@ -40,11 +42,15 @@ IMPLIED = {
     "thead": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
     "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
 }
+#: What a head may hold.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Fields whose value is shown.
+FIELDS = frozenset(["", "text", "search", "email", "url", "tel", "number", "date", "time", "month", "week", "datetime-local", "submit", "button", "reset"])
 #: End tags don't reach beyond these, but for their own.
 SCOPE = frozenset(["table", "td", "th", "body", "html", "caption"])
 TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
 TABLE_SCOPE = frozenset(["table", "html"])
-#: Cells are padded up to so many characters, so that a long one does not widen every row.
+#: Cells are wrapped at so many characters, so that a long one does not widen every row.
 MAX_PAD = 40
 MAX_SPAN = 1000
 #: Elements nested deeper become siblings, as in browsers; this bounds the search for what a tag closes.
@@ -92,14 +98,19 @@ def build(source: str) -> Node:
                 return 0
         return 0
 
+    def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            pop_to(len(stack) - 1)
+        stack[-1].children.append(text)
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            stack[-1].children.append(source[at:])
+            add_text(source[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
+            add_text(source[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -115,7 +126,7 @@ def build(source: str) -> Node:
             continue
         if tag in CLOSES_P and (i := find(frozenset(["p"]), SCOPE | {"button"})):
             pop_to(i)
-        if tag in BLOCK and stack[-1].tag == "head":
+        if stack[-1].tag == "head" and tag not in HEAD:
             pop_to(len(stack) - 1)
         if tag in IMPLIED and (i := find(*IMPLIED[tag])):
             pop_to(i)
@@ -218,6 +229,20 @@ def _span(node: Node, name: str) -> int:
     return min(MAX_SPAN, max(1, int(v))) if v.isascii() and v.isdigit() and len(v) < 9 else 1
 
 
+def _wrapped(line: str) -> list[str]:
+    """A line cut at blanks into parts of up to ``MAX_PAD`` characters; longer words stay whole."""
+    if len(line) <= MAX_PAD:
+        return [line]
+    out, part = [], line[: len(line) - len(line.lstrip(" "))]
+    for word in line.split(" "):
+        if part.strip() and len(part) + 1 + len(word) > MAX_PAD:
+            out.append(part)
+            part = word
+        else:
+            part = f"{part} {word}" if part.strip() else part + word
+    return [*out, part]
+
+
 def lay_out_table(rows: list[list[tuple[Node, list[str]]]]) -> list[str]:
     """Lines of a table; a cell takes the first free columns of its row, and others below if it spans rows."""
     taken: dict[int, int] = {}
@@ -235,6 +260,8 @@ def lay_out_table(rows: list[list[tuple[Node, list[str]]]]) -> list[str]:
                 taken.update({c: max(taken.get(c, 0), high - 1) for c in range(col, col + wide)})
             col += wide
         placed.append(line)
+    if any(len(line) > 1 for line in placed):
+        placed = [[(col, wide, [part for x in text for part in _wrapped(x)]) for col, wide, text in line] for line in placed]
     widths: dict[int, int] = {}
     for line in placed:
         for col, wide, text in line:
@@ -285,7 +312,7 @@ def render(source: str | None) -> str:
                 writer.new_line()
                 continue
             if tag == "input":
-                if shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                if shown and node.attrs.get("type", "").strip().lower() in FIELDS:
                     writer.write(node.attrs.get("value", ""))
                 continue
             if tag in BLOCK:

@@ -190,6 +190,19 @@ def test_html_layout():
     assert html.render("<div>" * 20000 + "x") == "x" and html.render("<") == "<"
 
 
+def test_html_heads_drawings_fields_and_wide_cells():
+    assert html.render("<html><head><title>T</title>Hello <b>x</b>") == "Hello x"
+    assert html.render("<head><title>T</title><font><body><p>in</font> text") == "in text"
+    assert html.render("<head><meta a><link b>\n<script>s</script><p>p") == "p"
+    assert html.render("<svg><title>no</title><text>label</text></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == "label x=2"
+    assert html.render("<input value=shown><input type=hidden value=no><input type=password value=no><input type=submit value=Go>") == "shownGo"
+    wide = "word " * 30
+    rows = html.render(f"<table><tr><td>{wide}<td>right<tr><td>short<td>also right</table>").split("\n")
+    assert len({r.index("right") - ("also " in r) * 5 for r in rows if "right" in r}) == 1 and " ".join(" ".join(rows).split()).count("word") == 30
+    assert html.render(f"<table><tr><td>{wide}</table>") == wide.strip()
+    assert html.render("<p>" + "long " * 200_000).count("long") == 200_000
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, None)], "page_id int, html string, text string")
     assert sorted(tuple(r) for r in html.extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]

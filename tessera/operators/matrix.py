@@ -53,7 +53,7 @@ def tile_dimension(chrom_sizes: DataFrame, tile_size: int = 5000, exclude: tuple
 def parse_regions(df: DataFrame, name: str = "feature", closed: bool = False) -> DataFrame:
     """``df`` with ``chrom, start, end`` from names as ``chr:1-2`` or ``chr;1-2``; others, and empty intervals, are dropped."""
     part = lambda i: F.regexp_extract(name, REGION, i)
-    return df.filter(F.col(name).rlike(REGION)).withColumns({"chrom": part(1), "start": part(2).cast("long"), "end": part(3).cast("long")}).filter("end >= start" if closed else "end > start")
+    return df.filter(F.col(name).rlike(REGION)).withColumns({"chrom": part(1), "start": part(2).try_cast("long"), "end": part(3).try_cast("long")}).filter("end >= start" if closed else "end > start")
 
 
 #: Columns that tell how many fragments a cell has, by preference, after a join with metrics and before it.

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import logging
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -99,27 +95,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Within this, frames that are computed pass at most ``n`` rows at once to Python.
-
-    Rows that hold whole documents make batches of the default size take much memory off the heap.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
-
-    They go when the driver's garbage is collected, which a driver with little to do puts off.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

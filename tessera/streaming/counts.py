@@ -1,8 +1,9 @@
 """Incremental cell and tile counts over a stream of fragments.
 
-Counts add up, so no watermark is needed: each micro-batch is counted by itself and merged into a
-Parquet state of versions, the batch number being the version. A batch that is retried writes its
-version again, so results are the same as one batch over all input.
+Counts add up, so no watermark is needed: each micro-batch is counted by itself and written under its
+number. A batch that is retried writes its number again, so results are the same as one batch over all
+input. Every ``COMPACT_EVERY`` batches the state is added up into one version, which replaces what it
+holds; readers take the newest version and the batches after it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matrix import tiles_of
+from ..session import remove
+
+COMPACT_EVERY = 32
 
 
 def tile_counts(fragments: DataFrame, tile_size: int = 5000) -> DataFrame:
@@ -31,15 +35,44 @@ def stream_fragments(spark: SparkSession, path: str, per_trigger: int = 1) -> Da
     return spark.readStream.schema(FRAGMENT).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def count_stream(fragments: DataFrame, state: str, checkpoint: str, tile_size: int = 5000) -> StreamingQuery:
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of finished parts (``n=...``) in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    done = lambda p: store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in store.listStatus(at) if "=" in x.getPath().getName() and done(x.getPath()))
+
+
+def _parts(spark: SparkSession, state: str) -> list[str]:
+    """The newest version, which holds all batches up to its number, and the later batches."""
+    upto = max(_numbers(spark, f"{state}/version"), default=-1)
+    parts = [f"{state}/version/n={upto}"] if upto >= 0 else []
+    return parts + [f"{state}/batch/n={n}" for n in _numbers(spark, f"{state}/batch") if n > upto]
+
+
+def count_stream(fragments: DataFrame, state: str, checkpoint: str, tile_size: int = 5000, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Starts a query that keeps the tile counts of all fragments so far under ``state``."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        tile_counts(batch, tile_size).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        spark = batch.sparkSession
+        tile_counts(batch, tile_size).write.mode("overwrite").parquet(f"{state}/batch/n={number}")
+        if (number + 1) % compact_every:
+            return
+        versions, batches = _numbers(spark, f"{state}/version"), _numbers(spark, f"{state}/batch")
+        if number not in versions:
+            read_counts(spark, state).write.mode("overwrite").parquet(f"{state}/version/n={number}")
+        # What the last version but one held is no longer read by anyone.
+        for n in versions[:-1]:
+            remove(spark, f"{state}/version/n={n}")
+        for n in batches:
+            if versions and n <= versions[-1] and n < number:
+                remove(spark, f"{state}/batch/n={n}")
 
     return fragments.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_counts(spark: SparkSession, state: str) -> DataFrame:
     """The counts over all batches."""
-    return spark.read.parquet(state).groupBy("barcode", "chrom", "tile").agg(F.sum("value").alias("value"))
+    return spark.read.parquet(*_parts(spark, state)).groupBy("barcode", "chrom", "tile").agg(F.sum("value").alias("value"))

@@ -11,6 +11,6 @@ def test_query_agrees_with_sql(spark, name):
     check(spark, QUERIES[name], ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"spectral", "lda_topics"}))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_gives_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0

@@ -1,4 +1,5 @@
 import gzip
+import shutil
 
 import pytest
 
@@ -49,7 +50,79 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["tile", f"{d}/f.parquet", "-o", f"{d}/t", "-g", f"{d}/s.txt", "--min-fragments", "5", "--tile-size", "100"], spark) == 0
     assert cli.main(["features", f"{d}/t", "-o", f"{d}/sel", "-n", "2", "--filter-lower", "0", "--filter-upper", "0"], spark) == 0
     assert spark.read.parquet(f"{d}/sel/var").filter("selected").count() == 2
-    assert cli.main(["combine", f"{d}/t", f"{d}/t", "-o", f"{d}/c"], spark) in (0, 1)
+    # All tiles and passing cells are written, also those without counts.
+    assert spark.read.parquet(f"{d}/t/var").count() == 10 and spark.read.parquet(f"{d}/t/obs").count() == 2
+    assert cli.main(["combine", f"{d}/t", f"{d}/t", "-o", f"{d}/c"], spark) == 0  # one input named twice
+    assert cli.main(["tile", f"{d}/f.parquet", "-o", f"{d}/t2", "-g", f"{d}/s.txt", "--min-fragments", "5", "--tile-size", "100", "--prefix", "p_"], spark) == 0
+    assert cli.main(["combine", f"{d}/t", f"{d}/t2", "-o", f"{d}/c"], spark) == 0
+    assert {r.cell for r in spark.read.parquet(f"{d}/c/obs").collect()} == {"A", "B", "p_A", "p_B"}
+    shutil.copytree(f"{d}/t", f"{d}/t3")
+    assert cli.main(["combine", f"{d}/t", f"{d}/t3", "-o", f"{d}/c2"], spark) == 1  # equal barcodes
     assert cli.main(["filter", f"{d}/f.parquet", "-o", f"{d}/none", "--min-fragments", "99"], spark) == 1
     assert cli.main(["doublets", f"{d}/f.parquet", "--min-fragments", "5"], spark) == 0
+    (tmp_path / "a.gtf").write_text("".join(f'chr1\ts\t{kind}\t{a}\t{a + 50}\t.\t+\t.\tgene_id "E{a}"; gene_name "{n}"; transcript_id "T{a}";\n' for kind in ("gene", "transcript") for a, n in ((11, "G1"), (101, "G2"), (900, "far"))))
+    assert cli.main(["metrics", f"{d}/f.parquet", "-o", f"{d}/m.csv", "-a", f"{d}/a.gtf", "--min-fragments", "5"], spark) == 0
+    m = {r.barcode: r for r in formats.read_metrics(spark, f"{d}/m.csv").collect()}
+    assert set(m) == {"A", "B"} and m["A"].n_unique == 20 and m["A"].tsse_score > 0
+    assert cli.main(["gene", f"{d}/f.parquet", "-o", f"{d}/g", "-a", f"{d}/a.gtf", "--min-fragments", "5", "--metrics", f"{d}/m.csv", "--upstream", "0"], spark) == 0
+    assert {(r.cell, r.feature) for r in spark.read.parquet(f"{d}/g/x").collect()} == {(c, g) for c in "AB" for g in ("G1", "G2")}
+    assert {r.feature for r in spark.read.parquet(f"{d}/g/var").collect()} == {"G1", "G2", "far"} and "n_unique" in spark.read.parquet(f"{d}/g/obs").columns
+    assert cli.main(["genescore", f"{d}/f.parquet", "-o", f"{d}/gs", "-a", f"{d}/a.gtf", "--min-fragments", "5"], spark) == 0
+    assert spark.read.parquet(f"{d}/gs/x").count() >= 4 and spark.read.parquet(f"{d}/gs/var").count() == 3
+    assert cli.main(["filter", f"{d}/f.parquet", "-o", f"{d}/q", "--min-fragments", "5", "--metrics", f"{d}/m.csv", "--query", "reflect('a') > 1"], spark) == 1
     assert cli.main(["tile", f"{d}/missing", "-o", f"{d}/t2", "-g", "none"], spark) == 1
+
+
+def test_other_annotations_and_batches(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("Symbol,SeqNames,Start,End,Strand\nA,chr1,90,10,-1\nB,chr2,5,9,1\n")
+    assert sorted(map(tuple, formats.read_gene_csv(spark, str(tmp_path / "g.csv")).collect())) == [("A", "chr1", 10, 90, "-"), ("B", "chr2", 5, 9, "+")]
+    (tmp_path / "b.bed").write_text("# c\nchr1\t5\t9\tname\nchr1\tx\t9\n")
+    assert [tuple(r) for r in formats.read_bed(spark, str(tmp_path / "b.bed")).collect()] == [("chr1", 5, 9)]
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.tsv").write_text(f"chr1\t1\t5\t{folder}\t1\n")
+    with pytest.raises(ValueError, match="same name"):
+        formats.make_parquet_batch(spark, [str(tmp_path / f / "s.tsv") for f in ("one", "two")], str(tmp_path))
+    assert formats.partitions_of(spark, spark.read.text(str(tmp_path / "g.csv"))) == 1
+
+
+def test_long_sequences_over_several_scans(spark, tmp_path, monkeypatch):
+    import random
+
+    from tessera.functions import ranks
+
+    rng = random.Random(1)
+    texts = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 900))) for i in range(12)}
+    for k, names in enumerate((list(texts)[:7], list(texts)[7:])):
+        (tmp_path / f"{k}.fa").write_text("".join(f">{n} about\n" + "".join(texts[n][j : j + 60] + "\n" for j in range(0, len(texts[n]), 60)) + "\n" for n in names))
+    regions = [(n, a, a + rng.randint(1, 200)) for n in texts for a in [rng.randint(0, 300)] for _ in range(3)] + [("c1", 5, 60)] * 2
+    df = spark.createDataFrame(regions, "chrom string, start long, end long")
+    monkeypatch.setattr(ranks.along, "__kwdefaults__", {**ranks.along.__kwdefaults__, "small": 0})
+    got = sorted(map(tuple, formats.fetch_sequences(df, formats.fasta_chunks(spark, str(tmp_path))).collect()))
+    assert got == sorted((n, a, b, texts[n][a:b]) for n, a, b in regions)
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    from tessera.streaming import counts
+
+    rows = [("chr1", i * 10, i * 10 + 30, "A", 1) for i in range(40)]
+    spark.createDataFrame(rows, formats.FRAGMENT).repartition(8).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        counts.count_stream(counts.stream_fragments(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "check"), 100, compact_every=3).awaitTermination()
+    got = sorted(map(tuple, counts.read_counts(spark, str(tmp_path / "state")).collect()))
+    assert got == sorted(map(tuple, counts.tile_counts(spark.createDataFrame(rows, formats.FRAGMENT), 100).collect()))
+    left = [p.name for p in (tmp_path / "state" / "batch").iterdir()]
+    assert len(left) < 8 and len(list((tmp_path / "state" / "version").iterdir())) <= 2
+
+
+def test_verbosity():
+    import logging
+
+    from tessera.session import set_verbosity
+
+    set_verbosity("error")
+    assert logging.getLogger("tessera").level == logging.ERROR
+    set_verbosity(3)
+    assert logging.getLogger("tessera").level == logging.DEBUG
+    with pytest.raises(ValueError):
+        set_verbosity("loud")

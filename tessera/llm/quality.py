@@ -158,12 +158,19 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
 
 def distance(counts: Column, n: Column, ref: Column) -> Column:
-    """Jensen-Shannon distance, base 2, between counts that sum to ``n`` and shares."""
+    """Jensen-Shannon distance, base 2, between counts that sum to ``n`` and shares.
+
+    The three meet in a struct first, as the planner would spell out a column again within a function
+    of elements.
+    """
     def gain(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(counts, ref, lambda c, q: gain(c / n, q) + gain(q, c / n))
-    return F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
+    def of(s: Column) -> Column:
+        parts = F.zip_with(s["c"], s["r"], lambda c, q: gain(c / s["n"], q) + gain(q, c / s["n"]))
+        return F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
+
+    return F.get(F.transform(F.array(F.struct(counts.alias("c"), n.alias("n"), ref.alias("r"))), of), F.lit(0))
 
 
 def _by_language(lang: Column, shares: dict[str, list[float]], general: list[float] | None) -> Column:

@@ -91,3 +91,26 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "text", "taken"} <= set(out.columns)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    prose = " ".join(f"the stone{chr(97 + i % 26)} and a river{chr(97 + i % 7)} in the valley of older{chr(97 + i % 11)} houses" for i in range(30))
+    other = " ".join(f"to the hill{chr(97 + i % 23)} with a bird{chr(97 + i % 5)} that is seen by people{chr(97 + i % 13)}" for i in range(30))
+    leak = "How many stones are there in the river when the water has gone down and the birds have left for the winter?"
+    rows = [
+        (1, prose, "en", "s", 1), (1, prose, "en", "s", 1), (2, prose + " end", "en", "s", 1), (None, prose, "en", None, 1), (None, f"{other} {leak}", "en", "s", 1),
+        (3, None, None, None, None), (4, "", "en", "s", 0), (5, other, None, None, 1), (6, f"{other} {other[::-1]} {leak}", "en", "t", 1), (7, other * 400, "xx", "t", 1), (8, "# $ % " * 200, "en", "s", 1),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as size", "1 as taken", "'y' as bucket")
+    frame.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    frame.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for d in "ab":
+        spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / d / "benchmark.parquet"))
+    kept, docs = {}, frame
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path / "a"))
+        kept[name] = sorted((r.doc_id or 0 for r in docs.collect()))
+    assert kept["quality_rules"] == [0, 0, 1, 1, 2, 5, 6] + ([7] if 7 in kept["quality_rules"] else [])
+    assert [i for i in kept["near_dedup"] if i != 7] == [0, 0, 1, 1, 5, 6] and [i for i in kept["decontaminate"] if i != 7] == [0, 1, 1, 5]
+    assert set(kept["mix_sources"]) <= {0, 1, 5, 7} and corpus_pipeline.run(spark, str(tmp_path / "a")).count() == len(kept["mix_sources"])
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0

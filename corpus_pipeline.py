@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but
 the last return the columns of ``documents``. The last returns the mixture: a row for each copy of
 a document that the mix takes, with the words that it takes.
+
+Defined results: null and empty texts fail the quality rules and go; rows without an id are kept or
+dropped by their own text and never as copies; repeated rows stay together, and each is mixed; null
+languages and sources are groups of their own; texts are read whole; columns other than those of
+``documents`` are left out; an empty table gives an empty mixture.
 """
 
 from __future__ import annotations

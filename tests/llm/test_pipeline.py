@@ -94,8 +94,9 @@ def test_run_gives_the_last_stage(spark):
 
 
 def test_odd_rows_through_all_stages(spark, tmp_path):
-    prose = " ".join(f"the stone{chr(97 + i % 26)} and a river{chr(97 + i % 7)} in the valley of older{chr(97 + i % 11)} houses" for i in range(30))
-    other = " ".join(f"to the hill{chr(97 + i % 23)} with a bird{chr(97 + i % 5)} that is seen by people{chr(97 + i % 13)}" for i in range(30))
+    own = lambda i, stem: stem + "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    said = lambda stem, small: " ".join(f"{small[i % 5]} {own(i, stem)}" for i in range(100))
+    prose, other = said("river", "the of and in a".split()), said("hill", "to is with from by".split())
     leak = "How many stones are there in the river when the water has gone down and the birds have left for the winter?"
     rows = [
         (1, prose, "en", "s", 1), (1, prose, "en", "s", 1), (2, prose + " end", "en", "s", 1), (None, prose, "en", None, 1), (None, f"{other} {leak}", "en", "s", 1),

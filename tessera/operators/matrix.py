@@ -127,7 +127,9 @@ def gene_matrix(fragments: DataFrame, domains: DataFrame, min_fragments: int = 1
 def model_column(model: str | Callable[[Column], Column] | Callable[[pd.Series], pd.Series]) -> Column:
     """A weight as a function of the column ``_x``.
 
-    A function gets the column, or, wrapped by ``pandas_model``, batches of it; a text may hold numbers, x, arithmetic and a few functions, nothing else."""
+    A function gets the column, or, wrapped by ``pandas_model``, batches of it; a text may hold numbers, x,
+    arithmetic and a few functions, nothing else.
+    """
     if callable(model):
         return model(F.col("_x"))
     words = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"\d+(\.\d*)?[eE][+-]?\d+", "", model)))

@@ -13,4 +13,5 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    # The smallest tables have no set of at least 15 features.
+    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "gsea_prerank" else SF).count() > 0

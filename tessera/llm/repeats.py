@@ -14,10 +14,11 @@ shards that cannot separate equal strings:
 3. The cuts meet the texts.
 
 Nothing is removed by hash alone: hashes say which bytes to compare. Texts that equal an earlier
-document's (by SHA-256) are removed whole before. Strings that are frequent in a bounded sample
-are anchors only of windows that hold nothing else, so that what borders on a common passage is dealt
-by its own strings; equal runs are told within a task before they are sent. The sample decides where
-work is done and never what is found. Shards and places grow with the number of bytes.
+document's (by SHA-256) are removed whole before. Strings that are frequent in all texts are anchors
+only of windows that hold nothing else, so that what borders on a common passage is dealt by its own
+strings; equal runs are told within a task before they are sent. Every string of every text is counted,
+by a bucket of its hash, so a bucket's number is never below that of its strings, and anchors depend on
+the rows alone, however they are stored. Shards and places grow with the number of bytes.
 
 Defined results: null text is empty; texts below the window lose nothing; texts of one id, equal or
 not, are rows each and don't remove each other's bytes; rows without an id are returned whole and
@@ -27,8 +28,10 @@ are read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +50,20 @@ PIECE, FLUSH = 1 << 19, 16 << 20
 PLACE_BYTES, TASK_BYTES = 32 << 20, 256 << 20
 #: Bytes of unlike runs in one suffix array; runs of one anchor stay together.
 ARRAY_BYTES = 4 << 20
-#: Bytes of the sample in which frequent strings are counted, and how many of these are used at most.
-SAMPLE_BYTES, MAX_FREQUENT = 128 << 20, 100_000
-#: A string is frequent in so many documents of the sample, and in so large a share.
-FREQUENT_DOCS, FREQUENT_SHARE = 16, 0.0005
+#: Buckets in which strings are counted by their hash, and how many of them make a row.
+BUCKETS, SLICE = 1 << 24, 1 << 16
+#: A string is frequent in so many documents, in so large a share, and so many times the bytes a bucket has,
+#: so that unlike strings of a bucket seldom add up.
+FREQUENT_DOCS, FREQUENT_SHARE, FREQUENT_MEAN = 16, 0.0005, 4
 #: Ids are broadcast up to so many.
 BROADCAST_IDS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _LOW6 = np.uint64(63)
 _MASK40 = np.uint64((1 << 40) - 1)
+_BUCKET = np.uint64(BUCKETS - 1)
 _NONE, _ANY = 0, 65535
-_RUN, _CUT, _ASK, _BYTES, _TEXT = range(5)
+_RUN, _CUT, _ASK, _BYTES, _TEXT, _COUNT = range(6)
 _ROUTED = "place int, kind int, id long, tag int, blob binary"
 _FIELDS = ["place", "kind", "id", "tag", "blob"]
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -156,21 +161,18 @@ def _hashes(data: np.ndarray) -> np.ndarray:
 
 
 class Frequent:
-    """Hashes of frequent strings; a table of their low bits settles most questions."""
+    """The buckets of frequent strings, as bits."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes.astype(np.uint64))
+    def __init__(self, buckets: np.ndarray) -> None:
+        table = np.zeros(BUCKETS, bool)
+        table[buckets] = True
+        self.some, self.bits = len(buckets) > 0, np.packbits(table, bitorder="little")
 
     def mark(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
+        if not self.some:
             return np.zeros(len(h), bool)
-        table = np.zeros(1 << 20, bool)
-        table[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        out = table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        maybe = np.flatnonzero(out)
-        place = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-        out[maybe] = self.hashes[place] == h[maybe]
-        return out
+        at = (h & _BUCKET).astype(np.uint32)
+        return (self.bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def _least(x: np.ndarray, wide: int) -> np.ndarray:
@@ -238,31 +240,56 @@ def _pieces(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-def _count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of strings with the number of texts that hold them, where there are two at least."""
-    held: list[np.ndarray] = []
-    size = 0
+def _width(least: int) -> str:
+    """The type of numbers up to ``least``."""
+    return next(t for t in ("<u1", "<u2", "<u4", "<u8") if least <= np.iinfo(t).max)
 
-    def flush() -> pa.RecordBatch:
-        h = np.concatenate(held)
-        h.sort()
-        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        count = np.diff(np.append(heads, len(h)))
-        some = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(h[heads[some]].view(np.int64)), pa.array(count[some].astype(np.int64))], ["h", "n"])
 
-    for batch in batches:
-        data, at = _column_bytes(batch.column(0))
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a >= ANCHOR:
+def _count(least: int):
+    """All texts to the number of them with a string of each bucket, by slice of buckets; ``least`` stands for it and more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        count = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            data, at = _column_bytes(batch.column(0))
+            long, seen = -1, np.empty(0, bool)
+            for i, j, a, b in _pieces(at):
+                if b - a < ANCHOR:
+                    continue
+                ends = np.minimum(at[i + 1 : j + 1], b) - a
                 with np.errstate(over="ignore"):
-                    held.append(np.unique(_hashes(data[a:b])))
-                size += b - a
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+                    h = _hashes(data[a:b])
+                text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(h)]
+                inside = ends[text] - np.arange(len(h)) >= ANCHOR
+                key = np.sort(((h & _BUCKET) << np.uint64(32) | text.astype(np.uint64))[inside])
+                # A text counts once in a bucket.
+                bucket = (key[np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])] >> np.uint64(32)).astype(np.int64)
+                if b - a < at[j] - at[i]:
+                    long, seen = (long, seen) if long == i else (i, np.zeros(BUCKETS, bool))
+                    bucket = bucket[~seen[bucket]]
+                    seen[bucket] = True
+                np.add.at(count, bucket, np.uint32(1))
+        for k in range(0, BUCKETS, SLICE):
+            part = np.minimum(count[k : k + SLICE], least)
+            if part.any():
+                yield k // SLICE, _COUNT, None, None, pa.compress(part.astype(_width(least)).tobytes(), "zstd", asbytes=True)
+
+    return lambda batches: _emit(rows(batches))
+
+
+def _often(least: int):
+    """Per slice: the buckets with ``least`` texts, as bits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        counts = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(4), strict=True))
+        for place, group in groupby(counts, lambda row: row[0]):
+            total = np.zeros(SLICE, np.int64)
+            for _, blob in group:
+                total += np.frombuffer(pa.decompress(blob.as_py(), SLICE * np.dtype(_width(least)).itemsize, "zstd"), _width(least))
+            if (total >= least).any():
+                yield place, _COUNT, None, None, np.packbits(total >= least).tobytes()
+
+    return lambda batches: _emit(rows(batches))
 
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -603,11 +630,11 @@ class _Job:
         total, n = digests.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
         self.tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
         self.places = _prime(max(self.tasks, -(-total // PLACE_BYTES)))
-        share = min(1.0, SAMPLE_BYTES / max(1, total))
-        sample = self.units.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-        often = sample.select("text").mapInArrow(_count_strings, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        often = often.filter(F.col("n") >= max(FREQUENT_DOCS, FREQUENT_SHARE * share * n)).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT)
-        frequent = Frequent(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+        least = math.ceil(max(FREQUENT_DOCS, FREQUENT_SHARE * n, FREQUENT_MEAN * total / BUCKETS))
+        often = self.dealt(self.units.select("text").mapInArrow(_count(least), _ROUTED)).mapInArrow(_often(least), _ROUTED)
+        often = stored(often, f"{self.base}/often").select("place", "blob").collect()
+        bits = [r.place * SLICE + np.flatnonzero(np.unpackbits(np.frombuffer(r.blob, np.uint8))) for r in often]
+        frequent = Frequent(np.concatenate([np.empty(0, np.int64), *bits]))
         runs = self.units.mapInArrow(_scan(self.places, self.places, frequent, tell), _ROUTED)
         self.found = stored(self.dealt(runs).mapInArrow(_resolve(self.places), _ROUTED), f"{self.base}/found")
         asks = self.found.filter(F.col("kind") == _ASK)

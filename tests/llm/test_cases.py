@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,45 @@ def test_a_common_passage_is_dealt_by_its_borders(spark, monkeypatch):
     assert seen[0] > 200
 
 
+def test_frequent_strings_are_counted_in_all_texts(spark, monkeypatch):
+    """A passage that each task sees once is as frequent as one in a single task, and the same repeats are listed."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    common = word(200)
+    rows = [(i, word(40) + common + word(40)) for i in range(24)] + [(30, word(100)), (31, None)]
+    frame = lambda parts: docs(spark, spark.sparkContext.parallelize([(i, t, None, None, 1) for i, t in rows], parts))
+    seen = []
+    mark = repeats.Frequent
+    monkeypatch.setattr(repeats, "Frequent", lambda h: seen.append(mark(h)) or seen[-1])
+    listed = [sorted(map(tuple, repeats.repeat_groups(frame(n)).collect())) for n in (1, 26)]
+    with np.errstate(over="ignore"):
+        common, others = (repeats._hashes(np.frombuffer(t.encode(), np.uint8)) for t in (common, rows[-2][1]))
+    assert all(f.mark(common).all() and not f.mark(others).any() for f in seen) and len(seen) == 2
+    assert listed[0] == listed[1] and listed[0]
+    assert removed(frame(26)) == cut_by_brute_force(rows)
+
+
+def test_counts_of_strings_by_brute_force(monkeypatch):
+    """Empty, short and equal texts, and long ones that are read in parts and hold a string several times."""
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    rng = random.Random(10)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 0, 5, 19, 20, 21, 60, 299, 300, 301, 2000]))) for _ in range(80)]
+    texts += [b"", b"ab" * 1000, b"ab" * 400, texts[7], texts[7] + b"a" * 50]
+    want = {}
+    with np.errstate(over="ignore"):
+        for t in texts:
+            for k in {int(h) % repeats.BUCKETS for h in repeats._hashes(np.frombuffer(t, np.uint8))} if len(t) >= repeats.ANCHOR else ():
+                want[k] = want.get(k, 0) + 1
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["text"]) for x in (texts[:30], texts[30:31], texts[31:])]
+    for least in (2, 3, 300):
+        rows = [row for part in (batches[:1], batches[1:]) for b in repeats._count(least)(iter(part)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = set()
+        for b in repeats._often(least)(repeats._emit(iter(sorted(rows, key=lambda r: r[0])))):
+            for place, bits in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+                got |= set((place * repeats.SLICE + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))).tolist())
+        assert got == {k for k, n in want.items() if n >= least}
+
+
 def test_repeats_across_periodic_and_long_texts(spark):
     rng = random.Random(2)
     part = "".join(rng.choice("abcdef ") for _ in range(900_000))

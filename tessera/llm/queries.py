@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
+from . import chat, codes, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,49 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op13_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    def assigned(r: int) -> str:
+        return f"""
+a{r} as materialized (
+  select vec_id, part, any_value(x) as x, arg_min(entry, d * 16 + entry) as entry, min(d) as d
+  from (select p.*, c.entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c.c[i]) * (x[i] - c.c[i]))) as d
+        from p join c{r} c using (part)) group by vec_id, part),"""
+
+    def moved(r: int) -> str:
+        return f"""
+c{r + 1} as materialized (
+  select c.part, c.entry, coalesce(n.c, c.c) as c
+  from c{r} c left join (
+    select part, entry, list((s - ((s % n) + n) % n) // n order by i) as c
+    from (select part, entry, i, cast(sum(x[i]) as bigint) as s, count(*) as n from (select *, unnest(range(1, len(x) + 1)) as i from a{r}) group by part, entry, i)
+    group by part, entry) n using (part, entry)),"""
+
+    return f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as e
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select vec_id, part, e[part * len(e) // 8 + 1 : (part + 1) * len(e) // 8] as x from (select *, unnest(range(8)) as part from v)),
+c0 as materialized (
+  select part, rk - 1 as entry, x as c from (select *, row_number() over (partition by part order by vec_id) as rk from p) where rk <= 16),
+{"".join(assigned(r) + moved(r) for r in range(6))}{assigned(6)}
+k as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from c6),
+o as (
+  select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error
+  from a6 join v using (vec_id) group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from o, k
+"""
+
+
+ORACLES["op13_compress_vectors"] = _codes_sql()
+
+
 def _quality_sql() -> str:
     classes = ["up", "low", "digit", "n_chars - word_chars", "n_symbols", "word_chars - up - low - digit - n_symbols"]
     by_lang = lambda of: " ".join(f"when '{k}' then {of(k)}" for k in quality.COMMON_WORDS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, codes, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
+from . import alignment, chat, codes, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,12 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.aligned_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op13_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import alignment, chat, codes, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
+from . import alignment, chat, codes, collisions, decontam, html, linedup, mixing, pii, quality, repeats, superminhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,23 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = collisions.build_index(table(spark, sf_dir, "embeddings"))
+    return collisions.search(index, F.col("id") % 20 == 0, k=20)
+
+
+ORACLES["op11_nearest_vectors"] = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b, 0.0::double) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s) where rank <= 20
+"""
+
+
 @query
 def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.aligned_documents(table(spark, sf_dir, "documents"))

@@ -10,22 +10,40 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import along
 from ..session import stored, stored_bytes
+from . import blockgzip
 
 FRAGMENT = "chrom string, start long, `end` long, barcode string, count int"
 COLUMNS = ["chrom", "start", "end", "barcode", "count"]
 
 
-def read_fragments_tsv(spark: SparkSession, paths: str | list[str], *, separator: str = "\t", prefix: str | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:
+def _text_rows(spark: SparkSession, paths: str | list[str], separator: str, split_bytes: int) -> DataFrame:
+    """Five columns of text, and the name of the file: block-gzip files in ranges, others by Spark's own reader."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    names = [f"_{i}" for i in range(1, 6)]
+    schema, rules = ", ".join(f"{n} string" for n in names), {"sep": separator, "comment": "#"}
+    blocks = {p: blockgzip.blocked(p) for p in given}
+    parts = []
+    if found := [f for files in blocks.values() for f in files]:
+        lines = blockgzip.read_lines(spark, found, split_bytes)
+        parts.append(lines.select(F.from_csv("value", schema, rules).alias("r"), F.col("file").alias("_file")).select("r.*", "_file"))
+    # A folder may hold both kinds.
+    rest = [f for p in given for f in ([x for x, _ in blockgzip.listed(p) if x not in blocks[p]] if blocks[p] else [p])]
+    if rest:
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        parts.append(spark.read.csv(rest, schema=schema, **rules).select(*names, name.alias("_file")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_fragments_tsv(spark: SparkSession, paths: str | list[str], *, separator: str = "\t", prefix: str | None = None, prefixes: dict[str, str] | None = None, split_bytes: int = blockgzip.SPLIT_BYTES) -> DataFrame:
     """Fragments of headerless text files; rows that don't parse are dropped.
 
     All five columns are read and checked, so that pruning columns never changes which rows survive.
-    ``prefixes`` gives barcodes a prefix by file name.
+    ``prefixes`` gives barcodes a prefix by file name. Block-gzip files are read by ``split_bytes`` at a time.
     """
-    raw = spark.read.csv(paths, sep=separator, comment="#", schema="_1 string, _2 string, _3 string, _4 string, _5 string")
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    raw = _text_rows(spark, paths, separator, split_bytes)
     rows = raw.select(
         F.col("_1").alias("chrom"), F.expr("try_cast(_2 as bigint)").alias("start"), F.expr("try_cast(_3 as bigint)").alias("end"),
-        F.col("_4").alias("barcode"), F.expr("try_cast(_5 as int)").alias("count"), name.alias("_file"),
+        F.col("_4").alias("barcode"), F.expr("try_cast(_5 as int)").alias("count"), "_file",
     ).dropna(subset=COLUMNS)
     if prefixes:
         table = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
@@ -35,6 +53,11 @@ def read_fragments_tsv(spark: SparkSession, paths: str | list[str], *, separator
     return rows.select(COLUMNS)
 
 
+def write_fragments_tsv(fragments: DataFrame, path: str) -> None:
+    """Fragments as block-gzip text, sorted by place within files, one file for each task."""
+    blockgzip.write_lines(fragments.sortWithinPartitions("chrom", "start").select(F.concat_ws("\t", *COLUMNS).alias("value")), path, suffix=".tsv.gz")
+
+
 def write_fragments(fragments: DataFrame, path: str, partitions: int | None = None) -> None:
     """Parquet sorted by place within files, which lets readers skip row groups; an empty table is written too."""
     dealt = fragments.repartition(partitions, "chrom", F.floor(F.col("start") / (1 << 20))) if partitions else fragments
@@ -54,7 +77,7 @@ def partitions_of(spark: SparkSession, df: DataFrame) -> int:
 def make_parquet(spark: SparkSession, source: str, output: str, *, separator: str = "\t", prefix: str | None = None, partitions: int | None = None) -> str:
     """Text fragments to Parquet, in as many files as the text fills if no number is given.
 
-    Gzip cannot be split, so rows are dealt out after reading.
+    Block-gzip is read in ranges; other gzip cannot be split. Rows are dealt out after reading.
     """
     partitions = partitions or partitions_of(spark, spark.read.text(source))
     write_fragments(read_fragments_tsv(spark, source, separator=separator, prefix=prefix), output, partitions)
@@ -70,7 +93,7 @@ def make_parquet_batch(spark: SparkSession, inputs: list[str], output_dir: str,
     if len(set(stems)) < len(stems):
         raise ValueError("two inputs have the same name and would overwrite each other")
     outputs = [f"{output_dir}/{stem}.parquet" for stem in stems]
-    # Jobs of several files run side by side; each is a single task as long as it reads gzip.
+    # Jobs of several files run side by side; plain gzip is a single task each.
     with ThreadPoolExecutor(max_workers=8) as pool:
         return list(pool.map(lambda x: make_parquet(spark, x[0], x[1], separator=separator, prefix=x[2]), zip(inputs, outputs, each, strict=True)))
 

@@ -10,8 +10,8 @@ each such pair in a worker.
 Both tokenizers always break at a single blank between other characters (A's pattern binds a blank to
 what follows, no piece of B holds a blank after another character, which is checked). The walk is
 therefore at the empty residual there, and what it does between two such places is kept by the
-stretch of text: a repeated word costs one look-up. Stretches are forgotten when a worker holds too
-many.
+stretch of text: a repeated word costs one look-up. A worker that holds too many forgets those met
+least.
 
 Every document lists its distinct linked id pairs with their number. Document counts of pairs are
 added up in each task and then by Spark. The pairs found in most documents, at most ``HEAVY``, are
@@ -30,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,12 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs whose counts are broadcast, at most.
 HEAVY = 1 << 18
-#: Stretches, transitions and pairs that a worker keeps.
-KEPT = 300_000
+#: Stretches, and transitions, that a worker keeps.
+KEPT = 400_000
+#: Characters of stretches that are encoded together.
+JOINED = 4096
+#: Links of a group up to which they are written one by one.
+WIDE = 1024
 #: Characters of text taken at once.
 TAKEN = 1 << 21
 #: Distinct pairs that a task counts before it sends them.
@@ -88,25 +93,25 @@ class Transducer:
             return self._state(1 - side, new[len(rest) :])
         raise ValueError("the sequences spell different bytes")
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    def groups(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the groups in both sequences, which spell the same bytes."""
         if len(self.moves) > KEPT:
             self.clear()
-        moves, lead, out, i, j, state = self.moves, self.lead, [], 0, 0, 0
-        while i < len(a) or j < len(b):
-            if lead[state]:
-                token = a[i]
-                i += 1
-            else:
-                token = b[j]
-                j += 1
-            key = state << 32 | token
-            state = moves.get(key, -1)
-            if state < 0:
-                state = moves[key] = self._move(key >> 32, token)
-            if not state:
-                out.append((i, j))
-        return out
+        moves, lead, next_a, next_b = self.moves, self.lead, iter(a).__next__, iter(b).__next__
+        # The state before each token, in the order in which tokens of both sides are taken.
+        states, state = [0], 0
+        then = states.append
+        for _ in range(len(a) + len(b)):
+            key = state << 32 | (next_a() if lead[state] else next_b())
+            try:
+                state = moves[key]
+            except KeyError:
+                state = moves[key] = self._move(key >> 32, key & 0xFFFFFFFF)
+            then(state)
+        before = np.array(states, np.int64)
+        taken = np.cumsum(np.array(lead, np.int64)[before[:-1]])
+        closed = np.flatnonzero(before[1:] == 0)
+        return taken[closed], closed + 1 - taken[closed]
 
 
 class Tokenizers:
@@ -130,87 +135,163 @@ class Tokenizers:
         #: Whether no piece holds a blank after another character, so that stretches are encoded alike alone.
         self.breaks = not any(re.search("[^▁]▁", p) for p in pieces)
         self.transducer = Transducer(a_bytes, b_bytes)
+        self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes))
+        #: How a token is written: A's before a comma or a bar, then B's before a comma or a semicolon.
+        self.written = [f"{i}{end}" for side, end_of_side in ((a_bytes, "|"), (b_bytes, ";")) for i in range(len(side)) for end in (",", end_of_side)]
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Tokens of a blank and each stretch; None where the joined bytes differ from it."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Tokens of a blank and each text; None where the joined bytes differ from it."""
         a_bytes, b_bytes = self.transducer.bytes_of
-        left = self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)
-        right = self.b.encode(stretches, num_threads=1)
-        for s, x, y in zip(stretches, left, right, strict=True):
+        left = self.a.encode_batch_fast([" " + s for s in texts], add_special_tokens=False)
+        right = self.b.encode(texts, num_threads=1)
+        for s, x, y in zip(texts, left, right, strict=True):
             x, want = x.ids, (" " + s).encode()
             same = b"".join([a_bytes[i] for i in x]) == want == b"".join([b_bytes[i] for i in y])
             yield (x, y) if same else None
 
 
-def _links(groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """Number of links of each id pair, without writing the links of a group one by one."""
-    out: dict[int, int] = {}
-    for x, y in groups:
-        if len(x) == len(y) == 1:
-            key = x[0] << 32 | y[0]
-            out[key] = out.get(key, 0) + 1
-        else:
-            left, right = (np.unique(v, return_counts=True) for v in (x, y))
-            for a, n in zip(*(v.tolist() for v in left), strict=True):
-                for b, m in zip(*(v.tolist() for v in right), strict=True):
-                    out[a << 32 | b] = out.get(a << 32 | b, 0) + n * m
-    return out
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends[:-1]])
+
+
+def _links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups, id pairs and numbers of links; a large group gives each of its pairs once."""
+    from_a, from_b = _starts(ends_a), _starts(ends_b)
+    wide = ends_b - from_b
+    n = (ends_a - from_a) * wide
+    large = np.flatnonzero(n > WIDE)
+    n[large] = 0
+    group = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+    pairs = a[from_a[group] + place // wide[group]] << 32 | b[from_b[group] + place % wide[group]]
+    times = np.ones(len(pairs), np.int64)
+    for g in large.tolist():
+        (x, m), (y, k) = (np.unique(v, return_counts=True) for v in (a[from_a[g] : ends_a[g]], b[from_b[g] : ends_b[g]]))
+        pairs = np.append(pairs, (x[:, None] << 32 | y).ravel())
+        times = np.append(times, (m[:, None] * k).ravel())
+        group = np.append(group, np.full(len(x) * len(y), g))
+    if len(large):
+        order = np.argsort(group, kind="stable")
+        group, pairs, times = group[order], pairs[order], times[order]
+    return group, pairs, times
 
 
 class Stretches:
-    """What the walk gives for each stretch of text that this worker has met."""
+    """What the walk gives for each stretch of text that this worker has met.
+
+    Column ``numbers``: tokens of A (-1 where bytes differ) and B, groups, links. The pairs of a
+    stretch are ``sizes`` many from ``begins`` on.
+    """
 
     def __init__(self, tok: Tokenizers):
         self.tok = tok
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.said: list[str] = []
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.size = 0
+        self.numbers, self.begins, self.sizes, self.uses = np.zeros((0, 4), np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the stretches that were met in most places, up to half of what a worker keeps."""
+        if len(self.said) <= KEPT and len(self.pairs) <= 16 * KEPT:
+            return
+        by_use = np.argsort(-self.uses, kind="stable")
+        fits = np.cumsum(self.sizes[by_use]) <= 8 * KEPT
+        keep = np.sort(by_use[fits & (self.uses[by_use] > 1)][: KEPT // 2])
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.said = [self.said[k] for k in keep.tolist()]
+        take = _ragged(self.begins[keep], self.sizes[keep])
+        self.pairs, self.times = self.pairs[take], self.times[take]
+        self.numbers, self.sizes, self.uses = self.numbers[keep], self.sizes[keep], self.uses[keep] // 2
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def learn(self, new: list[str]) -> None:
-        for s, found in zip(new, self.tok.encode(new), strict=True):
-            self.place[s] = len(self.said)
-            if found is None:
-                said, numbers, links = "", (-1, 0, 0, 0), {}
+        """Adds stretches, which are encoded some at a time with their blanks between them."""
+        runs, size = [], JOINED
+        for s in new:
+            alone = not s or s[0].isspace() or s[-1].isspace()
+            if alone or size + len(s) > JOINED:
+                runs.append([])
+                size = JOINED if alone else 0
+            runs[-1].append(s)
+            size += len(s)
+        good, failed = [], []
+        for run, found in zip(runs, self.tok.encode([" ".join(r) for r in runs]), strict=True):
+            if found is not None:
+                good.append((run, found))
+            elif len(run) == 1:
+                failed += run
             else:
-                (a, b), at, groups = found, (0, 0), []
-                for end in self.tok.transducer.groups(a, b):
-                    groups.append((a[at[0] : end[0]], b[at[1] : end[1]]))
-                    at = end
-                said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-                links = _links(groups)
-                numbers = (len(a), len(b), len(groups), sum(links.values()))
-            self.said.append(said)
-            self.numbers.append(numbers)
-            self.pairs.append(np.fromiter(links.keys(), np.int64, len(links)))
-            self.times.append(np.fromiter(links.values(), np.int64, len(links)))
-            self.size += 4 + len(links) + len(said) // 16
+                for s, each in zip(run, self.tok.encode(run), strict=True):
+                    if each is None:
+                        failed.append(s)
+                    else:
+                        good.append(([s], each))
+        if good:
+            self._add([s for run, _ in good for s in run], [t for _, (x, _) in good for t in x], [t for _, (_, y) in good for t in y])
+        if failed:
+            self._extend(failed, [""] * len(failed), np.tile([-1, 0, 0, 0], (len(failed), 1)), np.zeros(len(failed), np.int64), *(np.zeros(0, np.int64),) * 2)
+
+    def _add(self, names: list[str], left: list[int], right: list[int]) -> None:
+        ends_a, ends_b = self.tok.transducer.groups(left, right)
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
+        spelt = np.cumsum(self.tok.lengths[0][a])
+        ends = np.cumsum([1 + len(s.encode()) for s in names])
+        # The last group, A token and B token of each stretch.
+        last = np.searchsorted(spelt[ends_a - 1], ends) + 1
+        groups = np.diff(last, prepend=0)
+        owner = np.repeat(np.arange(len(names)), groups)
+        group, pairs, times = _links(a, b, ends_a, ends_b)
+        sizes = np.bincount(owner[group], minlength=len(names))
+        n_links = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+        numbers = np.stack([np.diff(ends_a[last - 1], prepend=0), np.diff(ends_b[last - 1], prepend=0), groups, n_links], axis=1)
+        # Tokens as they are written, group by group.
+        codes = np.empty(len(a) + len(b), np.int64)
+        final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        final_a[ends_a - 1] = final_b[ends_b - 1] = 1
+        codes[np.arange(len(a)) + np.repeat(_starts(ends_b), np.diff(ends_a, prepend=0))] = 2 * a + final_a
+        codes[np.arange(len(b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))] = 2 * len(self.tok.lengths[0]) + 2 * b + final_b
+        written = list(map(self.tok.written.__getitem__, codes.tolist()))
+        to = (ends_a + ends_b)[last - 1].tolist()
+        said = ["".join(written[i:j]) for i, j in zip([0, *to], to, strict=False)]
+        self._extend(names, said, numbers, sizes, pairs, times)
+
+    def _extend(self, names: list[str], said: list[str], numbers: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        at = len(self.said)
+        self.place.update(zip(names, range(at, at + len(names)), strict=True))
+        self.said += said
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.begins = np.concatenate([self.begins, len(self.pairs) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int64)])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
 
     def places(self, texts: list[str]) -> list[list[int]]:
         """Places of the stretches of each text."""
-        if self.size > 16 * KEPT:
-            self.clear()
-        split = [self._split(t) for t in texts]
-        new = list({s: None for parts in split for s in parts if s not in self.place})
+        get, out, new = self.place.get, [], {}
+        for text in texts:
+            parts = text.split(" ") if self.tok.breaks else [text]
+            found = list(map(get, parts, repeat(-1)))
+            if -1 in found:
+                unknown = [s for s, f in zip(parts, found, strict=True) if f < 0]
+                if self.tok.breaks and ("" in unknown or list(map(str.strip, unknown)) != unknown):
+                    # Blanks beside other white space: stretches end at single blanks between other characters only.
+                    parts = _BREAK.split(text)
+                    found = list(map(get, parts, repeat(-1)))
+                    unknown = [s for s, f in zip(parts, found, strict=True) if f < 0]
+                new.update(dict.fromkeys(unknown))
+                out.append(parts)
+            else:
+                out.append(found)
         if new:
-            self.learn(new)
-        get = self.place.__getitem__
-        return [list(map(get, parts)) for parts in split]
+            self.learn(list(new))
+        known = self.place.__getitem__
+        return [list(map(known, f)) if isinstance(f[0], str) else f for f in out]
+
 
-    def _split(self, text: str) -> list[str]:
-        """Stretches between single blanks that stand between other characters; the blank before each is left out."""
-        if not self.tok.breaks:
-            return [text]
-        parts = text.split(" ")
-        for s in parts:
-            if s not in self.place and (not s or s[0].isspace() or s[-1].isspace()):
-                return _BREAK.split(text)
-        return parts
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches of a flat array, one after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 @lru_cache(maxsize=1)
@@ -218,41 +299,36 @@ def _worker(byte_bpe: str, piece_bpe: str) -> Stretches:
     return Stretches(Tokenizers(byte_bpe, piece_bpe))
 
 
-def _joined(columns: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(columns) if columns else np.zeros(0, np.int64)
-
-
 def _align(known: Stretches, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Per text its numbers and digest; and the distinct (text, pair) with their links."""
     at = [k for k, t in enumerate(texts) if t]
-    found = known.places([texts[k] for k in at])
     numbers, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
     if not at:
         return numbers, digests, *(np.zeros(0, np.int64),) * 3
-    flat = _joined([np.array(p, np.int64) for p in found])
-    used, local = np.unique(flat, return_inverse=True)
-    each = np.array([known.numbers[u] for u in used.tolist()], np.int64)
+    known.forget()
+    found = known.places([texts[k] for k in at])
     lengths = np.array([len(p) for p in found])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    failed = np.add.reduceat(each[local, 0] < 0, starts) > 0
-    for c in range(4):
-        numbers[at, c] = np.where(failed, 0, np.add.reduceat(each[local, c], starts))
-    said = known.said
+    flat = np.fromiter(chain.from_iterable(found), np.int64, lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    sums = np.add.reduceat(known.numbers[flat], starts)
+    failed = np.minimum.reduceat(known.numbers[flat, 0], starts) < 0
+    numbers[at] = np.where(failed[:, None], 0, sums)
+    said = known.said.__getitem__
     for k, places, bad in zip(at, found, failed.tolist(), strict=True):
         if not bad:
-            digests[k] = hashlib.sha256(";".join([said[p] for p in places]).encode()).hexdigest()
+            digests[k] = hashlib.sha256("".join(map(said, places))[:-1].encode()).hexdigest()
     # Distinct stretches of each text, then their pairs.
-    doc = np.repeat(np.arange(len(at)), np.where(failed, 0, lengths))
-    keys, n = np.unique(doc * len(used) + local[np.repeat(~failed, lengths)], return_counts=True)
-    doc, which = keys // max(1, len(used)), keys % max(1, len(used))
-    sizes = np.array([len(known.pairs[u]) for u in used.tolist()], np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    pairs, dense = np.unique(_joined([known.pairs[u] for u in used.tolist()]), return_inverse=True)
-    times = _joined([known.times[u] for u in used.tolist()])
-    m = sizes[which]
-    take = np.repeat(begin[which] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if len(m) else np.zeros(0, np.int64)
-    key, links = np.repeat(doc, m) * len(pairs) + dense[take], np.repeat(n, m) * times[take]
-    order = np.argsort(key, kind="stable")
+    doc = np.repeat(np.arange(len(at)), lengths)
+    keys, n = np.unique((doc * len(known.said) + flat)[~failed[doc]], return_counts=True)
+    doc, which = keys // len(known.said), keys % len(known.said)
+    known.uses += np.bincount(which, minlength=len(known.said))
+    used, local = np.unique(which, return_inverse=True)
+    pairs, dense = np.unique(known.pairs[_ragged(known.begins[used], known.sizes[used])], return_inverse=True)
+    size = known.sizes[used]
+    take = _ragged((np.cumsum(size) - size)[local], size[local])
+    times = known.times[_ragged(known.begins[which], known.sizes[which])]
+    key, links = np.repeat(doc, size[local]) * max(1, len(pairs)) + dense[take], np.repeat(n, size[local]) * times
+    order = np.argsort(key)
     key, links = key[order], links[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     links = np.add.reduceat(links, first) if len(first) else links

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import along
-from ..session import shared_dir, stored
+from ..session import bucketed, remove, shared_dir, stored
+from . import krylov
 
 
 def idf_weights(x: DataFrame) -> DataFrame:
@@ -42,89 +42,47 @@ def degrees(rows: DataFrame) -> DataFrame:
     return rows.join(sums, "feature").groupBy("cell").agg((F.sum(F.col("v") * F.col("s")) - 1).alias("degree"))
 
 
-#: Vectors in a block of the iteration beside the wanted ones, and the share of the largest value at which they end.
-EXTRA, TOLERANCE = 8, 1e-7
-
-
 def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool = True, feature_weights: DataFrame | None = None, steps: int | None = None) -> DataFrame:
     """``cell, embedding``: leading eigenvectors of D^-1/2 X X' D^-1/2 - D^-1, times the root of positive eigenvalues.
 
-    A block Krylov space is grown until the residuals of all wanted pairs are below ``TOLERANCE`` (or for
-    ``steps`` blocks). The driver holds cells by basis vectors; the product with X is distributed: tasks
-    hold rows, and only sums per feature and parts per cell move, for a block of vectors at a time.
-    ``feature_weights`` (feature, weight) take the place of the inverse document frequencies.
+    Vectors are tables by cell (see ``krylov``). A product with X is two joins with sums, by feature and
+    by cell, over copies of X in buckets of cell and of feature, so X itself is dealt out once.
+    ``feature_weights`` (feature, weight) take the place of the inverse document frequencies; ``steps``
+    ends the iteration after so many blocks.
     """
-    rows = stored(normalized(x, feature_weights))
-    deg = degrees(rows).toPandas().sort_values("cell").reset_index(drop=True)
-    if (deg["degree"] <= 0).any():
-        raise ValueError("a cell has no neighbours: its degree is not positive")
-    cells, d = deg["cell"].to_numpy(), deg["degree"].to_numpy()
-    n = len(cells)
-    spark, sc = x.sparkSession, x.sparkSession.sparkContext
-    features = along(rows.select("feature").distinct(), ["feature"], number="j").withColumn("j", F.col("j") - 1)
-    features = stored(features)
-    m = features.count()
-    table = spark.createDataFrame(pd.DataFrame({"cell": cells, "i": np.arange(n)}))
-    packed = stored(rows.join(table, "cell").join(features, "feature").groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("vs")))
-    half = 1 / np.sqrt(d)
-
-    def product(v: np.ndarray) -> np.ndarray:
-        """X X' v of a block of vectors."""
-        sent = sc.broadcast(v)
-
-        def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((m, v.shape[1]))
-            for f in frames:
-                for i, js, vs in zip(f["i"], f["js"], f["vs"], strict=True):
-                    total[np.asarray(js)] += np.asarray(vs)[:, None] * sent.value[i]
-            used = np.flatnonzero(total.any(1))
-            yield pd.DataFrame({"j": used, "s": list(total[used])})
-
-        part = packed.mapInPandas(down, "j long, s array<double>").select("j", *[F.get("s", F.lit(k)).alias(f"s{k}") for k in range(v.shape[1])])
-        sums = part.groupBy("j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(v.shape[1])]).toPandas()
-        y = np.zeros((m, v.shape[1]))
-        y[sums["j"]] = sums.drop(columns="j").to_numpy()
-        back = sc.broadcast(y)
-
-        def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield pd.DataFrame({"i": f["i"], "s": [np.asarray(vs) @ back.value[np.asarray(js)] for js, vs in zip(f["js"], f["vs"], strict=True)]})
-
-        parts = packed.mapInPandas(across, "i long, s array<double>").toPandas()
-        out = np.zeros_like(v)
-        out[parts["i"]] = np.array(parts["s"].to_list())
-        sent.destroy()
-        back.destroy()
-        return out
-
-    k = min(n_comps, min(n, m) - 1)
-    block = np.random.default_rng(seed).normal(size=(n, min(n, k + EXTRA)))
-    basis, image = np.empty((n, 0)), np.empty((n, 0))
-    while True:
-        for _ in range(2):
-            block = block - basis @ (basis.T @ block)
-        block, r = np.linalg.qr(block)
-        block = block[:, np.abs(np.diag(r)) > 1e-10 * max(1.0, np.abs(r).max())][:, : n - basis.shape[1]]
-        if block.shape[1]:
-            block -= basis @ (basis.T @ block)
-            block /= np.linalg.norm(block, axis=0)
-            basis = np.hstack([basis, block])
-            image = np.hstack([image, half[:, None] * product(half[:, None] * block) - block / d[:, None]])
-        h = basis.T @ image
-        values, vectors = np.linalg.eigh((h + h.T) / 2)
-        lead = np.argsort(-np.abs(values))[:k]
-        lead = lead[np.argsort(-values[lead])]
-        rest = np.linalg.norm(image @ vectors[:, lead] - basis @ vectors[:, lead] * values[lead], axis=0)
-        done = rest.max(initial=0.0) <= TOLERANCE * max(np.abs(values).max(initial=0.0), 1e-300)
-        if done or not block.shape[1] or basis.shape[1] >= n or steps is not None and basis.shape[1] >= steps * (k + EXTRA):
-            break
-        block = image[:, -block.shape[1] :]
-    out = basis @ vectors[:, lead]
-    out *= np.where(np.abs(out).max(0) == out.max(0), 1.0, -1.0)
-    if weighted:
-        out, values = out[:, values[lead] > 0], values[lead][values[lead] > 0]
-        out = out * np.sqrt(values)
-    return spark.createDataFrame([(c.item() if hasattr(c, "item") else c, row.tolist()) for c, row in zip(cells, out, strict=True)], f"cell {dict(x.dtypes)['cell']}, embedding array<double>")
+    spark = x.sparkSession
+    home = f"{shared_dir(spark)}/spectral-{uuid.uuid4().hex}"
+    tables = []
+    try:
+        rows = stored(normalized(x, feature_weights), f"{home}/rows")
+        deg = stored(degrees(rows), f"{home}/degrees")
+        if not deg.filter("degree <= 0").isEmpty():
+            raise ValueError("a cell has no neighbours: its degree is not positive")
+        n, m = deg.count(), rows.select("feature").distinct().count()
+        by_cell, by_feature = (bucketed(rows, c, tables) for c in ("cell", "feature"))
+        basis, values, weights = krylov.leading(deg, "cell", n, min(n_comps, min(n, m) - 1), _affinity(by_cell, by_feature), f"{home}/basis", seed=seed, steps=steps)
+        if weighted:
+            weights, values = weights[:, values > 0], values[values > 0]
+            weights = weights * np.sqrt(values)
+        return krylov.combined(basis, "cell", weights, "embedding")
+    finally:
+        for name in tables:
+            spark.sql(f"drop table if exists {name}")
+        remove(spark, home)
+
+
+def _affinity(by_cell: DataFrame, by_feature: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """The product of D^-1/2 X X' D^-1/2 - D^-1 with a block of vectors (cell, degree, q)."""
+
+    def product(last: DataFrame, width: int) -> DataFrame:
+        names = [f"s{i}" for i in range(width)]
+        half = last.select("cell", *[(F.get("q", F.lit(i)) / F.sqrt("degree")).alias(c) for i, c in enumerate(names)])
+        down = by_cell.join(half, "cell").groupBy("feature").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
+        across = by_feature.join(down, "feature").groupBy("cell").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
+        w = [F.col(c) / F.sqrt("degree") - F.get("q", F.lit(i)) / F.col("degree") for i, c in enumerate(names)]
+        return last.join(across, "cell").select("cell", F.array(*w).alias("w"))
+
+    return product
 
 
 class Topics:

@@ -666,6 +666,15 @@ def spectral(spark: SparkSession, d: str) -> DataFrame:
     return embed.spectral(materialize(_cells_matrix(spark, d)), 5)
 
 
+@query(
+    _with(fx.FRAGMENTS, fx.CELLS, fx.TILES, MATRIX, *_IDF, "sm as (select feature, sum(v) as s from nv group by feature)", "dg as (select cell, sum(v * s) - 1 as d from nv join sm using (feature) group by cell)")
+    + "select cell, round(sqrt(d / sum(d) over ()), 5) as leading from dg"
+)
+def spectral_leading(spark: SparkSession, d: str) -> DataFrame:
+    """The first component of each cell: its eigenvalue is one, and its vector the root of the degrees."""
+    return embed.spectral(materialize(_cells_matrix(spark, d)), 2).select("cell", F.round(F.get("embedding", F.lit(0)), 5).alias("leading"))
+
+
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
     return embed.Topics(4, max_iter=5).fit(materialize(_cells_matrix(spark, d))).top_peaks(10)

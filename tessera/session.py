@@ -95,3 +95,16 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bucketed(df: DataFrame, key: str, tables: list[str]) -> DataFrame:
+    """``df`` as a table of the warehouse in buckets of ``key``, sorted by it; its name is added to ``tables``.
+
+    Joins and aggregations by ``key`` read it again and again without dealing it out anew. Drop the
+    table when it is no longer read.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_{uuid.uuid4().hex}"
+    tables.append(name)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.ranks import along
 from ..session import stored
+from .neighbours import nearest
 
 BASES = "ACGT"
 
@@ -301,31 +302,6 @@ def whiten(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.withColumns({f"w{j}": sum((F.col(c) * float(m[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(len(columns))})
 
 
-def nearest(points: DataFrame, queries: DataFrame, columns: tuple[str, ...], k: int = 50, key: str = "feature") -> DataFrame:
-    """``query, feature, distance``: exact nearest others; query blocks pass through batches of points.
-
-    Each batch keeps the ``k`` best per query, so what is shuffled is k rows per query and task.
-    """
-    rows = queries.select(key, *columns).collect()
-    names = [r[0] for r in rows]
-    at = np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(columns))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = f[list(columns)].to_numpy(dtype=float)
-            for a in range(0, len(at), 256):
-                d = np.sqrt(((at[a : a + 256, None, :] - p[None]) ** 2).sum(-1))
-                m = min(k + 1, d.shape[1])
-                best = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.empty((len(d), 0), int)
-                q = np.repeat(np.arange(a, a + len(d)), m)
-                yield pd.DataFrame({"query": [names[i] for i in q], key: f[key].to_numpy()[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-
-    kind = dict(points.dtypes)[key]
-    found = points.select(key, *columns).mapInPandas(search, f"query {kind}, {key} {kind}, distance double").filter(F.col("query") != F.col(key))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def check_bias(df: DataFrame, columns: tuple[str, ...]) -> None:
     """ValueError unless the table has rows and numbers in all bias columns."""
     missing = [c for c in columns if c not in df.columns]

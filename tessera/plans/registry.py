@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import deviations, embed, gsea, intervals, markers, matrix, motifs, peaks, plots, qc
+from ..operators import deviations, embed, gsea, intervals, markers, matrix, motifs, neighbours, peaks, plots, qc
 from ..session import materialize, table
 from ..sources import formats
 from . import fixtures as fx
@@ -493,7 +493,7 @@ def bias_whiten(spark: SparkSession, d: str) -> DataFrame:
 )
 def bias_knn(spark: SparkSession, d: str) -> DataFrame:
     b = _bias(spark, d)
-    return motifs.nearest(b, b.filter("feature % 20 = 0"), ("x", "y"), 10).select("query", "feature", rounded("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+    return neighbours.nearest(b, b.filter("feature % 20 = 0"), ("x", "y"), 10).select("query", "feature", rounded("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 _KMERS = [("m1", "GATTACA"), ("m2", "CACGTG"), ("m3", "TGACGT"), ("m4", "AAAGCTTT"), ("m5", "GGATGC")]

@@ -2,50 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import along
 from ..session import stored
 from . import motifs
 
 
+#: Entries, cells and sets of a block; pairs that a task writes at once.
+ENTRIES, CELLS, SETS, PAIRS = 1 << 23, 4096, 1024, 1 << 21
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of each element of a list column."""
+    lists = column.combine_chunks()
+    return np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _block(cells: pa.Table, sets: pa.Table) -> pa.Table:
+    """Per cell and motif of a block: 1 + deviation of the motif's own set, and moments of those of its background sets."""
+    (i, j), v = _flat(cells["js"]), _flat(cells["vs"])[1].astype(np.float64)
+    (s, k), w = _flat(sets["js"]), _flat(sets["ws"])[1].astype(np.float64)
+    n_cells, n_sets = len(cells), len(sets)
+    total = np.zeros(n_cells * n_sets)
+    x_order, s_order = np.argsort(j, kind="stable"), np.argsort(k, kind="stable")
+    (fx, ax, nx), (fs, at, ns) = (np.unique(f, return_index=True, return_counts=True) for f in (j[x_order], k[s_order]))
+    _, ix, js = np.intersect1d(fx, fs, assume_unique=True, return_indices=True)
+    ax, nx, at, ns = ax[ix], nx[ix], at[js], ns[js]
+    # Each entry of a cell meets the sets of its feature; some features at a time, and entries of a common one.
+    entry, width, first = x_order[np.repeat(ax - (np.cumsum(nx) - nx), nx) + np.arange(nx.sum())] if len(nx) else np.zeros(0, np.int64), np.repeat(ns, nx), np.repeat(at, nx)
+    upto = np.cumsum(width)
+    a = 0
+    while a < len(entry):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS)))
+        n = width[a:b]
+        e = np.repeat(entry[a:b], n)
+        t = s_order[np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        total += np.bincount(i[e] * n_sets + s[t], v[e] * w[t], len(total))
+        a = b
+    share, iteration = sets["share"].to_numpy(), sets["iteration"].to_numpy()
+    known = share > 0
+    r = total.reshape(n_cells, n_sets) / (cells["depth"].to_numpy().astype(np.float64)[:, None] * np.where(known, share, 1.0))
+    motifs_of, motif = np.unique(sets["motif"].to_numpy(zero_copy_only=False), return_inverse=True)
+    out = []
+    for g, name in enumerate(motifs_of):
+        mine, drawn = np.flatnonzero((motif == g) & known & (iteration < 0)), np.flatnonzero((motif == g) & known & (iteration >= 0))
+        own = r[:, mine[0]] if len(mine) else np.full(n_cells, np.nan)
+        back = r[:, drawn]
+        every = int(((motif == g) & (iteration >= 0)).sum())
+        # Sets whose features have no reads at all deviate by 0, which is 1 in these terms.
+        idle = every - len(drawn)
+        mean = (back.sum(1) + idle) / max(every, 1)
+        spread = ((back - mean[:, None]) ** 2).sum(1) + idle * (1 - mean) ** 2
+        out.append(pa.table([cells["cell"], pa.array([name] * n_cells, sets.schema.field("motif").type), pa.array(own, from_pandas=True), pa.array(np.full(n_cells, every)), pa.array(mean), pa.array(spread)], names=["cell", "motif", "own", "n", "mean", "spread"]))
+    return pa.concat_tables(out)
+
+
+def _blocks(df: DataFrame, order: list[str], size: str, rows: int, name: str) -> DataFrame:
+    """``df`` with a block of at most ``rows`` rows and, but for single rows, ``ENTRIES`` of ``size``."""
+    placed = along(df, order, {"_upto": ("sum", size)}, number="_k")
+    return placed.withColumn(name, F.floor(F.col("_upto") / ENTRIES) * (1 << 32) + F.floor((F.col("_k") - 1) / rows)).drop("_upto", "_k", size)
+
+
+def _lists(value: str) -> list[Column]:
+    """Columns ``js`` and ``<value>s``: a group's features by number, and their values."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", value))))
+    part = lambda name: F.transform(pairs, lambda p: p[name]).alias(f"{name}s")
+    return [part("j"), part(value)]
+
+
 def compute_deviations(x: DataFrame, motif_features: DataFrame, background: DataFrame) -> DataFrame:
     """``cell, motif, deviation, z``; x (cell, feature, value), motif_features (motif, feature), background (feature, iteration, background).
 
     A deviation is (observed - expected) / expected, and -1 for a set of which a cell has nothing; z
-    compares with the deviations of the background sets, by their mean and population deviation. Cells
-    have few of the background sets, so sums are taken over observed ones and the rest is counted: the
-    largest table is cells by motifs, the result.
+    compares with the deviations of the background sets, by their mean and population deviation.
+    Blocks of cells meet blocks of sets (a motif's own features, or those drawn for it in one iteration)
+    as sparse lists by feature; what is observed of a set stays within its block, and a row leaves it
+    for each cell and motif.
     """
     total = x.agg(F.sum("value").alias("all"))
     shares = x.groupBy("feature").agg(F.sum("value").alias("n")).crossJoin(F.broadcast(total)).select("feature", (F.col("n") / F.col("all")).alias("share"))
     depth = x.groupBy("cell").agg(F.sum("value").alias("depth")).filter("depth > 0")
+    numbers = stored(along(shares, ["feature"], number="j"))
     own = motif_features.select("motif", F.lit(-1).alias("iteration"), "feature")
     drawn = motif_features.join(background, "feature").select("motif", "iteration", F.col("background").alias("feature"))
-    # A feature drawn several times for one set counts each time.
-    sets = stored(own.unionByName(drawn).groupBy("motif", "iteration", "feature").agg(F.count(F.lit(1)).alias("w")))
-    expected = stored(sets.join(shares, "feature").groupBy("motif", "iteration").agg(F.sum(F.col("share") * F.col("w")).alias("share")).filter("share > 0"))
-    observed = x.filter("value <> 0").join(sets, "feature").groupBy("cell", "motif", "iteration").agg(F.sum(F.col("value") * F.col("w")).alias("observed"))
-    # 1 + deviation of what was observed; a set that was not has 0 there.
-    ratio = observed.join(expected, ["motif", "iteration"]).join(depth, "cell").withColumn("r", F.col("observed") / (F.col("depth") * F.col("share")))
-    seen = F.when(F.col("iteration") >= 0, F.col("r"))
-    per = ratio.groupBy("cell", "motif").agg(
-        F.max(F.when(F.col("iteration") < 0, F.col("r"))).alias("own"), F.sum(seen).alias("sum"), F.count(seen).alias("m"), F.avg(seen).alias("avg"), F.var_pop(seen).alias("var")
+    # A feature drawn several times for one set counts each time; features without reads have no number.
+    weighed = own.unionByName(drawn).groupBy("motif", "iteration", "feature").agg(F.count(F.lit(1)).alias("w"))
+    sets = weighed.join(numbers, "feature", "left").groupBy("motif", "iteration").agg(*_lists("w"), F.coalesce(F.sum(F.col("share") * F.col("w")), F.lit(0.0)).cast("double").alias("share"))
+    sets = _blocks(sets.withColumn("size", F.size("js")), ["motif", "iteration"], "size", SETS, "part")
+    cells = x.filter("value <> 0").withColumn("v", F.col("value").cast("double")).join(numbers, "feature").groupBy("cell").agg(*_lists("v")).join(depth, "cell")
+    cells = _blocks(cells.withColumn("depth", F.col("depth").cast("double")).withColumn("size", F.size("js")), ["cell"], "size", CELLS, "block")
+    sets, cells = stored(sets), stored(cells)
+    # Every block of cells meets every block of sets: their numbers, not rows, are multiplied.
+    other = lambda df, name, to: F.broadcast(df.select(F.col(name).alias(to)).distinct())
+    left = cells.select(F.col("block").alias("of"), "cell", "depth", "js", "vs").join(other(sets, "part", "to"), F.lit(True)).groupBy("of", "to")
+    right = sets.select(F.col("part").alias("to"), "motif", "iteration", "share", "js", "ws").join(other(cells, "block", "of"), F.lit(True)).groupBy("of", "to")
+    kinds = {"cell": dict(x.dtypes)["cell"], "motif": dict(motif_features.dtypes)["motif"]}
+    schema = f"cell {kinds['cell']}, motif {kinds['motif']}, own double, n long, mean double, spread double"
+    parts = left.cogroup(right).applyInArrow(_in_block, schema)
+    # The sets of a motif may stand in two blocks: moments about each block's mean become those about all.
+    at = F.sum(F.col("n") * F.col("mean")) / F.greatest(F.sum("n"), F.lit(1))
+    square = F.sum(F.col("spread") + F.col("n") * F.col("mean") * F.col("mean")) / F.greatest(F.sum("n"), F.lit(1)) - at * at
+    one = F.count(F.lit(1)) == 1
+    per = parts.groupBy("cell", "motif").agg(
+        F.max("own").alias("own"), F.sum("n").alias("n"), at.alias("mean"), F.when(one, F.max("spread") / F.greatest(F.max("n"), F.lit(1))).otherwise(F.greatest(square, F.lit(0.0))).alias("var")
     )
-    counts = expected.groupBy("motif").agg(F.count_if(F.expr("iteration >= 0")).alias("n"), F.max((F.col("iteration") < 0).cast("int")).alias("known"))
-    sizes = sets.groupBy("motif").agg(F.count_distinct(F.when(F.col("iteration") >= 0, F.col("iteration"))).alias("all"))
-    motifs_of = sizes.join(counts, "motif", "left").fillna(0, ["n", "known"])
-    grid = depth.crossJoin(motifs_of).join(per, ["cell", "motif"], "left").fillna(0, ["own", "sum", "m", "avg", "var"])
-    # Sets whose features have no reads at all deviate by 0, which is 1 in these terms.
-    idle = F.col("all") - F.col("n")
-    every = F.greatest(F.col("all"), F.lit(1))
-    mean = (F.col("sum") + idle) / every
-    square = lambda m, v, at: m * (v + F.pow(at - mean, F.lit(2)))
-    missing = F.col("n") - F.col("m")
-    var = (square(F.col("m"), F.col("var"), F.col("avg")) + square(missing, F.lit(0.0), F.lit(0.0)) + square(idle, F.lit(0.0), F.lit(1.0))) / every
-    deviation = F.when(F.col("known") > 0, F.col("own") - 1).otherwise(0.0)
-    z = F.when((F.col("all") > 0) & (F.sqrt(var) > 1e-12), (deviation - (mean - 1)) / F.sqrt(var)).otherwise(0.0)
-    return grid.select("cell", "motif", deviation.alias("deviation"), F.when(F.col("all") > 0, z).otherwise(0.0).alias("z"))
+    deviation = F.coalesce(F.col("own") - 1, F.lit(0.0))
+    z = F.when((F.col("n") > 0) & (F.sqrt("var") > 1e-12), (deviation - (F.col("mean") - 1)) / F.sqrt("var")).otherwise(0.0)
+    return per.select("cell", "motif", deviation.alias("deviation"), z.alias("z"))
+
+
+def _in_block(cells: pa.Table, sets: pa.Table) -> pa.Table:
+    if len(cells) and len(sets):
+        return _block(cells, sets)
+    kinds = [cells.schema.field("cell").type, sets.schema.field("motif").type, pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array([], t) for t in kinds], names=["cell", "motif", "own", "n", "mean", "spread"])
 
 
 def chromvar(x: DataFrame, regions: DataFrame, motif_list: list[motifs.Motif], *, p_value: float = 5e-5, method: str = "grid", n_iterations: int = 50, seed: int = 0, base: str | tuple[float, ...] = "subject") -> DataFrame:

@@ -613,8 +613,7 @@ def deviations_z(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cell", "motif", F.round("deviation", 6).alias("deviation"), F.round("z", 4).alias("z"))
 
 
-@query()
-def chromvar(spark: SparkSession, d: str) -> DataFrame:
+def _chromvar(spark: SparkSession, d: str) -> DataFrame:
     """Documents as features, their letters as sequences, counts from their words."""
     import numpy as np
 
@@ -625,6 +624,24 @@ def chromvar(spark: SparkSession, d: str) -> DataFrame:
     return deviations.chromvar(materialize(x), seqs, models, p_value=4.0**-6 * 1.01, base="even")
 
 
+@query()
+def chromvar(spark: SparkSession, d: str) -> DataFrame:
+    return _chromvar(spark, d)
+
+
+@query(
+    _with(
+        fx.DNA, _HITS, "x as (select c as cell, doc_id as feature, (coalesce(n_chars, 0) + c * doc_id) % 7 + 1 as value from documents, (select unnest(range(10)) as c))",
+        "sh as (select feature, sum(value) / (select sum(value) from x) as share from x group by feature)", "dp as (select cell, sum(value) as depth from x group by cell)",
+        "ob as (select cell, motif, sum(value) as n, sum(share) as share from x join hits on feature = region join sh using (feature) where motif in ('m1', 'm2', 'm3') group by cell, motif)",
+    )
+    + "select cell, motif, round(n / (depth * share) - 1, 6) as deviation from ob join dp using (cell)"
+)
+def chromvar_deviations(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations without their scores, which depend on drawn backgrounds."""
+    return _chromvar(spark, d).select("cell", "motif", F.round("deviation", 6).alias("deviation"))
+
+
 @query(
     """with rk as (select p_partkey as feature, abs(p_retailprice - 1400.0) as r, row_number() over (order by p_retailprice - 1400.0 desc, p_partkey) as rank, count(*) over () as n from part),
     h as (select p_brand as term, rank, r, n from rk join part on feature = p_partkey),

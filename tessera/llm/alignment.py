@@ -45,13 +45,13 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs whose counts are broadcast, at most.
 HEAVY = 1 << 18
 #: Stretches, and transitions, that a worker keeps.
-KEPT = 100_000
+KEPT = 200_000
 #: Characters of stretches that are encoded together.
 JOINED = 4096
 #: Links of a group up to which they are written one by one.
 WIDE = 1024
 #: Characters of text taken at once.
-TAKEN = 1 << 19
+TAKEN = 1 << 20
 #: Distinct pairs that a task counts before it sends them.
 COUNTED = 1 << 20
 _BREAK = re.compile(r"(?<=\S) (?=\S)")

@@ -9,13 +9,14 @@ from __future__ import annotations
 import bisect
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..session import materialize
-from .intervals import UNBOUNDED, join_points, union_intervals
+from ..session import materialize, stored
+from .intervals import UNBOUNDED, join_points
 
 PEAK_KEYS = ("group", "chrom")
 
@@ -118,37 +119,90 @@ def read_grouped(spark: SparkSession, path: str, groups: DataFrame, suffixes: tu
     return group_fragments(every, named)
 
 
-def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of overlapping windows keeps the best by p-value, ties leftmost, and drops what overlaps it."""
-    frame = frame.sort_values(["p_value", "start", "end"], ascending=[False, True, True])
-    kept: list[int] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    # Kept windows don't overlap, so only the neighbours of a new one can overlap it.
-    for i, (a, b) in enumerate(zip(frame["start"].tolist(), frame["end"].tolist(), strict=True)):
-        at = bisect.bisect_right(starts, a)
-        if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
+#: Positions in a range of the choice among overlapping windows.
+RANGE = 1 << 16
+OWN, GUEST, KEPT = 0, 1, 2
+
+
+def _choice(starts: list[int], ends: list[int], order: list[int], kinds: list[int]) -> list[bool | None]:
+    """For windows in ``order``, best first: kept, dropped, or None where that depends on what others decide.
+
+    A guest is decided elsewhere, so neither it nor a worse window that overlaps it is decided here.
+    """
+    out: list[bool | None] = [None] * len(starts)
+    kept = sorted((starts[i], ends[i]) for i in range(len(starts)) if kinds[i] == KEPT)
+    at_kept, to_kept = [s for s, _ in kept], [e for _, e in kept]
+    open_: list[tuple[int, int]] = []
+    widest = max((b - a for a, b in zip(starts, ends, strict=True)), default=0)
+    for i in order:
+        if kinds[i] == KEPT:
             continue
-        starts.insert(at, a)
-        ends.insert(at, b)
-        kept.append(i)
-    return frame.iloc[kept]
+        a, b = starts[i], ends[i]
+        # Kept windows don't overlap, so only the neighbours of a new one can overlap it.
+        at = bisect.bisect_right(at_kept, a)
+        if (at and to_kept[at - 1] > a) or (at < len(at_kept) and at_kept[at] < b):
+            out[i] = False
+            continue
+        j = bisect.bisect_left(open_, (b, 0)) - 1
+        while j >= 0 and open_[j][0] > a - widest and open_[j][1] <= a:
+            j -= 1
+        if kinds[i] == GUEST or (j >= 0 and open_[j][0] > a - widest):
+            bisect.insort(open_, (a, b))
+            continue
+        out[i] = True
+        at_kept.insert(at, a)
+        to_kept.insert(at, b)
+    return out
 
 
-def merge_peaks(peaks: DataFrame, chrom_sizes: DataFrame, half_width: int = 250) -> DataFrame:
-    """Fixed-width peaks around the summits of all groups that don't overlap, best first, clipped to chromosomes.
+def _choose(group: pa.Table) -> pa.Table:
+    starts, ends, p = (group[c].to_numpy() for c in ("start", "end", "p_value"))
+    kinds = group["kind"].to_pylist()
+    found = _choice(starts.tolist(), ends.tolist(), np.lexsort((ends, starts, -p)).tolist(), kinds)
+    mine = np.array([k == OWN and f is not False for k, f in zip(kinds, found, strict=True)], bool)
+    taken = pa.array([bool(f) for f, m in zip(found, mine, strict=True) if m], pa.bool_())
+    rows = group.select(["chrom", "start", "end", "p_value"]).filter(pa.array(mine))
+    return rows.append_column("taken", taken)
 
-    Windows meet in islands of touching windows; the greedy choice runs within one island at a time.
+
+def best_apart(windows: DataFrame, size: int | None = None) -> DataFrame:
+    """Of distinct windows (chrom, start, end, p_value) those that a greedy choice keeps: best first, ties leftmost.
+
+    A range of the axis is decided as far as its own windows and guests from beside it allow. What
+    depends on windows elsewhere waits for the next round, whose ranges are moved by half; the best
+    window left is decided in each. Whatever the islands, a task holds one range.
     """
+    windows = stored(windows)
+    widest = windows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
+    size = max(size or RANGE, 4 * widest)
+    waiting, last, kept, turn = windows, None, [], 0
+    while True:
+        every = waiting.withColumn("kind", F.lit(OWN))
+        if last is not None:
+            every = every.unionByName(last.withColumn("kind", F.lit(KEPT)))
+        at = F.col("start") + (size // 2 if turn % 2 else 0)
+        beside = F.array_distinct(F.array(F.floor(at / size), F.floor((at - widest) / size), F.floor((at + widest) / size)))
+        dealt = every.withColumn("_own", F.floor(at / size)).withColumn("range", F.explode(beside))
+        dealt = dealt.withColumn("kind", F.when((F.col("kind") == OWN) & (F.col("range") != F.col("_own")), F.lit(GUEST)).otherwise(F.col("kind"))).drop("_own")
+        out = stored(dealt.groupBy("chrom", "range").applyInArrow(_choose, "chrom string, start long, end long, p_value double, taken boolean"))
+        last, waiting, turn = out.filter("taken").drop("taken"), stored(out.filter("not taken").drop("taken")), turn + 1
+        kept.append(last)
+        if waiting.isEmpty():
+            break
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def merge_peaks(peaks: DataFrame, chrom_sizes: DataFrame, half_width: int = 250) -> DataFrame:
+    """Fixed-width peaks around the summits of all groups that don't overlap, best first, clipped to chromosomes."""
     summit = F.col("start") + F.col("peak")
     wide = peaks.join(F.broadcast(chrom_sizes.select("chrom", "size")), "chrom").select(
         "chrom", F.greatest(summit - half_width, F.lit(0)).cast("long").alias("start"), F.least(summit + half_width + 1, F.col("size")).cast("long").alias("end"), "p_value"
     )
-    wide = wide.groupBy("chrom", "start", "end").agg(F.max("p_value").alias("p_value"))
-    spans = union_intervals(wide.select("chrom", "start", "end")).select("chrom", F.col("start").alias("lo"), (F.col("end") + 1).alias("hi"))
-    placed = join_points(wide, spans, "start", "lo", "hi")
-    out = placed.groupBy("chrom", "lo").applyInPandas(lambda f: _greedy(f)[["chrom", "start", "end", "p_value"]], "chrom string, start long, end long, p_value double")
-    return out.orderBy(F.desc("p_value"), "chrom", "start")
+    wide = wide.groupBy("chrom", "start", "end").agg(F.max("p_value").cast("double").alias("p_value"))
+    return best_apart(wide.filter(F.col("end") > F.col("start"))).orderBy(F.desc("p_value"), "chrom", "start")
 
 
 def peak_matrix(fragments: DataFrame, peaks: DataFrame, strategy: str = "paired-insertion") -> DataFrame:

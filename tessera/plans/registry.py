@@ -357,18 +357,21 @@ def _called(spark: SparkSession, d: str) -> DataFrame:
     return peaks.call_peaks(_grouped(spark, d), fx.GENOME, q_thresh=0.05, peak_amp=100)
 
 
+_CALLED = (
+    *fx.PEAK_FRAGMENTS, *_PILE,
+    "byp as (select g, p_score as p, sum(e - s) as bases from scored group by all)",
+    "qt as (select g, p, p + log10(1.0 + coalesce(sum(bases) over (partition by g order by p desc rows between unbounded preceding and 1 preceding), 0)) - log10(cast(sum(bases) over (partition by g) as double)) as raw from byp)",
+    "q as (select g, p, greatest(0, min(raw) over (partition by g order by p desc)) as q_score from qt)",
+    "good as (select scored.*, q_score from scored join q on scored.g = q.g and p_score = q.p where q_score >= -log10(0.05))",
+    "fl as (select *, case when s - (lag(e) over w - 1) < 30 then 0 else 1 end as fresh from good window w as (partition by g, chrom order by s))",
+    "isl2 as (select *, sum(fresh) over (partition by g, chrom order by s) as i from fl)",
+    "best as (select *, min(s) over own as lo, max(e) over own - 1 as hi, row_number() over (partition by g, chrom, i order by p_score desc, s) as r from isl2 window own as (partition by g, chrom, i))",
+    "peak as (select *, (treat + 1.0::double) / (lam + 1) as signal from best where r = 1 and hi - lo >= 99)",
+)
+
+
 @query(
-    _with(
-        *fx.PEAK_FRAGMENTS, *_PILE,
-        "byp as (select g, p_score as p, sum(e - s) as bases from scored group by all)",
-        "qt as (select g, p, p + log10(1.0 + coalesce(sum(bases) over (partition by g order by p desc rows between unbounded preceding and 1 preceding), 0)) - log10(cast(sum(bases) over (partition by g) as double)) as raw from byp)",
-        "q as (select g, p, greatest(0, min(raw) over (partition by g order by p desc)) as q_score from qt)",
-        "good as (select scored.*, q_score from scored join q on scored.g = q.g and p_score = q.p where q_score >= -log10(0.05))",
-        "fl as (select *, case when s - (lag(e) over w - 1) < 30 then 0 else 1 end as fresh from good window w as (partition by g, chrom order by s))",
-        "isl2 as (select *, sum(fresh) over (partition by g, chrom order by s) as i from fl)",
-        "best as (select *, min(s) over own as lo, max(e) over own - 1 as hi, row_number() over (partition by g, chrom, i order by p_score desc, s) as r from isl2 window own as (partition by g, chrom, i))",
-        "peak as (select *, (treat + 1.0::double) / (lam + 1) as signal from best where r = 1 and hi - lo >= 99)",
-    )
+    _with(*_CALLED)
     + """select cast(g as int) as "group", chrom, lo as start, hi as "end", concat(cast(g as varchar), '_', chrom, '_', cast(lo as varchar)) as name, cast(least(floor(q_score * 10), 1000) as int) as score,
        '.' as strand, round(signal, 6) as signal_value, round(p_score, 4) as p_value, round(q_score, 4) as q_value, s - lo as peak from peak where signal >= 1"""
 )
@@ -377,9 +380,28 @@ def call_peaks(spark: SparkSession, d: str) -> DataFrame:
     return called.withColumns({"signal_value": F.round("signal_value", 6), "p_value": F.round("p_value", 4), "q_value": F.round("q_value", 4)})
 
 
-@query()
+# In each round the windows without a better one among those they overlap are kept, and what overlaps them goes.
+_MERGED = (
+    _with(
+        *_CALLED, "wide as (select chrom, greatest(s - 250, 0) as a, least(s + 251, 201000) as b, max(p_score) as p from peak where signal >= 1 group by all)",
+        "wd as (select *, row_number() over (order by p desc, a, b) as r from wide)",
+        """rounds as (
+          select chrom, a, b, p, r, false as kept from wd
+          union all
+          (with u as (
+             select x.chrom, x.a, x.b, x.p, x.r, min(y.r) as least from rounds x join rounds y on x.chrom = y.chrom and x.a < y.b and y.a < x.b
+             where not x.kept and not y.kept group by x.chrom, x.a, x.b, x.p, x.r)
+           select u.chrom, u.a, u.b, u.p, u.r, u.least = u.r as kept
+           from u join u v on u.chrom = v.chrom and u.a < v.b and v.a < u.b
+           group by u.chrom, u.a, u.b, u.p, u.r, u.least having u.least = u.r or not bool_or(v.least = v.r)))""",
+    ).replace("with ", "with recursive ", 1)
+    + 'select chrom, a as start, b as "end", round(p, 4) as p_value from rounds where kept'
+)
+
+
+@query(_MERGED)
 def merge_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return peaks.merge_peaks(_called(spark, d), fx.sizes(spark))
+    return peaks.merge_peaks(_called(spark, d), fx.sizes(spark)).withColumn("p_value", F.round("p_value", 4))
 
 
 _PEAKS = "pk as (select concat('chr', cast(1 + i % 6 as varchar)) as chrom, i * 997 % 200000 as lo, i * 997 % 200000 + 501 as hi from (select unnest(range(0, 120)) as i))"

@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,16 +83,34 @@ def test_fragments_of_groups_from_a_folder(spark, tmp_path):
     assert got(one.select("group", "start")) == [("y", 0), ("y", 2)]
 
 
+def _chosen(rows):
+    kept = []
+    for a, b, p in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if all(b <= s or a >= e for s, e, _ in kept):
+            kept.append((a, b, p))
+    return sorted(kept)
+
+
 def test_greedy_choice_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
         rows = [(a, a + rng.randint(1, 30), rng.randint(0, 5) / 2) for a in (rng.randint(0, 120) for _ in range(rng.randint(1, 25)))]
-        frame = pd.DataFrame(rows, columns=["start", "end", "p_value"])
-        kept = []
-        for a, b, p in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
-            if all(b <= s or a >= e for s, e, _ in kept):
-                kept.append((a, b, p))
-        assert sorted(map(tuple, peaks._greedy(frame)[["start", "end", "p_value"]].to_numpy().tolist())) == sorted(kept)
+        order = sorted(range(len(rows)), key=lambda i: (-rows[i][2], rows[i][0], rows[i][1]))
+        found = peaks._choice([r[0] for r in rows], [r[1] for r in rows], order, [peaks.OWN] * len(rows))
+        assert sorted(r for r, f in zip(rows, found, strict=True) if f) == _chosen(rows)
+
+
+def test_choice_over_ranges(spark):
+    """One island over many ranges, also with values that fall along it, and clipped windows."""
+    rng = random.Random(4)
+    falling = [(10 * i, 10 * i + 31, 1000.0 - i) for i in range(150)]
+    mixed = list({(a, a + w): (a, a + w, float(rng.randint(0, 4))) for a in range(0, 1500, 3) for w in (rng.choice([5, 31]),)}.values())
+    both = [("a", *r) for r in falling] + [("b", *r) for r in mixed]
+    df = spark.createDataFrame(both, "chrom string, start long, end long, p_value double")
+    want = sorted([("a", *r) for r in _chosen(falling)] + [("b", *r) for r in _chosen(mixed)])
+    for size in (124, 400, 1 << 16):
+        assert sorted(map(tuple, peaks.best_apart(df, size).collect())) == want
+    assert peaks.best_apart(df.limit(0)).count() == 0
 
 
 def test_scans_with_options(spark, tmp_path):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.ranks import over_ranges
 from ..session import materialize, stored
 from .intervals import UNBOUNDED, join_points
 
@@ -32,8 +33,7 @@ def pileup(fragments: DataFrame, d_treat: int = 200, d_ctrl: int = 10000) -> Dat
     a, b = d_treat // 2, d_ctrl // 2
     events = ends.select(*PEAK_KEYS, F.explode(F.array(event(-a, 1, 0), event(a, -1, 0), event(-b, 0, 1), event(b, 0, -1))).alias("e"))
     at = events.groupBy(*PEAK_KEYS, F.col("e.pos").alias("start")).agg(F.sum("e.t").alias("t"), F.sum("e.c").alias("c"))
-    w = Window.partitionBy(*PEAK_KEYS).orderBy("start")
-    runs = at.withColumns({"treat": F.sum("t").over(w.rowsBetween(UNBOUNDED, 0)), "ctrl": F.sum("c").over(w.rowsBetween(UNBOUNDED, 0)), "end": F.lead("start").over(w)})
+    runs = over_ranges(at, PEAK_KEYS, "start", sums={"treat": "t", "ctrl": "c"}, after={"end": "start"})
     return runs.filter("end is not null").select(*PEAK_KEYS, "start", "end", "treat", "ctrl")
 
 
@@ -62,9 +62,9 @@ def q_table(scored: DataFrame) -> DataFrame:
 def islands(scored: DataFrame, q_thresh: float = 0.05, max_gap: int = 30, peak_amp: int = 200) -> DataFrame:
     """Significant runs with the island they belong to; islands shorter than ``peak_amp`` are dropped."""
     good = scored.filter(F.col("q_score") >= -F.log10(F.lit(q_thresh)))
-    w = Window.partitionBy(*PEAK_KEYS).orderBy("start")
-    apart = F.lag("end").over(w).isNull() | (F.col("start") - (F.lag("end").over(w) - 1) >= max_gap)
-    marked = good.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(UNBOUNDED, 0)))
+    near = over_ranges(good, PEAK_KEYS, "start", before={"_before": "end"})
+    apart = F.col("_before").isNull() | (F.col("start") - (F.col("_before") - 1) >= max_gap)
+    marked = over_ranges(near.withColumn("_new", F.when(apart, 1).otherwise(0)).drop("_before"), PEAK_KEYS, "start", sums={"island": "_new"})
     own = Window.partitionBy(*PEAK_KEYS, "island")
     marked = marked.withColumns({"i_start": F.min("start").over(own), "i_end": F.max("end").over(own) - 1})
     return marked.filter(F.col("i_end") - F.col("i_start") >= peak_amp - 1).drop("_new")

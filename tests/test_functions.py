@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import stats
+from tessera.functions import ranks, stats
 from tessera.functions.ranks import along
 
 
@@ -110,3 +110,31 @@ def test_adjusted_p_values_over_ranges(spark):
             mine = sorted((x for x in two if g in (None, x[0])), key=lambda x: x[2])
             want = [min(1, min(y[2] * len(mine) / (j + 1) for j, y in enumerate(mine) if j >= i)) for i in range(len(mine))]
             assert [x[3] for x in mine] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000, 1 << 20])
+def test_running_values_over_ranges(spark, size):
+    rng = random.Random(6)
+    rows = [(k, p, rng.randint(-5, 5)) for k in ("a", None, "c") for p in rng.sample(range(-50, 4000), 90)] + [("one", 5, 3)]
+    df = spark.createDataFrame(rows, "key string, at long, v int")
+    out = ranks.over_ranges(df, ("key",), "at", sums={"total": "v", "n": F.lit(1)}, before={"prev": "at"}, after={"next": "v"}, size=size)
+    got = {(r.key, r.at): (r.v, r.total, r.n, r.prev, r.next) for r in out.collect()}
+    assert len(got) == len(rows)
+    for key in {k for k, _, _ in rows}:
+        mine = sorted((p, v) for k, p, v in rows if k == key)
+        for i, (p, v) in enumerate(mine):
+            assert got[key, p] == (v, sum(x for _, x in mine[: i + 1]), i + 1, mine[i - 1][0] if i else None, mine[i + 1][1] if i + 1 < len(mine) else None)
+
+
+@pytest.mark.parametrize("size", [1000, 37])
+def test_peaks_in_small_ranges(spark, monkeypatch, size):
+    """Islands and pileups across the borders of ranges are those of whole chromosomes."""
+    from tessera.operators import peaks
+
+    rng = random.Random(9)
+    rows = [(g, "c", s, s + rng.randint(30, 300)) for g in (0, 1) for s in [rng.randint(0, 20_000) for _ in range(150)] + [rng.randint(7_000, 7_200) for _ in range(120)] + [rng.randint(900, 1_100) for _ in range(120)]]
+    frags = spark.createDataFrame(rows, "group int, chrom string, start long, `end` long")
+    run = lambda: (sorted(map(tuple, peaks.pileup(frags).collect())), sorted(map(str, peaks.call_peaks(frags, 1e6, peak_amp=100).collect())))
+    whole = run()
+    monkeypatch.setattr(ranks, "RANGE", size)
+    assert run() == whole and len(whole[1]) >= 4

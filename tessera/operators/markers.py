@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import stats
 
 
+#: Parts in which the first cells of a side are found before they are compared.
+PARTS = 256
+
+
 def sample_cells(cells: DataFrame, group: str, max_cells: int = 500, seed: int = 42) -> DataFrame:
-    """``cell, side``: equally many cells of the group and of the rest, in the order of a seeded hash."""
-    sided = cells.withColumn("side", F.when(F.col("group") == group, "fg").otherwise("bg"))
-    order = F.row_number().over(Window.partitionBy("side").orderBy(F.md5(F.concat("cell", F.lit(f":{seed}"))), "cell"))
+    """``cell, side``: equally many cells of the group and of the rest, in the order of a seeded hash.
+
+    The first ``max_cells`` of a side are among the first of its parts, so no task sorts all cells.
+    """
+    told = F.md5(F.concat("cell", F.lit(f":{seed}")))
+    sided = cells.select("cell", F.when(F.col("group") == group, "fg").otherwise("bg").alias("side"), told.alias("_told"))
     sizes = sided.groupBy("side").count().agg(F.min("count").alias("n"), F.count(F.lit(1)).alias("sides"))
-    picked = sided.withColumn("_k", order).crossJoin(F.broadcast(sizes))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_told", "cell"))
+    parts = sided.withColumn("_part", F.pmod(F.xxhash64("cell"), F.lit(PARTS))).withColumn("_k", first("side", "_part")).filter(F.col("_k") <= max_cells)
+    picked = parts.withColumn("_k", first("side")).crossJoin(F.broadcast(sizes))
     return picked.filter((F.col("_k") <= F.least(F.col("n"), F.lit(max_cells))) & (F.col("sides") == 2)).select("cell", "side")
 
 

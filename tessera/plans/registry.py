@@ -201,13 +201,13 @@ def tile_binarize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with c as (select unnest(['chr1','chr2','chr3','chr4','chr5','chr6']) as chrom), t as (select chrom, unnest(range(0, 41)) as tile from c)
-    select chrom, tile, tile * 5000 as start, least((tile + 1) * 5000, 201000) as "end",
-           concat(chrom, ':', cast(tile * 5000 as varchar), '-', cast(least((tile + 1) * 5000, 201000) as varchar)) as name,
-           (cast(substr(chrom, 4) as bigint) - 1) * 41 + tile as index from t"""
+    _with(fx.FRAGMENTS, "c as (select chrom, max(e) as size from frag where chrom <> 'chrM' group by chrom)", "t as (select chrom, size, unnest(range(0, (size + 4999) // 5000)) as tile from c)")
+    + """select chrom, tile, tile * 5000 as start, least((tile + 1) * 5000, size) as "end", concat(chrom, ':', cast(tile * 5000 as varchar), '-', cast(least((tile + 1) * 5000, size) as varchar)) as name,
+           row_number() over (order by chrom, tile) - 1 as index from t"""
 )
 def tile_dim(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.tile_dimension(fx.sizes(spark))
+    """Tiles of chromosomes as long as their fragments reach."""
+    return matrix.tile_dimension(fx.fragments(spark, d).groupBy("chrom").agg(F.max("end").alias("size")))
 
 
 @query(_with(fx.FRAGMENTS, fx.CELLS, fx.TILES, "w as (select barcode, chrom, value, unnest(range((tile * 5000) // 12000, (least((tile + 1) * 5000, 201000) - 1) // 12000 + 1)) as t from tiles)") + "select barcode as cell, chrom, t as tile, cast(sum(value) as bigint) as value from w group by barcode, chrom, t")
@@ -677,9 +677,35 @@ def gsea_es(spark: SparkSession, d: str) -> DataFrame:
     return out.select("term", "size", rounded("es").alias("es"))
 
 
-@query()
+_PRIME = gsea.PRIME
+_PRERANK = """with rk as (select p_partkey as feature, abs(p_retailprice - 1400.0) as r, row_number() over (order by p_retailprice - 1400.0 desc, p_partkey) - 1 as place, count(*) over () as n from part),
+    hits as (select p_brand as term, rk.* from rk join part on feature = p_partkey),
+    own as (select term as id, r, place, n, row_number() over w as k, count(*) over (partition by term) as size from hits window w as (partition by term order by place)),
+    m1 as (select place, r, n, t, (place * 1103515245 + t * 69621 + 12345) % {p} as x from rk, (select unnest(range(1000)) as t)),
+    m2 as (select *, (x * x + t) % {p} as y from m1),
+    m3 as (select *, (y * 48271 + x) % {p} as z from m2),
+    dr as (select t, place, r, n, row_number() over (partition by t order by (z * z + y) % {p}, place) as q from m3 qualify q <= 2000),
+    sz as (select size, count(distinct id) as w from own where size between 15 and 2000 group by size),
+    nl as (select concat(size, ':', t) as id, r, place, n, row_number() over (partition by size, t order by place) as k, size from dr join sz on q <= size),
+    v as (select *, sum(r) over (partition by id order by k) as up, sum(r) over (partition by id) as tot from (select * from own where size between 15 and 2000 union all select * from nl)),
+    h as (select id, max(size) as size, max(up / tot - (place - k + 1) / (n - size)) as high, least(0, min((up - r) / tot - (place - k + 1) / (n - size))) as low from v group by id),
+    e as (select id, size, case when high > -low then high else low end as es from h),
+    nu as (select size, es as x, es >= 0 as s from e where contains(id, ':')),
+    mn as (select size, s, avg(abs(x)) as mean, count(*) as m from nu group by size, s),
+    te as (select id as term, size, es, es >= 0 as s from e where not contains(id, ':')),
+    pv as (select te.*, mean, m, (select count(*) from nu where nu.size = te.size and nu.s = te.s and abs(x) >= abs(es)) as beyond from te left join mn using (size, s)),
+    ne as (select term, size, es, case when mean > 0 then es / mean else 0 end as nes, case when m is null then 1 else beyond / m end as p_value from pv),
+    sc as (select x / mean as x, w from nu join mn using (size, s) join sz using (size) where mean > 0),
+    f as (select term, size, es, nes, p_value,
+            (select coalesce(sum(w), 0) from sc where (x >= 0) = (nes >= 0) and abs(x) >= abs(nes)) / greatest(1, (select coalesce(sum(w), 0) from sc where (x >= 0) = (nes >= 0))) as far,
+            (select count(*) from ne b where (b.nes >= 0) = (a.nes >= 0) and abs(b.nes) >= abs(a.nes)) / (select count(*) from ne b where (b.nes >= 0) = (a.nes >= 0)) as seen from ne a)
+    select term, size, round(es, 7) as es, round(nes, 6) as nes, round(p_value, 6) as p_value, round(least(1, far / seen), 6) as fdr from f""".replace("{p}", str(_PRIME))
+
+
+@query(_PRERANK)
 def gsea_prerank(spark: SparkSession, d: str) -> DataFrame:
-    return gsea.prerank(fx.ranking(spark, d), fx.term_sets(spark, d))
+    out = gsea.prerank(fx.ranking(spark, d), fx.term_sets(spark, d))
+    return out.select("term", "size", rounded("es", 7).alias("es"), *[rounded(c, 6).alias(c) for c in ("nes", "p_value", "fdr")])
 
 
 _IDF = (
@@ -782,16 +808,34 @@ def fragments_by_range(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum("count").alias("reads"))
 
 
-_MEANS = (0.1, 3.5, 40.0, 1000.0, 20000.0, 1e6)
-
-
 @query(
-    f"""with g as (select unnest([{", ".join(f"{m}::double" for m in _MEANS)}]) as m),
-    e as (select m, cast(floor(m + (i - 12) * sqrt(m) / 2) as bigint) as k from (select m, unnest(range(0, 25)) as i from (select distinct m from g)))
-    select k, m as mean, round(least(1, case when k + 1 >= m then list_sum(list_transform(range(1, cast(12 * sqrt(m) as bigint) + 60), lambda j: exp(-m + (k + j) * ln(m) - lgamma(k + j + 1.0))))
-      else 1 - list_sum(list_transform(range(cast(greatest(0, k - 12 * sqrt(m) - 60) as bigint), k + 1), lambda j: exp(-m + j * ln(m) - lgamma(j + 1.0)))) end), 7) as p from e where k >= 0"""
+    _with(fx.FRAGMENTS, """t as (select barcode, chrom, count(*) as k from frag group by all)""", "m as (select chrom, avg(k) as mean from t group by chrom)")
+    + """select barcode, t.chrom, k, round(mean, 6) as mean, round(least(1, case when k + 1 >= mean then list_sum(list_transform(range(1, cast(12 * sqrt(mean) as bigint) + 60), lambda j: exp(-mean + (k + j) * ln(mean) - lgamma(k + j + 1.0))))
+      else 1 - list_sum(list_transform(range(cast(greatest(0, k - 12 * sqrt(mean) - 60) as bigint), k + 1), lambda j: exp(-mean + j * ln(mean) - lgamma(j + 1.0)))) end), 7) as p from t join m on t.chrom = m.chrom"""
 )
 def poisson_tail(spark: SparkSession, d: str) -> DataFrame:
-    means = spark.range(1).select(F.explode(F.array(*map(F.lit, _MEANS))).alias("mean")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24))))
-    k = F.floor(F.col("mean") + (F.col("i") - 12) * F.sqrt("mean") / 2).cast("long")
-    return means.withColumn("k", k).filter("k >= 0").select("k", "mean", F.round(stats.poisson_upper(F.col("k"), F.col("mean")), 7).alias("p"))
+    """How far a cell's fragments on a chromosome are above the mean of all cells."""
+    k = fx.fragments(spark, d).groupBy("barcode", "chrom").agg(F.count(F.lit(1)).alias("k"))
+    both = k.join(k.groupBy("chrom").agg(F.avg("k").alias("mean")), "chrom")
+    return both.select("barcode", "chrom", "k", rounded("mean", 6).alias("mean"), F.round(stats.poisson_upper(F.col("k"), F.col("mean")), 7).alias("p"))
+
+
+_HEX = (
+    "m as (select barcode, count(*) as n from frag group by barcode having count(*) >= 100)", "p as (select log10(n + 1) as x, tsse as y from m join sc using (barcode))",
+    "en as (select min(x) as lx, case when max(x) > min(x) then (max(x) - min(x)) / 20 else 1 end as ux, min(y) as ly, case when max(y) > min(y) then (max(y) - min(y)) / 22 else 1 end as uy from p)",
+    "ax as (select (x - lx) / ux - (y - ly) / uy / 2 as a, (y - ly) / uy as b from p, en)",
+    "cu as (select a, b, -a - b as c, floor(a + 0.5::double) as ra, floor(b + 0.5::double) as rb, floor(-a - b + 0.5::double) as rc from ax)",
+    "df as (select *, abs(ra - a) as da, abs(rb - b) as db, abs(rc - c) as dc from cu)",
+    "hx as (select case when da > db and da > dc then -rb - rc else ra end as q, case when da > db and da > dc then rb when db > dc then -ra - rc else rb end as r from df)",
+)
+
+
+@query(_with(*_TSSE, *_HEX) + "select cast(q as bigint) as q, cast(r as bigint) as r, round(lx + (q + r / 2) * ux, 6) as x, round(ly + r * uy, 6) as y, count(*) as n from hx, en group by q, r, lx, ux, ly, uy")
+def qc_hexbin(spark: SparkSession, d: str) -> DataFrame:
+    out = plots.qc_hexagons(qc.compute_metrics(fx.fragments(spark, d), qc.tss_of(fx.transcripts(spark, d))), 20)
+    return out.select("q", "r", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"), "n")
+
+
+@query(_with(fx.FRAGMENTS) + "select cast(least(floor((e - s - 40) / 21.5::double), 39) as bigint) as bin, count(*) as n from frag where e - s between 40 and 900 group by 1")
+def length_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return plots.histogram(fx.fragments(spark, d), F.col("end") - F.col("start"), 40, 900, 40)

@@ -4,7 +4,8 @@ Per document two histograms are compared with references by Jensen-Shannon dista
 classes, and common words of the document's language (each of them, and all other words). The
 references are fixed shares per language, so a verdict depends on the document alone and not on the
 corpus around it. Documents of other or no language are compared with general character shares, by a
-wider limit, and not by words. A comparison counts only for documents above a minimum length.
+wider limit, and not by words; there are two sets of these, one for scripts that are written without
+blanks between words, which a document gets if most of its letters belong to them. A comparison counts only for documents above a minimum length.
 
 Defined results: null text has no words and fails the base rules; a null or unknown language has the
 general reference; texts are counted whole, whatever their length; distances at a limit are kept;
@@ -30,7 +31,7 @@ COMMON_WORDS = {
 }
 CHAR_CLASSES = ("upper", "lower", "digit", "blank", "symbol", "other")
 # Shares of the character classes in prose, rounded, from general knowledge; letters
-# without case count as lower, symbols are #*$%&|<>.
+# without case and the marks that go with letters count as lower, symbols are #*$%&|<>.
 CHAR_SHARES = {
     "en": (0.025, 0.78, 0.008, 0.168, 0.0005, 0.0185),
     "fr": (0.025, 0.79, 0.008, 0.157, 0.0005, 0.0195),
@@ -38,6 +39,9 @@ CHAR_SHARES = {
     "es": (0.025, 0.79, 0.008, 0.16, 0.0005, 0.0165),
 }
 GENERAL_SHARES = (0.0325, 0.78375, 0.008, 0.15675, 0.0005, 0.0185)
+# The same for scripts without blanks between words, and those scripts.
+UNSPACED_SHARES = (0.002, 0.89, 0.01, 0.04, 0.0005, 0.0575)
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
 N_COMMON = 22
 
 
@@ -66,6 +70,9 @@ BOTH_CHAR_DISTANCE = 0.17
 BOTH_WORD_DISTANCE = 0.3
 
 
+LETTERS = r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
+
+
 def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
@@ -114,8 +121,9 @@ def stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             "_n": F.length("_text").cast("long"),
             "word_chars": _without(F.col("_text"), w.BLANKS),
             "_up": _without(F.col("_text"), r"[^\p{Lu}]+"),
-            "_low": F.length("_text") - _without(F.col("_text"), r"[\p{Ll}\p{Lo}]+"),
+            "_low": F.length("_text") - _without(F.col("_text"), LETTERS),
             "_digit": _without(F.col("_text"), "[^0-9]+"),
+            "unspaced_chars": F.when(F.coalesce(F.col(lang_col).isin(*CHAR_SHARES), F.lit(False)), F.lit(0)).otherwise(_without(F.col("_text"), f"[^{''.join(rf'\p{{Is{x}}}' for x in UNSPACED)}]+")).cast("long"),
             "n_symbols": _without(F.col("_text"), "[^#*$%&|<>]+"),
             "_lines": lines,
             "_letters": F.element_at(letters, F.col(lang_col)),
@@ -173,19 +181,23 @@ def distance(counts: Column, n: Column, ref: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(counts.alias("c"), n.alias("n"), ref.alias("r"))), of), F.lit(0))
 
 
-def _by_language(lang: Column, shares: dict[str, list[float]], general: list[float] | None) -> Column:
+def _literal(shares: list[float] | tuple[float, ...]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in shares])
+
+
+def _by_language(lang: Column, shares: dict[str, list[float]], general: Column | None) -> Column:
     """The literal array of the language, or the general one."""
-    literal = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     out = None
     for k, xs in shares.items():
-        out = F.when(lang == k, literal(xs)) if out is None else out.when(lang == k, literal(xs))
-    return out.otherwise(literal(general)) if general else out
+        out = F.when(lang == k, _literal(xs)) if out is None else out.when(lang == k, _literal(xs))
+    return out if general is None else out.otherwise(general)
 
 
 def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``measured`` with ``char_distance``, ``word_distance`` and ``kept``."""
     lang = F.col(lang_col)
-    chars = _by_language(lang, CHAR_SHARES, GENERAL_SHARES)
+    unspaced = 2 * F.col("unspaced_chars") > F.get("char_counts", F.lit(0)) + F.get("char_counts", F.lit(1))
+    chars = _by_language(lang, CHAR_SHARES, F.when(unspaced, _literal(UNSPACED_SHARES)).otherwise(_literal(GENERAL_SHARES)))
     common = _by_language(lang, {k: word_shares(k) for k in COMMON_WORDS}, None)
     far = lambda d, most: F.coalesce(F.col(d) > most, F.lit(False))
     compared = measured.withColumns(

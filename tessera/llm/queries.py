@@ -243,7 +243,7 @@ with d as (
   select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
          case lang {lists} end as common,
-         case lang {by_lang(lambda k: shares(quality.CHAR_SHARES[k]))} else {shares(quality.GENERAL_SHARES)} end as cr,
+         case lang {by_lang(lambda k: shares(quality.CHAR_SHARES[k]))} end as own,
          case lang {by_lang(lambda k: shares(quality.word_shares(k)))} end as wr
   from documents),
 u as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3),
@@ -251,11 +251,11 @@ g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i
 r as (select doc_id, cast(count(distinct i + j) as bigint) as n from g, (values (0), (1), (2)) v(j) where k > 1 group by doc_id),
 c as (
   select d.*, cast(len(w) as bigint) as n_words, cast(length(t) as bigint) as n_chars, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
-         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as up, length(t) - length(regexp_replace(t, '[\p{{Ll}}\p{{Lo}}]+', '', 'g')) as low,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as up, length(t) - length(regexp_replace(t, '[\p{{Ll}}\p{{Lo}}\p{{Lm}}\p{{M}}]+', '', 'g')) as low, length(regexp_replace(t, '[^{"".join(rf"\p{{{x}}}" for x in quality.UNSPACED)}]+', '', 'g')) as unspaced,
          length(regexp_replace(t, '[^0-9]+', '', 'g')) as digit, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
          list_transform(common, lambda x: len(list_filter(w, lambda y: lower(y) = x))) as hits
   from d left join r using (doc_id)),
-h as (select *, [{", ".join(classes)}] as cc, case when common is not null then list_append(hits, n_words - list_sum(hits)) end as wc from c),
+h as (select *, [{", ".join(classes)}] as cc, coalesce(own, case when 2 * unspaced > up + low then {shares(quality.UNSPACED_SHARES)} else {shares(quality.GENERAL_SHARES)} end) as cr, case when common is not null then list_append(hits, n_words - list_sum(hits)) end as wc from c),
 s as (
   select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed,
          case when n_chars >= {quality.MIN_CHARS_COMPARED} then round({apart("cc", "n_chars", "cr")}, 6) end as char_distance,

@@ -86,6 +86,36 @@ def test_verdicts_do_not_depend_on_the_corpus(spark):
     assert sorted(r.doc_id for r in quality.keep_good(frame).collect()) == [3, 4, 5]
 
 
+SCRIPTS = {
+    "hi": "यह नदी के किनारे एक पुराना गाँव है जहाँ लोग सुबह खेतों में काम करते और शाम को कहानियाँ सुनते हैं बच्चे विद्यालय जाते पानी मिट्टी पेड़ छाया",
+    "bn": "এই গ্রামের মানুষ নদীর ধারে বাস করে এবং সকালে মাঠে কাজ করতে যায় শিশুরা বিদ্যালয়ে পড়ে গাছের ছায়ায় গল্প শোনে পুরনো দিনের কথা মনে",
+    "ta": "இந்த கிராமத்தில் மக்கள் ஆற்றின் கரையில் வாழ்கிறார்கள் காலையில் வயலில் வேலை செய்து மாலையில் கதைகள் கேட்கிறார்கள் குழந்தைகள் பள்ளிக்கு செல்கிறார்கள் மரம் நிழல்",
+    "ru": "в этой деревне люди живут у реки и утром идут работать в поле а вечером слушают старые рассказы дети учатся в школе под деревьями тихо вода",
+    "ar": "في هذه القرية يعيش الناس قرب النهر ويعملون في الحقول صباحا ويستمعون إلى القصص القديمة مساء الأطفال يذهبون المدرسة تحت الأشجار ماء هادئ",
+    "he": "בכפר הזה אנשים חיים ליד הנהר ועובדים בשדה בבוקר ובערב שומעים סיפורים ישנים הילדים לומדים בבית הספר תחת העצים מים שקט",
+    "ko": "이 마을 사람들은 강가에 살며 아침에는 들에서 일하고 저녁에는 옛날 이야기를 듣는다 아이들은 학교에 가고 나무 아래 그늘에서 쉰다 물 조용히",
+    "el": "σε αυτό το χωριό οι άνθρωποι ζουν δίπλα στο ποτάμι και το πρωί δουλεύουν στα χωράφια ενώ το βράδυ ακούν παλιές ιστορίες παιδιά σχολείο νερό",
+    "th": "ในหมู่บ้านนี้ ผู้คนอาศัยอยู่ริมแม่น้ำ ตอนเช้าทำงานในทุ่งนา ตอนเย็นฟังเรื่องเล่าเก่าๆ เด็กไปโรงเรียน ใต้ต้นไม้ใหญ่ น้ำไหลเงียบ ลมเย็นพัดผ่าน ชาวนาปลูกข้าว",
+    "zh": "在这个村子里人们住在河边 早上他们到田里工作 晚上坐在一起听老人讲故事 孩子们去学校读书 大树下面很凉快 河水静静地流过 春天的花开了 农民种下稻谷",
+    "ja": "この村では人々が川のそばに住んでいて 朝になると畑で働き 夕方には古い話を聞きます 子どもたちは学校へ行き 大きな木の下で休みます 水は静かに流れ 風が吹く",
+    "am": "በዚህ መንደር ሰዎች በወንዝ ዳር ይኖራሉ ጠዋት በእርሻ ይሠራሉ ማታ የድሮ ታሪኮችን ይሰማሉ ልጆች ትምህርት ቤት ይሄዳሉ ዛፍ ጥላ ውኃ",
+}
+
+
+def test_prose_of_many_scripts_is_kept(spark):
+    """With its language, which has no reference, and without; the same letters as junk go."""
+    rng = random.Random(4)
+    rows = []
+    for i, (lang, text) in enumerate(SCRIPTS.items()):
+        listed = text.split()
+        prose = " ".join(rng.choice(listed) + rng.choice(["", "", "", rng.choice(",.")]) for _ in range(200))
+        junk = " ".join("".join(rng.choice(rng.choice(listed) + "0123456789#$%&*|<>") if rng.random() < 0.4 else rng.choice("0123456789#$%&*|<>") for _ in range(9)) for _ in range(200))
+        rows += [(4 * i, prose, lang, "s", 1), (4 * i + 1, prose, None, "s", 1), (4 * i + 2, junk, lang, "s", 1), (4 * i + 3, junk, None, "s", 1)]
+    kept = {r.doc_id: (r.kept, r.char_distance) for r in quality.quality(docs(spark, rows)).collect()}
+    names = list(SCRIPTS)
+    assert not [(names[i // 4], d) for i, (k, d) in kept.items() if k != (i % 4 < 2)]
+
+
 def test_repeated_words_in_long_runs(spark):
     r = quality.quality(docs(spark, [(1, "a b c d a b c e " + "z " * 50, "en", "s", 1)])).first()
     assert r.n_repeat_words == 6 + 50

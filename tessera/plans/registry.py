@@ -677,6 +677,26 @@ def gsea_es(spark: SparkSession, d: str) -> DataFrame:
     return out.select("term", "size", rounded("es").alias("es"))
 
 
+@query(
+    _with(fx.DNA, "r as (select doc_id, seq, doc_id % 50 as a, doc_id % 50 + 10 + doc_id % 90 as b from dna)")
+    + "select concat('s', cast(doc_id as varchar)) as chrom, a as start, b as \"end\", substr(seq, a + 1, b - a) as seq from r"
+)
+def fetch_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of sequences that were written as a block-gzip FASTA file of lines of 60 letters."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import blockgzip
+
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    dna = fx.sequences(spark, d).select(F.concat(F.lit("s"), F.col("region").cast("string")).alias("chrom"), "seq", "region")
+    lines = F.concat(F.array(F.concat(F.lit(">"), F.col("chrom"))), F.filter(F.split(F.regexp_replace("seq", "(.{60})", "$1\n"), "\n"), lambda x: x != ""))
+    blockgzip.write_lines(dna.select(F.explode(lines).alias("value")), path, suffix=".fa.gz")
+    k = F.col("region")
+    regions = dna.select("chrom", (k % 50).alias("start"), (k % 50 + 10 + k % 90).alias("end"))
+    return formats.fetch_sequences(regions, formats.fasta_chunks(spark, path, split_bytes=1 << 16))
+
+
 _PRIME = gsea.PRIME
 _PRERANK = """with rk as (select p_partkey as feature, abs(p_retailprice - 1400.0) as r, row_number() over (order by p_retailprice - 1400.0 desc, p_partkey) - 1 as place, count(*) over () as n from part),
     hits as (select p_brand as term, rk.* from rk join part on feature = p_partkey),

@@ -149,24 +149,33 @@ def _bytes(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, byt
 
 def _stream(file: pa.NativeFile) -> Iterator[tuple[int, bytes]]:
     """The same of any other gzip file, whole."""
-    squeezed = zlib.decompressobj(31)
+    squeezed, at = zlib.decompressobj(31), 0
     while data := file.read(READ_BYTES):
         while data:
-            yield 0, squeezed.decompress(data)
+            text = squeezed.decompress(data)
+            yield at, text
+            at += len(text)
             data = squeezed.unused_data if squeezed.eof else b""
             if squeezed.eof:
                 squeezed = zlib.decompressobj(31)
 
 
-def whole_lines(pieces: Iterable[tuple[int, bytes]], first: bool, end: int) -> Iterator[bytes]:
-    """Text in whole lines: those that begin in pieces before ``end``, or right after them."""
-    held, size, skip = [], 0, not first
+def whole_lines(pieces: Iterable[tuple[int, bytes]], first: bool, end: int) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
+    """Text in whole lines: those that begin in pieces before ``end``, or right after them.
+
+    With each text come the pieces that it is made of: place in the text, the piece's own place, and
+    how far into the piece it begins.
+    """
+    held, places, size, skip = [], [], 0, not first
     for at, text in pieces:
+        into = 0
         if at >= end:
             if skip:
                 return
             cut = text.find(b"\n")
+            places.append((size, at, 0))
             held.append(text if cut < 0 else text[: cut + 1])
+            size += len(held[-1])
             if cut >= 0:
                 break
             continue
@@ -174,17 +183,31 @@ def whole_lines(pieces: Iterable[tuple[int, bytes]], first: bool, end: int) -> I
             cut = text.find(b"\n")
             if cut < 0:
                 continue
-            text, skip = text[cut + 1 :], False
+            text, skip, into = text[cut + 1 :], False, cut + 1
+        places.append((size, at, into))
         held.append(text)
         size += len(text)
         if size >= BATCH_BYTES:
             joined = b"".join(held)
             cut = joined.rfind(b"\n") + 1
             if cut:
-                yield joined[:cut]
-            held, size = [joined[cut:]], 0
+                yield joined[:cut], places
+                # The rest lies in the last piece or pieces.
+                last = max(k for k, (x, _, _) in enumerate(places) if x <= cut)
+                x, y, into = places[last]
+                places = [(0, y, into + cut - x)] + [(x - cut, y, z) for x, y, z in places[last + 1 :]]
+            held, size = [joined[cut:]], len(joined) - cut
     if rest := b"".join(held):
-        yield rest
+        yield rest, places
+
+
+def line_places(text: bytes, places: list[tuple[int, int, int]], scale: int) -> np.ndarray:
+    """Where each line begins: its piece's place times ``scale`` and how far into the piece."""
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1])
+    starts = starts[: len(starts) - text.endswith(b"\n")]
+    begin, at, into = (np.array(c, np.int64) for c in zip(*places, strict=True))
+    k = np.searchsorted(begin, starts, side="right") - 1
+    return at[k] * scale + into[k] + starts - begin[k]
 
 
 def lines_array(text: bytes) -> pa.Array:
@@ -263,9 +286,9 @@ class LineReader(DataSourceReader):
             name = path.rsplit("/", 1)[-1]
             with store.open_input_file(at) as file:
                 pieces = _members(file, a, b) if kind == "blocks" else _bytes(file, a, b) if kind == "plain" else _stream(file)
-                for text in whole_lines(pieces, a == 0, b if kind != "gzip" else 1):
-                    lines = lines_array(text)
-                    yield pa.RecordBatch.from_arrays([lines, pa.array([name] * len(lines), pa.string())], ["value", "file"])
+                for text, places in whole_lines(pieces, a == 0, b if kind != "gzip" else 1 << 62):
+                    lines, at = lines_array(text), line_places(text, places, _LARGEST if kind == "blocks" else 1)
+                    yield pa.RecordBatch.from_arrays([lines, pa.array([name] * len(lines), pa.string()), pa.array(at, pa.int64())], ["value", "file", "at"])
 
 
 @dataclass
@@ -320,14 +343,17 @@ class LineWriter(DataSourceArrowWriter):
 
 
 class BlockGzip(DataSource):
-    """``spark.read.format("blockgzip").load(path)``: value, file. Option ``splitBytes``; ``paths`` takes a JSON list."""
+    """``spark.read.format("blockgzip").load(path)``: value, file, at. Option ``splitBytes``; ``paths`` takes a JSON list.
+
+    ``at`` grows along a file: the byte of a line, or its member's byte times 2^16 and the byte within.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "blockgzip"
 
     def schema(self) -> str:
-        return "value string, file string"
+        return "value string, file string, at long"
 
     def reader(self, schema: StructType) -> LineReader:
         return LineReader({k.lower(): v for k, v in self.options.items()})
@@ -337,7 +363,7 @@ class BlockGzip(DataSource):
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``value, file``: the lines of block-gzip, gzip and plain files, with the name of their file."""
+    """``value, file, at``: the lines of block-gzip, gzip and plain files, with the name of their file and their place."""
     spark.dataSource.register(BlockGzip)
     given = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.format("blockgzip").option("paths", json.dumps(given)).option("splitBytes", split_bytes).load()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import along
+from ..functions.ranks import over_ranges
 from ..session import stored, stored_bytes
 from . import blockgzip
 
@@ -144,18 +144,29 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("chrom", F.expr("try_cast(start as bigint)").alias("start"), F.expr("try_cast(`end` as bigint)").alias("end")).dropna()
 
 
-def fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
+def fasta_chunks(spark: SparkSession, path: str, chroms: list[str] | None = None, split_bytes: int = blockgzip.SPLIT_BYTES) -> DataFrame:
     """``chrom, offset, seq``: a line of a FASTA file each, with its place in its sequence.
 
-    Lines are numbered in the order of the scan, within which those of a file follow each other;
-    lengths are then summed over ranges of lines. Write the result once and read it as Parquet afterwards.
+    Plain and block-gzip files are read in ranges. Lines know their place in the file, so a header's
+    table says which sequence a line belongs to, and lengths are summed over ranges of places; lines
+    of any width do. ``chroms`` keeps some sequences, whose lines alone are summed. Write the result
+    once and read it as Parquet afterwards.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.rtrim("value").alias("line"))
-    lines = lines.withColumn("head", F.when(F.col("line").startswith(">"), F.col("at"))).withColumn("n", F.when(F.col("head").isNull(), F.length("line")).otherwise(0))
-    run = stored(along(lines, ["at"], {"under": ("max", "head"), "upto": ("sum", "n")}, by=("file",), number="k"))
-    heads = run.filter("head is not null").select("file", F.col("at").alias("under"), F.regexp_extract("line", r"^>(\S*)", 1).alias("chrom"), F.col("upto").alias("begin"))
-    body = run.filter("head is null and n > 0").select("file", "under", "upto", "n", "line")
-    return body.join(heads, ["file", "under"]).select("chrom", (F.col("upto") - F.col("n") - F.col("begin")).alias("offset"), F.col("line").alias("seq"))
+    lines = stored(blockgzip.read_lines(spark, path, split_bytes).select("file", "at", F.rtrim("value").alias("line")))
+    heads = lines.filter(F.col("line").startswith(">")).select("file", "at", F.regexp_extract("line", r"^>(\S*)", 1).alias("chrom"))
+    heads = heads.withColumn("until", F.lead("at").over(Window.partitionBy("file").orderBy("at")))
+    heads = heads.select(F.col("file").alias("_file"), F.col("at").alias("under"), F.coalesce("until", F.lit((1 << 63) - 1)).alias("until"), "chrom")
+    if chroms is not None:
+        heads = heads.filter(F.col("chrom").isin(chroms))
+    # A sequence is listed for each range of the file that it reaches into, so that lines meet it by equal keys.
+    reach = F.lit(1 << 40 if blockgzip.blocked(path) else 1 << 24)
+    last = lines.groupBy(F.col("file").alias("_file")).agg(F.max("at").alias("_last"))
+    listed = heads.join(last, "_file").withColumn("_range", F.explode(F.sequence(F.floor(F.col("under") / reach), F.floor(F.least(F.col("until"), F.col("_last")) / reach))))
+    body = lines.filter(~F.col("line").startswith(">") & (F.length("line") > 0)).withColumn("_range", F.floor(F.col("at") / reach)).withColumn("n", F.length("line"))
+    same = (body["_range"] == listed["_range"]) & (F.col("file") == F.col("_file")) & (F.col("at") > F.col("under")) & (F.col("at") < F.col("until"))
+    owned = body.join(listed, same).select("file", "under", "chrom", "at", "line", "n")
+    run = over_ranges(owned, ("file", "under"), "at", sums={"upto": "n"}, size=1 << 36 if blockgzip.blocked(path) else None)
+    return run.select("chrom", (F.col("upto") - F.col("n")).alias("offset"), F.col("line").alias("seq"))
 
 
 def fetch_sequences(regions: DataFrame, chunks: DataFrame, width: int = 65536) -> DataFrame:

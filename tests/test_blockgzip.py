@@ -89,6 +89,49 @@ def test_fragments_by_range_equal_plain_gzip(spark, tmp_path):
     assert both.count() == 2 * len(plain) and both.filter("barcode like 'b_%'").count() == len(plain)
 
 
+@pytest.mark.parametrize("split", [40, 1000, 1 << 25])
+def test_places_grow_along_the_file(tmp_path, split):
+    text = b"".join(b"%d" % i * (i % 7) + b"\n" for i in range(400))
+    (tmp_path / "p.txt").write_bytes(text)
+    (tmp_path / "b.gz").write_bytes(b"".join(blockgzip.member(text[k : k + 300]) for k in range(0, len(text), 300)) + blockgzip.member(b""))
+    (tmp_path / "g.gz").write_bytes(gzip.compress(text))
+    want = [sum(len(x) + 1 for x in text.split(b"\n")[:k]) for k in range(400)]
+    for name in ("p.txt", "b.gz", "g.gz"):
+        reader = blockgzip.LineReader({"path": str(tmp_path / name), "splitbytes": str(split)})
+        got = [x.as_py() for part in reader.partitions() for batch in reader.read(part) for x in batch.column(2)]
+        assert len(got) == 400 and all(a < b for a, b in zip(got, got[1:], strict=False))
+        assert name == "b.gz" or got == want
+
+
+def test_batches_keep_places(tmp_path, monkeypatch):
+    monkeypatch.setattr(blockgzip, "BATCH_BYTES", 50)
+    test_places_grow_along_the_file(tmp_path, 1000)
+
+
+@pytest.mark.parametrize("name", ["a.fa", "b.fa.gz", "c.fa.gz"])
+def test_sequences_in_any_lines(spark, tmp_path, name):
+    rng = random.Random(3)
+    seqs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate([500, 0, 61, 1200, 3])}
+    out = []
+    for chrom, seq in seqs.items():
+        out.append(f">{chrom} words")
+        while seq:
+            n = rng.randint(1, 40)
+            out.append(seq[:n])
+            seq = seq[n:]
+        out.append("")
+    text = "\n".join(out).encode()
+    squeezed = {"a.fa": text, "b.fa.gz": b"".join(blockgzip.member(text[k : k + 97]) for k in range(0, len(text), 97)) + blockgzip.member(b""), "c.fa.gz": gzip.compress(text)}[name]
+    (tmp_path / name).write_bytes(squeezed)
+    for chroms in (None, ["c3", "c2"]):
+        chunks = formats.fasta_chunks(spark, str(tmp_path / name), chroms, split_bytes=150)
+        got = {}
+        for r in chunks.orderBy("chrom", "offset").collect():
+            assert len(got.setdefault(r.chrom, "")) == r.offset
+            got[r.chrom] += r.seq
+        assert got == {c: s for c, s in seqs.items() if s and (chroms is None or c in chroms)}
+
+
 def test_damaged_members_and_empty_tables(spark, tmp_path):
     data = bytearray(blockgzip.member(b"some lines\n" * 900) + blockgzip.member(b""))
     data[60] ^= 255

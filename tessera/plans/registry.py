@@ -510,10 +510,25 @@ def bias_whiten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _with(_BIAS, "p as (select q.feature as query, b.feature, sqrt((q.x - b.x) ** 2 + (q.y - b.y) ** 2) as dist from b q, b where q.feature % 20 = 0 and q.feature <> b.feature)", "r as (select *, row_number() over (partition by query order by dist, feature) as rank from p)")
+    _with(
+        "b as (select vec_id as feature, list_transform(embedding, lambda x: x::double) as e from embeddings)",
+        "p as (select q.feature as query, b.feature, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - b.e[i]) ** 2))) as dist from b q, b where q.feature % 20 = 0 and q.feature <> b.feature)",
+        "r as (select *, row_number() over (partition by query order by dist, feature) as rank from p)",
+    )
     + "select query, feature, round(dist, 8) as distance, rank from r where rank <= 10"
 )
 def bias_knn(spark: SparkSession, d: str) -> DataFrame:
+    """All 64 dimensions: every cell is within reach."""
+    names = [f"d{i}" for i in range(64)]
+    b = table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    return neighbours.nearest(b, b.filter("feature % 20 = 0"), tuple(names), 10).select("query", "feature", rounded("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _with(_BIAS, "p as (select q.feature as query, b.feature, sqrt((q.x - b.x) ** 2 + (q.y - b.y) ** 2) as dist from b q, b where q.feature % 20 = 0 and q.feature <> b.feature)", "r as (select *, row_number() over (partition by query order by dist, feature) as rank from p)")
+    + "select query, feature, round(dist, 8) as distance, rank from r where rank <= 10"
+)
+def bias_knn_plane(spark: SparkSession, d: str) -> DataFrame:
     b = _bias(spark, d)
     return neighbours.nearest(b, b.filter("feature % 20 = 0"), ("x", "y"), 10).select("query", "feature", rounded("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 

@@ -42,13 +42,16 @@ tiles as (
   from hit where barcode in (select barcode from cells) and chrom <> 'chrM' and tile*5000 < 201000 group by barcode, chrom, tile)"""
 
 
-def fragments(spark: SparkSession, d: str) -> DataFrame:
+def fragments(spark: SparkSession, d: str, record: bool = False) -> DataFrame:
+    """Fragments; with ``record`` also what tells a row of ``lineitem`` from all others."""
     start = (F.col("l_partkey") * 53 + F.col("l_orderkey") * 7) % 200000
     length = 40 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 860
     chrom = F.concat(F.lit("chr"), F.when(F.col("l_linenumber") == 7, "M").otherwise(F.col("l_linenumber").cast("string")))
-    return table(spark, d, "lineitem").select(
+    lines = table(spark, d, "lineitem")
+    return lines.select(
         chrom.alias("chrom"), start.alias("start"), (start + length).alias("end"), F.concat(F.lit("BC"), F.col("l_suppkey").cast("string")).alias("barcode"),
         F.col("l_quantity").cast("int").alias("count"), (F.col("l_suppkey") % 4).cast("int").alias("group"),
+        *([F.concat_ws(":", *[F.col(c).cast("string") for c in lines.columns]).alias("record")] if record else []),
     )
 
 

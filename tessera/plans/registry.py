@@ -794,6 +794,33 @@ def streaming_tiles(spark: SparkSession, d: str) -> DataFrame:
     return counts.read_counts(spark, f"{base}/state")
 
 
+@query(
+    _with(fx.FRAGMENTS)
+    + """select barcode, cast(count(*) as bigint) as n_unique, round((sum(n) - count(*)) / (sum(n) + 1e-9), 8) as duplicate_fraction,
+       round(sum(case when chrom in ('chrM','M') then n else 0 end) / (sum(n) + 1e-9), 8) as mito_fraction
+       from frag group by barcode having count(*) >= 100"""
+)
+def streaming_qc(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments in four parts, the second one sent twice; the stream stops after the first files and goes on from its checkpoint."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming import counts
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    frags = fx.fragments(spark, d, record=True).withColumn("seen", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("record"), F.lit(3600)))).withColumn("part", F.pmod(F.xxhash64("record", F.lit(1)), F.lit(4)))
+    for part in range(2):
+        frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+    for turn in range(2):
+        stream = spark.readStream.schema(frags.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+        counts.qc_stream(stream, f"{base}/state", f"{base}/check", keys=("record",)).awaitTermination()
+        if not turn:
+            for part in (1, 2, 3):
+                frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+    m = counts.read_qc(spark, f"{base}/state")
+    return m.select("barcode", "n_unique", rounded("duplicate_fraction").alias("duplicate_fraction"), rounded("mito_fraction").alias("mito_fraction"))
+
+
 # Plot data and formats ------------------------------------------------------------------------
 
 

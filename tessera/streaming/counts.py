@@ -76,3 +76,30 @@ def count_stream(fragments: DataFrame, state: str, checkpoint: str, tile_size: i
 def read_counts(spark: SparkSession, state: str) -> DataFrame:
     """The counts over all batches."""
     return spark.read.parquet(*_parts(spark, state)).groupBy("barcode", "chrom", "tile").agg(F.sum("value").alias("value"))
+
+
+def qc_stream(fragments: DataFrame, state: str, checkpoint: str, *, keys: tuple[str, ...] = ("chrom", "start", "end", "barcode"), time: str = "seen", delay: str = "1 day", mito: tuple[str, ...] = ("chrM", "M")) -> StreamingQuery:
+    """Starts a query that keeps running totals of each barcode, in Spark's own state.
+
+    Fragments with the same ``keys`` within ``delay`` of their ``time`` count once, and those that come
+    later than that are dropped. Each micro-batch writes the totals that it changed under its number;
+    a batch that is retried, or a query that goes on from its checkpoint, writes the same again.
+    """
+    once = fragments.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    total = once.groupBy("barcode").agg(
+        F.count(F.lit(1)).alias("n_unique"), F.sum(F.col("count").cast("long")).alias("n_total"),
+        F.sum(F.when(F.col("chrom").isin(*mito), F.col("count").cast("long")).otherwise(F.lit(0).cast("long"))).alias("n_mito"),
+    )
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("n", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{state}/totals/batch={number}")
+
+    return total.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_qc(spark: SparkSession, state: str, min_fragments: int = 100) -> DataFrame:
+    """``barcode, n_unique, duplicate_fraction, mito_fraction`` by the newest totals of each barcode."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{state}/totals")
+    last = rows.groupBy("barcode").agg(F.max_by(F.struct("n_unique", "n_total", "n_mito"), "n").alias("t")).select("barcode", "t.*").filter(F.col("n_unique") >= min_fragments)
+    total = F.col("n_total") + 1e-9
+    return last.select("barcode", "n_unique", ((F.col("n_total") - F.col("n_unique")) / total).alias("duplicate_fraction"), (F.col("n_mito") / total).alias("mito_fraction"))

@@ -2,6 +2,7 @@ import gzip
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.sources import formats, genomes
@@ -126,3 +127,29 @@ def test_verbosity():
     assert logging.getLogger("tessera").level == logging.DEBUG
     with pytest.raises(ValueError):
         set_verbosity("loud")
+
+
+def test_stream_of_totals_drops_repeats_and_late_rows(spark, tmp_path):
+    """Repeats count once, across batches and a restart; rows far behind the watermark are dropped."""
+    from tessera.streaming import counts
+
+    kind = "chrom string, start long, `end` long, barcode string, count int, seen long"
+
+    def send(*rows):
+        df = spark.createDataFrame([("chrM" if s % 2 else "chr1", s, s + 10, b, n, t) for s, b, n, t in rows], kind)
+        df.withColumn("seen", F.timestamp_seconds("seen")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        counts.qc_stream(stream, str(tmp_path / "state"), str(tmp_path / "check"), delay="1 hour").awaitTermination()
+        return {r.barcode: (r.n_unique, round(r.duplicate_fraction, 6), round(r.mito_fraction, 6)) for r in counts.read_qc(spark, str(tmp_path / "state"), 1).collect()}
+
+    day = 10**9
+    send((0, "A", 2, day), (1, "A", 4, day), (0, "A", 2, day + 5), (0, "B", 1, day))
+    assert run() == {"A": (2, 0.666667, 0.666667), "B": (1, 0.0, 0.0)}
+    send((1, "A", 4, day + 60), (2, "A", 2, day + 60))  # a repeat and a new one, after a restart
+    assert run() == {"A": (3, 0.625, 0.5), "B": (1, 0.0, 0.0)}
+    send((4, "B", 1, day + 86400))
+    run()
+    send((6, "B", 1, day), (8, "B", 1, day + 86400))  # the first is a day late
+    assert run() == {"A": (3, 0.625, 0.5), "B": (3, 0.0, 0.0)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,9 +178,32 @@ def without_repeats(spark: SparkSession, d: str) -> DataFrame:
     return qc.without_repeats(fx.fragments(spark, d).select(formats.COLUMNS), spans)
 
 
-@query()
+def _renamed(sql: tuple[str, ...], **names: str) -> tuple[str, ...]:
+    for old, new in names.items():
+        sql = tuple(re.sub(rf"\b{old}\b", new, x) for x in sql)
+    return sql
+
+
+@query(
+    _with(
+        fx.FRAGMENTS.replace("frag as", "frag0 as", 1), "cc as (select barcode from frag0 where chrom <> 'chrM' group by barcode having count(*) >= 100)", "frag as (select * from frag0 where barcode in (select barcode from cc))", *_SWEEP, *_UNION,
+        "rk1 as (select reg.chrom, reg.s, reg.e, count(inc.barcode) as k from reg left join inc on reg.chrom = inc.chrom and reg.s = inc.s and reg.e = inc.e group by all)",
+        f"rp as (select *, greatest(0, least(1, {_POISSON})) as p from (select *, avg(k) over () as m from rk1))",
+        "rr as (select *, count(*) over () as n, row_number() over (order by p, chrom, s, e) as rk from rp)",
+        "rq as (select *, least(1, min(p * n / rk) over (order by rk rows between current row and unbounded following)) as q from rr)",
+        "kept as (select * from seg where not exists (select 1 from rq where q < 0.01 and rq.chrom = seg.chrom and rq.s <= seg.e and rq.e >= seg.s))",
+        *_renamed(_UNION, u0="v0", u1="v1", reg="regb", inc="incb", seg="kept"),
+        "k0 as (select cc.barcode, count(incb.barcode) as k from cc left join incb on cc.barcode = incb.barcode group by cc.barcode)",
+        "k1 as (select barcode, k, avg(k) over () as m, max(k) over () as most from k0)",
+        f"p as (select barcode, most, case when most = 0 then 1 else greatest(0, least(1, {_POISSON})) end as p from k1)",
+        "r as (select *, count(*) over () as n, row_number() over (order by p, barcode) as rk from p)",
+        "q as (select *, case when most = 0 then 1 else least(1, min(p * n / rk) over (order by rk rows between current row and unbounded following)) end as q from r)",
+    )
+    + "select barcode as cell_id, round(p, 7) as p_value, round(q, 7) as q_value, q < 0.01 as is_doublet from q"
+)
 def detect_doublets(spark: SparkSession, d: str) -> DataFrame:
-    return qc.detect_doublets(fx.fragments(spark, d))
+    out = qc.detect_doublets(fx.fragments(spark, d))
+    return out.withColumns({"p_value": rounded("p_value", 7), "q_value": rounded("q_value", 7)})
 
 
 # Matrices -------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -349,8 +350,8 @@ def background_bins(peaks: DataFrame, bs: int = 50, w: float = 0.1, n_iterations
     """``feature, iteration, background`` by sampling from cells of a grid over ``w0, w1``, weighted by distance.
 
     Peaks are put to their grid cell; a cell draws other cells by a Gaussian law, then a peak of that
-    cell uniformly. The grid is bs by bs whatever the number of peaks, and so is the table of laws that
-    goes to the tasks; draws are made from seeded hashes of feature and iteration.
+    cell uniformly. The grid is bs by bs whatever the number of peaks, and so are the places of cells that go
+    to the tasks; draws are made from seeded hashes of feature and iteration.
     """
     low = peaks.agg(*[f(c).alias(f"{n}{c}") for c in ("w0", "w1") for n, f in (("lo", F.min), ("hi", F.max))]).first()
     span = {c: max((low[f"hi{c}"] or 0) - (low[f"lo{c}"] or 0), 1e-12) for c in ("w0", "w1")}
@@ -359,20 +360,50 @@ def background_bins(peaks: DataFrame, bs: int = 50, w: float = 0.1, n_iterations
     order = Window.partitionBy("cell").orderBy("feature")
     numbered = stored(placed.withColumn("k", F.row_number().over(order) - 1).select("feature", "cell", "k"))
     counts = numbered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").toPandas()  # bs * bs rows at most
-    cells = counts["cell"].to_numpy()
+    cells, sizes = counts["cell"].to_numpy(), counts["n"].to_numpy()
     xy = np.stack([cells // bs, cells % bs], axis=1) * (np.array([span["w0"], span["w1"]]) / max(bs - 1, 1))
-    laws = [(int(c), np.cumsum(law / law.sum()).tolist()) for c, law in ((c, np.exp(-((xy - at) ** 2).sum(1) / (2 * w * w))) for c, at in zip(cells, xy, strict=True))]
-    spark = peaks.sparkSession
-    law = spark.createDataFrame(laws, "cell int, upto array<double>")
-    sizes = F.array(*[F.struct(F.lit(int(c)).alias("cell"), F.lit(int(n)).alias("n")) for c, n in zip(counts["cell"], counts["n"], strict=True)])
     unit = lambda tag: (F.shiftrightunsigned(F.xxhash64(F.col("feature").cast("string"), F.col("iteration"), F.lit(f"{tag}:{seed}")), 11)) * F.lit(2.0**-53)
-    drawn = numbered.select("feature", "cell").join(F.broadcast(law), "cell").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))))
-    drawn = drawn.withColumn("_u", unit("cell"))
-    drawn = drawn.withColumn("_to", F.get(sizes, F.least(F.size("upto") - 1, F.size(F.filter("upto", lambda x: x < F.col("_u"))))))
-    drawn = drawn.select("feature", "iteration", F.col("_to.cell").alias("cell"), F.floor(unit("peak") * F.col("_to.n")).cast("int").alias("k"))
+    each = numbered.select("feature", "cell").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))))
+    asked = each.select("feature", "iteration", "cell", unit("cell").alias("_u"), unit("peak").alias("_v"))
+    drawn = asked.mapInArrow(_drawn_cells(cells, sizes, xy, w), f"feature {dict(peaks.dtypes)['feature']}, iteration int, cell int, k int")
     return drawn.join(numbered.withColumnRenamed("feature", "background"), ["cell", "k"]).select("feature", "iteration", "background")
 
 
+#: Bytes of laws that a task keeps.
+LAW_BYTES = 64 << 20
+
+
+def _drawn_cells(cells: np.ndarray, sizes: np.ndarray, xy: np.ndarray, w: float):
+    """Rows (feature, iteration, cell, _u, _v) to the cell that ``_u`` draws by its cell's law, and the peak that ``_v`` draws in it.
+
+    A cell's law is made from the places of all cells where it is needed, and searched by halves.
+    """
+
+    def law(at: int) -> np.ndarray:
+        x = np.exp(-((xy - xy[at]) ** 2).sum(1) / (2 * w * w))
+        return np.cumsum(x / x.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        laws: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, u, v = np.searchsorted(cells, batch.column(2).to_numpy()), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            order = np.argsort(at, kind="stable")
+            heads = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])[: len(at)])
+            to = np.empty(len(at), np.int64)
+            for part in np.split(order, heads[1:]):
+                if len(part):
+                    own = int(at[part[0]])
+                    if own not in laws:
+                        if (len(laws) + 1) * 8 * len(cells) > LAW_BYTES:
+                            laws.clear()
+                        laws[own] = law(own)
+                    to[part] = np.minimum(len(cells) - 1, np.searchsorted(laws[own], u[part]))
+            k = np.floor(v * sizes[to]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells[to].astype(np.int32)), pa.array(k)], ["feature", "iteration", "cell", "k"])
+
+    return run
+
+
 def sample_matched(targets: DataFrame, pool: DataFrame, columns: tuple[str, ...], *, n_samples: int | None = None, n_bins: int = 50, replace: bool = True, seed: int = 0, key: str = "region") -> DataFrame:
     """``sample, region`` drawn from the pool so that their bias is that of the targets.
 

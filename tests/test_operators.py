@@ -171,3 +171,25 @@ def test_samples_are_equal_and_seeded(spark):
     cells = spark.createDataFrame([(f"c{i}", "a" if i < 5 else "b") for i in range(20)], "cell string, group string")
     one, two = (got(markers.sample_cells(cells, "a", 4, s)) for s in (1, 1))
     assert one == two and [s for _, s in one].count("fg") == [s for _, s in one].count("bg") == 4
+
+
+def test_background_cells_are_drawn_by_search(spark):
+    """A draw doesn't read its cell's whole law, and is the one that a scan of the law finds."""
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(3000, 2))
+    peaks = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(w)], "feature long, w0 double, w1 double")
+    out = motifs.background_bins(peaks, bs=8, n_iterations=3)
+    assert "exists" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "lambda" not in plan
+    low, span = w.min(0), np.maximum(np.ptp(w, axis=0), 1e-12)
+    cell = (np.minimum(np.floor((w - low) / span * 7 + 0.5), 7) @ [8, 1]).astype(int)
+    cells = np.unique(cell)
+    xy = np.stack([cells // 8, cells % 8], axis=1) * (span / 7)
+    unit = lambda tag: f"shiftrightunsigned(xxhash64(cast(feature as string), iteration, '{tag}:0'), 11) * {2.0**-53!r}D"
+    asked = peaks.selectExpr("feature", "explode(sequence(0, 2)) as iteration").selectExpr("feature", "iteration", f"{unit('cell')} as u", f"{unit('peak')} as v").collect()
+    want = set()
+    for r in asked:
+        law = np.exp(-((xy - xy[np.searchsorted(cells, cell[r.feature])]) ** 2).sum(1) / (2 * 0.1 * 0.1))
+        to = cells[min(len(cells) - 1, int((np.cumsum(law / law.sum()) < r.u).sum()))]
+        members = np.flatnonzero(cell == to)
+        want.add((r.feature, r.iteration, int(members[int(np.floor(r.v * len(members)))])))
+    assert {tuple(r) for r in out.collect()} == want

@@ -147,26 +147,26 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def fasta_chunks(spark: SparkSession, path: str, chroms: list[str] | None = None, split_bytes: int = blockgzip.SPLIT_BYTES) -> DataFrame:
     """``chrom, offset, seq``: a line of a FASTA file each, with its place in its sequence.
 
-    Plain and block-gzip files are read in ranges. Lines know their place in the file, so a header's
-    table says which sequence a line belongs to, and lengths are summed over ranges of places; lines
-    of any width do. ``chroms`` keeps some sequences, whose lines alone are summed. Write the result
-    once and read it as Parquet afterwards.
+    Plain and block-gzip files are read in ranges. Headers and lengths are counted along a file, over
+    ranges of places, so a line knows the number of its header and meets it by that; lines of any
+    width do. ``chroms`` keeps some sequences. Write the result once and read it as Parquet afterwards.
     """
-    lines = stored(blockgzip.read_lines(spark, path, split_bytes).select("file", "at", F.rtrim("value").alias("line")))
-    heads = lines.filter(F.col("line").startswith(">")).select("file", "at", F.regexp_extract("line", r"^>(\S*)", 1).alias("chrom"))
-    heads = heads.withColumn("until", F.lead("at").over(Window.partitionBy("file").orderBy("at")))
-    heads = heads.select(F.col("file").alias("_file"), F.col("at").alias("under"), F.coalesce("until", F.lit((1 << 63) - 1)).alias("until"), "chrom")
+    lines = blockgzip.read_lines(spark, path, split_bytes).select("file", "at", F.rtrim("value").alias("line"))
+    lines = lines.withColumn("_head", F.col("line").startswith(">")).withColumn("n", F.when(F.col("_head"), 0).otherwise(F.length("line")))
+    size = 1 << 36 if blockgzip.blocked(path) else None
+    placed = stored(over_ranges(lines, ("file",), "at", sums={"number": F.col("_head").cast("long"), "upto": "n"}, size=size))
+    heads = placed.filter("_head").select("file", "number", "at", "upto", F.regexp_extract("line", r"^>(\S*)", 1).alias("chrom"))
+    heads = over_ranges(heads, ("file",), "at", after={"until": "at"}, size=size)
     if chroms is not None:
         heads = heads.filter(F.col("chrom").isin(chroms))
-    # A sequence is listed for each range of the file that it reaches into, so that lines meet it by equal keys.
-    reach = F.lit(1 << 40 if blockgzip.blocked(path) else 1 << 24)
-    last = lines.groupBy(F.col("file").alias("_file")).agg(F.max("at").alias("_last"))
-    listed = heads.join(last, "_file").withColumn("_range", F.explode(F.sequence(F.floor(F.col("under") / reach), F.floor(F.least(F.col("until"), F.col("_last")) / reach))))
-    body = lines.filter(~F.col("line").startswith(">") & (F.length("line") > 0)).withColumn("_range", F.floor(F.col("at") / reach)).withColumn("n", F.length("line"))
-    same = (body["_range"] == listed["_range"]) & (F.col("file") == F.col("_file")) & (F.col("at") > F.col("under")) & (F.col("at") < F.col("until"))
-    owned = body.join(listed, same).select("file", "under", "chrom", "at", "line", "n")
-    run = over_ranges(owned, ("file", "under"), "at", sums={"upto": "n"}, size=1 << 36 if blockgzip.blocked(path) else None)
-    return run.select("chrom", (F.col("upto") - F.col("n")).alias("offset"), F.col("line").alias("seq"))
+    # A sequence is listed for each range of the file that it reaches into, so that a long one is not one key.
+    reach = F.lit(1 << 40 if size else 1 << 24)
+    last = placed.groupBy(F.col("file").alias("_file")).agg(F.max("at").alias("_last"))
+    heads = heads.select(F.col("file").alias("_file"), F.col("number").alias("_number"), F.col("upto").alias("_upto"), "at", "until", "chrom").join(last, "_file")
+    listed = heads.withColumn("_range", F.explode(F.sequence(F.floor(F.col("at") / reach), F.floor(F.coalesce("until", "_last") / reach)))).drop("at", "until", "_last")
+    body = placed.filter("not _head and n > 0").withColumn("_at", F.floor(F.col("at") / reach)).drop("at")
+    owned = body.join(listed, (F.col("file") == F.col("_file")) & (F.col("number") == F.col("_number")) & (F.col("_at") == F.col("_range")))
+    return owned.select("chrom", (F.col("upto") - F.col("n") - F.col("_upto")).alias("offset"), F.col("line").alias("seq"))
 
 
 def fetch_sequences(regions: DataFrame, chunks: DataFrame, width: int = 65536) -> DataFrame:

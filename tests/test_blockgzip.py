@@ -145,3 +145,19 @@ def test_damaged_members_and_empty_tables(spark, tmp_path):
     assert blockgzip.read_lines(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(FileNotFoundError):
         blockgzip.listed(str(tmp_path / "nowhere"))
+
+
+def test_many_sequences_meet_their_lines_by_number(spark, tmp_path):
+    """Lines of a range meet their own header only, not all headers of the range."""
+    rows = [x for i in range(20_000) for x in (f">s{i} note", "ACGT"[: i % 5], "AC")]
+    frame = spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1)
+    blockgzip.write_lines(frame, str(tmp_path / "fa"), suffix=".fa.gz")
+    (tmp_path / "plain.fa").write_text("\n".join(rows) + "\n")
+    want = sorted((f"s{i}", o, x) for i in range(20_000) for o, x in ((0, "ACGT"[: i % 5]), (i % 5 if i % 5 < 4 else 4, "AC")) if x)
+    for path in ("fa", "plain.fa"):
+        chunks = formats.fasta_chunks(spark, str(tmp_path / path), split_bytes=5000)
+        assert sorted(map(tuple, chunks.collect())) == want
+        plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and (" < " in x or " > " in x)]
+    some = formats.fasta_chunks(spark, str(tmp_path / "fa"), ["s7", "s12"])
+    assert sorted(map(tuple, some.collect())) == [x for x in want if x[0] in ("s12", "s7")]

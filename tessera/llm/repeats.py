@@ -46,6 +46,8 @@ from .suffix import LongSuffixes, maximal_repeats, repeats_of_earlier
 WINDOW, ANCHOR, SIDE = 50, 20, 15
 #: Bytes hashed at once, and bytes of text before a task passes its findings on.
 PIECE, FLUSH = 1 << 19, 16 << 20
+#: Bytes hashed at once where strings are only counted.
+COUNT_PIECE = 1 << 17
 #: Bytes of text for each shard and place, and for each task of a shuffle.
 PLACE_BYTES, TASK_BYTES = 32 << 20, 256 << 20
 #: Bytes of unlike runs in one suffix array; runs of one anchor stay together.
@@ -229,14 +231,14 @@ def _runs(data: np.ndarray, ends: np.ndarray, frequent: Frequent) -> tuple[np.nd
     return starts, size, anchor[starts], left, right
 
 
-def _pieces(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def _pieces(at: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
     """Parts of texts that begin at ``at``: first and last text, first and last byte; long texts overlap by a window."""
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
         long = j == i + 1
-        for a in range(int(at[i]), int(at[j]), PIECE if long else 1 << 62):
-            yield i, j, a, min(int(at[j]), a + PIECE + WINDOW - 1) if long else int(at[j])
+        for a in range(int(at[i]), int(at[j]), size if long else 1 << 62):
+            yield i, j, a, min(int(at[j]), a + size + WINDOW - 1) if long else int(at[j])
         i = j
 
 
@@ -249,11 +251,12 @@ def _count(least: int):
     """All texts to the number of them with a string of each bucket, by slice of buckets; ``least`` stands for it and more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        count = np.zeros(BUCKETS, np.uint32)
+        # No number goes beyond ``least``, so it is held as narrow as it is sent.
+        count = np.zeros(BUCKETS, _width(least))
         for batch in batches:
             data, at = _column_bytes(batch.column(0))
             long, seen = -1, np.empty(0, bool)
-            for i, j, a, b in _pieces(at):
+            for i, j, a, b in _pieces(at, min(PIECE, COUNT_PIECE)):
                 if b - a < ANCHOR:
                     continue
                 ends = np.minimum(at[i + 1 : j + 1], b) - a
@@ -268,11 +271,13 @@ def _count(least: int):
                     long, seen = (long, seen) if long == i else (i, np.zeros(BUCKETS, bool))
                     bucket = bucket[~seen[bucket]]
                     seen[bucket] = True
-                np.add.at(count, bucket, np.uint32(1))
+                heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+                several = np.diff(np.append(heads, len(bucket)))
+                count[bucket[heads]] = np.minimum(count[bucket[heads]].astype(np.int64) + several, least)
         for k in range(0, BUCKETS, SLICE):
-            part = np.minimum(count[k : k + SLICE], least)
+            part = count[k : k + SLICE]
             if part.any():
-                yield k // SLICE, _COUNT, None, None, pa.compress(part.astype(_width(least)).tobytes(), "zstd", asbytes=True)
+                yield k // SLICE, _COUNT, None, None, pa.compress(part.tobytes(), "zstd", asbytes=True)
 
     return lambda batches: _emit(rows(batches))
 
@@ -331,7 +336,7 @@ def _scan(shards: int, places: int, frequent: Frequent, tell: bool):
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, at = _column_bytes(batch.column(2))
-            for i, j, a, b in _pieces(at):
+            for i, j, a, b in _pieces(at, PIECE):
                 ends = np.minimum(at[i + 1 : j + 1], b) - a
                 with np.errstate(over="ignore"):
                     starts, sizes, anchor, left, right = _runs(data[a:b], ends, frequent)
@@ -623,10 +628,12 @@ class _Job:
         several = digests.groupBy("doc_id").agg(F.min("told").alias("lo"), F.max("told").alias("hi")).filter("lo <> hi").select("doc_id")
         several = stored(several, f"{self.base}/several")
         if several.isEmpty():
-            self.units = named.select("doc_id", F.lit(0).alias("tag"), "text")
+            units = named.select("doc_id", F.lit(0).alias("tag"), "text")
         else:
             tags = digests.join(several, "doc_id").select("doc_id", "told").distinct().withColumn("tag", F.row_number().over(Window.partitionBy("doc_id").orderBy("told")))
-            self.units = named.join(small_side(tags, BROADCAST_IDS), ["doc_id", "told"], "left").select("doc_id", F.coalesce("tag", F.lit(0)).alias("tag"), "text")
+            units = named.join(small_side(tags, BROADCAST_IDS), ["doc_id", "told"], "left").select("doc_id", F.coalesce("tag", F.lit(0)).alias("tag"), "text")
+        # Every later step reads the texts, so what is left of them is told once.
+        self.units = stored(units, f"{self.base}/units")
         total, n = digests.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
         self.tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
         self.places = _prime(max(self.tasks, -(-total // PLACE_BYTES)))

@@ -176,3 +176,44 @@ def test_templates_and_slots_by_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()}
     want = templates_by_brute_force(rows, items)
     assert got == want and {"exact", "reparameterised"} <= set(want.values())
+
+
+def test_strings_are_counted_in_little_memory():
+    """Buckets take a byte each while a byte holds the limit, however many texts hold a string."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import repeats
+
+    rng = np.random.default_rng(5)
+    own = [rng.integers(97, 123, 400, dtype=np.uint8).tobytes() for _ in range(300)]
+    common = rng.integers(97, 123, 100, dtype=np.uint8).tobytes()
+    long = rng.integers(97, 123, 3 * repeats.COUNT_PIECE, dtype=np.uint8).tobytes()
+    texts = [t + common + common for t in own] + [common + long + common, b"", b"short"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    tracemalloc.start()
+    rows = [r for out in repeats._count(16)(iter([batch])) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    got = np.zeros(repeats.BUCKETS, np.int64)
+    for r in rows:
+        got[r["place"] * repeats.SLICE :][: repeats.SLICE] = np.frombuffer(pa.decompress(r["blob"], repeats.SLICE, "zstd"), np.uint8)
+    want = np.zeros(repeats.BUCKETS, np.int64)
+    with np.errstate(over="ignore"):
+        for t in texts:
+            if len(t) >= repeats.ANCHOR:
+                want[np.unique((repeats._hashes(np.frombuffer(t, np.uint8)) & repeats._BUCKET).astype(np.int64))] += 1
+    assert (got == np.minimum(want, 16)).all()
+
+
+def test_copies_are_dropped_once(spark):
+    """Later steps read what is left of the texts and don't join them with the copies anew."""
+    from tessera.llm import repeats
+
+    docs = spark.createDataFrame([(i, "same text of more than fifty bytes, the same in all of them" if i % 2 else f"text {i} " * 12) for i in range(20)], "doc_id long, text string")
+    job = repeats._Job(docs, "doc_id", "text")
+    assert "Join" not in job.units._jdf.queryExecution().optimizedPlan().toString()
+    assert job.units.count() == 11

@@ -59,8 +59,11 @@ def write_fragments_tsv(fragments: DataFrame, path: str) -> None:
 
 
 def write_fragments(fragments: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Parquet sorted by place within files, which lets readers skip row groups; an empty table is written too."""
-    dealt = fragments.repartition(partitions, "chrom", F.floor(F.col("start") / (1 << 20))) if partitions else fragments
+    """Parquet sorted by place within files, which lets readers skip row groups; an empty table is written too.
+
+    With ``partitions`` files hold ranges of places of about equal numbers of rows, however short the axis.
+    """
+    dealt = fragments.repartitionByRange(partitions, "chrom", "start", "end", "barcode") if partitions else fragments
     dealt.select(COLUMNS).sortWithinPartitions("chrom", "start").write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 

@@ -153,3 +153,10 @@ def test_stream_of_totals_drops_repeats_and_late_rows(spark, tmp_path):
     run()
     send((6, "B", 1, day), (8, "B", 1, day + 86400))  # the first is a day late
     assert run() == {"A": (3, 0.625, 0.5), "B": (3, 0.0, 0.0)}
+
+
+def test_files_of_a_short_axis_are_of_equal_size(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("concat('chr', id % 2) as chrom", "id % 500 as start", "id % 500 + 50 as `end`", "concat('b', id % 90) as barcode", "1 as count")
+    formats.write_fragments(rows, str(tmp_path / "out"), 8)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 40_000 and max(sizes) < 10_000

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import along
+from ..session import stored, tasks_of
 from .intervals import join_points
 from .qc import apply_query, passing_cells
 
@@ -182,6 +183,7 @@ def gene_scores(fragments: DataFrame, domains: DataFrame, tile_size: int = 500,
     sign = F.signum(F.col("t_start") - F.col("tss")) * F.when(F.col("strand") == "-", -1).otherwise(1)
     weighted = pairs.withColumn("_x", (gap * sign).cast("double")).withColumn("weight", model_column(model) * F.col("gene_weight"))
     raw = counts.join(weighted.select("chrom", "t_start", "symbol", "weight"), ["chrom", "t_start"]).groupBy("barcode", "symbol").agg(F.sum(F.col("n") * F.col("weight")).alias("raw"))
+    raw = stored(raw, tasks=tasks_of(fragments.sparkSession, fragments.count()))
     total = F.sum("raw").over(Window.partitionBy("barcode"))
     return raw.withColumn("value", F.round(F.col("raw") * scale_to / total, 3)).filter("value <> 0").select("barcode", "symbol", "value")
 

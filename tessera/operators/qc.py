@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..session import stored
+from ..session import stored, tasks_of
 from .intervals import deep_segments, join_overlaps, join_points, union_intervals
 
 MITO = ("chrM", "M")
@@ -209,12 +209,13 @@ def detect_doublets(
     reads = reads.join(cells, "barcode", "left_semi")
     if repeats is not None:
         reads = without_repeats(reads, repeats)
-    segments = stored(overlap_segments(reads, expected, max_insert).filter(F.col("end") - F.col("start") >= min_overlap_bp))
-    regions = union_intervals(segments.select("chrom", "start", "end"))
-    found = incidence(regions, segments)
+    tasks = tasks_of(fragments.sparkSession, fragments.count())
+    segments = stored(overlap_segments(reads, expected, max_insert).filter(F.col("end") - F.col("start") >= min_overlap_bp), tasks=tasks)
+    regions = stored(union_intervals(segments.select("chrom", "start", "end")), tasks=tasks)
+    found = stored(incidence(regions, segments), tasks=tasks)
     per_region = regions.join(found.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n")), ["chrom", "start", "end"], "left").fillna(0, ["n"])
-    kept = stored(_untouched(segments, repeat_regions(per_region, q_repeat)))
-    found = incidence(union_intervals(kept.select("chrom", "start", "end")), kept)
+    kept = stored(_untouched(segments, repeat_regions(per_region, q_repeat)), tasks=tasks)
+    found = stored(incidence(union_intervals(kept.select("chrom", "start", "end")), kept), tasks=tasks)
     per_cell = cells.join(found.groupBy("barcode").agg(F.count(F.lit(1)).alias("n")), "barcode", "left").fillna(0, ["n"])
     tested = poisson_excess(per_cell, "n", ("barcode",))
     most = per_cell.agg(F.max("n").alias("_most"))

@@ -193,3 +193,28 @@ def test_background_cells_are_drawn_by_search(spark):
         members = np.flatnonzero(cell == to)
         want.add((r.feature, r.iteration, int(members[int(np.floor(r.v * len(members)))])))
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_tasks_go_with_the_rows(spark, monkeypatch, tmp_path):
+    """Scores, doublets and tile counts are dealt to more tasks if there are more rows, with the same results."""
+    from tessera import session
+    from tessera.streaming import counts
+
+    rows = spark.range(6000).selectExpr("concat('chr', 1 + id % 3) as chrom", "id * 37 % 9000 as start", "id * 37 % 9000 + 100 + id % 80 as `end`", "concat('b', id % 9) as barcode", "1 as count")
+    genes = spark.createDataFrame([("g1", "chr1", 1000, 2000, "+"), ("g2", "chr2", 4000, 4500, "-")], "symbol string, chrom string, lo long, hi long, strand string")
+    rows.write.parquet(str(tmp_path / "in"))
+    asked = []
+
+    def results(turn):
+        counts.count_stream(counts.stream_fragments(spark, str(tmp_path / "in")), str(tmp_path / f"state{turn}"), str(tmp_path / f"check{turn}")).awaitTermination()
+        tiles = counts.read_counts(spark, str(tmp_path / f"state{turn}"))
+        return got(matrix.gene_scores(rows, matrix.gene_score_domains(genes))), got(qc.detect_doublets(rows)), got(tiles), tiles._jdf.queryExecution().optimizedPlan().toString()
+
+    keep = session.stored
+    for module in (matrix, qc):
+        monkeypatch.setattr(module, "stored", lambda df, path=None, tasks=None: asked.append(tasks) or keep(df, path, tasks))
+    few = results(0)
+    assert set(asked) == {4}
+    monkeypatch.setattr(session, "TASK_ROWS", 600)
+    many = results(1)
+    assert few[:3] == many[:3] and set(asked) == {4, 10} and "RepartitionByExpression [barcode" in many[3]

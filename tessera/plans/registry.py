@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import deviations, embed, gsea, intervals, markers, matrix, motifs, neighbours, peaks, plots, qc
-from ..session import materialize, table
+from ..session import materialize, table, tasks_of
 from ..sources import formats
 from . import fixtures as fx
 
@@ -833,11 +833,12 @@ def streaming_qc(spark: SparkSession, d: str) -> DataFrame:
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     frags = fx.fragments(spark, d, record=True).withColumn("seen", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("record"), F.lit(3600)))).withColumn("part", F.pmod(F.xxhash64("record", F.lit(1)), F.lit(4)))
+    tasks = tasks_of(spark, frags.count())
     for part in range(2):
         frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
     for turn in range(2):
         stream = spark.readStream.schema(frags.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-        counts.qc_stream(stream, f"{base}/state", f"{base}/check", keys=("record",)).awaitTermination()
+        counts.qc_stream(stream, f"{base}/state", f"{base}/check", keys=("record",), tasks=tasks).awaitTermination()
         if not turn:
             for part in (1, 2, 3):
                 frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")

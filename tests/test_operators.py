@@ -218,3 +218,17 @@ def test_tasks_go_with_the_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "TASK_ROWS", 600)
     many = results(1)
     assert few[:3] == many[:3] and set(asked) == {4, 10} and "RepartitionByExpression [barcode" in many[3]
+
+
+def test_state_goes_with_the_rows(spark, tmp_path):
+    """A stream's state has as many partitions as asked for, and the session keeps its settings."""
+    from tessera.streaming import counts
+
+    rows = spark.range(300).selectExpr("'chr1' as chrom", "id as start", "id + 9 as `end`", "concat('b', id % 2) as barcode", "2 as count", "timestamp_seconds(1700000000 + id) as seen")
+    rows.write.parquet(str(tmp_path / "in"))
+    rows.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    counts.qc_stream(stream, str(tmp_path / "state"), str(tmp_path / "check"), tasks=7).awaitTermination()
+    assert len([x for x in (tmp_path / "check" / "state" / "0").iterdir() if x.name.isdigit()]) == 7
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert [tuple(r)[:2] for r in counts.read_qc(spark, str(tmp_path / "state")).orderBy("barcode").collect()] == [("b0", 150), ("b1", 150)]

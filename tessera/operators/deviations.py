@@ -68,8 +68,8 @@ def _blocks(df: DataFrame, order: list[str], size: str, rows: int, name: str) ->
 
 
 def _lists(value: str) -> list[Column]:
-    """Columns ``js`` and ``<value>s``: a group's features by number, and their values."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", value))))
+    """Columns ``js`` and ``<value>s``: a group's features by number in any order, and their values."""
+    pairs = F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", value)))
     part = lambda name: F.transform(pairs, lambda p: p[name]).alias(f"{name}s")
     return [part("j"), part(value)]
 
@@ -127,8 +127,9 @@ def chromvar(x: DataFrame, regions: DataFrame, motif_list: list[motifs.Motif], *
 
     Features are whitened by GC content and log reads, matched backgrounds are drawn from a grid
     (``grid``) or are the nearest others (``knn``), motifs are scanned, and deviations follow.
-    A feature without reads is an error.
+    A feature without reads is an error. Sequences are made once, for both composition and scan.
     """
+    regions = stored(regions.select("region", "seq"))
     reads = x.groupBy(F.col("feature").alias("region")).agg(F.sum("value").alias("reads"))
     bias = motifs.peak_bias(regions).join(reads, "region", "left").select(F.col("region").alias("feature"), "gc_content", F.coalesce("reads", F.lit(0)).alias("reads"))
     background = motifs.sample_background(stored(bias), method=method, n_iterations=n_iterations, seed=seed)

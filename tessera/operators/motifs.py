@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.ranks import along
-from ..session import stored
+from ..session import stored, tasks_of
 from .neighbours import nearest
 
 BASES = "ACGT"
@@ -23,7 +23,7 @@ BASES = "ACGT"
 
 def gc_content(seq: Column) -> Column:
     n = F.length(seq)
-    return F.when(n > 0, F.length(F.regexp_replace(F.upper(seq), "[^GC]", "")) / n).otherwise(0.0)
+    return F.when(n > 0, (n - F.length(F.translate(seq, "GCgc", ""))) / n).otherwise(0.0)
 
 
 def cpg_density(seq: Column) -> Column:
@@ -153,31 +153,53 @@ for _i, _b in enumerate(BASES):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 
 
-#: Letters that are scanned at once.
-SCAN_LETTERS = 1 << 20
+#: Letters that are scanned at once, and letters of a word that is scored by one look.
+SCAN_LETTERS, SPAN = 1 << 18, 6
 
 
 def find_motifs(seqs: list[str | None], tables: list[tuple[np.ndarray, float]], both: bool = True) -> Iterator[tuple[int, np.ndarray]]:
     """Number of each table and of the sequences with a window that reaches its threshold, on either strand.
 
     All sequences are scored as one text with a letter of no base between them; windows with such a
-    letter score minus infinity.
+    letter score minus infinity. ``SPAN`` letters are one word, coded once for all tables, and a window's score
+    is that of its words; scores beside the threshold are summed again letter by letter.
     """
     parts = [(x or "").encode("latin-1", "replace") for x in seqs]
     starts = np.cumsum([0] + [len(x) + 1 for x in parts])
     code = _CODE[np.frombuffer(b"N".join([*parts, b""]), np.uint8)]
+    words = np.zeros(len(code), np.intp)
+    padded = np.concatenate([code, np.full(SPAN, 4, np.int8)])
+    for place in range(SPAN):
+        words *= 5
+        words += padded[place : place + len(code)]
     for number, (scores, least) in enumerate(tables):
         n = len(code) - len(scores) + 1
         if n <= 0:
             continue
-        hit = np.zeros(n, bool)
-        for table in (scores, scores[::-1, ::-1])[: 1 + both]:
-            wide = np.hstack([table, np.full((len(table), 1), -np.inf)])
-            total = np.zeros(n)
-            for place, row in enumerate(wide):
-                total += row[code[place : place + n]]
-            hit |= total >= least
-        yield number, np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1)
+        strands = [np.hstack([t, np.full((len(t), 1), -np.inf)]) for t in (scores, scores[::-1, ::-1])[: 1 + both]]
+        if len(scores) <= SPAN:
+            found = np.flatnonzero(np.logical_or.reduce([_word_scores(wide) >= least for wide in strands])[words[:n]])
+        else:
+            hit = np.zeros(n, bool)
+            for wide in strands:
+                total = _word_scores(wide[:SPAN])[words[:n]]
+                for place in range(SPAN, len(wide), SPAN):
+                    total += _word_scores(wide[place : place + SPAN])[words[place : place + n]]
+                at = np.flatnonzero(total >= least - 1e-9 * (1 + abs(least)))
+                exact = np.zeros(len(at))
+                for place, row in enumerate(wide):
+                    exact += row[code[at + place]]
+                hit[at[exact >= least]] = True
+            found = np.flatnonzero(hit)
+        yield number, np.unique(np.searchsorted(starts, found, side="right") - 1)
+
+
+def _word_scores(wide: np.ndarray) -> np.ndarray:
+    """The score of each word of ``SPAN`` letters by its first ones, of which the table has a row each, summed in their order."""
+    total = np.zeros(1)
+    for row in wide:
+        total = (total[:, None] + row).ravel()
+    return np.repeat(total, 5 ** (SPAN - len(wide)))
 
 
 def has_motif(seq: str | None, scores: np.ndarray, threshold: float, both: bool = True) -> bool:
@@ -363,7 +385,9 @@ def background_bins(peaks: DataFrame, bs: int = 50, w: float = 0.1, n_iterations
     cells, sizes = counts["cell"].to_numpy(), counts["n"].to_numpy()
     xy = np.stack([cells // bs, cells % bs], axis=1) * (np.array([span["w0"], span["w1"]]) / max(bs - 1, 1))
     unit = lambda tag: (F.shiftrightunsigned(F.xxhash64(F.col("feature").cast("string"), F.col("iteration"), F.lit(f"{tag}:{seed}")), 11)) * F.lit(2.0**-53)
-    each = numbered.select("feature", "cell").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))))
+    # Draws are dealt out before they are made: features are few where draws are many.
+    dealt = numbered.select("feature", "cell").repartition(tasks_of(peaks.sparkSession, int(sizes.sum()) * n_iterations), "feature")
+    each = dealt.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))))
     asked = each.select("feature", "iteration", "cell", unit("cell").alias("_u"), unit("peak").alias("_v"))
     drawn = asked.mapInArrow(_drawn_cells(cells, sizes, xy, w), f"feature {dict(peaks.dtypes)['feature']}, iteration int, cell int, k int")
     return drawn.join(numbered.withColumnRenamed("feature", "background"), ["cell", "k"]).select("feature", "iteration", "background")

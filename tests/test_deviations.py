@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import deviations
+from tessera.operators import deviations, motifs
 
 
 def plain(x, sets, names):
@@ -52,3 +53,30 @@ def test_any_blocks(spark, monkeypatch, sizes):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9), k
+
+
+def test_sequences_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def letters(i):
+        made.add(1)
+        return ("GATTACA" if i % 3 else "CCGCGG") * (1 + i % 5) + "ACGT"[i % 4] * (i % 7)
+
+    # Two columns that read a sequence, and a scan of it, ask for it once a region.
+    regions = spark.range(40).select(F.col("id").alias("region"), F.udf(letters)("id").alias("seq"))
+    x = spark.range(40).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("cell"), F.col("id").alias("feature"), (F.col("id") % 5 + 1).alias("value"))
+    out = deviations.chromvar(x, regions, [motifs.Motif("m", np.eye(4)[[2, 0, 3, 3, 0, 1, 0]])], p_value=4.0**-7 * 1.01, n_iterations=4, base="even").collect()
+    assert {(r.cell, r.motif) for r in out} == {(0, "m"), (1, "m")}
+    assert made.value == 40
+
+
+def test_words_of_a_long_motif(spark):
+    rng = np.random.default_rng(5)
+    seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in rng.integers(0, 60, 300)] + [None, ""]
+    for length in (1, 5, 6, 7, 12, 13, 20):
+        scores = rng.integers(-3, 3, (length, 4)).astype(float)
+        least = np.quantile([scores[np.arange(length), rng.integers(0, 4, length)].sum() for _ in range(2000)], 0.97)
+        code = {b: i for i, b in enumerate("ACGT")}
+        total = lambda t, w: sum(t[i, code[b]] if b in code else -np.inf for i, b in enumerate(w))
+        want = [i for i, s in enumerate(seqs) if any(total(t, (s or "")[a : a + length]) >= least for t in (scores, scores[::-1, ::-1]) for a in range(len(s or "") - length + 1))]
+        assert [f.tolist() for _, f in motifs.find_motifs(seqs, [(scores, least)])] == [want]

@@ -48,9 +48,11 @@ CHUNK = 1024
 #: The share of directions in which a vector must collide, that of a normal law within ``WIDTH`` deviations.
 WIDTH, THRESHOLD = 1.5, 0.866
 #: The step from one width to the next.
-STEP = 1.2
+STEP = 1.25
 #: Open vectors that are verified at once, as a share of the block.
-REST = 0.1
+REST = 0.15
+#: Cells of a direction, at whose ends windows end.
+CELLS = 1 << 13
 #: Rings with more than this share of the arrays are counted by places instead of slices.
 DENSE = 0.08
 _SLACK = 1e-6
@@ -120,13 +122,18 @@ class Block:
         self.order = np.empty(self.m * self.n, np.int64)
         self.base = np.arange(self.m) * self.n
         np.put_along_axis(self.order.reshape(self.m, self.n), self.places.astype(np.int64), np.arange(self.n)[None, :], 1)
-        # All arrays in one, each moved by 4 from the one before, so that one search serves all.
-        self.flat = (np.frombuffer(values, np.float32).reshape(self.m, self.n).astype(np.float64) + 4.0 * np.arange(self.m)[:, None]).ravel()
+        # Windows end where cells do: the place of each cell's first projection in its array serves all widths.
+        ends = (np.arange(CELLS + 1) * (2.0 / CELLS) - 1.0).astype(np.float32)
+        ends[0], ends[-1] = -np.inf, np.inf
+        self.ends = np.concatenate([np.searchsorted(v, ends) + b for v, b in zip(np.frombuffer(values, np.float32).reshape(self.m, self.n), self.base, strict=True)])
+        self.first = np.arange(self.m) * (CELLS + 1)
         self._diff, self._hit = np.empty((self.m, self.n), np.uint16), np.empty((self.m, self.n), bool)
 
     def window(self, at: np.ndarray, w: float) -> tuple[np.ndarray, np.ndarray]:
-        b = np.searchsorted(self.flat, np.concatenate([at - w, at + w]))
-        return np.maximum(b[: self.m], self.base), np.minimum(b[self.m :], self.base + self.n)
+        """Places in the cells that ``at`` plus and minus ``w`` reach, which are those of the window and a few more."""
+        lo = np.clip(np.floor((at - w + 1.0) * (CELLS / 2)), 0, CELLS - 1).astype(np.int64)
+        hi = np.clip(np.floor((at + w + 1.0) * (CELLS / 2)), 0, CELLS - 1).astype(np.int64)
+        return self.ends[self.first + lo], self.ends[self.first + hi + 1]
 
     def _slices(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
         return [self.order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
@@ -153,7 +160,7 @@ class Block:
         if self.n <= 8 * k:
             rest = np.flatnonzero(~seen)
             return rest, self.x[rest] @ q, len(rest)
-        at = (np.append(q / length, 0.0) @ _basis(self.m)) + 4.0 * np.arange(self.m)
+        at = np.append(q / length, 0.0) @ _basis(self.m)
         need = int(np.ceil(THRESHOLD * self.m))
         found, scores, far = [], np.zeros(0), np.inf
 

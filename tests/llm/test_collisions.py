@@ -91,3 +91,28 @@ def test_classic_stop_and_work_done():
             assert not exact or best == want
             hit += 0 if exact else len(best & want)
     assert hit >= 0.9 * 300 and verified[True] < 0.15 * 30 * len(x) and verified[False] < 0.1 * 30 * len(x)
+
+
+def test_windows_are_looked_up_and_hold_all_within_them(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 16))
+    norms = np.sqrt((x * x).sum(1))
+    p = collisions._lifted(x, norms, norms.max()).T.astype(np.float32)
+    order = np.argsort(p, axis=1, kind="stable")
+    places = np.empty(p.shape, np.uint16)
+    np.put_along_axis(places, order, np.arange(3000, dtype=np.uint16)[None, :], 1)
+    block = collisions.Block(16, float(norms.max()), np.arange(3000), x.tobytes(), np.take_along_axis(p, order, 1).tobytes(), places.tobytes())
+
+    def searched(*_):
+        raise AssertionError("an array is searched")
+
+    monkeypatch.setattr(collisions.np, "searchsorted", searched)
+    for q in x[:5]:
+        at = np.append(q / np.sqrt(q @ q), 0.0) @ collisions._basis(17)
+        for w in (1e-4, 0.05, 0.3, 1.9):
+            lo, hi = block.window(at, w)
+            inside = np.abs(p - at[:, None]) <= w
+            held = (places >= (lo - block.base)[:, None]) & (places < (hi - block.base)[:, None])
+            assert not (inside & ~held).any() and not (held & (np.abs(p - at[:, None]) > w + 2.01 / collisions.CELLS)).any()
+        found, _, _ = block.near(q, -1, 10, True)
+        assert set(np.argsort(-(x @ q))[:10]) <= set(found.tolist())

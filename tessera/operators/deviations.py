@@ -13,7 +13,7 @@ from . import motifs
 
 
 #: Entries, cells and sets of a block; pairs that a task writes at once.
-ENTRIES, CELLS, SETS, PAIRS = 1 << 23, 4096, 1024, 1 << 21
+ENTRIES, CELLS, SETS, PAIRS = 1 << 21, 4096, 1024, 1 << 20
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def _blocks(df: DataFrame, order: list[str], size: str, rows: int, name: str) ->
 
 def _lists(value: str) -> list[Column]:
     """Columns ``js`` and ``<value>s``: a group's features by number in any order, and their values."""
-    pairs = F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", value)))
+    pairs = F.collect_list(F.when(F.col("j").isNotNull(), F.struct(F.col("j").cast("int").alias("j"), value)))
     part = lambda name: F.transform(pairs, lambda p: p[name]).alias(f"{name}s")
     return [part("j"), part(value)]
 

@@ -1,8 +1,10 @@
 """Tail probabilities and multiple testing as column expressions.
 
-Tails start from one probability in saddle-point form, which keeps its digits for means of any size,
-and add neighbours by their ratio, away from the mean: so the smaller side is summed, and as many
-terms as it takes for the rest to fall below double precision, which grows with the deviation.
+Tails start from one probability in saddle-point form, which keeps its digits for means of any size.
+Binomial and hypergeometric ones add neighbours by their ratio, away from the mean: so the smaller side
+is summed, and as many terms as it takes for the rest to fall below double precision, which grows with
+the deviation. Poisson ones are that probability times an integral over a fixed number of nodes, in
+batches, so a tail costs the same for means of any size.
 """
 
 from __future__ import annotations
@@ -10,8 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 from .ranks import SMALL, along
@@ -19,6 +24,8 @@ from .ranks import SMALL, along
 TINY = 1e-300
 #: Deviations from where a tail starts, and terms at least, beyond which nothing is left of it.
 DEVIATIONS, LEAST_TERMS = 10.0, 60
+#: Nodes of the integral of a Poisson tail, and minus the log of its integrand at which it ends.
+NODES, DEPTH = 40, 38.0
 
 _TABLE = 256
 
@@ -106,11 +113,55 @@ def _tails(k: Column, mean: Column, variance: Column, chance: Callable[[Column],
     return _let(side, lambda s: F.when(above, s).otherwise(1 - s)), _let(side, lambda s: F.when(above, 1 - s).otherwise(s))
 
 
+def _chances(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``P(X = x)`` of Poisson means, as in ``poisson``."""
+    at = np.maximum(x, 1.0)
+    exact = np.array([0.0] + [math.lgamma(i + 1.0) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)])
+    lack = np.where(x < 16, exact[np.minimum(x, 15).astype(int)], 1 / (12 * at) - 1 / (360 * at**3) + 1 / (1260 * at**5) - 1 / (1680 * at**7))
+    v = (at - m) / (at + m)
+    even = 1.0 / 21
+    for j in range(9, 0, -1):
+        even = 1.0 / (2 * j + 1) + v * v * even
+    deviance = np.where(np.abs(v) < 0.1, (at - m) * v + 2 * at * v * (v * v * even), at * np.log(at / m) + m - at)
+    return np.where(x > 0, np.exp(-lack - deviance) / np.sqrt(2 * math.pi * at), np.exp(-m))
+
+
+def poisson_tails(k: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``P(X > k)`` for ``k`` of at least 0 and positive means, each by the smaller side.
+
+    With K = k + 1, ``P(X >= K)`` is ``P(X = K) K`` times the integral of ``(1 - u)^k e^(m u)`` from 0 to 1, and
+    ``P(X < K)`` is ``P(X = k) m`` times that of ``(1 + u)^k e^(-m u)`` from 0 on. Both integrands fall like an
+    exponential or a normal curve, and what lies beyond the place where they are below ``e^-DEPTH`` is nothing.
+    """
+    k, m = np.asarray(k, float), np.maximum(np.asarray(m, float), TINY)
+    above = k + 1 > m
+    sign, apart = np.where(above, -1.0, 1.0), np.where(above, k - m, m - k)
+    # log(1 - u) <= -u - u^2 / 2, and log(1 + u) <= u - u^2 / (2 + 2 u).
+    high = 2 * DEPTH / np.maximum(apart + np.sqrt(apart * apart + 2 * k * DEPTH), DEPTH * 2)
+    far = np.maximum(apart, 1.0)
+    low = (DEPTH - far + np.sqrt((DEPTH - far) ** 2 + 2 * DEPTH * (2 * far + k))) / (2 * far + k)
+    end = np.where(above, high, low)
+    whole = np.zeros_like(m)
+    for y, weight in zip(*np.polynomial.legendre.leggauss(NODES), strict=True):
+        u = sign * end * ((y + 1) / 2)
+        whole += weight * np.exp(k * np.log1p(u) - m * u)
+    whole *= end / 2
+    side = np.minimum(1.0, np.where(above, _chances(k + 1, m) * (k + 1), _chances(k, m) * m) * whole)
+    return np.where(above, side, 1 - side)
+
+
+@F.pandas_udf(T.DoubleType())
+def _poisson_upper(k: pd.Series, mean: pd.Series) -> pd.Series:
+    fit = ((k >= 0) & (mean > 0)).to_numpy()
+    out = np.zeros(len(fit))
+    out[fit] = poisson_tails(k.to_numpy(float)[fit], mean.to_numpy(float)[fit])
+    return pd.Series(out)
+
+
 def poisson_upper(k: Column, mean: Column) -> Column:
     """``P(X > k)``."""
-    m = F.greatest(mean.cast("double"), F.lit(TINY))
-    upper, _ = _tails(k + 1, m, m, lambda x: poisson(x, m), lambda x: m / (x + 1), lambda x: F.greatest(x, F.lit(0.0)) / m)
-    return F.when(k < 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(upper)
+    tail = F.when(k.isNotNull() & mean.isNotNull(), _poisson_upper(k.cast("double"), mean.cast("double")))
+    return F.when(k < 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(tail)
 
 
 def _binomial_tails(k: Column, n: Column, p: Column) -> tuple[Column, Column]:

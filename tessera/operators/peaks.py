@@ -40,13 +40,12 @@ def pileup(fragments: DataFrame, d_treat: int = 200, d_ctrl: int = 10000) -> Dat
 def score_runs(runs: DataFrame, fragments: DataFrame, genome_length: float, d_treat: int = 200, d_ctrl: int = 10000) -> DataFrame:
     """Runs with the local rate ``lam`` and ``p_score``, minus log10 of the Poisson tail.
 
-    Tails are computed once per distinct pair of pileup and rate.
+    A tail costs the same whatever its rate, so runs keep their place and are not joined with distinct pairs.
     """
     reads = fragments.groupBy("group").agg(F.count(F.lit(1)).alias("reads"))
     lam = F.greatest(F.col("ctrl") * (d_treat / d_ctrl), 2.0 * d_treat * F.col("reads") / F.lit(float(genome_length)))
     rated = runs.join(F.broadcast(reads), "group").withColumn("lam", lam).drop("reads")
-    pairs = rated.select("treat", "lam").distinct().withColumn("p_score", -F.log10(F.greatest(stats.poisson_upper(F.col("treat"), F.col("lam")), F.lit(stats.TINY))))
-    return rated.join(pairs, ["treat", "lam"])
+    return rated.withColumn("p_score", -F.log10(F.greatest(stats.poisson_upper(F.col("treat"), F.col("lam")), F.lit(stats.TINY))))
 
 
 def q_table(scored: DataFrame) -> DataFrame:

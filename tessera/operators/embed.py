@@ -17,6 +17,9 @@ from ..functions.ranks import along
 from ..session import bucketed, remove, shared_dir, stored
 from . import krylov
 
+#: Up to so many features, their sums are broadcast to the cells; beyond, a copy of X by feature meets them.
+FEW_FEATURES = 1 << 16
+
 
 def idf_weights(x: DataFrame) -> DataFrame:
     """``feature, idf``: ln(cells / cells with it), 0 cells counting as 1 and all cells as one less; all equal gives 1."""
@@ -30,7 +33,8 @@ def idf_weights(x: DataFrame) -> DataFrame:
 
 def normalized(x: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``cell, feature, v``: values times idf, or times given weights (feature, weight), rows of length one."""
-    weights = idf_weights(x) if weights is None else weights.select("feature", F.col("weight").alias("idf"))
+    # Stored, so that the planner knows its size.
+    weights = stored(idf_weights(x)) if weights is None else weights.select("feature", F.col("weight").alias("idf"))
     weighted = x.join(weights, "feature").withColumn("w", F.col("value") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cell")))
     return weighted.withColumn("_n", norm).filter("_n > 0").select("cell", "feature", (F.col("w") / F.col("_n")).alias("v"))
@@ -38,7 +42,7 @@ def normalized(x: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def degrees(rows: DataFrame) -> DataFrame:
     """``cell, degree``: the row's product with the sum of all rows, less its own part."""
-    sums = rows.groupBy("feature").agg(F.sum("v").alias("s"))
+    sums = stored(rows.groupBy("feature").agg(F.sum("v").alias("s")))
     return rows.join(sums, "feature").groupBy("cell").agg((F.sum(F.col("v") * F.col("s")) - 1).alias("degree"))
 
 
@@ -46,7 +50,8 @@ def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool =
     """``cell, embedding``: leading eigenvectors of D^-1/2 X X' D^-1/2 - D^-1, times the root of positive eigenvalues.
 
     Vectors are tables by cell (see ``krylov``). A product with X is two joins with sums, by feature and
-    by cell, over copies of X in buckets of cell and of feature, so X itself is dealt out once.
+    by cell. X is dealt out by cell once, and all that follows goes by its buckets; with many features a
+    copy in buckets of feature is made for the second join.
     ``feature_weights`` (feature, weight) take the place of the inverse document frequencies; ``steps``
     ends the iteration after so many blocks.
     """
@@ -54,13 +59,14 @@ def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool =
     home = f"{shared_dir(spark)}/spectral-{uuid.uuid4().hex}"
     tables = []
     try:
-        rows = stored(normalized(x, feature_weights), f"{home}/rows")
+        held = bucketed(x.select("cell", "feature", "value"), "cell", tables)
+        rows = bucketed(normalized(held, feature_weights), "cell", tables)
         deg = stored(degrees(rows), f"{home}/degrees")
         if not deg.filter("degree <= 0").isEmpty():
             raise ValueError("a cell has no neighbours: its degree is not positive")
         n, m = deg.count(), rows.select("feature").distinct().count()
-        by_cell, by_feature = (bucketed(rows, c, tables) for c in ("cell", "feature"))
-        basis, values, weights = krylov.leading(deg, "cell", n, min(n_comps, min(n, m) - 1), _affinity(by_cell, by_feature), f"{home}/basis", seed=seed, steps=steps)
+        by_feature = bucketed(rows, "feature", tables) if m > FEW_FEATURES else None
+        basis, values, weights = krylov.leading(deg, "cell", n, min(n_comps, min(n, m) - 1), _affinity(rows, by_feature), f"{home}/basis", seed=seed, steps=steps)
         if weighted:
             weights, values = weights[:, values > 0], values[values > 0]
             weights = weights * np.sqrt(values)
@@ -71,14 +77,19 @@ def spectral(x: DataFrame, n_comps: int = 30, *, seed: int = 0, weighted: bool =
         remove(spark, home)
 
 
-def _affinity(by_cell: DataFrame, by_feature: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """The product of D^-1/2 X X' D^-1/2 - D^-1 with a block of vectors (cell, degree, q)."""
+def _affinity(by_cell: DataFrame, by_feature: DataFrame | None = None) -> Callable[[DataFrame, int], DataFrame]:
+    """The product of D^-1/2 X X' D^-1/2 - D^-1 with a block of vectors (cell, degree, q).
+
+    Sums by feature meet X in ``by_feature``; without it they are few and broadcast, and no entry is moved.
+    """
 
     def product(last: DataFrame, width: int) -> DataFrame:
         names = [f"s{i}" for i in range(width)]
         half = last.select("cell", *[(F.get("q", F.lit(i)) / F.sqrt("degree")).alias(c) for i, c in enumerate(names)])
-        down = by_cell.join(half, "cell").groupBy("feature").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
-        across = by_feature.join(down, "feature").groupBy("cell").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
+        sums = [F.sum(F.col("v") * F.col(c)).alias(c) for c in names]
+        down = by_cell.join(half.hint("shuffle_hash"), "cell").groupBy("feature").agg(*sums)
+        met = by_cell.join(F.broadcast(down), "feature") if by_feature is None else by_feature.join(down, "feature")
+        across = met.groupBy("cell").agg(*sums)
         w = [F.col(c) / F.sqrt("degree") - F.get("q", F.lit(i)) / F.col("degree") for i, c in enumerate(names)]
         return last.join(across, "cell").select("cell", F.array(*w).alias("w"))
 

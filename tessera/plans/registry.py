@@ -787,7 +787,7 @@ def degree(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spectral(spark: SparkSession, d: str) -> DataFrame:
-    return embed.spectral(materialize(_cells_matrix(spark, d)), 5)
+    return embed.spectral(_cells_matrix(spark, d), 5)
 
 
 @query(

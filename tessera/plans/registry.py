@@ -796,7 +796,7 @@ def spectral(spark: SparkSession, d: str) -> DataFrame:
 )
 def spectral_leading(spark: SparkSession, d: str) -> DataFrame:
     """The first component of each cell: its eigenvalue is one, and its vector the root of the degrees."""
-    return embed.spectral(materialize(_cells_matrix(spark, d)), 2).select("cell", F.round(F.get("embedding", F.lit(0)), 5).alias("leading"))
+    return embed.spectral(_cells_matrix(spark, d), 2).select("cell", F.round(F.get("embedding", F.lit(0)), 5).alias("leading"))
 
 
 @query()

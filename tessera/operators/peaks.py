@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.ranks import over_ranges
-from ..session import materialize, stored
+from ..session import stored
 from .intervals import UNBOUNDED, join_points
 
 PEAK_KEYS = ("group", "chrom")
@@ -71,7 +71,7 @@ def islands(scored: DataFrame, q_thresh: float = 0.05, max_gap: int = 30, peak_a
 
 def call_peaks(fragments: DataFrame, genome_length: float, *, q_thresh: float = 0.05, d_treat: int = 200, d_ctrl: int = 10000, max_gap: int = 30, peak_amp: int = 200, fe_cutoff: float = 1.0) -> DataFrame:
     """Peaks of ``fragments`` (group, chrom, start, end) in the ten narrow-peak columns and ``group``."""
-    scored = materialize(score_runs(pileup(fragments, d_treat, d_ctrl), fragments, genome_length, d_treat, d_ctrl))
+    scored = stored(score_runs(pileup(fragments, d_treat, d_ctrl), fragments, genome_length, d_treat, d_ctrl))
     scored = scored.join(q_table(scored), ["group", "p_score"])
     best = F.struct((-F.col("p_score")).alias("k"), "start")
     peaks = islands(scored, q_thresh, max_gap, peak_amp).groupBy(*PEAK_KEYS, "island", "i_start", "i_end").agg(

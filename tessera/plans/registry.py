@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import deviations, embed, gsea, intervals, markers, matrix, motifs, neighbours, peaks, plots, qc
-from ..session import materialize, table, tasks_of
+from ..session import materialize, stored, table, tasks_of
 from ..sources import formats
 from . import fixtures as fx
 
@@ -372,7 +372,7 @@ def peak_pq(spark: SparkSession, d: str) -> DataFrame:
 )
 def peak_islands(spark: SparkSession, d: str) -> DataFrame:
     frags = _grouped(spark, d)
-    scored = materialize(peaks.score_runs(peaks.pileup(frags), frags, fx.GENOME).withColumn("p_score", F.round("p_score", 6)))
+    scored = stored(peaks.score_runs(peaks.pileup(frags), frags, fx.GENOME).withColumn("p_score", F.round("p_score", 6)))
     scored = scored.join(peaks.q_table(scored), ["group", "p_score"])
     return peaks.islands(scored, 0.05, 30, 100).select("group", "chrom", F.col("i_start").alias("start"), F.col("i_end").alias("end")).distinct()
 

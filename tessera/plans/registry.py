@@ -682,7 +682,7 @@ def _chromvar(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cell"), F.col("doc_id").alias("feature"), F.coalesce("n_chars", F.lit(0)).alias("n"))
     x = x.select("cell", "feature", ((F.col("n") + F.col("cell") * F.col("feature")) % 7 + 1).alias("value"))
     models = [motifs.Motif(m, np.eye(4)[[motifs.BASES.index(b) for b in k]]) for m, k in _KMERS[:3]]
-    return deviations.chromvar(materialize(x), seqs, models, p_value=4.0**-6 * 1.01, base="even")
+    return deviations.chromvar(stored(x), seqs, models, p_value=4.0**-6 * 1.01, base="even")
 
 
 @query()

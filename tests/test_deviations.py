@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import deviations, motifs
+from tessera.session import stored
 
 
 def plain(x, sets, names):
@@ -55,6 +56,29 @@ def test_any_blocks(spark, monkeypatch, sizes):
         assert got[k] == pytest.approx(want[k], abs=1e-9), k
 
 
+def test_no_row_holds_all_features(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(deviations, "stored", lambda df, *a, **b: kept.append(stored(df, *a, **b)) or kept[-1])
+    monkeypatch.setattr(deviations, "ENTRIES", 50)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (3, 300))
+    x[0] += 1
+    names = [f"f{j}" for j in range(300)]
+    mf = [("m1", f"f{j}") for j in range(0, 300, 2)] + [("m2", f"f{j}") for j in range(0, 300, 3)]
+    bg = [(f"f{j}", t, f"f{rng.integers(300)}") for j in range(300) for t in range(4)]
+    sets = {}
+    for m, f in mf:
+        for t, g in [(-1, f)] + [(t, g) for h, t, g in bg if h == f]:
+            of = sets.setdefault((m, t), {})
+            of[g] = of.get(g, 0) + 1
+    frame = spark.createDataFrame([(i, names[j], int(x[i, j])) for i in range(3) for j in range(300)], "cell int, feature string, value int")
+    out = deviations.compute_deviations(frame, spark.createDataFrame(mf, "motif string, feature string"), spark.createDataFrame(bg, "feature string, iteration int, background string"))
+    got, want = {(r.cell, r.motif): (r.deviation, r.z) for r in out.collect()}, plain(x, sets, names)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    lists = [(df, c) for df in kept for c, kind in df.dtypes if kind.startswith("array")]
+    assert lists and all(df.agg(F.max(F.size(c))).first()[0] <= 2 for df, c in lists)
+
+
 def test_sequences_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 

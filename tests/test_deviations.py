@@ -94,6 +94,17 @@ def test_sequences_are_made_once(spark):
     assert made.value == 40
 
 
+def test_sequences_come_in_small_batches(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(deviations, "stored", lambda df, *a, **b: given.append(b.get("batch")) or stored(df, *a, **b))
+    regions = spark.range(9).select(F.col("id").alias("region"), F.repeat(F.lit("GATTACA"), F.col("id").cast("int") + 1).alias("seq"))
+    x = spark.range(9).select(F.lit(0).alias("cell"), F.col("id").alias("feature"), (F.col("id") % 5 + 1).alias("value"))
+    assert deviations.chromvar(x, regions, [motifs.Motif("m", np.eye(4)[[2, 0, 3]])], p_value=4.0**-3 * 1.01, n_iterations=2, base="even").count() == 1
+    assert deviations.SEQUENCES in given
+    sizes = stored(spark.range(0, 100, 1, 1).mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id long"), batch=8)
+    assert sizes.agg(F.max("id")).first()[0] == 8
+
+
 def test_words_of_a_long_motif(spark):
     rng = np.random.default_rng(5)
     seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in rng.integers(0, 60, 300)] + [None, ""]

@@ -832,16 +832,25 @@ def streaming_qc(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import counts
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # What tells a row from others is 128 bits of its record; rows are made once, and sent part by part as they are.
     frags = fx.fragments(spark, d, record=True).withColumn("seen", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("record"), F.lit(3600)))).withColumn("part", F.pmod(F.xxhash64("record", F.lit(1)), F.lit(4)))
-    tasks = tasks_of(spark, frags.count())
+    frags = frags.withColumn("record", F.unhex(F.md5("record")))
+    frags.write.partitionBy("part").parquet(f"{base}/parts")
+    made = spark.read.schema(frags.schema).parquet(f"{base}/parts")
+    rows = made.count()
+
+    def send(part: int) -> None:
+        # As many files as tasks run at once: the batches don't become more with the rows.
+        made.filter(F.col("part") == part).drop("part").coalesce(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{base}/in")
+
     for part in range(2):
-        frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        send(part)
     for turn in range(2):
-        stream = spark.readStream.schema(frags.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-        counts.qc_stream(stream, f"{base}/state", f"{base}/check", keys=("record",), tasks=tasks).awaitTermination()
+        stream = spark.readStream.schema(made.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+        counts.qc_stream(stream, f"{base}/state", f"{base}/check", keys=("record",), tasks=tasks_of(spark, rows), on_disk=rows > counts.STATE_ROWS).awaitTermination()
         if not turn:
             for part in (1, 2, 3):
-                frags.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+                send(part)
     m = counts.read_qc(spark, f"{base}/state")
     return m.select("barcode", "n_unique", rounded("duplicate_fraction").alias("duplicate_fraction"), rounded("mito_fraction").alias("mito_fraction"))
 
